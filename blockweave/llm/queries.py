@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from blockweave.llm import language, quality, topk, toxicity
+from blockweave.llm import bpe, html, language, lines, mixing, quality, topk, toxicity
 
 QUERIES = {
+    "op1_line_dedup": lines.query,
     "op2_toxicity": toxicity.query,
     "op3_language_id": language.query,
+    "op5_bpe": bpe.query,
+    "op6_main_text": html.query,
     "op8_quality_rules": quality.query,
+    "op9_mix_sources": mixing.query,
     "op10_topk_search": topk.query,
 }
 
-SQL = {"op10_topk_search": topk.SQL}
+SQL = {"op1_line_dedup": lines.SQL, "op10_topk_search": topk.SQL}
