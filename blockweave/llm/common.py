@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,3 +117,13 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
             rest = [part]
     if rest:
         yield pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0].reset_index(drop=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: lineage cut, columns compressed, its size known."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

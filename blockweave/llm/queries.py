@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from blockweave.llm import bpe, html, language, lines, mixing, quality, topk, toxicity
+from blockweave.llm import bpe, html, jaccard, language, lines, mixing, quality, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.query,
     "op2_toxicity": toxicity.query,
     "op3_language_id": language.query,
+    "op4_jaccard_join": jaccard.query,
     "op5_bpe": bpe.query,
     "op6_main_text": html.query,
     "op8_quality_rules": quality.query,
