@@ -138,17 +138,21 @@ def _compare(batches):
         yield pd.DataFrame({"u": nodes[some], "v": [int(nodes[root(k)]) for k in some.tolist()], "links": links[some]})
 
 
+def node_id(id_col: str, text_col: str):
+    """The id, or for a null a stand-in drawn from the text."""
+    return F.coalesce(F.col(id_col).cast("long"), -(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2)) - F.lit(1 << 61))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id, n_links, n_copies: a row for each row of df.
+    """id, class_id, n_links, n_copies, keeper: a row for each row of df.
 
     n_links counts the other texts whose shingles have a Jaccard similarity of 0.8 or more with the row's; n_copies the rows with
     its words. class_id is the least id of all rows that links and copies connect with it. A text of fewer than five words has
     all of them as its one shingle. Null and empty texts are copies of each other. A row without an id belongs to the class
     of its text under a stand-in drawn from the text, and counts; class_id is null only if no row of the class has an id. Rows that
-    share an id share a class. Only the named columns are read; an empty table gives no rows.
+    share an id share a class. ``keeper`` is ``node_id`` of the rows of the class that stay if one is to. Only the named columns are read; an empty table gives no rows.
     """
-    stand_in = -(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2)) - F.lit(1 << 61)
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), stand_in).alias("nid"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), node_id(id_col, text_col).alias("nid"), F.col(text_col).alias("text"))
 
     def sign(batches):
         for batch in batches:
@@ -187,10 +191,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = texts.join(classes.withColumnRenamed("node", "cnode"), F.col("node") == F.col("cnode"), "left").withColumn("label", F.coalesce("label", "node")).join(links, F.col("node") == F.col("lu"), "left")
     labelled = stored(labelled.select("hi", "lo", "label", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "least_id"))
     least = labelled.groupBy(F.col("label").alias("l2")).agg(F.min("least_id").alias("class_id"))
-    named = labelled.join(least, F.col("label") == F.col("l2")).select(F.col("hi").alias("h1"), F.col("lo").alias("h2"), "class_id", "n_links", "n_copies")
+    named = labelled.join(least, F.col("label") == F.col("l2")).select(F.col("hi").alias("h1"), F.col("lo").alias("h2"), "class_id", "n_links", "n_copies", F.coalesce("class_id", "label").alias("keeper"))
     out = signed.select("id", "hi", "lo").join(named, (F.col("hi") == F.col("h1")) & (F.col("lo") == F.col("h2")))
-    return out.select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
+    return out.select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", "keeper")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("keeper")

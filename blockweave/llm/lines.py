@@ -45,15 +45,15 @@ def _piece(lines: Column, bound: Column) -> Column:
     return F.array_join(F.slice(lines, bound["s"] + 1, bound["n"]), "\n")
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_lines, n_removed_chunks, n_removed_lines, text: a row for each row of df.
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_lines, n_removed_chunks, n_removed_lines, text, then the columns of ``keep``: a row for each row of df.
 
     The first occurrence of a chunk is that in the smallest id (null last), there the first one; it stays. A null text has no
     lines and stays null; an empty one has one line. A text of which all chunks went becomes empty. Rows that repeat an id
     and text are one document: each gets the same result. Lines end at \\n alone. Columns that are not named are not read, so
     their names cannot clash; an empty table gives no rows.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
     bounds = let(F.split("text", "\n"), lambda ls: let(chunk_bounds(ls), lambda b: F.transform(F.filter(b, lambda c: c["n"] > 1), lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), F.xxhash64(_piece(ls, c)).alias("h")))))
     light = docs.where(F.col("text").contains("\n")).select("id", "th", F.explode(bounds).alias("c")).select("id", "th", "c.k", "c.n", "c.h")
     light = cut(light.dropDuplicates(["id", "th", "k"]))  # hashes and places only
@@ -84,6 +84,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(F.col("ks").isNull(), 0).otherwise(F.size("ks")).cast("long").alias("n_removed_chunks"),
         F.coalesce("lines", F.lit(0)).cast("long").alias("n_removed_lines"),
         F.when(F.col("ks").isNull(), F.col("text")).otherwise(left).alias("text"),
+        *(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)),
     )
 
 

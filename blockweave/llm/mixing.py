@@ -103,6 +103,10 @@ def targets(sources: DataFrame) -> DataFrame:
     return final.select("source", "source_size", F.when(F.col("at") >= F.col("first"), shared).otherwise(F.col("cap")).alias("target"))
 
 
+def row_hash(id_col: str, text_col: str, seed: int = 9):
+    return F.xxhash64(F.lit(seed), id_col, text_col)
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = 9) -> DataFrame:
     """id, size, source_size, target, copies, taken: one row a row of df; taken = copies * size.
 
@@ -110,7 +114,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     are documents of their own, told apart by an ordinal, with equal chances. A null id takes part like any other. Reruns
     on the same rows agree, however they are partitioned. Only the named columns are read; an empty table gives no rows.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), row_hash(id_col, text_col, seed).alias("h"))
     docs = cut(docs)  # ids, sources and sizes only: the texts are read once
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = targets(sizes.select("source", "source_size")).join(sizes.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")

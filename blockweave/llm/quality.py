@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,14 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     return np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > buckets * SMOOTH else np.zeros(buckets)
 
 
+def _verdict(text: str | None, model: np.ndarray, threshold: float, buckets: int) -> bool:
+    counts = base_counts(text)
+    if counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT * counts[0]:
+        return False
+    found = ngram_buckets(text, buckets)
+    return bool(model[found].sum() / len(found) >= threshold)
+
+
 def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept: one row a row of df.
 
@@ -124,5 +133,17 @@ def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return scored.withColumnRenamed("id", id_col)
 
 
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of df that quality_rules keeps, with all their columns, without a join."""
+    model = fit(df, labels, id_col, text_col, buckets=buckets).astype(np.float64)
+    at = df.columns.index(text_col)
+
+    def passing(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([_verdict(t, model, threshold, buckets) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(passing, df.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockweave.llm import bpe, html, jaccard, language, lines, mixing, quality, topk, toxicity
+from blockweave.llm import bpe, html, jaccard, language, lines, mixing, quality, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_jaccard_join": jaccard.query,
     "op5_bpe": bpe.query,
     "op6_main_text": html.query,
+    "op7_suffix_dedup": suffixes.query,
     "op8_quality_rules": quality.query,
     "op9_mix_sources": mixing.query,
     "op10_topk_search": topk.query,
