@@ -1,11 +1,841 @@
-"""The queries of the image operators by name, and the SQL that DuckDB can run for them."""
+"""The queries of the image operators by name, and the SQL that DuckDB can run for them.
+
+A name starts with the operator's id in the survey. Where SQL cannot express an operator, the query has no SQL.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from blockweave.functions import color
+from blockweave.functions import geometry as G
+from blockweave.functions import jpegcore as J
+from blockweave.functions import tables as T
+from blockweave.operators import blocks, codec, pixels, symbols
+from blockweave.plans import fixtures as X
+from blockweave.sources import images
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_int = lambda c: (F.col(c) if isinstance(c, str) else c).cast("int")
+
+
+# ---- A: sources -----------------------------------------------------------------
+
+_EXTS = [*T.EXTENSIONS, "JPG", "Pnm", "txt", "XXX"]
+
+
+@query(
+    "a2_file_format",
+    f"""WITH n AS (SELECT doc_id, 'dir.v1/img_' || doc_id || '.' || e.ext AS path FROM documents JOIN {X.values([(i, e) for i, e in enumerate(_EXTS)], "i, ext")} ON true, (SELECT 1) z WHERE doc_id % {len(_EXTS)} = t.i)
+    SELECT doc_id, path, f.format FROM n LEFT JOIN {X.values(list(T.EXTENSIONS.items()), "ext, format").replace("t(", "f(")} ON f.ext = lower(regexp_extract(path, '\\.([^./]*)$', 1))""".replace("e.ext", "t.ext"),
+)
+def _(spark, d):
+    exts = F.array(*map(F.lit, _EXTS))
+    named = X.read(spark, d, "documents").select("doc_id", F.concat(F.lit("dir.v1/img_"), F.col("doc_id"), F.lit("."), F.get(exts, (F.col("doc_id") % len(_EXTS)).cast("int"))).alias("path"))
+    return images.with_format(named).select("doc_id", "path", "format")
+
+
+@query("a9a_gradient", "SELECT CAST(i % 64 AS INTEGER) AS x, CAST(i // 64 AS INTEGER) AS y, CAST((i // 64) * 255 // 48 AS INTEGER) AS v FROM range(0, 64 * 48) AS r(i)")
+def _(spark, d):
+    y = F.floor(F.col("id") / 64)
+    return spark.range(64 * 48).select(_int(F.col("id") % 64).alias("x"), _int(y).alias("y"), _int(F.floor(y * 255 / 48)).alias("v"))
+
+
+@query("a9b_blank", "SELECT CAST(i % 32 AS INTEGER) AS x, CAST(i // 32 AS INTEGER) AS y, CAST(77 AS INTEGER) AS v FROM range(0, 32 * 16) AS r(i)")
+def _(spark, d):
+    return spark.range(32 * 16).select(_int(F.col("id") % 32).alias("x"), _int(F.floor(F.col("id") / 32)).alias("y"), F.lit(77).alias("v"))
+
+
+@query("a9c_noise")
+def _(spark, d):
+    return images.test_images(spark, ["64x48.noise.tst"]).select("path", "width", "height", F.length("data").alias("bytes"))
+
+
+@query(
+    "a9d_lcg",
+    """WITH RECURSIVE s(i, s) AS (SELECT CAST(0 AS BIGINT), ((CAST(1664525 AS BIGINT) * 12345 + 1013904223) % 4294967296) % 2147483647
+    UNION ALL SELECT i + 1, ((1664525 * s + 1013904223) % 4294967296) % 2147483647 FROM s WHERE i < 767)
+    SELECT CAST(i AS INTEGER) AS i, CAST(s % 256 AS INTEGER) AS v FROM s""",
+)
+def _(spark, d):
+    raw = images.test_images(spark, ["32x24.p_u8.random.tst"]).select(F.hex("data").alias("h"))
+    return raw.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.conv(F.substring(F.col("h"), i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).alias("i", "v"))
+
+
+@query("a9_test_names", f"SELECT * FROM {X.values([('7x5.tst', 7, 5, 'rgb', '444-u8-p012', 105), ('8x4.c_ycbcr-jpeg.p_420-u8-p0p1p2.blank=9.tst', 8, 4, 'ycbcr-jpeg', '420-u8-p0p1p2', 48), ('5x5.p_u8.random=3.tst', 5, 5, 'rgb', 'u8', 25)], 'path, width, height, color_space, pixel_format, bytes')}")
+def _(spark, d):
+    out = images.test_images(spark, ["7x5.tst", "8x4.c_ycbcr-jpeg.p_420-u8-p0p1p2.blank=9.tst", "5x5.p_u8.random=3.tst"])
+    return out.select("path", "width", "height", "color_space", "pixel_format", F.length("data").alias("bytes"))
+
+
+def _round_trip_files(spark: SparkSession, d: str, exts) -> DataFrame:
+    """Writes the event images to each format and reads them again, in memory: path, format's pixels equal or not."""
+    import pandas as pd
+
+    from blockweave.sources import formats
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                raw = bytes(r.data)
+                for ext in exts:
+                    cs, pf, body = r.color_space, r.pixel_format, raw
+                    if ext == "y4m":
+                        cs, pf = "ycbcr-jpeg", "444-u8-p0p1p2"
+                        body = J.pack(J.convert(J.unpack(raw, r.width, r.height, r.pixel_format), "rgb", cs), pf)
+                    name, file = formats.save(f"{r.image_id}.{ext}", r.width, r.height, cs, pf, body, **({"rle": True} if ext == "tga" else {}))
+                    out.append((r.image_id, name, len(file), formats.load(name, file) == (r.width, r.height, cs, pf, body), formats.probe(name, file) == (r.width, r.height, cs, pf)))
+            yield pd.DataFrame(out, columns=["image_id", "path", "bytes", "same", "probed"])
+
+    return X.image(spark, d).mapInPandas(run, "image_id long, path string, bytes int, same boolean, probed boolean")
+
+
+for _name, _exts in (("a4_c2_pnm", ["ppm", "pnm"]), ("a5_c2_pam", ["pam"]), ("a6_c3_y4m", ["y4m"]), ("a7_c4_bmp_png_tga", ["bmp", "png", "tga"])):
+    query(_name, f"SELECT i AS image_id, i || '.' || t.ext AS path, true AS same, true AS probed FROM (SELECT DISTINCT event_id // 5000 AS i FROM events) CROSS JOIN {X.values([(e,) for e in _exts], 'ext')}")(lambda spark, d, exts=_exts: _round_trip_files(spark, d, exts).drop("bytes"))
+
+
+# ---- B: metadata ----------------------------------------------------------------
+
+_ORIENT = [(r, f, T.ORIENTATIONS[r, f]) for r, f in T.ORIENTATIONS]
+
+
+@query("b2_orientation_name", f"SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS rotation, doc_id % 8 >= 4 AS flip, t.name FROM documents JOIN {X.values(_ORIENT, 'rotation, flip, name')} ON t.rotation = doc_id % 4 AND t.flip = (doc_id % 8 >= 4)")
+def _(spark, d):
+    r, f = _int(F.col("doc_id") % 4), F.col("doc_id") % 8 >= 4
+    name = F.lit(None).cast("string")
+    for (rot, flip), text in T.ORIENTATIONS.items():
+        name = F.when((r == rot) & (f == flip), text).otherwise(name)
+    return X.read(spark, d, "documents").select("doc_id", r.alias("rotation"), f.alias("flip"), name.alias("name"))
+
+
+@query("b3_exif_orientation", f"SELECT doc_id, CAST(doc_id % 10 AS INTEGER) AS orientation, t.rotation, t.flip FROM documents LEFT JOIN {X.values([(k, r, f) for k, (r, f) in T.EXIF_ORIENTATION.items()], 'o, rotation, flip')} ON t.o = doc_id % 10")
+def _(spark, d):
+    table = spark.createDataFrame([(k, r, f) for k, (r, f) in T.EXIF_ORIENTATION.items()], "o int, rotation int, flip boolean")
+    docs = X.read(spark, d, "documents").select("doc_id", _int(F.col("doc_id") % 10).alias("orientation"))
+    return docs.join(F.broadcast(table), F.col("orientation") == F.col("o"), "left").drop("o")
+
+
+_NAMES = [("4:2:0", 3, 2, 2), ("420", 3, 2, 2), ("4:2:2", 3, 2, 1), ("422", 3, 2, 1), ("4:4:4", 3, 1, 1), ("444", 3, 1, 1), ("4:4:4:4", 4, 1, 1), ("4224", 4, 2, 1), ("4:4:0", 3, 1, 2), ("411", 3, 4, 1), ("400", 1, 1, 1), ("4:4:2", 3, 1, 2), ("4:2:1", 3, 2, 2), ("5:2:2", None, None, None), ("4:2:3", None, None, None), ("abc", None, None, None), ("42", None, None, None)]
+
+
+@query("b5_subsampling_parse", f"SELECT CAST(name AS VARCHAR) AS name, CAST(comps AS INTEGER) AS comps, CAST(h0 AS INTEGER) AS h0, CAST(v0 AS INTEGER) AS v0 FROM {X.values(_NAMES, 'name, comps, h0, v0')}")
+def _(spark, d):
+    names = spark.createDataFrame([(n[0],) for n in _NAMES], "name string").withColumn("s", G.parse_subsampling(F.col("name")))
+    return names.select("name", "s.comps", "s.h0", "s.v0")
+
+
+@query("b5_subsampling_name", f"SELECT CAST(h0 AS INTEGER) AS h0, CAST(v0 AS INTEGER) AS v0, CAST(name AS VARCHAR) AS name FROM {X.values([(1, 1, '4:4:4'), (2, 1, '4:2:2'), (2, 2, '4:2:0'), (4, 1, '4:1:1'), (1, 2, '4:4:0')], 'h0, v0, name')}")
+def _(spark, d):
+    df = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (4, 1), (1, 2)], "h0 int, v0 int")
+    return df.withColumn("name", G.subsampling_name(F.col("h0"), F.col("v0"), F.lit(1), F.lit(1)))
+
+
+@query("b6_names", f"SELECT * FROM {X.values([('pixel format', n, c, p) for n, (p, c, _, _) in T.PIXEL_FORMATS.items()] + [('colour space', n, 0, False) for n in T.COLOR_SPACES] + [('header', n, 0, False) for n in T.HEADERS], 'domain, name, comps, planar')}")
+def _(spark, d):
+    formats = spark.createDataFrame([("pixel format", n, c, p) for n, (p, c, _, _) in T.PIXEL_FORMATS.items()], "domain string, name string, comps int, planar boolean")
+    rest = spark.createDataFrame([("colour space", n, 0, False) for n in T.COLOR_SPACES] + [("header", n, 0, False) for n in T.HEADERS], formats.schema)
+    return formats.unionByName(rest)
+
+
+# ---- D: pixels ------------------------------------------------------------------
+
+
+def _sql_convert(source: str, target: str, c=("c0", "c1", "c2")) -> list[str]:
+    """SQL of three channels, written apart from the column expressions."""
+    if source != "rgb" and target != "rgb":
+        return _sql_convert("rgb", target, tuple(f"({x})" for x in _sql_convert(source, "rgb", c)))
+    (m, base), out = (T.TO[target], "to") if source == "rgb" else (T.FROM[source], "from")
+    r = [f"(({x} - {0 if out == 'to' else b}) * 256 // 255)" for x, b in zip(c, base, strict=True)]
+    return [f"CAST(least(255, greatest(0, (({' + '.join(f'({m[3 * k + i]}) * {r[i]}' for i in range(3))} + 128) >> 8) + {base[k] if out == 'to' else 0})) AS INTEGER)" for k in range(3)]
+
+
+_IDS = {("rgb", "ycbcr-bt601"): "d6", ("ycbcr-bt601", "rgb"): "d7", ("rgb", "ycbcr-jpeg"): "d8", ("ycbcr-jpeg", "rgb"): "d9", ("rgb", "ycbcr-bt709"): "d10", ("ycbcr-bt709", "rgb"): "d11", ("rgb", "yuv"): "d12", ("yuv", "rgb"): "d13", ("ycbcr-bt601", "ycbcr-jpeg"): "d14a", ("ycbcr-jpeg", "ycbcr-bt601"): "d14b", ("ycbcr-bt709", "ycbcr-jpeg"): "d14c", ("ycbcr-bt601", "ycbcr-bt709"): "d14d", ("yuv", "ycbcr-jpeg"): "d14e", ("ycbcr-jpeg", "ycbcr-bt709"): "d14f", ("ycbcr-bt709", "ycbcr-bt601"): "d14g", ("ycbcr-jpeg", "yuv"): "d14h"}
+for (_s, _t), _id in _IDS.items():
+    _c = _sql_convert(_s, _t)
+    query(f"{_id}_{_s}_to_{_t}".replace("-", "_"), f"WITH {X.PIXELS} SELECT event_id, {_c[0]} AS c0, {_c[1]} AS c1, {_c[2]} AS c2 FROM pixels")(lambda spark, d, s=_s, t=_t: pixels.convert(X.pixels(spark, d), s, t).drop("x", "y"))
+
+_c = _sql_convert("rgb", "ycbcr-jpeg")
+
+
+@query("d4_d5_color_statistics", f"WITH {X.BAG}, t AS (SELECT {_c[0]} AS c0, {_c[1]} AS c1, {_c[2]} AS c2 FROM bag) SELECT c0, c1, c2, count(*) AS n FROM t GROUP BY c0, c1, c2")
+def _(spark, d):
+    return pixels.convert(X.bag(spark, d), "rgb", "ycbcr-jpeg").groupBy("c0", "c1", "c2").agg(F.count("*").alias("n"))
+
+
+@query("d3_clamp", f"WITH {X.PIXELS} SELECT event_id, CAST(least(255, greatest(0, c0 * 2 - 100)) AS INTEGER) AS v FROM pixels")
+def _(spark, d):
+    return X.pixels(spark, d).select("event_id", _int(color.clamp(F.col("c0") * 2 - 100)).alias("v"))
+
+
+@query("d15_identity", f"WITH {X.PIXELS} SELECT event_id, c0, c1, c2 FROM pixels")
+def _(spark, d):
+    return pixels.convert(pixels.convert(X.pixels(spark, d), "none", "rgb"), "ycbcr-jpeg", "ycbcr-jpeg").drop("x", "y")
+
+
+@query("d16_remap", f"WITH {X.PIXELS} SELECT event_id, c2 AS c0, CAST(255 AS INTEGER) AS c1, CAST(0 AS INTEGER) AS c2 FROM pixels")
+def _(spark, d):
+    return pixels.remap(X.pixels(spark, d), "2FZ").drop("x", "y")
+
+
+@query("d17_alpha", f"WITH {X.PIXELS} SELECT event_id, c0, c1, c2, CAST(coalesce(CASE WHEN event_id % 3 = 0 THEN c0 END, 255) AS INTEGER) AS c3 FROM pixels")
+def _(spark, d):
+    return pixels.opaque(X.pixels(spark, d).withColumn("c3", F.when(F.col("event_id") % 3 == 0, F.col("c0")))).drop("x", "y")
+
+
+@query("d18_gray", f"WITH {X.PIXELS} SELECT event_id, CAST('rgb' AS VARCHAR) AS internal, c0, c0 AS c1, c0 AS c2 FROM pixels UNION ALL SELECT event_id, 'ycbcr-jpeg', c0, CAST(128 AS INTEGER), CAST(128 AS INTEGER) FROM pixels")
+def _(spark, d):
+    gray = X.pixels(spark, d).select("event_id", "c0")
+    return pixels.gray_to_three(gray, "rgb").withColumn("internal", F.lit("rgb")).unionByName(pixels.gray_to_three(gray, "ycbcr-jpeg").withColumn("internal", F.lit("ycbcr-jpeg")))
+
+
+@query("d19_flip", f"WITH {X.PIXELS}, h AS (SELECT (max(y) + 8) // 8 * 8 AS h FROM pixels) SELECT event_id, x, CAST(h.h - 1 - y AS INTEGER) AS y FROM pixels, h")
+def _(spark, d):
+    p = X.pixels(spark, d).select("event_id", "x", "y")
+    h = p.agg(F.floor((F.max("y") + 8) / 8) * 8).first()[0]
+    return pixels.flip(p, F.lit(h))
+
+
+_HALF = {"444-u8-p0p1p2": "w * h", "422-u8-p0p1p2": "((w + 1) // 2) * h", "420-u8-p0p1p2": "((w + 1) // 2) * ((h + 1) // 2)"}
+_SIZE = "CASE pf " + " ".join(f"WHEN '{n}' THEN " + (f"(w + p) * h * {b}" if b else f"w * h + 2 * {_HALF[n]}") for n, (_, _, b, _) in T.PIXEL_FORMATS.items()) + " END"
+_PFS = list(T.PIXEL_FORMATS)
+
+
+@query("d22_raw_size", f"WITH s AS (SELECT doc_id, CAST(1 + doc_id % 1921 AS BIGINT) AS w, CAST(1 + doc_id % 1081 AS BIGINT) AS h, doc_id % 5 AS p, t.pf FROM documents JOIN {X.values(list(enumerate(_PFS)), 'i, pf')} ON t.i = doc_id % 7) SELECT doc_id, pf, CAST({_SIZE} AS BIGINT) AS bytes FROM s")
+def _(spark, d):
+    pf = F.get(F.array(*map(F.lit, _PFS)), _int(F.col("doc_id") % 7))
+    return X.read(spark, d, "documents").select("doc_id", pf.alias("pf"), pixels.raw_size(1 + F.col("doc_id") % 1921, 1 + F.col("doc_id") % 1081, pf, F.col("doc_id") % 5).alias("bytes"))
+
+
+@query("d23_line_padding", "SELECT doc_id, CAST(((1 + doc_id % 1921) * 3 + 31) // 32 * 32 - (1 + doc_id % 1921) * 3 AS INTEGER) AS padding FROM documents")
+def _(spark, d):
+    return X.read(spark, d, "documents").select("doc_id", pixels.line_padding((1 + F.col("doc_id") % 1921) * 3, F.lit(32)).alias("padding"))
+
+
+def _sql_offsets(pf: str) -> str:
+    w, h = 100, "(SELECT max(y) + 1 FROM pixels)"
+    if pf == "422-u8-p1020":
+        o = ["y * 200 + x * 2 + 1", "y * 200 + x // 2 * 4", "y * 200 + least(x // 2 * 4 + 2, 198)"]
+    elif pf in ("422-u8-p0p1p2", "420-u8-p0p1p2", "444-u8-p0p1p2"):
+        dh, dv = T.PIXEL_FORMATS[pf][3][0]
+        cw = -(-w // dh)
+        plane = f"{cw} * (({h} + {dv - 1}) // {dv})"
+        o = ["y * 100 + x", f"100 * {h} + y // {dv} * {cw} + x // {dh}", f"100 * {h} + {plane} + y // {dv} * {cw} + x // {dh}"]
+    else:
+        n = T.PIXEL_FORMATS[pf][1]
+        o = [f"y * {100 * n} + x * {n} + {k}" for k in range(n)]
+    return ", ".join(f"CAST({o[k] if k < len(o) else 'NULL'} AS INTEGER) AS o{k}" for k in range(4))
+
+
+for _pf in T.PIXEL_FORMATS:
+    query(f"d1_unpack_{_pf.replace('-', '_')}", f"WITH {X.PIXELS} SELECT event_id, {_sql_offsets(_pf)} FROM pixels")(
+        lambda spark, d, pf=_pf: pixels.unpack_offsets(p := X.pixels(spark, d).select("event_id", "x", "y"), X.WIDTH, p.agg(F.max("y")).first()[0] + 1, pf).drop("x", "y")
+    )
+
+
+@query("d2_pack", f"WITH {X.PIXELS} SELECT y, string_agg(printf('%02X%02X%02X', c0, c1, c2), '' ORDER BY x) AS hex FROM pixels GROUP BY y")
+def _(spark, d):
+    return pixels.pack_rows(X.pixels(spark, d).drop("event_id"))
+
+
+# ---- E: sampling, tiling, geometry ----------------------------------------------
+
+_PLANES = f"{X.PIXELS}, planes AS (SELECT x, y, 0 AS comp, c0 AS v FROM pixels UNION ALL SELECT x, y, 1, c1 FROM pixels UNION ALL SELECT x, y, 2, c2 FROM pixels)"
+
+
+def _plane(spark, d, comp: int) -> DataFrame:
+    return X.pixels(spark, d).select("x", "y", F.col(f"c{comp}").alias("v"))
+
+
+for _n, (_h, _v) in (("420", (2, 2)), ("422", (2, 1))):
+    query(f"e1_subsample_{_n}", f"WITH {X.PIXELS} SELECT CAST(x // {_h} AS INTEGER) AS x, CAST(y // {_v} AS INTEGER) AS y, c1 AS v FROM pixels WHERE x % {_h} = 0 AND y % {_v} = 0")(lambda spark, d, h=_h, v=_v: pixels.subsample(_plane(spark, d, 1), h, v))
+
+
+@query("e2_fan_out", f"WITH {_PLANES} SELECT x, y, CAST(comp AS INTEGER) AS comp, v FROM planes")
+def _(spark, d):
+    return pixels.fan_out(X.pixels(spark, d).drop("event_id"))
+
+
+_UP = f"WITH {X.PIXELS}, s AS (SELECT x // 2 AS cx, y // 2 AS cy, c1 AS v FROM pixels WHERE x % 2 = 0 AND y % 2 = 0) SELECT p.x, p.y, s.v FROM pixels p JOIN s ON s.cx = p.x // 2 AND s.cy = p.y // 2"
+
+
+@query("e3_upsample", _UP)
+def _(spark, d):
+    return pixels.upsample(pixels.subsample(_plane(spark, d, 1), 2, 2), X.pixels(spark, d).select("x", "y"), 2, 2)
+
+
+@query("e3_upsample_by_copy", _UP)
+def _(spark, d):
+    plane = _plane(spark, d, 1)
+    return pixels.upsample_by_copy(pixels.subsample(plane, 2, 2), 2, 2, X.WIDTH, plane.agg(F.max("y")).first()[0] + 1)
+
+
+@query("e4_bounds", f"WITH {X.PIXELS} SELECT event_id FROM pixels WHERE x < 90 AND y < 40")
+def _(spark, d):
+    return pixels.within(X.pixels(spark, d), 90, 40).select("event_id")
+
+
+_JOBS = [(w, h, c, n, hh, vv, i, r) for w, h in ((1920, 1080), (1119, 561), (100, 100), (5, 5)) for n, s in (("420", ((2, 2), (1, 1), (1, 1))), ("422", ((2, 1), (1, 1), (1, 1))), ("444", ((1, 1),) * 3)) for i in (False, True) for r in (0, 8) for c, (hh, vv) in enumerate(s)]
+_GEO = """WITH j AS (SELECT *, CASE n WHEN '444' THEN 1 ELSE 2 END AS mh, CASE n WHEN '420' THEN 2 ELSE 1 END AS mv FROM {v}),
+a AS (SELECT *, ((width + mh // h - 1) // (mh // h)) * (mh // h) * h // mh AS cw, ((height + mv // v - 1) // (mv // v)) * (mv // v) * v // mv AS ch, CASE WHEN interleaved THEN 8 * h ELSE 8 END AS mw, CASE WHEN interleaved THEN 8 * v ELSE 8 END AS mhh FROM j),
+b AS (SELECT *, (cw + mw - 1) // mw AS mx, (ch + mhh - 1) // mhh AS my FROM a),
+c AS (SELECT *, CASE restart WHEN 0 THEN mx * my ELSE restart END AS per FROM b)
+SELECT CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, CAST(comp AS INTEGER) AS comp, n, interleaved, CAST(restart AS INTEGER) AS restart, CAST(cw AS INTEGER) AS comp_width, CAST(ch AS INTEGER) AS comp_height,
+CAST(mx * mw AS INTEGER) AS data_width, CAST(my * mhh AS INTEGER) AS data_height, CAST(mx * my AS INTEGER) AS mcu_count, CAST(per AS INTEGER) AS segment_mcu_count, CAST((mx * my + per - 1) // per AS INTEGER) AS segment_count FROM c"""
+
+
+@query("e5_component_geometry", _GEO.format(v=X.values(_JOBS, "width, height, comp, n, h, v, interleaved, restart")))
+def _(spark, d):
+    jobs = spark.createDataFrame(_JOBS, "width int, height int, comp int, n string, h int, v int, interleaved boolean, restart int")
+    jobs = jobs.withColumns({"max_h": F.when(F.col("n") == "444", 1).otherwise(2), "max_v": F.when(F.col("n") == "420", 2).otherwise(1)})
+    return G.components(jobs).select("width", "height", "comp", "n", "interleaved", "restart", "comp_width", "comp_height", "data_width", "data_height", "mcu_count", "segment_mcu_count", "segment_count")
+
+
+_PAD = f"{X.PIXELS}, s AS (SELECT (max(x) + 8) // 8 * 8 AS w, (max(y) + 8) // 8 * 8 AS h FROM pixels), g AS (SELECT CAST(i % s.w AS INTEGER) AS x, CAST(i // s.w AS INTEGER) AS y, s.w FROM s, range(0, s.w * s.h) AS r(i)), padded AS (SELECT g.x, g.y, g.w, CAST(coalesce(p.c0, 0) AS INTEGER) AS v FROM g LEFT JOIN pixels p ON p.x = g.x AND p.y = g.y)"
+_PAD = _PAD.replace("FROM s, range(0, s.w * s.h) AS r(i)", "FROM s, (SELECT unnest(range(0, CAST(s.w * s.h AS BIGINT))) AS i FROM s)")
+
+
+def _padded(spark, d) -> tuple[DataFrame, int]:
+    plane = _plane(spark, d, 0)
+    h = plane.agg(F.max("y")).first()[0]
+    w = -(-X.WIDTH // 8) * 8
+    return pixels.pad(plane, w, (h + 8) // 8 * 8), w
+
+
+@query("e6_zero_padding", f"WITH {_PAD} SELECT x, y, v FROM padded")
+def _(spark, d):
+    return _padded(spark, d)[0]
+
+
+@query("e7_tile", f"WITH {_PAD} SELECT CAST((y // 8) * (w // 8) + x // 8 AS INTEGER) AS block, CAST(y % 8 * 8 + x % 8 AS INTEGER) AS n, v FROM padded")
+def _(spark, d):
+    plane, w = _padded(spark, d)
+    return pixels.tile(plane, w).select(_int("block").alias("block"), "n", "v")
+
+
+@query("e8_mcu_order", "WITH b AS (SELECT vec_id, vec_id % 13 AS bx, vec_id // 13 AS br FROM embeddings) SELECT vec_id, CAST(br * 13 + bx AS INTEGER) AS mcu, CAST((br * 13 + bx) // 8 AS INTEGER) AS seg FROM b")
+def _(spark, d):
+    b = X.read(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 13).alias("bx"), F.floor(F.col("vec_id") / 13).alias("by"))
+    mcu, _ = G.mcu_position(F.col("bx"), F.col("by"), 1, 1, 13)
+    return b.select("vec_id", mcu.alias("mcu"), G.segment_of(mcu, 8).alias("seg"))
+
+
+@query("e9_mcu_interleaved", "WITH b AS (SELECT vec_id, vec_id % 14 AS bx, vec_id // 14 AS br FROM embeddings) SELECT vec_id, CAST((br // 2) * 7 + bx // 2 AS INTEGER) AS mcu, CAST(br % 2 * 2 + bx % 2 AS INTEGER) AS pos FROM b")
+def _(spark, d):
+    b = X.read(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 14).alias("bx"), F.floor(F.col("vec_id") / 14).alias("by"))
+    mcu, pos = G.mcu_position(F.col("bx"), F.col("by"), 2, 2, 7)
+    return b.select("vec_id", mcu.alias("mcu"), pos.alias("pos"))
+
+
+@query("e10_segments", "SELECT CAST(0 AS INTEGER) AS restart, CAST(0 AS INTEGER) AS seg, count(*) AS blocks FROM embeddings UNION ALL SELECT 12, CAST(vec_id // 12 AS INTEGER), count(*) FROM embeddings GROUP BY 2")
+def _(spark, d):
+    e = X.read(spark, d, "embeddings")
+    one = lambda r: e.select(F.lit(r).alias("restart"), G.segment_of(F.col("vec_id"), r).alias("seg")).groupBy("restart", "seg").agg(F.count("*").alias("blocks"))
+    return one(0).unionByName(one(12))
+
+
+@query("e11_restart_interval", """WITH s AS (SELECT doc_id, 64 + (doc_id * 37) % 8000 AS w, 48 + (doc_id * 53) % 4500 AS h, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS c, doc_id % 2 = 0 AS sub, doc_id % 4 < 2 AS i FROM documents),
+r AS (SELECT *, CASE WHEN w * h * c / 3e6 < 1 THEN 4 WHEN w * h * c / 3e6 < 3 THEN 8 WHEN w * h * c / 3e6 < 9 THEN 10 ELSE 12 END AS r FROM s)
+SELECT doc_id, CAST(CASE WHEN i THEN CASE WHEN sub THEN r // 2 ELSE r END ELSE r * c END AS INTEGER) AS restart FROM r""")
+def _(spark, d):
+    n = F.col("doc_id")
+    c = F.when(n % 3 == 0, 1).when(n % 3 == 1, 3).otherwise(4)
+    return X.read(spark, d, "documents").select("doc_id", G.suggest_restart(64 + n * 37 % 8000, 48 + n * 53 % 4500, c, n % 2 == 0, n % 4 < 2).alias("restart"))
+
+
+# ---- F: block transforms --------------------------------------------------------
+
+_BASIS = f"basis AS (SELECT k, n, w FROM {X.values(T.basis(), 'k, n, w')})"
+_QT = [(kind, zz, k, T.QUANT[kind][k]) for kind in ("luma", "chroma") for zz, k in enumerate(T.ZIGZAG)]
+_QTAB = f"base AS (SELECT kind, zz, k, base FROM {X.values(_QT, 'kind, zz, k, base')})"
+_QUAL = "least(255, greatest(1, ((CASE WHEN {q} < 50 THEN 5000 // greatest(1, {q}) ELSE 200 - 2 * least(100, {q}) END) * base + 50) // 100))"
+_COEFS = f"{X.SAMPLES}, {_BASIS}, {_QTAB}, q AS (SELECT zz, k, {_QUAL.format(q=75)} AS q FROM base WHERE kind = 'luma'), dct AS (SELECT vec_id, k, round(sum((v - 128) * w), 6) AS c FROM samples JOIN basis USING (n) GROUP BY vec_id, k), coefs AS (SELECT vec_id, CAST(zz AS INTEGER) AS zz, CAST(round_even(round(c / q, 6), 0) AS INTEGER) AS coef, q, k FROM dct JOIN q USING (k))"
+
+
+def _coefs(spark, d, quality: int = 75) -> DataFrame:
+    """vec_id, zz, coef of the embedding blocks: arrays through the transform, then one row a coefficient."""
+    out = blocks.dct_arrays(X.sample_arrays(spark, d), "samples", ("vec_id",), quality)
+    return out.select("vec_id", F.posexplode("coefs").alias("zz", "coef"))
+
+
+@query("f1_level_shift", f"WITH {X.SAMPLES} SELECT vec_id, n, CAST(v - 128 AS INTEGER) AS s FROM samples")
+def _(spark, d):
+    return X.samples(spark, d).select("vec_id", "n", _int(F.col("v") - 128).alias("s"))
+
+
+query("f2_f3_dct_quantize", f"WITH {_COEFS} SELECT vec_id, zz, coef FROM coefs")(_coefs)
+
+
+@query("f2_f3_dct_quantize_joined", f"WITH {_COEFS} SELECT vec_id, zz, coef FROM coefs")
+def _(spark, d):
+    return blocks.quantise(blocks.dct(X.samples(spark, d), ("vec_id",))).select("vec_id", "zz", "coef")
+
+
+@query("f4_default_tables", f"WITH {_QTAB} SELECT kind, CAST(zz AS INTEGER) AS zz, CAST(k AS INTEGER) AS k, CAST(base AS INTEGER) AS base FROM base")
+def _(spark, d):
+    return blocks.quality_table(spark).drop("q")
+
+
+@query("f5_quality_scaling", f"WITH {_QTAB}, ql AS (SELECT i - 5 AS quality FROM range(0, 120) AS r(i)) SELECT CAST(quality AS INTEGER) AS quality, kind, CAST(zz AS INTEGER) AS zz, CAST({_QUAL.format(q='quality')} AS INTEGER) AS q FROM base, ql")
+def _(spark, d):
+    base = blocks.quality_table(spark).select("kind", "zz", "base").withColumn("quality", F.explode(F.sequence(F.lit(-5), F.lit(114))))
+    return base.select("quality", "kind", "zz", blocks.scaled(F.col("base"), F.col("quality")).alias("q"))
+
+
+@query("f6_zigzag", "WITH c AS (SELECT i // 8 AS r, i % 8 AS c, i AS k FROM range(0, 64) AS t(i)) SELECT CAST(row_number() OVER (ORDER BY r + c, CASE WHEN (r + c) % 2 = 1 THEN r ELSE c END) - 1 AS INTEGER) AS zz, CAST(k AS INTEGER) AS k FROM c")
+def _(spark, d):
+    return blocks.zigzag(spark)
+
+
+@query("f7_table_kind", f"SELECT * FROM {X.values([(cs, c, 'luma' if cs == 'rgb' or c in (0, 3) else 'chroma') for cs in ('rgb', 'ycbcr-jpeg', 'ycbcr-bt709') for c in range(4)], 'color_space, comp, kind')}")
+def _(spark, d):
+    df = spark.createDataFrame([(cs, c) for cs in ("rgb", "ycbcr-jpeg", "ycbcr-bt709") for c in range(4)], "color_space string, comp int")
+    return df.withColumn("kind", F.when((F.col("color_space") == "rgb") | F.col("comp").isin(0, 3), "luma").otherwise("chroma"))
+
+
+@query("f8_dequantize", f"WITH {_COEFS} SELECT vec_id, zz, CAST(coef * q AS INTEGER) AS c FROM coefs")
+def _(spark, d):
+    return blocks.dequantise(_coefs(spark, d)).select("vec_id", "zz", "c")
+
+
+_IDCT = f"WITH {_COEFS}, s AS (SELECT vec_id, n, sum(coef * q * w) AS s FROM coefs JOIN basis USING (k) GROUP BY vec_id, n), rebuilt AS (SELECT vec_id, CAST(n AS INTEGER) AS n, CAST(least(255, greatest(0, round_even(round(s, 6) + 128, 0))) AS INTEGER) AS v FROM s)"
+
+
+@query("f9_idct", f"{_IDCT} SELECT vec_id, n, v FROM rebuilt")
+def _(spark, d):
+    out = blocks.idct_arrays(blocks.dct_arrays(X.sample_arrays(spark, d), "samples", ("vec_id",)), ("vec_id",))
+    return out.select("vec_id", F.posexplode("samples").alias("n", "v"))
+
+
+@query("f9_idct_joined", f"{_IDCT} SELECT vec_id, n, v FROM rebuilt")
+def _(spark, d):
+    natural = blocks.dequantise(blocks.quantise(blocks.dct(X.samples(spark, d), ("vec_id",))).select("vec_id", "zz", "k", "coef"))
+    return blocks.idct(natural, ("vec_id",))
+
+
+@query("f11_decoder_table", f"WITH {_QTAB} SELECT kind, CAST(k AS INTEGER) AS k, CAST({_QUAL.format(q=90)} AS INTEGER) AS q FROM base")
+def _(spark, d):
+    raw = spark.createDataFrame([(kind, [T.quant(kind, 90)[k] for k in T.ZIGZAG]) for kind in ("luma", "chroma")], "kind string, table array<int>")  # as a file has it
+    return raw.select("kind", F.posexplode("table").alias("zz", "q")).join(F.broadcast(blocks.zigzag(spark)), "zz").select("kind", "k", "q")
+
+
+# ---- G: symbols -----------------------------------------------------------------
+
+_DC = "dc AS (SELECT vec_id, CAST(vec_id // 8 AS INTEGER) AS seg, CAST(floor(CAST(embedding[1] AS DOUBLE) * 1000) AS INTEGER) AS dc FROM embeddings)"
+_DIFF = f"{_DC}, diffs AS (SELECT vec_id, seg, CAST(dc - lag(dc, 1, 0) OVER (PARTITION BY seg ORDER BY vec_id) AS INTEGER) AS diff FROM dc)"
+
+
+def _dc(spark, d) -> DataFrame:
+    e = X.read(spark, d, "embeddings")
+    return e.select("vec_id", _int(F.floor(F.col("vec_id") / 8)).alias("seg"), _int(F.floor(F.get("embedding", F.lit(0)).cast("double") * 1000)).alias("dc"))
+
+
+def _diff(spark, d) -> DataFrame:
+    return symbols.dc_difference(_dc(spark, d), ("seg",), "vec_id").select("vec_id", "seg", "diff")
+
+
+query("g1_dc_difference", f"WITH {_DIFF} SELECT vec_id, seg, diff FROM diffs")(_diff)
+
+_CAT = "CASE WHEN {v} = 0 THEN 0 ELSE length(bin(abs({v}))) END"
+
+
+@query("g2_category", f"WITH {_DIFF} SELECT vec_id, CAST({_CAT.format(v='diff')} AS INTEGER) AS cat FROM diffs")
+def _(spark, d):
+    return _diff(spark, d).select("vec_id", symbols.category(F.col("diff")).alias("cat"))
+
+
+@query("g3_value_bits", f"WITH {_DIFF}, c AS (SELECT vec_id, diff, {_CAT.format(v='diff')} AS cat FROM diffs) SELECT vec_id, CAST(CASE WHEN diff >= 0 THEN diff ELSE diff - 1 + (1 << cat) END AS INTEGER) AS bits FROM c")
+def _(spark, d):
+    v = F.col("diff")
+    return _diff(spark, d).select("vec_id", symbols.value_bits(v, symbols.category(v)).alias("bits"))
+
+
+_RUNS = f"{_COEFS}, runs AS (SELECT vec_id, zz, coef, CAST(zz - lag(zz, 1, 0) OVER (PARTITION BY vec_id ORDER BY zz) - 1 AS INTEGER) AS run FROM coefs WHERE zz > 0 AND coef <> 0)"
+
+
+@query("g4_zero_runs", f"WITH {_RUNS} SELECT vec_id, zz, coef, run FROM runs")
+def _(spark, d):
+    return symbols.zero_runs(_coefs(spark, d), ("vec_id",))
+
+
+@query("g5_zrl", f"WITH {_RUNS} SELECT vec_id, zz, CAST(run // 16 AS BIGINT) AS zrls FROM runs WHERE run >= 16".replace(_QUAL.format(q=75), _QUAL.format(q=10)))
+def _(spark, d):
+    return symbols.zrl(symbols.zero_runs(_coefs(spark, d, 10), ("vec_id",))).groupBy("vec_id", "zz").agg(F.count("*").alias("zrls"))
+
+
+@query("g6_eob", f"WITH {_COEFS} SELECT vec_id, max(CASE WHEN zz > 0 AND coef <> 0 THEN zz ELSE 0 END) < 63 AS eob FROM coefs GROUP BY vec_id")
+def _(spark, d):
+    return symbols.end_of_block(_coefs(spark, d), ("vec_id",))
+
+
+_SYMS = f"{_RUNS}, syms AS (SELECT vec_id, zz, {_CAT.format(v='coef')} AS cat, run % 16 * 16 + {_CAT.format(v='coef')} AS symbol FROM runs)"
+
+
+@query("g7_symbols", f"WITH {_SYMS} SELECT vec_id, zz, CAST(cat AS INTEGER) AS cat, CAST(symbol AS INTEGER) AS symbol FROM syms")
+def _(spark, d):
+    return symbols.ac_symbols(symbols.zero_runs(_coefs(spark, d), ("vec_id",))).select("vec_id", "zz", "cat", "symbol")
+
+
+_HUFF_IN = [(k, g, i, s, next(n for n in range(1, 17) if i < sum(bits[:n]))) for (k, g), (bits, syms) in T.HUFFMAN.items() for i, s in enumerate(syms)]
+# A canonical code is the sum of 2^-bits over the codes before it, scaled to its own bits.
+_HUFF = f"huff AS (SELECT kind, class, symbol, nbits, CAST(coalesce(sum(1 << (16 - nbits)) OVER (PARTITION BY kind, class ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> (16 - nbits) AS code FROM {X.values(_HUFF_IN, 'kind, class, i, symbol, nbits')})"
+
+
+@query("g8_g9_huffman_tables", f"WITH {_HUFF} SELECT kind, class, CAST(symbol AS INTEGER) AS symbol, CAST(code AS INTEGER) AS code, CAST(nbits AS INTEGER) AS nbits FROM huff")
+def _(spark, d):
+    return symbols.huffman(spark)
+
+
+@query("g10_codewords", f"WITH {_SYMS}, {_HUFF} SELECT vec_id, zz, CAST(s.symbol AS INTEGER) AS symbol, CAST(code AS INTEGER) AS code, CAST(nbits AS INTEGER) AS nbits FROM syms s JOIN huff h ON h.kind = 'luma' AND h.class = 'ac' AND h.symbol = s.symbol")
+def _(spark, d):
+    s = symbols.ac_symbols(symbols.zero_runs(_coefs(spark, d), ("vec_id",))).select("vec_id", "zz", "symbol")
+    return symbols.coded(s, "luma", "ac")
+
+
+_ALL = f"""{_SYMS}, {_HUFF}, eob AS (SELECT vec_id FROM coefs GROUP BY vec_id HAVING max(CASE WHEN zz > 0 AND coef <> 0 THEN zz ELSE 0 END) < 63),
+ac AS (SELECT vec_id, symbol, cat AS vbits FROM syms UNION ALL SELECT vec_id, 240, 0 FROM runs, range(0, 4) AS r(i) WHERE i < run // 16 UNION ALL SELECT vec_id, 0, 0 FROM eob),
+dcs AS (SELECT vec_id, {_CAT.format(v='coef')} AS symbol FROM coefs WHERE zz = 0),
+sizes AS (SELECT vec_id, nbits + vbits AS b FROM ac JOIN huff h ON h.kind = 'luma' AND h.class = 'ac' AND h.symbol = ac.symbol UNION ALL SELECT vec_id, nbits + dcs.symbol FROM dcs JOIN huff h ON h.kind = 'luma' AND h.class = 'dc' AND h.symbol = dcs.symbol),
+bits AS (SELECT vec_id, CAST(sum(b) AS INTEGER) AS bits FROM sizes GROUP BY vec_id)"""
+
+
+def _bits(spark, d) -> DataFrame:
+    return symbols.block_bits(symbols.all_symbols(_coefs(spark, d), ("vec_id",)), ("vec_id",))
+
+
+query("g12_block_bits", f"WITH {_ALL} SELECT vec_id, bits FROM bits")(_bits)
+
+
+# ---- H: segments and bit stream -------------------------------------------------
+
+
+@query("h1_bit_offsets", f"WITH {_ALL} SELECT vec_id, CAST(vec_id // 8 AS INTEGER) AS seg, bits, CAST(coalesce(sum(bits) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM bits".replace("AS offset", 'AS "offset"'))
+def _(spark, d):
+    return symbols.offsets(_bits(spark, d).withColumn("seg", _int(F.floor(F.col("vec_id") / 8))), ("seg",), "vec_id", "bits").select("vec_id", "seg", "bits", "offset")
+
+
+_SEGS = "segs AS (SELECT CAST(vec_id // 64 AS INTEGER) AS scan, CAST(vec_id // 8 % 8 AS INTEGER) AS seg, CAST(sum(CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 100) AS INTEGER)) AS BIGINT) AS bytes FROM embeddings GROUP BY 1, 2)"
+
+
+def _segs(spark, d) -> DataFrame:
+    e = X.read(spark, d, "embeddings")
+    return e.groupBy(_int(F.floor(F.col("vec_id") / 64)).alias("scan"), _int(F.floor(F.col("vec_id") / 8) % 8).alias("seg")).agg(F.sum(F.floor(F.abs(F.get("embedding", F.lit(0)).cast("double")) * 100).cast("int")).alias("bytes"))
+
+
+@query("h3_restart_markers", f"WITH {_SEGS} SELECT scan, seg, CASE WHEN lead(seg) OVER (PARTITION BY scan ORDER BY seg) IS NULL THEN '' ELSE 'FF' || printf('%02X', 208 + seg % 8) END AS rst FROM segs")
+def _(spark, d):
+    return symbols.restart_markers(_segs(spark, d), ("scan",)).select("scan", "seg", "rst")
+
+
+@query("h7_segment_offsets", f"WITH {_SEGS} SELECT scan, seg, bytes, CAST(coalesce(sum(bytes) OVER (PARTITION BY scan ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM segs")
+def _(spark, d):
+    return symbols.offsets(_segs(spark, d), ("scan",), "seg", "bytes")
+
+
+@query("h14_sign_extension", f"WITH {_DIFF} SELECT vec_id, diff FROM diffs")
+def _(spark, d):
+    v = F.col("diff")
+    coded = _diff(spark, d).select("vec_id", symbols.category(v).alias("n"), symbols.value_bits(v, symbols.category(v)).alias("bits"))
+    return coded.select("vec_id", symbols.extend(F.col("bits"), F.col("n")).alias("diff"))
+
+
+@query("h15_dc_sum", f"WITH {_DC} SELECT vec_id, dc FROM dc")
+def _(spark, d):
+    return symbols.dc_sum(_diff(spark, d), ("seg",), "vec_id").select("vec_id", "dc")
+
+
+def _files(spark, d, **params) -> DataFrame:
+    return codec.encode(X.image(spark, d), codec.Params(**params), mode="FAILFAST").select("image_id", "jpeg")
+
+
+_IMAGES = "SELECT event_id // 5000 AS image_id, count(*) AS n FROM events GROUP BY 1"
+
+
+@query("h1_h6_pack_segments", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(s.i AS INTEGER) AS scan, CAST(ceil(13 * ceil(n / 100 / 8) / 8) AS BIGINT) AS segments FROM i, range(0, 3) AS s(i)")
+def _(spark, d):
+    segs = codec.segments(X.image(spark, d), codec.Params(restart_interval=8), mode="FAILFAST")
+    packed = codec.pack(segs.repartition("image_id", "scan", "seg"), mode="FAILFAST")
+    return packed.where(F.length("data") > 0).groupBy("image_id", "scan").agg(F.count("*").alias("segments"))
+
+
+@query("h9_split_segments", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS BIGINT) AS segments FROM i")
+def _(spark, d):
+    return codec.split_segments(_files(spark, d, restart_interval=8)).groupBy("image_id").agg(F.count("*").alias("segments"))
+
+
+@query("h10_split_by_index", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS BIGINT) AS segments, true AS same FROM i")
+def _(spark, d):
+    files = _files(spark, d, restart_interval=8, segment_info=True)
+    by_index, by_scan = codec.split_segments(files, use_index=True), codec.split_segments(files).withColumnRenamed("data", "other")
+    return by_index.join(by_scan, ["image_id", "scan", "seg"], "full").groupBy("image_id").agg(F.count("*").alias("segments"), F.every(F.col("data").eqNullSafe(F.col("other"))).alias("same"))
+
+
+@query("h13_h18_decode_segments", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(c.i AS INTEGER) AS comp, CAST(13 * ceil(n / 100 / 8) AS BIGINT) AS blocks, true AS same FROM i, range(0, 3) AS c(i)")
+def _(spark, d):
+    """Coefficients decoded segment by segment, held against those before packing."""
+    import numpy as np
+    import pandas as pd
+
+    def before(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                comps, coefs, _ = J.quantise(bytes(r.data), r.width, r.height, r.color_space, r.pixel_format, 0, codec.Params())
+                yield pd.DataFrame([(r.image_id, c.index, y, x, k[y, x].astype(np.int32)) for c, k in zip(comps, coefs, strict=True) for y in range(k.shape[0]) for x in range(k.shape[1])], columns=["image_id", "comp", "by", "bx", "was"])
+
+    was = X.image(spark, d).mapInPandas(before, "image_id long, comp int, by int, bx int, was array<int>")
+    now = codec.coefficients(_files(spark, d))
+    return now.join(was, ["image_id", "comp", "by", "bx"], "full").groupBy("image_id", "comp").agg(F.count("*").alias("blocks"), F.every(F.col("coefs").eqNullSafe(F.col("was"))).alias("same"))
+
+
+@query("h19_reindex", f"WITH i AS ({_IMAGES}) SELECT image_id, true AS same, true AS indexed FROM i")
+def _(spark, d):
+    files = _files(spark, d, restart_interval=8)
+    again = codec.reindex(files)
+    pixels_of = lambda df: codec.decode(df, mode="FAILFAST").select("image_id", "data")
+    marks = codec.jpeg_markers(again).groupBy("image_id").agg((F.count_if(F.col("marker") == 0xED) == 3).alias("indexed"))
+    return pixels_of(files).join(pixels_of(again).withColumnRenamed("data", "other"), "image_id").join(marks, "image_id").select("image_id", (F.col("data") == F.col("other")).alias("same"), "indexed")
+
+
+# ---- I: container ---------------------------------------------------------------
+
+
+def _hex_rows(spark, rows):
+    return spark.createDataFrame([(n, bytes(b).hex().upper()) for n, b in rows], "name string, hex string")
+
+
+@query("i2_i3_i5_i11_fixed_markers", "SELECT * FROM (VALUES ('SOI', 'FFD8'), ('EOI', 'FFD9'), ('APP0', 'FFE000104A46494600010101012C012C0000'), ('APP14', 'FFEE000E41646F626500640000000000'), ('DRI', 'FFDD00040008')) AS t(name, hex)")
+def _(spark, d):
+    return _hex_rows(spark, [("SOI", J.SOI), ("EOI", J.EOI), ("APP0", J.APP0), ("APP14", J.APP14), ("DRI", J.marker(0xDD, b"\0\x08"))])
+
+
+_HEADS = [(cs, n, o, "SPIFF" if n == 4 or o or cs in ("ycbcr-bt601", "ycbcr-bt709") else "Adobe" if cs == "rgb" else "JFIF") for cs in ("rgb", "ycbcr-jpeg", "ycbcr-bt601", "ycbcr-bt709", "yuv") for n in (1, 3, 4) for o in (False, True)]
+
+
+@query("i7_header_choice", f"SELECT color_space, CAST(comps AS INTEGER) AS comps, oriented, CASE WHEN comps = 4 OR oriented OR color_space IN ('ycbcr-bt601', 'ycbcr-bt709') THEN 'SPIFF' WHEN color_space = 'rgb' THEN 'Adobe' ELSE 'JFIF' END AS header FROM {X.values([h[:3] for h in _HEADS], 'color_space, comps, oriented')}")
+def _(spark, d):
+    return spark.createDataFrame([(cs, n, o, J.header_kind(J.Params(color_space_internal=cs, orientation=(1, False) if o else None), n)) for cs, n, o, _ in _HEADS], "color_space string, comps int, oriented boolean, header string")
+
+
+@query("i8_dqt", f"WITH {_QTAB} SELECT kind, 'FFDB0043' || CASE kind WHEN 'luma' THEN '00' ELSE '01' END || string_agg(printf('%02X', {_QUAL.format(q=75)}), '' ORDER BY zz) AS hex FROM base GROUP BY kind")
+def _(spark, d):
+    cells = blocks.quality_table(spark).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("zz", "q"))).alias("t"))
+    return cells.select("kind", F.concat(F.lit("FFDB0043"), F.when(F.col("kind") == "luma", "00").otherwise("01"), F.array_join(F.transform("t", lambda c: F.lpad(F.hex(c["q"]), 2, "0")), "")).alias("hex"))
+
+
+@query("i9_i14_frame_and_scan", """SELECT CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, 'FFC0001108' || printf('%04X', h) || printf('%04X', w) || '03012200021101031101' AS sof, 'FFDA000C03010002110311003F00' AS sos
+FROM (SELECT DISTINCT 1 + doc_id % 1921 AS w, 1 + doc_id % 1081 AS h FROM documents)""")
+def _(spark, d):
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for w, h in zip(batch.width, batch.height, strict=True):
+                comps = J.geometry(w, h, ((2, 2), (1, 1), (1, 1)), 8, True)
+                data = J.head(w, h, comps, 8, J.Params(interleaved=True))
+                sof = next(J.marker(c, p) for _, c, p in J.markers(data + J.EOI) if c == 0xC0)
+                out.append((w, h, sof.hex().upper(), J.scan_head(0, comps, True, "ycbcr-jpeg").hex().upper()))
+            yield pd.DataFrame(out, columns=["width", "height", "sof", "sos"])
+
+    sizes = X.read(spark, d, "documents").select(_int(1 + F.col("doc_id") % 1921).alias("width"), _int(1 + F.col("doc_id") % 1081).alias("height")).distinct()
+    return sizes.mapInPandas(run, "width int, height int, sof string, sos string")
+
+
+@query("i10_dht", "SELECT 'luma' AS kind, 'dc' AS class, 'FFC4001F00' || '00010501010101010100000000000000' || '000102030405060708090A0B' AS hex UNION ALL SELECT 'chroma', 'dc', 'FFC4001F01' || '00030101010101010101010000000000' || '000102030405060708090A0B'")
+def _(spark, d):
+    rows = [(k, "dc", J.marker(0xC4, bytes([k == "chroma"]) + bytes(T.HUFFMAN[k, "dc"][0]) + bytes(T.HUFFMAN[k, "dc"][1])).hex().upper()) for k in ("luma", "chroma")]
+    return spark.createDataFrame(rows, "kind string, class string, hex string")
+
+
+@query("i12_comment", f"SELECT CAST(q AS INTEGER) AS quality, '{J.CREATOR}' || least(100, greatest(1, q)) AS comment FROM (VALUES (0), (1), (50), (75), (100), (120)) AS t(q)")
+def _(spark, d):
+    q = spark.createDataFrame([(q,) for q in (0, 1, 50, 75, 100, 120)], "quality int")
+    return q.withColumn("comment", F.concat(F.lit(J.CREATOR), F.least(F.lit(100), F.greatest(F.lit(1), F.col("quality"))).cast("string")))
+
+
+@query("i13_segment_index", f"WITH {_SEGS}, s AS (SELECT scan, seg, sum(bytes + 2) OVER (PARTITION BY scan ORDER BY seg) - CASE WHEN lead(seg) OVER (PARTITION BY scan ORDER BY seg) IS NULL THEN 2 ELSE 0 END AS pos FROM segs) SELECT scan, '00000000' || string_agg(printf('%08X', CAST(pos AS BIGINT)), '' ORDER BY seg) AS hex FROM s GROUP BY scan")
+def _(spark, d):
+    w = Window.partitionBy("scan").orderBy("seg")
+    ends = _segs(spark, d).withColumn("pos", F.sum(F.col("bytes") + 2).over(w) - F.when(F.lead("seg").over(w).isNull(), 2).otherwise(0))
+    cells = ends.groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("seg", "pos"))).alias("c"))
+    return cells.select("scan", F.concat(F.lit("00000000"), F.array_join(F.transform("c", lambda c: F.lpad(F.hex(c["pos"]), 8, "0")), "")).alias("hex"))
+
+
+@query("i4_spiff")
+def _(spark, d):
+    return codec.jpeg_markers(_files(spark, d, orientation=(1, True)))
+
+
+@query("i6_b4_exif", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(t.tag AS INTEGER) AS tag, CAST(t.value AS VARCHAR) AS value FROM i, (VALUES (274, '6'), (282, '[72, 1]'), (283, '[72, 1]'), (296, '2'), (305, 'mine'), (531, '1')) AS t(tag, value)")
+def _(spark, d):
+    files = _files(spark, d, header="Exif", orientation=(1, False), exif_tags={0x131: ("ASCII", "mine")})
+    return codec.exif_tags(files).where("tag <> 34665")
+
+
+@query("i15_markers", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(t.marker AS INTEGER) AS marker, CAST(t.n AS BIGINT) AS n FROM i, (VALUES (216, 1), (224, 1), (219, 2), (192, 1), (196, 4), (221, 1), (254, 1), (218, 3), (0, 3), (217, 1)) AS t(marker, n)")
+def _(spark, d):
+    return codec.jpeg_markers(_files(spark, d)).groupBy("image_id", "marker").agg(F.count("*").alias("n"))
+
+
+@query("b1_i16_i17_jpeg_info", f"""WITH i AS ({_IMAGES}) SELECT image_id, CAST(100 AS INTEGER) AS width, CAST(n // 100 AS INTEGER) AS height, CAST(3 AS INTEGER) AS comp_count, 'ycbcr-jpeg' AS color_space, false AS interleaved,
+CAST(8 AS INTEGER) AS restart_interval, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS INTEGER) AS segment_count, 'JFIF' AS header_type, '{J.CREATOR}75' AS comment, CAST(NULL AS VARCHAR) AS error FROM i""")
+def _(spark, d):
+    return codec.jpeg_info(_files(spark, d)).select("image_id", "width", "height", "comp_count", "color_space", "interleaved", "restart_interval", "segment_count", "header_type", "comment", "error")
+
+
+_SPACES = [("ycbcr-jpeg", "default", "ycbcr-jpeg"), ("rgb", "default", "rgb"), ("ycbcr-bt601", "default", "ycbcr-bt601"), ("ycbcr-bt709", "default", "ycbcr-bt709"), ("ycbcr-bt601", "JFIF", "ycbcr-bt601"), ("rgb", "Adobe", "rgb"), ("rgb", "SPIFF", "rgb")]
+
+
+@query("i18_color_space", f"SELECT internal, header, found FROM {X.values(_SPACES, 'internal, header, found')}")
+def _(spark, d):
+    out = None
+    for internal, header, _ in _SPACES:
+        one = codec.jpeg_info(_files(spark, d, color_space_internal=internal, header=header)).where("image_id = 0").select(F.lit(internal).alias("internal"), F.lit(header).alias("header"), F.col("color_space").alias("found"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_AUTO = [(n, s, i, pf, cs, J.output_format(J.Jpeg(ids=list(range(n)), sampling=list(sm), interleaved=i, color_space="ycbcr-jpeg"), cs, pf)) for n, s, sm in ((1, "1x1", ((1, 1),)), (3, "1x1", ((1, 1),) * 3), (3, "2x1", ((2, 1), (1, 1), (1, 1))), (3, "2x2", ((2, 2), (1, 1), (1, 1))), (4, "1x1", ((1, 1),) * 4)) for i in (False, True) for pf in ("auto", "native", "std", "no-alpha") for cs in ("default", "none")]
+_AUTO_SQL = """WITH a AS (SELECT * FROM {v}), b AS (SELECT *, CASE WHEN cs = 'default' THEN CASE WHEN comps = 1 THEN 'ycbcr-jpeg' ELSE 'rgb' END ELSE 'ycbcr-jpeg' END AS out_cs FROM a)
+SELECT CAST(comps AS INTEGER) AS comps, s, interleaved, pf, cs, out_cs, CASE WHEN comps = 1 THEN 'u8'
+WHEN pf = 'native' THEN CASE WHEN comps = 4 THEN '4444-u8-p0123' WHEN s = '2x2' THEN '420-u8-p0p1p2' WHEN s = '2x1' THEN CASE WHEN interleaved THEN '422-u8-p1020' ELSE '422-u8-p0p1p2' END WHEN interleaved THEN '444-u8-p012' ELSE '444-u8-p0p1p2' END
+WHEN pf = 'std' AND out_cs <> 'rgb' THEN CASE s WHEN '2x2' THEN '420-u8-p0p1p2' WHEN '2x1' THEN '422-u8-p0p1p2' ELSE '444-u8-p0p1p2' END
+WHEN comps = 3 OR pf = 'no-alpha' THEN '444-u8-p012' ELSE '4444-u8-p0123' END AS out_pf FROM b"""
+
+
+@query("i19_output_format", _AUTO_SQL.format(v=X.values([a[:5] for a in _AUTO], "comps, s, interleaved, pf, cs")))
+def _(spark, d):
+    return spark.createDataFrame([(*a[:5], *a[5]) for a in _AUTO], "comps int, s string, interleaved boolean, pf string, cs string, out_cs string, out_pf string")
+
+
+@query("i20_unsupported", "SELECT * FROM (VALUES ('progressive', true), ('extended', false), ('garbage', true)) AS t(name, failed)")
+def _(spark, d):
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                good = bytes(r.jpeg)
+                at = good.index(b"\xff\xc0")
+                put = lambda code: good[: at + 1] + bytes([code]) + good[at + 2 :]  # noqa: B023, E731
+                yield pd.DataFrame({"name": ["progressive", "extended", "garbage"], "jpeg": [put(0xC2), put(0xC1), b"no image"], "image_id": [1, 2, 3]})
+
+    bad = _files(spark, d).where("image_id = 0").mapInPandas(run, "name string, jpeg binary, image_id long")
+    return codec.jpeg_info(bad, keys=("name",)).select("name", F.col("error").isNotNull().alias("failed"))
+
+
+# ---- encode, decode, J: statistics ----------------------------------------------
+
+
+def _quality(spark, d, **params) -> DataFrame:
+    """PSNR of the event images after encoding and decoding, by components of the buffer."""
+    import numpy as np
+    import pandas as pd
+
+    raw = X.image(spark, d).select("image_id", F.col("data").alias("was"))
+    out = codec.decode(_files(spark, d, **params), mode="FAILFAST").select("image_id", "data")
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"image_id": batch.image_id, "good": [J.psnr(np.frombuffer(bytes(a), np.uint8), np.frombuffer(bytes(b), np.uint8)) >= 20 for a, b in zip(batch.was, batch.data, strict=True)]})
+
+    return raw.join(out, "image_id").mapInPandas(run, "image_id long, good boolean")
+
+
+for _name, _p in (("444", {}), ("420_interleaved", {"sampling": ((2, 2), (1, 1), (1, 1)), "interleaved": True}), ("no_restart", {"restart_interval": 0}), ("rgb", {"color_space_internal": "rgb"}), ("q95_segment_info", {"quality": 95, "segment_info": True})):
+    if _name in ("444", "rgb", "q95_segment_info", "no_restart"):
+        query(f"encode_decode_{_name}", f"WITH i AS ({_IMAGES}) SELECT image_id, true AS good FROM i")(lambda spark, d, p=_p: _quality(spark, d, **({"quality": 95} | p)))
+    else:
+        query(f"encode_decode_{_name}")(lambda spark, d, p=_p: _quality(spark, d, **p))
+
+
+@query("encode_spread", f"WITH i AS ({_IMAGES}) SELECT image_id, true AS same FROM i")
+def _(spark, d):
+    """The plan that deals segments out gives the same bytes as the one that does not shuffle."""
+    one = codec.encode(X.image(spark, d), mode="FAILFAST").select("image_id", "jpeg")
+    two = codec.encode(X.image(spark, d), mode="FAILFAST", spread=True).select("image_id", F.col("jpeg").alias("other"))
+    return one.join(two, "image_id").select("image_id", (F.col("jpeg") == F.col("other")).alias("same"))
+
+
+_PSNR = [("1119x561.c_ycbcr-jpeg.p_u8.random.tst", 75, 1, "ycbcr-jpeg", 28.538), ("1119x561.random.tst", 75, 3, "ycbcr-jpeg", 22.262), ("1119x561.p_4444-u8-p0123.random.tst", 90, 4, "rgb", 36.43)]
+
+
+@query("j4_published_psnr", f"SELECT * FROM {X.values([(p[0], p[4]) for p in _PSNR], 'path, psnr')}".replace("SELECT *", "SELECT path, CAST(psnr AS DOUBLE) AS psnr"))
+def _(spark, d):
+    """The test noise at the published settings."""
+    import numpy as np
+    import pandas as pd
+
+    jobs = spark.createDataFrame([p[:4] for p in _PSNR], "path string, quality int, comps int, internal string").repartition(3, "path")
+
+    def run(batches):
+        from blockweave.sources import formats
+
+        for batch in batches:
+            for r in batch.itertuples():
+                w, h, cs, pf, raw = formats.parse_tst(r.path)
+                jpeg = J.encode(raw, w, h, cs, pf, 0, J.Params(quality=r.quality, comp_count=r.comps, color_space_internal=r.internal))
+                back = J.decode(jpeg, cs, pf)[5]
+                yield pd.DataFrame({"path": [r.path], "psnr": [round(J.psnr(np.frombuffer(raw, np.uint8), np.frombuffer(back, np.uint8)), 3)]})
+
+    return jobs.mapInPandas(run, "path string, psnr double")
+
+
+@query("j4_psnr", f"{_IDCT} SELECT vec_id, CASE WHEN avg((s.v - r.v) * (s.v - r.v)) > 0 THEN round(10 * log10(65025.0 / avg((s.v - r.v) * (s.v - r.v))), 6) END AS psnr FROM samples s JOIN rebuilt r USING (vec_id, n) GROUP BY vec_id")
+def _(spark, d):
+    arrays = X.sample_arrays(spark, d)
+    back = blocks.idct_arrays(blocks.dct_arrays(arrays, "samples", ("vec_id",)), ("vec_id",)).select("vec_id", F.posexplode("samples").alias("n", "b"))
+    return pixels.psnr(X.samples(spark, d).join(back, ["vec_id", "n"]), "v", "b", ("vec_id",))
+
+
+@query("j1_value_range", f"WITH {_PLANES} SELECT CAST(comp AS INTEGER) AS comp, CAST(min(v) AS INTEGER) AS low, CAST(max(v) AS INTEGER) AS high FROM planes GROUP BY comp")
+def _(spark, d):
+    return pixels.value_range(pixels.fan_out(X.pixels(spark, d)))
+
+
+@query("j2_durations", "SELECT user_id, round(avg(value), 6) AS average, round(avg(value) FILTER (WHERE r > 1), 6) AS without_first FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY user_id")
+def _(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = X.read(spark, d, "events").withColumn("r", F.row_number().over(w))
+    return e.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("average"), F.round(F.avg(F.when(F.col("r") > 1, F.col("value"))), 6).alias("without_first"))
+
+
+@query("j6_size_summary")
+def _(spark, d):
+    segs = codec.split_segments(_files(spark, d))
+    return segs.groupBy("image_id").agg(F.count("*").alias("segments"), F.sum(F.length("data")).alias("bytes"))
+
+
+@query("j7_number_format", "SELECT doc_id, format('{:,}', n) AS text FROM (SELECT doc_id, doc_id * doc_id * 1009 AS n FROM documents UNION ALL SELECT -1, 10000000000)")
+def _(spark, d):
+    n = X.read(spark, d, "documents").select("doc_id", (F.col("doc_id") * F.col("doc_id") * 1009).alias("n")).unionByName(spark.createDataFrame([(-1, 10**10)], "doc_id long, n long"))
+    return n.select("doc_id", F.format_number("n", 0).alias("text"))
+
+
+@query("j13_chroma_subsampling", f"SELECT name, CAST(comp AS INTEGER) AS comp, CAST(h AS INTEGER) AS h, CAST(v AS INTEGER) AS v FROM {X.values([('420', 0, 2, 2), ('420', 1, 1, 1), ('420', 2, 1, 1), ('422', 0, 2, 1), ('422', 1, 1, 1), ('422', 2, 1, 1), ('444', 0, 1, 1), ('444', 1, 1, 1), ('444', 2, 1, 1)], 'name, comp, h, v')}")
+def _(spark, d):
+    s = spark.createDataFrame([("420",), ("422",), ("444",)], "name string").withColumn("s", G.parse_subsampling(F.col("name")))
+    comps = s.withColumn("comp", F.explode(F.sequence(F.lit(0), F.col("s.comps") - 1)))
+    return comps.select("name", "comp", F.when(F.col("comp") == 0, F.col("s.h0")).otherwise(1).alias("h"), F.when(F.col("comp") == 0, F.col("s.v0")).otherwise(1).alias("v"))
