@@ -21,8 +21,8 @@ BUCKETS = 1 << 14
 TRUSTED = 20_000
 #: Mean log ratio per n-gram below which a document goes.
 THRESHOLD = -0.35
-#: Added to each bucket of either multinomial.
-SMOOTH = 1.0
+#: Counts that the target multinomial borrows from the raw one: without evidence a ratio stays near 0.
+PRIOR = 2 * BUCKETS
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 _CLASS = np.full(256, 2, np.uint8)  # 0 white space, 1 word character, 2 other
@@ -90,11 +90,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     counted = marked.mapInPandas(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     rows = counted.collect()  # at most one row a bucket
-    raw, target = np.full(buckets, SMOOTH), np.full(buckets, SMOOTH)
+    raw, target = np.ones(buckets), np.zeros(buckets)
     for r in rows:
         raw[r.bucket] += r.raw
         target[r.bucket] += r.target
-    return np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > buckets * SMOOTH else np.zeros(buckets)
+    share = raw / raw.sum()
+    return np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share)
 
 
 def _verdict(text: str | None, model: np.ndarray, threshold: float, buckets: int) -> bool:
