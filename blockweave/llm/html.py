@@ -48,17 +48,18 @@ _CLOSES = {"p": BLOCK - {"body", "html"}, "li": frozenset(("li",)), "dt": frozen
 
 
 def _kind(tag: str, attributes: str, within: str) -> str:
-    """out, main, or the kind of what stands around."""
-    if within == "out" or tag in OUTSIDE_TAGS:
-        return "out"
+    """out, main, hole (out within main), or the kind of what stands around."""
+    out = "hole" if within in ("main", "hole") else "out"
+    if within in ("out", "hole") or tag in OUTSIDE_TAGS:
+        return out
     names: set[str] = set()
     if "=" in attributes or "hidden" in attributes:
         if _HIDDEN.search(attributes):
-            return "out"
+            return out
         for a, b, c in _ATTRIBUTE.findall(attributes):
             names.update(re.split(r"[^a-z0-9]+", (a or b or c).lower()))
     if tag not in ("body", "html", "main", "article") and names & OUTSIDE_NAMES:
-        return "out"
+        return out
     if within != "main" and (tag == "header" or names & HEADER_NAMES and tag not in ("body", "html")):
         return "out"
     return "main" if tag in MAIN_TAGS or tag in BLOCK and names & MAIN_NAMES else within
@@ -142,7 +143,11 @@ def labelled_pages() -> list[list[tuple[str, bool]]]:
 
 
 def learn(pages=None) -> dict:
-    """Log-odds of words by (kind, block, link), with (kind, link) for unseen blocks, and of tags by name, at most -0.05."""
+    """Log-odds of words by (kind, block, link), with (kind, link) for unseen blocks, and of tags by name and kind, at most -0.05.
+
+    Words in containers that are left out weigh -1 at the least: they are not returned in any case, and a long menu between two
+    paragraphs is not to part them. Within a main container they weigh nothing.
+    """
     inside, outside = Counter(), Counter()
     for page in pages or labelled_pages():
         bounds, text = [], ""
@@ -154,14 +159,14 @@ def learn(pages=None) -> dict:
             at = text.find(t, at) if t is not None else at
             main = next(m for start, m in reversed(bounds) if start <= at)
             n = len(t.split()) if t is not None else 1
-            keys = [("w", kind, block, link), ("k", kind, link)] if t is not None else [("t", tag)]
+            keys = [("w", kind, block, link), ("k", kind, link)] if t is not None else [("t", tag, kind), ("t", tag)]
             for key in keys:
                 (inside if main else outside)[key] += n
             at += len(t) if t is not None else 1
     weights = {}
     for key in {*inside, *outside}:
         w = math.log((inside[key] + 0.5) / (outside[key] + 0.5))
-        weights[key] = max(-4.0, min(-0.05, w)) if key[0] == "t" else max(-4.0, min(4.0, w))
+        weights[key] = max(-4.0, min(-0.05, w)) if key[0] == "t" else max(-1.0 if key[1] == "out" else -4.0, min(4.0, w))
     return weights
 
 
@@ -179,7 +184,7 @@ def extract(page: str | None, weights: dict) -> str:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                blocks.append((tags, words, joined, last[0] != "out"))
+                blocks.append((tags, words, joined, last[0] not in ("out", "hole")))
                 tags = words = 0.0
             text = []
 
@@ -191,14 +196,15 @@ def extract(page: str | None, weights: dict) -> str:
             text.append(entities.unescape(t))
             kind, block, link = state
             w = weights.get(("w", kind, block, link))
-            words += len(t.split()) * (w if w is not None else weights.get(("k", kind, link), 1.0 if kind != "out" else -4.0))
+            words += 0.0 if kind == "hole" else len(t.split()) * (w if w is not None else weights.get(("k", kind, link), 1.0 if kind != "out" else -1.0))
             continue
         name = tag.removeprefix("/")
         if name == "br":
             text.append(" ")
         elif name in BLOCK:
             close()
-        tags += weights.get(("t", tag), -0.05)
+        if state[0] != "hole":
+            tags += weights.get(("t", tag, state[0]), -0.05 if state[0] == "main" else weights.get(("t", tag), -0.05))
     close()
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
     for k, (before, score, _, _) in enumerate(blocks):
