@@ -13,13 +13,17 @@ fingerprint with those of the other texts. All fingerprints have 64 bits; places
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import Rolling, stored, table, word_hashes
+from blockweave.llm.common import WORD, Rolling, stored, table, word_hashes
 
+_WORD = re.compile(WORD)
 LENGTH, WINDOW, GRAM = 50, 25, 4
 PREFIX = LENGTH - WINDOW + 1  # at least WINDOW, so that neighbouring retained prefixes leave no gap
 
@@ -69,7 +73,7 @@ def _retain(batches):
 
 def _extend(batches):
     """Of each text with repeated suffixes: certified runs of starts (kind 0) and windows still to compare (kind 1)."""
-    columns = ["kind", "w", "nid", "a", "b", "first"]
+    columns = ["kind", "w", "nid", "a", "b", "first", "src"]
     for batch in batches:
         out = []
         for nid, text, found in zip(batch.nid, batch.text, batch.found, strict=True):
@@ -91,18 +95,18 @@ def _extend(batches):
                     j += 1
                 sure[p[k] : max(p[k], min(end - LENGTH + 1, len(starts)))] = True
                 k = j
-            for first in (False, True):
-                for a, b in _runs(starts[sure & (kind == 1 + first)]):
-                    out.append((0, 0, nid, a, b, first))
+            for a, b in _runs(starts[sure & (kind == 2)]):
+                out.append((0, 0, nid, a, b, True, nid))
             later = starts[sure & (kind == 1)]  # the first of each run holds these windows too
             for pos in np.unique(of[later]).tolist():
                 f, own = at[pos], later[of[later] == pos]
                 for a, b in _runs(own):
-                    out.append((0, 0, f["pn"], a + f["pp"] - pos, b + f["pp"] - pos, True))
+                    out.append((0, 0, nid, a, b, False, f["pn"]))
+                    out.append((0, 0, f["pn"], a + f["pp"] - pos, b + f["pp"] - pos, True, f["pn"]))
             ask = starts[(kind == 2) | ((kind == 1) & ~sure)]
             if len(ask):
                 w = Rolling(h).slices(ask, ask + LENGTH).view(np.int64)
-                out += [(1, x, nid, s, s, False) for x, s in zip(w.tolist(), ask.tolist(), strict=True)]
+                out += [(1, x, nid, s, s, False, nid) for x, s in zip(w.tolist(), ask.tolist(), strict=True)]
         if out:
             yield pd.DataFrame(out, columns=columns)
 
@@ -114,16 +118,17 @@ def _gather(batches):
             starts = [np.arange(i["a"], i["b"] + 1) for i in items]
             later = [s for s, i in zip(starts, items, strict=True) if not i["first"]]
             every, drop = _spans(np.concatenate(starts)), _spans(np.concatenate(later) if later else np.zeros(0, int))
-            out.append((nid, [{"start": a, "end": b} for a, b in every], [{"start": a, "end": b} for a, b in drop], sum(b - a for a, b in every), sum(b - a for a, b in drop)))
-        yield pd.DataFrame(out, columns=["nid", "spans", "drop_spans", "n_repeated", "n_drop"])
+            sources = sorted({int(i["src"]) for i in items if not i["first"] and i["src"] != nid})
+            out.append((nid, [{"start": a, "end": b} for a, b in every], [{"start": a, "end": b} for a, b in drop], sum(b - a for a, b in every), sum(b - a for a, b in drop), sources))
+        yield pd.DataFrame(out, columns=["nid", "spans", "drop_spans", "n_repeated", "n_drop", "sources"])
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_repeated, n_drop, spans, drop_spans: a row for each row of df.
+    """id, n_repeated, n_drop, spans, drop_spans, sources: a row for each row of df.
 
     ``spans`` are the words [start, end) of the row's text that lie in a passage of at least 50 words found in two places, in this text or
     another; ``drop_spans`` those that an earlier place, by id and then by word, holds too, so that removing them all leaves each
-    passage once. Null, empty and short texts have none. Rows that repeat an id and text are one text. A row without an
+    passage once. ``sources`` are the ids of the other texts that hold its dropped passages first. Null, empty and short texts have none. Rows that repeat an id and text are one text. A row without an
     id takes part under a stand-in drawn from its text, before all others. Rows that share an id but not their text are
     told apart by nothing and may lose a passage they share. Only the named columns are read; no rows give no rows.
     """
@@ -135,17 +140,37 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is_first = place == F.col("lo")
     found = retained.join(runs, F.col("h") == F.col("h2")).select("nid", F.struct("pos", F.when(is_first, F.col("hi.nid")).otherwise(F.col("lo.nid")).alias("pn"), F.when(is_first, F.col("hi.pos")).otherwise(F.col("lo.pos")).alias("pp"), is_first.alias("first")).alias("f"))
     per_text = found.groupBy(F.col("nid").alias("fnid")).agg(F.collect_list("f").alias("found"))  # a text's own suffixes
-    kinds = "kind int, w long, nid long, a int, b int, first boolean"
+    kinds = "kind int, w long, nid long, a int, b int, first boolean, src long"
     grown = stored(docs.select("nid", "text").join(per_text, F.col("nid") == F.col("fnid")).select("nid", "text", "found").mapInPandas(_extend, kinds))
     windows = grown.where("kind = 1").select("w", "nid", F.col("a").alias("pos"))
     met = stored(windows.groupBy(F.col("w").alias("w2")).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") != F.col("hi")).select("w2", "lo"))
-    told = windows.join(met, F.col("w") == F.col("w2")).select("nid", F.col("pos").alias("a"), F.col("pos").alias("b"), (place == F.col("lo")).alias("first"))
-    items = grown.where("kind = 0").select("nid", "a", "b", "first").unionByName(told).groupBy("nid", "a", "first").agg(F.max("b").alias("b")).groupBy("nid").agg(F.collect_list(F.struct("a", "b", "first")).alias("items"))
+    told = windows.join(met, F.col("w") == F.col("w2")).select("nid", F.col("pos").alias("a"), F.col("pos").alias("b"), (place == F.col("lo")).alias("first"), F.col("lo.nid").alias("src"))
+    items = grown.where("kind = 0").select("nid", "a", "b", "first", "src").unionByName(told).groupBy("nid", "a", "first", "src").agg(F.max("b").alias("b")).groupBy("nid").agg(F.collect_list(F.struct("a", "b", "first", "src")).alias("items"))
     span = "array<struct<start: int, end: int>>"
-    spans = items.mapInPandas(_gather, f"nid long, spans {span}, drop_spans {span}, n_repeated int, n_drop int")
+    spans = items.mapInPandas(_gather, f"nid long, spans {span}, drop_spans {span}, n_repeated int, n_drop int, sources array<long>")
     none = F.array().cast(span)
     out = docs.select("id", "nid").join(spans.withColumnRenamed("nid", "snid"), F.col("nid") == F.col("snid"), "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("n_drop", F.lit(0)).alias("n_drop"), F.coalesce("spans", none).alias("spans"), F.coalesce("drop_spans", none).alias("drop_spans"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("n_drop", F.lit(0)).alias("n_drop"), F.coalesce("spans", none).alias("spans"), F.coalesce("drop_spans", none).alias("drop_spans"), F.filter(F.coalesce("sources", F.array().cast("array<long>")), lambda i: i > -(1 << 61)).alias("sources"))
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with later places of repeated passages cut from the text, from the first word of a span to its last."""
+    spans = repeated_passages(df, id_col, text_col).where("n_drop > 0").select(F.col(id_col).alias("span_id"), "drop_spans").dropDuplicates(["span_id"])
+    at, columns = df.columns.index(text_col), df.columns
+
+    def cut_out(batches):
+        for batch in batches:
+            texts = []
+            for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+                if gone:
+                    places = [m.span() for m in _WORD.finditer(text)]
+                    for g in reversed(gone):
+                        text = text[: places[g["start"]][0]] + text[places[g["end"] - 1][1] :]
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
+
+    joined = df.join(spans, F.col(id_col).eqNullSafe(F.col("span_id")), "left").select(*(df[c] for c in columns), "drop_spans")
+    return joined.mapInArrow(cut_out, df.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
