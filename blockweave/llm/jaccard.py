@@ -105,7 +105,7 @@ def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, tenths: in
 
 def _compare(batches):
     for g in grouped(batches, ["fam", "bi", "bj"]):
-        g = g.drop_duplicates("node").sort_values("node", kind="stable")
+        g = g.sort_values(["node", "sh"], kind="stable").drop_duplicates("node")
         own = g.block.to_numpy() == g.bi.iloc[0]
         sets = [np.frombuffer(s, np.uint64) for s in g.sh]
         nodes = g.node.to_numpy()

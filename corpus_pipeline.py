@@ -37,10 +37,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as often as the mix takes it, 0 to 3 times."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("tid"), "h", "ordinal", "copies")
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("tid"), "h").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+    taken = stored(taken.where("copies > 0"))
     own = docs.select(*COLUMNS, mixing.row_hash("doc_id", "text").alias("own_h"))
-    out = own.join(taken, F.col("doc_id").eqNullSafe(F.col("tid")) & (F.col("own_h") == F.col("h")))
-    return out.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+    match = F.col("doc_id").eqNullSafe(F.col("tid")) & (F.col("own_h") == F.col("h"))
+    out = own.join(taken.where("rows = 1"), match).select(*COLUMNS, "copies")
+    repeated = taken.where("rows > 1")
+    if not repeated.isEmpty():  # rows repeated in full: one of them stands for all
+        out = out.unionByName(own.join(repeated, match).dropDuplicates(["doc_id", "own_h"]).select(*COLUMNS, "copies"))
+    return out.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
