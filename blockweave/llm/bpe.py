@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from blockweave.llm.common import table
 
 #: Most words and white-space-free runs whose ids a worker keeps; beyond it the table starts anew.
-KEEP = 150_000
+KEEP = 400_000
 #: UTF-8 bytes of text that one slice of rows and one output batch hold, unless one text alone is longer.
 SLICE = 2_000_000
 
@@ -53,45 +53,56 @@ class Vocabulary:
             self.tokens[i] = token
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         symbols = byte_symbols()
-        self.byte_id = [vocab[s] for s in symbols]
-        self.last_id = [vocab[s + self.end] for s in symbols]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.byte_id = np.array([vocab[s] for s in symbols], np.int64)
+        self.last_id = np.array([vocab[s + self.end] for s in symbols], np.int64)
+        #: left << 16 | right -> rank << 16 | merged; ids and ranks both stay below 65,536.
+        self.ranks: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.pairs = {rank: pair for pair, (rank, _) in self.ranks.items()}
+            self.ranks[vocab[a] << 16 | vocab[b]] = rank << 16 | vocab[a + b]
+        if max(len(self.tokens), len(model["merges"])) > 1 << 16:
+            raise ValueError("vocabularies of more than 65,536 tokens are not read")
+        self.pairs = {found >> 16: (pair >> 16, pair & 0xFFFF, found & 0xFFFF) for pair, found in self.ranks.items()}
+        self.keys = np.array(sorted(self.ranks), np.int64)
+        self.key_ranks = np.array([self.ranks[k] >> 16 for k in self.keys.tolist()], np.int64)
         made: dict[int, int] = {}
-        for rank, c in self.ranks.values():
-            made[c] = max(rank, made.get(c, -1))
+        for found in self.ranks.values():
+            made[found & 0xFFFF] = max(found >> 16, made.get(found & 0xFFFF, -1))
         #: Whether a pair always ranks after the merges that make its parts; then one pass a rank is exact.
-        self.ordered = all(made.get(x, -1) < rank for pair, (rank, _) in self.ranks.items() for x in pair)
+        self.ordered = all(made.get(x, -1) < found >> 16 for pair, found in self.ranks.items() for x in (pair >> 16, pair & 0xFFFF))
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word, by one index of pair occurrences over all of them."""
-        sym: list[int] = []
-        ends: list[int] = []
-        for w in words:
-            sym += [self.byte_id[b] for b in w[:-1]]
-            sym.append(self.last_id[w[-1]])
-            ends.append(len(sym))
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        start = 0
-        for e in ends:
-            after[e - 1] = before[start] = -1
-            start = e
-        ranks, index = self.ranks, {}
-        for i in range(n - 1):
-            if after[i] >= 0 and (found := ranks.get((sym[i], sym[i + 1]))):
-                index.setdefault(found[0], []).append(i)
+        if not words:
+            return []
+        ends = np.cumsum([len(w) for w in words])
+        symbols = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        symbols[ends - 1] = self.last_id[[w[-1] for w in words]]
+        n = len(symbols)
+        # The index: for each rank the positions of its pair, in ascending order.
+        pair = symbols[:-1] << 16 | symbols[1:]
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        there = self.keys[at] == pair
+        there[ends[:-1] - 1] = False
+        places = np.flatnonzero(there)
+        rank_at = self.key_ranks[at[places]]
+        order = np.argsort(rank_at, kind="stable")
+        cut = np.flatnonzero(np.diff(rank_at[order])) + 1
+        firsts = rank_at[order[np.concatenate([[0], cut])]].tolist() if len(order) else []
+        index = dict(zip(firsts, (x.tolist() for x in np.split(places[order], cut)), strict=True)) if firsts else {}
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[np.concatenate([[0], ends[:-1]])] = -1
+        sym, after, before, ends = symbols.tolist(), after.tolist(), before.tolist(), ends.tolist()
+        get, ordered = self.ranks.get, self.ordered
         active = list(index)
         heapq.heapify(active)
         while active:
             rank = heapq.heappop(active)
             places = index.pop(rank)
-            left, right = self.pairs[rank]
-            whole = ranks[left, right][1]
+            left, right, whole = self.pairs[rank]
             places.sort()
+            as_left = whole << 16
             for at, i in enumerate(places):
                 if sym[i] != left or (j := after[i]) < 0 or sym[j] != right:
                     continue
@@ -100,21 +111,27 @@ class Vocabulary:
                 lower = False
                 if k >= 0:
                     before[k] = i
-                    if found := ranks.get((whole, sym[k])):
-                        if found[0] not in index:
-                            index[found[0]] = []
-                            heapq.heappush(active, found[0])
-                        index[found[0]].append(i)
-                        lower = found[0] < rank
-                if h >= 0 and (found := ranks.get((sym[h], whole))):
-                    if found[0] not in index:
-                        index[found[0]] = []
-                        heapq.heappush(active, found[0])
-                    index[found[0]].append(h)
-                    lower |= found[0] < rank
-                if lower and at + 1 < len(places):  # only if the vocabulary is not ordered: the lower rank goes first
-                    index.setdefault(rank, []).extend(places[at + 1 :])
-                    heapq.heappush(active, rank)
+                    if found := get(as_left | sym[k]):
+                        new = found >> 16
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            heapq.heappush(active, new)
+                        lower = new < rank
+                if h >= 0 and (found := get(sym[h] << 16 | whole)):
+                    new = found >> 16
+                    if new in index:
+                        index[new].append(h)
+                    else:
+                        index[new] = [h]
+                        heapq.heappush(active, new)
+                    lower |= new < rank
+                if lower and not ordered and at + 1 < len(places):  # the lower rank goes first
+                    if rank not in index:
+                        index[rank] = []
+                        heapq.heappush(active, rank)
+                    index[rank].extend(places[at + 1 :])
                     break
         out, start = [], 0
         for e in ends:
@@ -123,19 +140,35 @@ class Vocabulary:
         return out
 
 
-def pieces(run: str) -> list[bytes]:
-    """The words of a run without white space, normalised, in UTF-8."""
-    if not run.isascii():
-        run = unicodedata.normalize("NFC", run)
-        run = "".join(c.lower() for c in run) if "Σ" in run else run.lower()
-    else:
+class Splitter:
+    """The words of runs without white space, normalised, in UTF-8.
+
+    Beyond the Latin blocks, where tables of letters differ between versions of Unicode, the tokenizers library's own splitting and
+    normalising decide; nothing is encoded by it.
+    """
+
+    def __init__(self):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.split = pre_tokenizers.Split(Regex(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior="removed", invert=True)
+
+    def __call__(self, run: str) -> list[bytes]:
+        if not run.isascii():
+            if max(run) > "\u024f":
+                return [w.encode("utf-8", "surrogatepass") for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(run))]
+            run = unicodedata.normalize("NFC", run)
         run = run.lower()
-    return [p.encode("utf-8", "surrogatepass") for p in _PIECE.findall(run)]
+        if run.isalpha():
+            return [run.encode()]
+        if run[:-1].isalpha() and not run[-1].isalnum():
+            return [run[:-1].encode(), run[-1].encode()]
+        return [p.encode() for p in _PIECE.findall(run)]
 
 
 class Encoder:
     def __init__(self, path: str, keep: int = KEEP):
-        self.vocabulary, self.keep = Vocabulary(path), keep
+        self.vocabulary, self.keep, self.split = Vocabulary(path), keep, Splitter()
         self.of_piece: dict[bytes, bytes] = {}
         self.of_run: dict[str, bytes] = {}
         self.special = {t: np.int32(i).tobytes() for t, i in self.vocabulary.special.items()}
@@ -156,17 +189,20 @@ class Encoder:
             self.of_run.clear()
         if len(self.of_piece) > self.keep:
             self.of_piece.clear()
-        new = {r for p in parts for r in p if r not in self.of_run and r not in self.special}
-        split = {r: pieces(r) for r in new}
+        new: set[str] = set()
+        for p in parts:
+            new.update(p)
+        new.difference_update(self.of_run, self.special)
+        split = {r: self.split(r) for r in new}
         unseen = list({w for ws in split.values() for w in ws if w not in self.of_piece})
         for w, ids in zip(unseen, self.vocabulary.merge(unseen), strict=True):
             self.of_piece[w] = np.array(ids, np.int32).tobytes()
         for r, ws in split.items():
             self.of_run[r] = b"".join([self.of_piece[w] for w in ws])
         look = self.of_run
-        if any(r in self.special for p in parts for r in p if r[:1] == "<"):
-            look = look | self.special
-        return [b"".join([look[r] for r in p]) for p in parts]
+        for token, ids in self.special.items():
+            look[token] = ids
+        return [b"".join(map(look.__getitem__, p)) for p in parts]
 
     def decode(self, ids: bytes | list[int]) -> str:
         tokens = self.vocabulary.tokens
