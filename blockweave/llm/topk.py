@@ -21,17 +21,19 @@ from pyspark.sql import functions as F
 
 from blockweave.llm.common import table
 
-GROUP, BLOCK, PAGE, FAN = 8192, 4096, 48, 12
+GROUP, BLOCK, PAGE, FAN = 8192, 4096, 96, 16
 #: Slack for rounding in the bounds, relative to the sizes of the vectors; scores themselves are exact.
 SLACK = 1e-9
 
 
 class Node:
-    __slots__ = ("centre", "children", "ids", "parent_distance", "radius", "rows")
+    """A page. Of a leaf, rows and their distances to the centre; else children with theirs, as arrays in one order."""
+
+    __slots__ = ("centre", "centres", "children", "distances", "radii", "radius", "rows")
 
     def __init__(self, centre, radius):
-        self.centre, self.radius, self.parent_distance = centre, radius, None
-        self.children = self.rows = self.ids = None
+        self.centre, self.radius = centre, radius
+        self.children = self.centres = self.radii = self.rows = self.distances = None
 
 
 class MTree:
@@ -51,10 +53,10 @@ class MTree:
         return centre, np.sqrt(((x - centre) ** 2).sum(axis=1))
 
     def _build(self, rows: np.ndarray) -> Node:
-        todo = [(rows, None, None)]
+        todo = [(rows, None)]
         root = None
         while todo:
-            rows, parent, _ = todo.pop()
+            rows, parent = todo.pop()
             centre, far = self._route(rows)
             node = Node(centre, float(far.max()))
             if parent is None:
@@ -62,7 +64,7 @@ class MTree:
             else:
                 parent.children.append(node)
             if len(rows) <= self.page:
-                node.rows, node.ids = rows, far  # ids: the stored distances to the page's routing vector
+                node.rows, node.distances = rows, far
                 continue
             node.children = []
             x = self.float[rows]
@@ -73,12 +75,12 @@ class MTree:
                 if near.max() == 0:
                     break
                 pivots.append(int(np.argmax(near)))
-            owner = np.argmin(((x[:, None, :] - x[pivots][None, :, :]) ** 2).sum(axis=2), axis=1) if len(pivots) > 1 and len(rows) * len(pivots) * x.shape[1] < 4e7 else np.argmin(np.stack([((x - x[p]) ** 2).sum(axis=1) for p in pivots]), axis=0)
+            owner = np.argmin(np.stack([((x - x[p]) ** 2).sum(axis=1) for p in pivots]), axis=0)
             parts = [rows[owner == k] for k in range(len(pivots))]
             parts = [p for p in parts if len(p)]
             if len(parts) == 1 or max(map(len, parts)) > len(rows) - self.fan // 2:  # copies: cut by number
                 parts = np.array_split(rows, -(-len(rows) // max(self.page, len(rows) // self.fan)))
-            todo += [(p, node, None) for p in parts]
+            todo += [(p, node) for p in parts]
         self._distances(root)
         return root
 
@@ -87,8 +89,9 @@ class MTree:
         while stack:
             node = stack.pop()
             if node.children:
-                for c in node.children:
-                    c.parent_distance = float(np.sqrt(((c.centre - node.centre) ** 2).sum()))
+                node.centres = np.stack([c.centre for c in node.children])
+                node.radii = np.array([c.radius for c in node.children])
+                node.distances = np.sqrt(((node.centres - node.centre) ** 2).sum(axis=1))
                 stack += node.children
 
     def search(self, query: np.ndarray, own, k: int) -> list[tuple[int, object]]:
@@ -109,8 +112,8 @@ class MTree:
                 break
             if node.rows is not None:
                 rows = node.rows
-                if len(best) == k:
-                    rows = rows[product + norm * node.ids + slack >= best[0][0]]
+                if len(best) == k:  # by the stored distances alone
+                    rows = rows[product + norm * node.distances + slack >= best[0][0]]
                 if len(rows):
                     self.computed += len(rows)
                     scores = self.vectors[rows] @ q
@@ -127,13 +130,18 @@ class MTree:
                         elif item[:2] > best[0][:2]:
                             heapq.heapreplace(best, item)
                 continue
-            for c in node.children:
-                if len(best) == k and product + norm * (c.parent_distance + c.radius) + slack < best[0][0]:
-                    continue  # by the stored distance alone
-                self.computed += 1
-                p = float(qf @ c.centre)
-                tick += 1
-                heapq.heappush(heap, (-(p + norm * c.radius), tick, p, c))
+            near = np.arange(len(node.children))
+            if len(best) == k:  # by the stored distances alone
+                near = near[product + norm * (node.distances + node.radii) + slack >= best[0][0]]
+                if not len(near):
+                    continue
+            self.computed += len(near)
+            products = node.centres[near] @ qf
+            bounds = products + norm * node.radii[near]
+            for c, p, bound in zip(near.tolist(), products.tolist(), bounds.tolist(), strict=True):
+                if len(best) < k or bound + slack >= best[0][0]:
+                    tick += 1
+                    heapq.heappush(heap, (-bound, tick, p, node.children[c]))
         return [(s, i) for s, _, i in sorted(best, key=lambda b: (-b[0], -b[1]))]
 
 
