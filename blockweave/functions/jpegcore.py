@@ -335,6 +335,25 @@ def coding_order(comps: list[Component], interleaved: bool) -> list[tuple[np.nda
     return [(comp, by, bx, n, comps[0].segment_mcus)]
 
 
+def direct(color_space: str, pixel_format: str, sampling, comps: int, p: Params) -> bool:
+    """Whether a buffer's planes are the components as they are: no colour, channel or sampling change."""
+    planar, own, _, of_format = T.PIXEL_FORMATS[pixel_format]
+    return (planar or own == 1) and own == comps and not p.remap and (comps == 1 or color_space == p.color_space_internal) and tuple(map(tuple, sampling)) == of_format
+
+
+def planes_in(data: bytes, width: int, height: int, pixel_format: str, comps: list[Component], flip: bool = False) -> list[np.ndarray]:
+    """The padded components of a planar buffer, copied without a detour over pixels."""
+    raw, at, out = np.frombuffer(data, np.uint8), 0, []
+    mh, mv = T.PIXEL_FORMATS[pixel_format][3][0]
+    for c, (h, v) in zip(comps, T.PIXEL_FORMATS[pixel_format][3], strict=True):
+        w, ht = -(-width // (mh // h)), -(-height // (mv // v))
+        plane = np.zeros((c.data_height, c.data_width), np.uint8)
+        plane[:ht, :w] = raw[at : at + w * ht].reshape(ht, w)
+        at += w * ht
+        out.append(plane[::-1] if flip else plane)
+    return out
+
+
 def planes_of(pixels: np.ndarray, comps: list[Component], flip: bool = False) -> list[np.ndarray]:
     mh, mv = max(c.h for c in comps), max(c.v for c in comps)
     out = []
@@ -363,6 +382,13 @@ def quantise(data: bytes, width: int, height: int, color_space: str, pixel_forma
     """Components and the zig-zag coefficients of each."""
     n, sampling, restart = settle(width, height, pixel_format, p)
     internal = p.color_space_internal
+    comps = geometry(width, height, sampling, restart, p.interleaved, internal)
+    qs = {k: np.array(T.quant(k, p.quality), np.float64) for k in ("luma", "chroma")}
+    if len(data) < image_size(width, height, pixel_format, padding):
+        raise CodingError(f"{len(data)} bytes are too few for {width}x{height} {pixel_format}")
+    if direct(color_space, pixel_format, sampling, n, p) and not padding:
+        planes = planes_in(data, width, height, pixel_format, comps, p.flip)
+        return comps, [forward(plane, qs[c.kind]) for c, plane in zip(comps, planes, strict=True)], restart
     pixels = unpack(data, width, height, pixel_format, padding)
     if p.remap:
         pixels = remap(pixels, p.remap)
@@ -370,8 +396,6 @@ def quantise(data: bytes, width: int, height: int, color_space: str, pixel_forma
     if pixels.shape[2] >= 3:
         pixels = convert(pixels, color_space, internal)
     pixels = widen(pixels, n, internal)
-    comps = geometry(width, height, sampling, restart, p.interleaved, internal)
-    qs = {k: np.array(T.quant(k, p.quality), np.float64) for k in ("luma", "chroma")}
     return comps, [forward(plane, qs[c.kind]) for c, plane in zip(comps, planes_of(pixels, comps, p.flip), strict=True)], restart
 
 

@@ -90,6 +90,25 @@ def _(spark, d):
     return out.select("path", "width", "height", "color_space", "pixel_format", F.length("data").alias("bytes"))
 
 
+_RAWS = [("a.rgb", "rgb", "444-u8-p012"), ("a.rgba", "rgb", "4444-u8-p0123"), ("a.yuv", "ycbcr-bt709", "444-u8-p012"), ("a.uyvy", "ycbcr-bt709", "422-u8-p1020"), ("a.i420", "ycbcr-bt709", "420-u8-p0p1p2"), ("a.r", "ycbcr-jpeg", "u8")]
+
+
+@query("a1_a3_headerless", f"SELECT path, color_space, pixel_format, CAST(bytes AS INTEGER) AS bytes FROM {X.values([(*r, J.image_size(8, 6, r[2])) for r in _RAWS], 'path, color_space, pixel_format, bytes')}")
+def _(spark, d):
+    files = spark.createDataFrame([(n, bytes(8 * 6 * 4 + 9)) for n, _, _ in _RAWS], "path string, content binary")
+    return images.parse(files, width=8, height=6).select("path", "color_space", "pixel_format", F.length("data").alias("bytes"))
+
+
+_XXX = [("rgb", "444-u8-p012", "pnm"), ("rgb", "4444-u8-p0123", "pam"), ("ycbcr-jpeg", "444-u8-p0p1p2", "y4m"), ("ycbcr-bt709", "420-u8-p0p1p2", "y4m"), ("ycbcr-jpeg", "u8", "pnm")]
+
+
+@query("c1_format_choice", f"SELECT color_space, pixel_format, ext FROM {X.values(_XXX, 'color_space, pixel_format, ext')}")
+def _(spark, d):
+    from blockweave.sources import formats
+
+    return spark.createDataFrame([(cs, pf, formats.save("a.XXX", 8, 8, cs, pf, bytes(256))[0][2:]) for cs, pf, _ in _XXX], "color_space string, pixel_format string, ext string")
+
+
 def _round_trip_files(spark: SparkSession, d: str, exts) -> DataFrame:
     """Writes the event images to each format and reads them again, in memory: path, format's pixels equal or not."""
     import pandas as pd
@@ -365,6 +384,20 @@ def _(spark, d):
     return X.read(spark, d, "documents").select("doc_id", G.suggest_restart(64 + n * 37 % 8000, 48 + n * 53 % 4500, c, n % 2 == 0, n % 4 < 2).alias("restart"))
 
 
+_DIRECT = [(pf, cs, i, s) for pf in T.PIXEL_FORMATS for cs in ("rgb", "ycbcr-jpeg") for i in ("rgb", "ycbcr-jpeg") for s in ("native", "444")]
+
+
+@query("e12_no_transform", f"""SELECT pf, cs, internal, s, (pf = 'u8' OR pf LIKE '%p0p1p2') AND (pf = 'u8' OR cs = internal) AND (s = 'native' OR pf IN ('u8', '444-u8-p0p1p2')) AS direct
+FROM {X.values(_DIRECT, 'pf, cs, internal, s')}""")
+def _(spark, d):
+    def one(pf, cs, internal, s):
+        n = min(3, T.PIXEL_FORMATS[pf][1])
+        p = J.Params(color_space_internal=internal, sampling=None if s == "native" else ((1, 1),) * n)
+        return J.direct(cs, pf, J.settle(64, 64, pf, p)[1], n, p)
+
+    return spark.createDataFrame([(*j, one(*j)) for j in _DIRECT], "pf string, cs string, internal string, s string, direct boolean")
+
+
 # ---- F: block transforms --------------------------------------------------------
 
 _BASIS = f"basis AS (SELECT k, n, w FROM {X.values(T.basis(), 'k, n, w')})"
