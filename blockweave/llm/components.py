@@ -23,6 +23,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         was = state
         both = now.select(F.col("u").alias("n"), F.col("v").alias("x")).unionByName(now.select(F.col("v").alias("n"), F.col("u").alias("x")))
         least = both.groupBy(F.col("n").alias("n2")).agg(F.min("x").alias("m")).withColumn("m", F.least("n2", "m"))
+        least = cut(least)  # so that both sides of the join are dealt anew and a hub's edges can be split
         large = both.where(F.col("x") > F.col("n")).join(least, F.col("n") == F.col("n2")).select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy(F.col("u").alias("u2")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("u2")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
