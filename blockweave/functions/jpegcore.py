@@ -132,11 +132,17 @@ def pack(pixels: np.ndarray, pixel_format: str, padding: int = 0) -> bytes:
     return b"".join(np.ascontiguousarray(pixels[:: mv // v, :: mh // h, k]).tobytes() for k, (h, v) in enumerate(sampling))
 
 
+#: c * 256 / 255, truncated toward zero, for c from -255 to 255.
+_SCALED = np.array([int(c * 256 / 255) for c in range(-255, 256)], np.int32)
+
+
 def _matrix(p: np.ndarray, m, shift_in, shift_out) -> np.ndarray:
-    c = p[:, :, :3].astype(np.int64) - np.array(shift_in)
-    r = np.sign(c) * (np.abs(c) * 256 // 255)
-    out = ((r @ np.array(m).reshape(3, 3).T + 128) >> 8) + np.array(shift_out)
-    return np.concatenate([np.clip(out, 0, 255).astype(np.uint8), p[:, :, 3:]], axis=2)
+    r = [_SCALED[p[:, :, k].astype(np.int16) + (255 - shift_in[k])] for k in range(3)]
+    out = np.empty((*p.shape[:2], p.shape[2]), np.uint8)
+    for k in range(3):
+        out[:, :, k] = np.clip(((m[3 * k] * r[0] + m[3 * k + 1] * r[1] + m[3 * k + 2] * r[2] + 128) >> 8) + shift_out[k], 0, 255)
+    out[:, :, 3:] = p[:, :, 3:]
+    return out
 
 
 def convert(p: np.ndarray, source: str, target: str) -> np.ndarray:
@@ -177,7 +183,7 @@ def blocks_of(plane: np.ndarray) -> np.ndarray:
 def forward(plane: np.ndarray, q: np.ndarray) -> np.ndarray:
     """rows x columns x 64 quantised coefficients in zig-zag order."""
     b = blocks_of(plane.astype(np.float64) - 128)
-    c = np.einsum("vy,abyx,ux->abvu", _D, b, _D).reshape(*b.shape[:2], 64)
+    c = (_D @ b @ _D.T).reshape(*b.shape[:2], 64)
     return np.rint(np.round(c / q, 6)).astype(np.int16)[:, :, ZZ]
 
 
@@ -187,7 +193,7 @@ def inverse(coefs: np.ndarray, q: np.ndarray) -> np.ndarray:
     natural = np.zeros(coefs.shape)
     natural[:, :, ZZ] = coefs
     c = (natural * q).reshape(rows, cols, 8, 8)
-    s = np.einsum("vy,abvu,ux->abyx", _D, c, _D)
+    s = _D.T @ c @ _D
     return np.clip(np.rint(np.round(s, 6) + 128), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
 
 
@@ -201,58 +207,71 @@ def _code_arrays(kind: str, group: str) -> tuple[np.ndarray, np.ndarray]:
     return code, bits
 
 
-_CODES = {(k, g): _code_arrays(k, g) for k in ("luma", "chroma") for g in ("dc", "ac")}
+_CODE_TABLE, _BITS_TABLE = (np.stack(x) for x in zip(*(_code_arrays(k, g) for k in ("luma", "chroma") for g in ("dc", "ac")), strict=True))
 
 
 def category(v: np.ndarray) -> np.ndarray:
     return np.where(v == 0, 0, np.floor(np.log2(np.maximum(np.abs(v), 1))) + 1).astype(np.int64)
 
 
-def pack_segment(blocks: np.ndarray, comp: np.ndarray, kinds: list[str]) -> bytes:
-    """Bits of a restart segment: blocks (n x 64, zig-zag, in coding order) of the components ``comp``."""
+def pack_segments(blocks: np.ndarray, comp: np.ndarray, starts: np.ndarray, kinds: list[str]) -> list[bytes]:
+    """Bits of restart segments, all at once: blocks (n x 64, zig-zag, in coding order) of the components ``comp``.
+
+    ``starts`` has the first block of each segment. Every symbol of every block gets its code and the value bits behind it, and a
+    running sum of their lengths, anew in each segment, says where its bits go.
+    """
     n = len(blocks)
     blocks = blocks.astype(np.int64)
+    seg = np.searchsorted(starts, np.arange(n), side="right") - 1
     diff = np.zeros(n, np.int64)
     for c in np.unique(comp):
         at = np.flatnonzero(comp == c)
-        diff[at] = np.diff(blocks[at, 0], prepend=0)
+        fresh = np.concatenate([[True], seg[at][1:] != seg[at][:-1]])
+        diff[at] = np.where(fresh, blocks[at, 0], np.diff(blocks[at, 0], prepend=0))
     b, z = np.nonzero(blocks[:, 1:])
     z = z + 1
     first = np.concatenate([[True], b[1:] != b[:-1]]) if len(b) else np.zeros(0, bool)
     run = z - np.where(first, 0, np.concatenate([[0], z[:-1]])) - 1 if len(b) else z
     value = blocks[b, z]
-    cat = category(value)
-    dcat = category(diff)
-    if len(cat) and cat.max() > 10 or dcat.max(initial=0) > 11:
+    cat, dcat = category(value), category(diff)
+    if cat.max(initial=0) > 10 or dcat.max(initial=0) > 11:
         raise CodingError("a coefficient has no code")
-    last = np.full(n, 0)
+    last = np.zeros(n, np.int64)
     np.maximum.at(last, b, z)
-    zrl = run // 16
-    # (block, position, order) of every symbol: DC, then per coefficient its ZRLs and itself, then EOB
-    parts = [(np.arange(n), np.zeros(n, int), np.zeros(n, int), dcat, dcat, diff, np.ones(n, bool))]
-    if len(b):
-        again = np.repeat(np.arange(len(b)), zrl)
-        parts.append((b[again], z[again], np.zeros(len(again), int), np.full(len(again), 0xF0), np.zeros(len(again), int), np.zeros(len(again), int), np.zeros(len(again), bool)))
-        parts.append((b, z, np.ones(len(b), int), (run % 16) * 16 + cat, cat, value, np.zeros(len(b), bool)))
+    # Symbols in order: DC, then for each coefficient its runs of 16 zeros and itself, then the end of the block.
+    again = np.repeat(np.arange(len(b)), run // 16)
     e = np.flatnonzero(last < 63)
-    parts.append((e, np.full(len(e), 64), np.zeros(len(e), int), np.zeros(len(e), int), np.zeros(len(e), int), np.zeros(len(e), int), np.zeros(len(e), bool)))
-    blk, pos, order, symbol, vbits, val, dc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    o = np.lexsort((order, pos, blk))
-    blk, symbol, vbits, val, dc = blk[o], symbol[o], vbits[o], val[o], dc[o]
-    code, bits = np.zeros(len(o), np.int64), np.zeros(len(o), np.int64)
+    place = np.concatenate([np.arange(n) * 130, b[again] * 130 + 2 * z[again], b * 130 + 2 * z + 1, e * 130 + 129])
+    o = np.argsort(place, kind="stable")
+    none, zeros = np.zeros(len(e), np.int64), np.zeros(len(again), np.int64)
+    symbol = np.concatenate([dcat, zeros + 0xF0, run % 16 * 16 + cat, none])[o]
+    vbits = np.concatenate([dcat, zeros, cat, none])[o]
+    val = np.concatenate([diff, zeros, value, none])[o]
+    blk = place[o] // 130
+    dc = place[o] % 130 == 0
     chroma = np.array([k == "chroma" for k in kinds])[comp[blk]]
-    for kind, of_kind in (("luma", ~chroma), ("chroma", chroma)):
-        for group, of_group in (("dc", dc), ("ac", ~dc)):
-            m = of_kind & of_group
-            code[m], bits[m] = _CODES[kind, group][0][symbol[m]], _CODES[kind, group][1][symbol[m]]
-    extra = np.where(val >= 0, val, val - 1 + (1 << vbits))
-    word, length = (code << vbits) | extra, bits + vbits
-    total = int(length.sum())
-    start = np.cumsum(length) - length
+    table = chroma * 2 + ~dc
+    code, bits = _CODE_TABLE[table, symbol], _BITS_TABLE[table, symbol]
+    word, length = (code << vbits) | np.where(val >= 0, val, val - 1 + (1 << vbits)), bits + vbits
+    # Each segment starts at a byte of its own; what is left of its last byte are ones.
+    end = np.cumsum(length)
+    of = seg[blk]
+    edges = np.searchsorted(of, np.arange(len(starts) + 1))
+    before = np.concatenate([[0], end])[edges]
+    size = -(-np.diff(before) // 8)
+    base = np.concatenate([[0], np.cumsum(size)])
+    start = end - length - before[of] + base[of] * 8
+    out = np.ones(int(base[-1]) * 8, np.uint8)
+    total = int(end[-1]) if len(end) else 0
     which = np.repeat(np.arange(len(word)), length)
-    bit = (word[which] >> (length[which] - 1 - (np.arange(total) - start[which]))) & 1
-    packed = np.packbits(np.concatenate([bit, np.ones(-total % 8, np.int64)]).astype(np.uint8))
-    return packed.tobytes().replace(b"\xff", b"\xff\x00")
+    within = np.arange(total) - (end - length)[which]
+    out[start[which] + within] = (word[which] >> (length[which] - 1 - within)) & 1
+    packed = np.packbits(out).tobytes()
+    return [packed[x:y].replace(b"\xff", b"\xff\x00") for x, y in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def pack_segment(blocks: np.ndarray, comp: np.ndarray, kinds: list[str]) -> bytes:
+    return pack_segments(blocks, comp, np.zeros(1, np.int64), kinds)[0]
 
 
 def lookup(bits, symbols) -> tuple[list[int], list[int]]:
@@ -318,6 +337,93 @@ def unpack_segment(data: bytes, plan: list[int], dc: list, ac: list, comps: int)
     return out
 
 
+#: Blocks that are packed at once.
+CHUNK = 16384
+
+
+def pack_all(segments: list[tuple[np.ndarray, np.ndarray]], kinds: list[str]) -> list[bytes]:
+    """Bits of segments (component of each block, blocks), by chunks of so many blocks that memory stays small."""
+    out: list[bytes] = []
+    at = 0
+    while at < len(segments):
+        n, to = 0, at
+        while to < len(segments) and (to == at or n + len(segments[to][0]) <= CHUNK):
+            n += len(segments[to][0])
+            to += 1
+        part = segments[at:to]
+        sizes = np.array([len(c) for c, _ in part])
+        out += pack_segments(np.concatenate([b for _, b in part]), np.concatenate([c for c, _ in part]), np.cumsum(sizes) - sizes, kinds)
+        at = to
+    return out
+
+
+#: So many segments at least are decoded side by side; fewer go one after another.
+LANES = 48
+
+
+def unpack_side_by_side(parts: list[bytes], plans: list[np.ndarray], tables: list[tuple[list, list]]) -> list[np.ndarray]:
+    """unpack_segment for many segments, a symbol of each at a time: segments are the lanes of array operations."""
+    clean = [p.replace(b"\xff\x00", b"\xff") for p in parts]
+    data = np.frombuffer(b"".join(c + b"\0" * 8 for c in clean), np.uint8).astype(np.int64)
+    size = np.array([len(c) for c in clean])
+    pos = (np.cumsum(size + 8) - size - 8) * 8
+    end = pos + size * 8
+    known: dict[int, int] = {}
+    rows: list[np.ndarray] = []
+
+    def row(table) -> int:
+        if id(table) not in known:
+            known[id(table)] = len(rows)
+            rows.append(np.array(table[1], np.int32) << 8 | np.array(table[0], np.int32))
+        return known[id(table)]
+
+    lanes = np.arange(len(parts))
+    n = np.array([len(p) for p in plans])
+    first = np.cumsum(n) - n
+    comp = np.concatenate(plans).astype(np.int64) if len(plans) else np.zeros(0, np.int64)
+    widest = int(comp.max(initial=0)) + 1
+    of = np.full((len(parts), widest, 2), -1)
+    for lane, (dc, ac) in enumerate(tables):
+        for c in range(min(widest, len(dc))):
+            if dc[c] is not None:
+                of[lane, c] = row(dc[c]), row(ac[c])
+    table = np.stack(rows) if rows else np.zeros((1, 65536), np.int32)
+    out = np.zeros((int(n.sum()), 64), np.int32)
+    last = np.zeros((len(parts), widest), np.int64)
+    block, k = first.copy(), np.zeros(len(parts), np.int64)
+    stop = first + n
+    lanes = lanes[(n > 0) & (size > 0)]
+    while len(lanes):
+        p, kk, bb = pos[lanes], k[lanes], block[lanes]
+        at = p >> 3
+        window = data[at] << 32 | data[at + 1] << 24 | data[at + 2] << 16 | data[at + 3] << 8 | data[at + 4]
+        room = 40 - (p & 7)
+        c = comp[bb]
+        is_dc = kk == 0
+        found = table[of[lanes, c, (~is_dc).astype(np.int64)], (window >> (room - 16)) & 0xFFFF]
+        bits, sym = found >> 8, found & 255
+        if not bits.all():
+            raise CodingError("no such code")
+        s = np.where(is_dc, sym, sym & 15)
+        raw = (window >> np.maximum(room - bits - s, 0)) & ((1 << s) - 1)
+        value = np.where(s == 0, 0, np.where(raw >> np.maximum(s - 1, 0) > 0, raw, raw - (1 << s) + 1))
+        pos[lanes] = p + bits + s
+        d = lanes[is_dc]
+        last[d, c[is_dc]] += value[is_dc]
+        out[bb[is_dc], 0] = last[d, c[is_dc]]
+        ac = ~is_dc & (s > 0)
+        to = kk + np.where(ac, sym >> 4, 0)
+        if (to > 63).any():
+            raise CodingError("a run passes the end of a block")
+        out[bb[ac], to[ac]] = value[ac]
+        kk = np.where(is_dc, 1, np.where(ac, to + 1, np.where(sym == 0xF0, kk + 16, 64)))
+        done = kk >= 64
+        k[lanes] = np.where(done, 0, kk)
+        block[lanes] = bb + done
+        lanes = lanes[(block[lanes] < stop[lanes]) & (pos[lanes] < end[lanes])]
+    return [out[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+
+
 def coding_order(comps: list[Component], interleaved: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
     """For each scan: component, block row and block column of each block in order, MCUs, and MCUs a segment."""
     if not interleaved:
@@ -541,8 +647,9 @@ def assemble(width: int, height: int, comps: list[Component], restart: int, p: P
 def encode(data: bytes, width: int, height: int, color_space: str = "rgb", pixel_format: str = "444-u8-p012", padding: int = 0, params: Params | None = None) -> bytes:
     p = params or Params()
     comps, coefs, restart = quantise(data, width, height, color_space, pixel_format, padding, p)
-    kinds = [c.kind for c in comps]
-    return assemble(width, height, comps, restart, p, [(scan, seg, pack_segment(blocks, comp, kinds)) for scan, seg, _, comp, blocks in segments_of(comps, coefs, p.interleaved)])
+    found = list(segments_of(comps, coefs, p.interleaved))
+    packed = pack_all([(comp, blocks) for _, _, _, comp, blocks in found], [c.kind for c in comps])
+    return assemble(width, height, comps, restart, p, [(scan, seg, data) for (scan, seg, *_), data in zip(found, packed, strict=True)])
 
 
 # ---- reading --------------------------------------------------------------------
@@ -779,17 +886,31 @@ def scan_plan(j: Jpeg, k: int) -> tuple[list[Component], np.ndarray, np.ndarray,
     return comps, np.full(len(by), c.index), by, bx, len(by), j.restart or len(by)
 
 
-def decode_segment(j: Jpeg, k: int, seg: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Component, row, column and coefficients of the blocks of a segment of scan k."""
-    _, comp, by, bx, mcus, per = scan_plan(j, k)
-    each = len(comp) // mcus
-    part = slice(seg * per * each, min(mcus, (seg + 1) * per) * each)
+def scan_tables(j: Jpeg, k: int) -> tuple[list, list]:
+    """DC and AC lookups of scan k by component."""
     spec, _, huffman = j.scans[k]
     dc, ac = [None] * len(j.ids), [None] * len(j.ids)
     for c, d, a in spec:
         dc[c] = _lookup(huffman.get(d, T.HUFFMAN["luma" if d == 0 else "chroma", "dc"]))
         ac[c] = _lookup(huffman.get(16 + a, T.HUFFMAN["luma" if a == 0 else "chroma", "ac"]))
-    return comp[part], by[part], bx[part], unpack_segment(data, comp[part].tolist(), dc, ac, len(j.ids))
+    return dc, ac
+
+
+def decode_segments(j: Jpeg, wanted: list[tuple[int, int, bytes]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Component, row, column and coefficients of the blocks of segments (scan, segment, bits)."""
+    plans = {k: scan_plan(j, k)[1:] for k in {k for k, _, _ in wanted}}
+    tables = {k: scan_tables(j, k) for k in plans}
+    cells = []
+    for k, seg, _ in wanted:
+        comp, by, bx, mcus, per = plans[k]
+        each = len(comp) // mcus
+        part = slice(seg * per * each, min(mcus, (seg + 1) * per) * each)
+        cells.append((comp[part], by[part], bx[part]))
+    if len(wanted) < LANES:
+        found = [unpack_segment(data, comp.tolist(), *tables[k], len(j.ids)) for (k, _, data), (comp, _, _) in zip(wanted, cells, strict=True)]
+    else:
+        found = unpack_side_by_side([data for _, _, data in wanted], [c for c, _, _ in cells], [tables[k] for k, _, _ in wanted])
+    return [(*cell, blocks) for cell, blocks in zip(cells, found, strict=True)]
 
 
 _LOOKUPS: dict = {}
@@ -872,12 +993,12 @@ def empty_coefs(j: Jpeg) -> list[np.ndarray]:
 def decode(data: bytes, color_space: str = "default", pixel_format: str = "auto", **options):
     j = read(data)
     coefs = empty_coefs(j)
-    for k, (_, parts, _) in enumerate(j.scans):
-        for seg, part in enumerate(parts):
-            comp, by, bx, blocks = decode_segment(j, k, seg, part)
-            for c in np.unique(comp):
-                m = comp == c
-                coefs[c][by[m], bx[m]] = blocks[: len(comp)][m]
+    found = decode_segments(j, [(k, seg, part) for k, (_, parts, _) in enumerate(j.scans) for seg, part in enumerate(parts)])
+    if found:
+        comp, by, bx, blocks = (np.concatenate(x) for x in zip(*found, strict=True))
+        for c in range(len(coefs)):
+            m = comp == c
+            coefs[c][by[m], bx[m]] = blocks[m]
     raw, cs, pf, padding = rebuild(j, coefs, color_space, pixel_format, **options)
     return j.width, j.height, cs, pf, padding, raw
 

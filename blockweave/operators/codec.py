@@ -81,16 +81,26 @@ def pack(segs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                data, error = None, row.error
+            groups: dict[tuple, list[int]] = {}
+            for at, (kinds, error) in enumerate(zip(batch.kinds, batch.error, strict=True)):
                 if error is None:
-                    try:
-                        data = J.pack_segment(np.frombuffer(row.coefs, np.int16).reshape(-1, 64), np.frombuffer(row.comp, np.uint8).astype(int), list(row.kinds))
-                    except Exception as e:  # noqa: BLE001
-                        error = _failing(mode, e)
-                out.append((row.image_id, row.scan, row.seg, row.mcu_count, data, error))
-            yield pd.DataFrame(out, columns=["image_id", "scan", "seg", "mcu_count", "data", "error"])
+                    groups.setdefault(tuple(kinds), []).append(at)
+            data, errors = [None] * len(batch), batch.error.tolist()
+            blocks = lambda at: (np.frombuffer(batch.comp.iloc[at], np.uint8).astype(int), np.frombuffer(batch.coefs.iloc[at], np.int16).reshape(-1, 64))  # noqa: B023, E731
+            for kinds, rows in groups.items():
+                try:
+                    packed = J.pack_all([blocks(at) for at in rows], list(kinds))
+                except J.CodingError:  # one of them has no code; which one shows when each goes alone
+                    packed = []
+                    for at in rows:
+                        try:
+                            packed += J.pack_all([blocks(at)], list(kinds))
+                        except J.CodingError as e:
+                            errors[at] = _failing(mode, e)
+                            packed.append(None)
+                for at, bits in zip(rows, packed, strict=True):
+                    data[at] = bits
+            yield batch[["image_id", "scan", "seg", "mcu_count"]].assign(data=data, error=errors)
 
     return segs.mapInPandas(run, "image_id long, scan int, seg int, mcu_count int, data binary, error string")
 
@@ -166,15 +176,11 @@ def coefficients(files: DataFrame, column: str = "jpeg", spread: bool = True) ->
 
     def run(batches):
         for batch in batches:
-            out, heads = [], {}
-            for row in batch.itertuples():
-                head = bytes(row.head)
-                if head not in heads:
-                    if len(heads) > 32:
-                        heads.clear()
-                    heads[head] = J.read(head)
-                comp, by, bx, blocks = J.decode_segment(heads[head], row.scan, row.seg, bytes(row.data))
-                out += [(row.image_id, row.scan, row.seg, int(c), int(y), int(x), b) for c, y, x, b in zip(comp, by, bx, blocks, strict=True)]
+            out = []
+            for head, part in batch.groupby("head", sort=False):
+                wanted = [(row.scan, row.seg, bytes(row.data)) for row in part.itertuples()]
+                for i, (scan, seg, _), (comp, by, bx, blocks) in zip(part.image_id, wanted, J.decode_segments(J.read(bytes(head)), wanted), strict=True):
+                    out += [(i, scan, seg, int(c), int(y), int(x), b) for c, y, x, b in zip(comp, by, bx, blocks, strict=True)]
             yield pd.DataFrame(out, columns=["image_id", "scan", "seg", "comp", "by", "bx", "coefs"])
 
     parts = files.select("image_id", F.col(column).alias("data")).mapInPandas(split, "image_id long, scan int, seg int, data binary, head binary")

@@ -157,6 +157,29 @@ def test_colour_arithmetic_matches_the_definition(c, source, target):
     assert J.convert(np.array(c, np.uint8).reshape(1, 1, 3), source, target).ravel().tolist() == want
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.integers(-300, 300), min_size=64, max_size=64), min_size=2, max_size=8), st.integers(0, 63), st.data())
+def test_segments_side_by_side(blocks, zeros, data):
+    b = np.array(blocks, np.int16)
+    b[:, zeros:] = 0
+    starts = np.array(sorted({0, *data.draw(st.lists(st.integers(0, len(b) - 1), max_size=4))}))
+    comp = np.arange(len(b)) % 3
+    kinds = ["luma", "chroma", "chroma"]
+    bounds = list(zip(starts, [*starts[1:], len(b)], strict=True))
+    packed = J.pack_segments(b, comp, starts, kinds)
+    assert packed == [J.pack_segment(b[x:y], comp[x:y], kinds) for x, y in bounds]
+    tables = tuple([J._lookup(T.HUFFMAN[k, g]) for k in kinds] for g in ("dc", "ac"))
+    lanes = J.unpack_side_by_side(packed, [comp[x:y] for x, y in bounds], [tables] * len(bounds))
+    assert (np.concatenate(lanes) == b).all()
+    short = [p[: len(p) // 2] for p in packed]
+    one_by_one = [J.unpack_segment(p, comp[x:y].tolist(), *tables, 3) for p, (x, y) in zip(short, bounds, strict=True)]
+    try:
+        together = J.unpack_side_by_side(short, [comp[x:y] for x, y in bounds], [tables] * len(bounds))
+    except J.CodingError:
+        return
+    assert all((p == q).all() for p, q in zip(one_by_one, together, strict=True))
+
+
 def images_frame(spark, rows):
     return spark.createDataFrame(rows, "image_id long, width int, height int, color_space string, pixel_format string, width_padding int, data binary")
 
@@ -170,7 +193,7 @@ def test_frames(spark):
     spread = {r.image_id: r for r in codec.encode(frame, spread=True).collect()}
     assert bytes(spread[1].jpeg) == bytes(out[1].jpeg) and spread[2].error and spread[2].jpeg is None
     with pytest.raises(Exception, match="too few"):
-        codec.encode(frame, mode="FAILFAST").collect()
+        codec.encode(frame.where("image_id = 2"), mode="FAILFAST").collect()
     files = codec.encode(frame).select("image_id", "jpeg").where("jpeg is not null")
     back = codec.decode(files, alignment=16).first()
     assert (back.width, back.height, back.pixel_format, back.error) == (40, 24, "444-u8-p012", None)
