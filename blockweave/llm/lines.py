@@ -40,6 +40,10 @@ def chunk_bounds(lines: Column) -> Column:
     return let(F.transform(lines, _line_hash), lambda h: let(rolls(h), by_roll))
 
 
+def _chunk_hash(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
 def _piece(lines: Column, bound: Column) -> Column:
     """The text of a chunk."""
     return F.array_join(F.slice(lines, bound["s"] + 1, bound["n"]), "\n")
@@ -54,11 +58,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     their names cannot clash; an empty table gives no rows.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
-    bounds = let(F.split("text", "\n"), lambda ls: let(chunk_bounds(ls), lambda b: F.transform(F.filter(b, lambda c: c["n"] > 1), lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), F.xxhash64(_piece(ls, c)).alias("h")))))
+    bounds = let(F.split("text", "\n"), lambda ls: let(chunk_bounds(ls), lambda b: F.transform(F.filter(b, lambda c: c["n"] > 1), lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), _chunk_hash(_piece(ls, c)).alias("h")))))
     light = docs.where(F.col("text").contains("\n")).select("id", "th", F.explode(bounds).alias("c")).select("id", "th", "c.k", "c.n", "c.h")
     light = cut(light.dropDuplicates(["id", "th", "k"]))  # hashes and places only
     often = light.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("h")
-    maybe = cut(light.join(often, "h", "left_semi"))
+    maybe = cut(light.join(cut(often), "h", "left_semi"))  # dealt anew on both sides, so a hot hash can be split
     per_doc = maybe.groupBy(F.col("id").alias("id1"), F.col("th").alias("th1")).agg(F.collect_list(F.struct("k", "h")).alias("ks"))  # a document's own chunks
     same = lambda a, b: F.col("id").eqNullSafe(F.col(a)) & (F.col("th") == F.col(b))
     texts = docs.join(per_doc, same("id1", "th1"), "left").where(F.col("ks").isNotNull())
@@ -69,7 +73,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     groups = cut(candidates.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("times")))
     per_hash = groups.groupBy("h").agg(F.count("*").alias("n_texts"), F.min("first").alias("first"), F.max("times").alias("times"))
     alike = per_hash.where((F.col("n_texts") == 1) & (F.col("times") > 1)).select(F.col("h").alias("h2"), "first")
-    gone = maybe.join(alike, F.col("h") == F.col("h2")).where(place != F.col("first")).select("id", "th", "k", "n")
+    gone = maybe.join(cut(alike), F.col("h") == F.col("h2")).where(place != F.col("first")).select("id", "th", "k", "n")
     clashes = per_hash.where(F.col("n_texts") > 1).select("h")
     if not clashes.isEmpty():  # one hash, several texts: these are told apart by their text
         told = groups.join(clashes, "h", "left_semi").where(F.col("times") > 1).select(F.col("h").alias("h2"), F.col("chunk").alias("chunk2"), "first")

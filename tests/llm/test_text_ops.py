@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from blockweave.llm import bpe, html, jaccard, language, lines, mixing, quality, suffixes, topk, toxicity
 from blockweave.llm.common import Rolling, grouped, word_hashes, words
@@ -70,7 +71,10 @@ def brute_lines(rows):
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("clash", [False, True])
+def test_line_dedup(spark, monkeypatch, clash):
+    if clash:  # chunks of one hash and unlike texts must be told apart
+        monkeypatch.setattr(lines, "_chunk_hash", lambda chunk: (F.length(chunk) % 5).cast("long"))
     rng = np.random.default_rng(3)
     shared = [f"shared line {k}" for k in range(12)]
     rows = []
