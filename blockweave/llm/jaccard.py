@@ -198,3 +198,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("keeper")
+
+
+SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, array_to_string(ws, ' ') AS key, ws FROM w),
+texts AS (SELECT key, min(doc_id) AS node, count(*) AS n_copies, any_value(ws) AS ws FROM t GROUP BY key),
+sh AS (SELECT DISTINCT node, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT node, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM texts WHERE len(ws) > 0)),
+sizes AS (SELECT node, count(*) AS n FROM sh GROUP BY node),
+pairs AS (SELECT a.node AS u, b.node AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.node < b.node GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs JOIN sizes x ON x.node = u JOIN sizes y ON y.node = v WHERE 10 * c >= 8 * (x.n + y.n - c)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT node AS n, node AS m FROM texts UNION SELECT r.n, b.v FROM reach r JOIN both_ways b ON r.m = b.u),
+classes AS (SELECT n, min(m) AS class_id FROM reach GROUP BY n),
+degrees AS (SELECT u, count(*) AS n_links FROM both_ways GROUP BY u)
+SELECT t.doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies FROM t JOIN texts USING (key) JOIN classes c ON c.n = texts.node LEFT JOIN degrees d ON d.u = texts.node
+"""

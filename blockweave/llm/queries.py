@@ -17,4 +17,4 @@ QUERIES = {
     "op10_topk_search": topk.query,
 }
 
-SQL = {"op1_line_dedup": lines.SQL, "op10_topk_search": topk.SQL}
+SQL = {"op1_line_dedup": lines.SQL, "op4_jaccard_join": jaccard.SQL, "op7_suffix_dedup": suffixes.SQL, "op10_topk_search": topk.SQL}

@@ -174,4 +174,23 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    """Spans as "start-end,start-end" and sources as "id,id", so that SQL can be held against them."""
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias(c)
+    out = repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_repeated").cast("long").alias("n_repeated"), F.col("n_drop").cast("long").alias("n_drop"), text("spans"), text("drop_spans"), F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
+
+
+SQL = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS s, md5(array_to_string(ws[i:i + 49], ' ')) AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT doc_id, s, count(*) OVER (PARTITION BY w) AS c, first_value(doc_id) OVER o AS fd, first_value(s) OVER o AS fs FROM win WINDOW o AS (PARTITION BY w ORDER BY doc_id, s)),
+r AS (SELECT doc_id, s, fd, fd <> doc_id OR fs <> s AS later FROM f WHERE c > 1),
+kinds AS (SELECT 'all' AS kind, doc_id, s FROM r UNION ALL SELECT 'drop', doc_id, s FROM r WHERE later),
+cuts AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY kind, doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS cut FROM kinds),
+islands AS (SELECT *, sum(cut) OVER (PARTITION BY kind, doc_id ORDER BY s) AS g FROM cuts),
+spans AS (SELECT kind, doc_id, min(s) AS a, max(s) + 50 AS b FROM islands GROUP BY kind, doc_id, g),
+texts AS (SELECT kind, doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, CAST(sum(b - a) AS BIGINT) AS n FROM spans GROUP BY kind, doc_id),
+sources AS (SELECT doc_id, string_agg(CAST(fd AS VARCHAR), ',' ORDER BY fd) AS sources FROM (SELECT DISTINCT doc_id, fd FROM r WHERE later AND fd <> doc_id) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(x.n, 0) AS n_repeated, coalesce(y.n, 0) AS n_drop, coalesce(x.spans, '') AS spans, coalesce(y.spans, '') AS drop_spans, coalesce(s.sources, '') AS sources
+FROM documents d LEFT JOIN texts x ON x.kind = 'all' AND x.doc_id = d.doc_id LEFT JOIN texts y ON y.kind = 'drop' AND y.doc_id = d.doc_id LEFT JOIN sources s ON s.doc_id = d.doc_id
+"""
