@@ -40,7 +40,8 @@ OUTSIDE_TAGS = frozenset("nav footer aside form menu head dialog fieldset".split
 OUTSIDE_NAMES = frozenset(
     "ad ads advert advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar sidenav aside footer breadcrumb breadcrumbs pagination pager "
     "cookie cookies consent gdpr notice alert comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe "
-    "subscription signup login search toolbar widget widgets popup modal overlay masthead complementary contentinfo skip copyright".split()
+    "subscription signup login search toolbar widget widgets popup modal overlay masthead complementary contentinfo skip copyright "
+    "review reviews feedback discussion responses trending teaser teasers subnav topnav mainnav offcanvas paywall".split()
 )
 HEADER_NAMES = frozenset("header banner topbar".split())
 MAIN_TAGS, MAIN_NAMES = frozenset(("article", "main")), frozenset(("article", "main", "content", "post", "entry", "story"))
@@ -65,6 +66,16 @@ def _kind(tag: str, attributes: str, within: str) -> str:
     return "main" if tag in MAIN_TAGS or tag in BLOCK and names & MAIN_NAMES else within
 
 
+def _unended(mark: re.Match) -> bool:
+    """Whether a comment or raw text lacks its end, so that the rest of the page is part of it."""
+    text = mark[0]
+    if text.startswith("<!--"):
+        return not text.endswith("-->")
+    if text.startswith("<![CDATA["):
+        return not text.endswith("]]>")
+    return mark[1] is not None and not re.search(rf"</{mark[1]}\s*>$", text, re.I)
+
+
 def scan(page: str):
     """Yields (text, None) for text and (None, tag) for tags, each with the kind of container, block tag and link flag."""
     stack: list[tuple[str, str]] = []
@@ -75,7 +86,10 @@ def scan(page: str):
         return (stack[-1][1] if stack else "none"), block, link > 0
 
     now = state()
-    for m in _MARK.finditer(page):
+    limit = page.rfind(">") + 1  # no tag ends beyond it, so none is looked for there
+    whole = True
+    for m in _MARK.finditer(page, 0, limit):
+        whole = m.end() < limit or not _unended(m)
         if m.start() > at:
             yield page[at : m.start()], None, now
         at = m.end()
@@ -85,7 +99,7 @@ def scan(page: str):
             continue
         tag = m[3].lower()
         if m[2]:
-            if any(t == tag for t, _ in stack):
+            if stack and stack[-1][0] == tag or any(t == tag for t, _ in stack):
                 if tag in BLOCK or tag == "a" or stack[-1][0] == tag:
                     while stack:
                         t, _ = stack.pop()
@@ -118,8 +132,9 @@ def scan(page: str):
             link += tag == "a"
         now = state()
         yield None, tag, now
-    if at < len(page):
-        yield page[at:], None, now
+    if at < len(page) and whole:
+        comment = page.find("<!--", at)
+        yield page[at : comment if comment >= 0 else len(page)], None, now
 
 
 # ---- weights from labelled pages -----------------------------------------------

@@ -251,7 +251,9 @@ def test_main_text():
     for empty in (None, "", "<p></p>", "<nav>a b c</nav>", "<script>x", "<!-- c"):
         assert html.extract(empty, w) == ""
     assert html.extract("only  plain\ntext", w) == "only plain text"
-    for broken in ("<p>a <", "<a href='x>y</a>", "</div></p><p>text here</p>", "<" * 2000, "<p" * 500, "<p>" * 3000 + "deep"):
+    assert html.extract("<p>seen</p><script>var x = 1; a < b", w) == html.extract("<p>seen</p><!-- <p>no</p> and", w) == html.extract("<p>seen</p><!-- no", w) == "seen"
+    assert html.extract("<p>one</p><p>two < three", w) == "one\ntwo < three"
+    for broken in ('<a b="' * 20000,"<p>a <", "<a href='x>y</a>", "</div></p><p>text here</p>", "<" * 2000, "<p" * 500, "<p>" * 3000 + "deep"):
         html.extract(broken, w)
     assert html.extract("<body><div><p>one two three four five</p><p>six</p></div><ul><li><a href=x>m</a></li></ul>", w) == "one two three four five\nsix"
 
