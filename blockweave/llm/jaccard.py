@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ SHINGLE, TENTHS = 5, 8
 BANDS, ROWS = 24, 4
 #: A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^4)^24 < 4e-6; pruning adds at most 6 tolerances.
 TOLERANCE = 1e-7
-STEP, BLOCK = 16, 256
+STEP, BLOCK, SLICE = 16, 256, 500
 _HASHES = BANDS * ROWS
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,7 +89,7 @@ def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, tenths: in
         if not len(i):
             return i, j
     every = np.unique(np.concatenate([*sets_a, *([] if sets_b is None else sets_b)]))
-    if len(i) > 64 and len(every) * (len(sets_a) + len(other)) <= 2e7:
+    if len(i) > 64 and len(every) * (len(sets_a) + len(other)) <= 8e6:
         def dense(sets):
             m = np.zeros((len(sets), len(every)), np.float32)
             for k, s in enumerate(sets):
@@ -156,15 +157,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sign(batches):
         for batch in batches:
-            out = []
-            for text in batch.text:
-                digest = np.frombuffer(hashlib.blake2b(b" ".join(words(text)), digest_size=16).digest(), np.int64)
-                sh = shingles(text)
-                out.append((int(digest[0]), int(digest[1]), bands(minhash(sh)) if len(sh) else np.zeros(0, np.int64)))
-            yield pd.DataFrame({"id": batch.id.to_numpy(), "nid": batch.nid.to_numpy(), "hi": [o[0] for o in out], "lo": [o[1] for o in out], "bands": [o[2] for o in out]})
+            for at in range(0, batch.num_rows, SLICE):  # texts become Python objects a slice at a time
+                part = batch.slice(at, SLICE)
+                digests, rows, ends = [], [np.zeros(0, np.int64)], [0]
+                for text in part.column(2).to_pylist():
+                    digests.append(np.frombuffer(hashlib.blake2b(b" ".join(words(text)), digest_size=16).digest(), np.int64))
+                    sh = shingles(text)
+                    rows.append(bands(minhash(sh)) if len(sh) else rows[0])
+                    ends.append(ends[-1] + len(rows[-1]))
+                hi, lo = np.stack(digests).T
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hi), pa.array(lo), lists], names=["id", "nid", "hi", "lo", "bands"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    signed = stored(docs.mapInPandas(sign, f"id {id_type}, nid long, hi long, lo long, bands array<long>"))
+    signed = stored(docs.mapInArrow(sign, f"id {id_type}, nid long, hi long, lo long, bands array<long>"))
     texts = signed.groupBy("hi", "lo").agg(F.min("nid").alias("node"), F.count("*").alias("n_copies"), F.min(F.col("id").cast("long")).alias("least_id"))
     texts = stored(texts)
     keyed = texts.select(F.col("hi").alias("thi"), F.col("lo").alias("tlo"), "node")
@@ -178,9 +184,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def shingled(batches):
         for batch in batches:
-            yield batch.drop(columns="text").assign(sh=[shingles(t).tobytes() for t in batch.text])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sh = pa.array([shingles(t).tobytes() for t in part.column(4).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], sh], names=["node", "fam", "blocks", "block", "sh"])
 
-    rows = with_text.mapInPandas(shingled, "node long, fam long, blocks int, block int, sh binary")
+    rows = with_text.mapInArrow(shingled, "node long, fam long, blocks int, block int, sh binary")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("node", "fam", "block", "sh", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     compared = stored(rows.repartition("fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj").mapInPandas(_compare, "u long, v long, links long"))
