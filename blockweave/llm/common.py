@@ -27,6 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch: texts are long, and Spark's 10,000 would hold tens of MB on both sides of the pipe to Python.
+BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lowers the session's Arrow batches to BATCH rows, unless they are smaller already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, even where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

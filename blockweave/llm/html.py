@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import table
+from blockweave.llm.common import small_batches, table
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -240,6 +240,7 @@ def main_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("p
     rows pass through. Columns that are not named are not read; an empty table gives no rows. ``pages`` are labelled
     pages to learn from in place of the built-in ones.
     """
+    small_batches(df)
     weights = learn(pages)
     schema = ", ".join(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", text string, n_chars long"
 

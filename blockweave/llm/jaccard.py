@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import Rolling, grouped, mix, stored, table, word_hashes, words
+from blockweave.llm.common import Rolling, grouped, mix, small_batches, stored, table, word_hashes, words
 from blockweave.llm.components import components
 
 SHINGLE, TENTHS = 5, 8
@@ -153,6 +153,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of its text under a stand-in drawn from the text, and counts; class_id is null only if no row of the class has an id. Rows that
     share an id share a class. ``keeper`` is ``node_id`` of the rows of the class that stay if one is to. Only the named columns are read; an empty table gives no rows.
     """
+    small_batches(df)
     docs = df.select(F.col(id_col).alias("id"), node_id(id_col, text_col).alias("nid"), F.col(text_col).alias("text"))
 
     def sign(batches):

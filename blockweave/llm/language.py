@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import mix, remainder, table
+from blockweave.llm.common import mix, remainder, small_batches, table
 
 #: Slots of the sample: at most so many documents of each language are learned from.
 SAMPLE = 600
@@ -159,6 +159,7 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     is null or has no letter is ``und`` with score 0; so is every text if nothing could be learned. A null id is classified
     and never learned from; repeated rows each give their row. Only the named columns are read.
     """
+    small_batches(df)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     able = docs.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (remainder("id") != 2))
     slots = able.withColumn("h", F.xxhash64("id")).groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min("h").alias("h"), F.count("*").alias("n"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import Rolling, mix, table, words
+from blockweave.llm.common import Rolling, mix, small_batches, table, words
 
 BUCKETS = 1 << 14
 #: Most trusted documents that the target multinomial is fitted on, drawn by a hash of the id.
@@ -72,6 +72,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted: int = TRUSTED, buckets: int = BUCKETS) -> np.ndarray:
     """Log ratio of each bucket. Raw counts cover every row of df; at most ``trusted`` labelled ids feed the target."""
+    small_batches(df)
     ids = labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("trusted_id")).distinct()
     ids = ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted)  # so the broadcast below has a fixed bound
     marked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("target"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import Rolling, remainder, table
+from blockweave.llm.common import Rolling, remainder, small_batches, table
 
 #: Most labelled rows of each class that the model is fitted on, drawn by a hash of the id.
 SAMPLE = 3000
@@ -138,6 +138,7 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     give their row. Without labels of both classes every score is the clipped share of toxic labels. Only the named
     columns are read.
     """
+    small_batches(df)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (remainder(id_col) != 2)).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
     drawn = lambda x: known.where(F.col("label") == x).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     ids = drawn(1).unionByName(drawn(0))  # at most 2 * sample rows: the bound of the broadcast
