@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import WORD, Rolling, stored, table, word_hashes
+from blockweave.llm.common import Rolling, WORD, small_batches, stored, table, word_hashes
 
 _WORD = re.compile(WORD)
-LENGTH, WINDOW, GRAM = 50, 25, 4
+LENGTH, WINDOW, GRAM, SLICE = 50, 25, 4, 500
 PREFIX = LENGTH - WINDOW + 1  # at least WINDOW, so that neighbouring retained prefixes leave no gap
 
 
@@ -59,24 +59,34 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.concatenate([cut, [len(starts) - 1]])].tolist(), strict=True))
 
 
-def _retain(batches):
+def _slices(batches):
+    """Rows of Arrow batches as lists, a few at a time, so that few texts are Python objects at once."""
     for batch in batches:
-        out = []
-        for nid, text in zip(batch.nid, batch.text, strict=True):
+        for at in range(0, batch.num_rows, SLICE):
+            yield [c.to_pylist() for c in batch.slice(at, SLICE).columns]
+
+
+def _retain(batches):
+    for nids, texts in _slices(batches):
+        prints, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for nid, text in zip(nids, texts, strict=True):
             h = _hashes(text)
             p = np.unique(minimisers(h))
             if len(p):
-                out.append(pd.DataFrame({"h": Rolling(h).slices(p, p + PREFIX).view(np.int64), "nid": np.full(len(p), nid), "pos": p.astype(np.int32)}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+                prints.append(Rolling(h).slices(p, p + PREFIX))
+                owners.append(np.full(len(p), nid))
+                places.append(p)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "nid", "pos"])
+
+
+_KINDS = [("kind", pa.int32()), ("w", pa.int64()), ("nid", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("first", pa.bool_()), ("src", pa.int64())]
 
 
 def _extend(batches):
     """Of each text with repeated suffixes: certified runs of starts (kind 0) and windows still to compare (kind 1)."""
-    columns = ["kind", "w", "nid", "a", "b", "first", "src"]
-    for batch in batches:
+    for nids, texts, founds in _slices(batches):
         out = []
-        for nid, text, found in zip(batch.nid, batch.text, batch.found, strict=True):
+        for nid, text, found in zip(nids, texts, founds, strict=True):
             h = _hashes(text)
             at = {int(f["pos"]): f for f in found}
             p = sorted(at)
@@ -98,8 +108,9 @@ def _extend(batches):
             for a, b in _runs(starts[sure & (kind == 2)]):
                 out.append((0, 0, nid, a, b, True, nid))
             later = starts[sure & (kind == 1)]  # the first of each run holds these windows too
-            for pos in np.unique(of[later]).tolist():
-                f, own = at[pos], later[of[later] == pos]
+            places, firsts = np.unique(of[later], return_index=True)  # minimisers never step back, so equal ones are neighbours
+            for pos, own in zip(places.tolist(), np.split(later, firsts[1:]), strict=True) if len(places) else ():
+                f = at[pos]
                 for a, b in _runs(own):
                     out.append((0, 0, nid, a, b, False, f["pn"]))
                     out.append((0, 0, f["pn"], a + f["pp"] - pos, b + f["pp"] - pos, True, f["pn"]))
@@ -107,8 +118,8 @@ def _extend(batches):
             if len(ask):
                 w = Rolling(h).slices(ask, ask + LENGTH).view(np.int64)
                 out += [(1, x, nid, s, s, False, nid) for x, s in zip(w.tolist(), ask.tolist(), strict=True)]
-        if out:
-            yield pd.DataFrame(out, columns=columns)
+        columns = zip(*out, strict=True) if out else [()] * len(_KINDS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _KINDS, strict=True)], names=[n for n, _ in _KINDS])
 
 
 def _gather(batches):
@@ -132,16 +143,17 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id takes part under a stand-in drawn from its text, before all others. Rows that share an id but not their text are
     told apart by nothing and may lose a passage they share. Only the named columns are read; no rows give no rows.
     """
+    small_batches(df)
     stand_in = -(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2)) - F.lit(1 << 61)
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), stand_in).alias("nid"), F.col(text_col).alias("text"))
     place = F.struct(F.col("nid"), F.col("pos"))
-    retained = stored(docs.select("nid", "text").mapInPandas(_retain, "h long, nid long, pos int"))
+    retained = stored(docs.select("nid", "text").mapInArrow(_retain, "h long, nid long, pos int"))
     runs = stored(retained.groupBy(F.col("h").alias("h2")).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") != F.col("hi")))
     is_first = place == F.col("lo")
     found = retained.join(runs, F.col("h") == F.col("h2")).select("nid", F.struct("pos", F.when(is_first, F.col("hi.nid")).otherwise(F.col("lo.nid")).alias("pn"), F.when(is_first, F.col("hi.pos")).otherwise(F.col("lo.pos")).alias("pp"), is_first.alias("first")).alias("f"))
-    per_text = found.groupBy(F.col("nid").alias("fnid")).agg(F.collect_list("f").alias("found"))  # a text's own suffixes
+    per_text = found.groupBy(F.col("nid").alias("fnid")).agg(F.collect_set("f").alias("found"))  # a text's own suffixes, once each
     kinds = "kind int, w long, nid long, a int, b int, first boolean, src long"
-    grown = stored(docs.select("nid", "text").join(per_text, F.col("nid") == F.col("fnid")).select("nid", "text", "found").mapInPandas(_extend, kinds))
+    grown = stored(docs.select("nid", "text").join(per_text, F.col("nid") == F.col("fnid")).select("nid", "text", "found").mapInArrow(_extend, kinds))
     windows = grown.where("kind = 1").select("w", "nid", F.col("a").alias("pos"))
     met = stored(windows.groupBy(F.col("w").alias("w2")).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") != F.col("hi")).select("w2", "lo"))
     told = windows.join(met, F.col("w") == F.col("w2")).select("nid", F.col("pos").alias("a"), F.col("pos").alias("b"), (place == F.col("lo")).alias("first"), F.col("lo.nid").alias("src"))
