@@ -9,6 +9,7 @@ rank. Words that were met keep their ids in a table of bounded size. Decoding lo
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -19,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import table
+from blockweave.llm.common import small_batches, table
 
 #: Most words and white-space-free runs whose ids a worker keeps; beyond it the table starts anew.
-KEEP = 400_000
+KEEP = 300_000
 #: UTF-8 bytes of text that one slice of rows and one output batch hold, unless one text alone is longer.
 SLICE = 2_000_000
 
@@ -169,6 +170,7 @@ class Splitter:
 class Encoder:
     def __init__(self, path: str, keep: int = KEEP):
         self.vocabulary, self.keep, self.split = Vocabulary(path), keep, Splitter()
+        self.decimal = [str(i) for i in range(len(self.vocabulary.tokens))]
         self.of_piece: dict[bytes, bytes] = {}
         self.of_run: dict[str, bytes] = {}
         self.special = {t: np.int32(i).tobytes() for t, i in self.vocabulary.special.items()}
@@ -204,6 +206,11 @@ class Encoder:
             look[token] = ids
         return [b"".join(map(look.__getitem__, p)) for p in parts]
 
+    def digest(self, ids: bytes) -> tuple[str, str]:
+        """SHA-256 of the ids in decimal, joined by spaces, and of the decoded text."""
+        numbers = " ".join(map(self.decimal.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+        return hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
+
     def decode(self, ids: bytes | list[int]) -> str:
         tokens = self.vocabulary.tokens
         return " ".join([tokens[i] for i in (np.frombuffer(ids, np.int32).tolist() if isinstance(ids, bytes) else ids)])
@@ -214,13 +221,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def bpe(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of int), decoded: a row for each row of df.
+def bpe(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """id, ids (array of int), decoded: a row for each row of df; with ``digest`` what digests() makes of them instead.
 
     ``path`` is a tokenizer file that every worker can open: word-level BPE with a word end, lower case, white space
     dropped. Null texts count as empty: no ids, and an empty decoded text. Nulls in the id and repeated rows pass
     through. Only the named columns are read, so others cannot clash; an empty table gives no rows.
     """
+    small_batches(df)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -236,13 +244,18 @@ def bpe(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
                     part.append(t)
                     end += 1
                 coded = coder.encode(part)
+                if digest:  # made here, ids and decoded texts need not travel to the JVM
+                    made = [coder.digest(c) for c in coded]
+                    yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([m[0] for m in made]), pa.array([m[1] for m in made])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    start = end
+                    continue
                 values = pa.array(np.frombuffer(b"".join(coded), np.int32), pa.int32())
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32), pa.int32())
                 decoded = pa.array([coder.decode(c) for c in coded], pa.string())
                 yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.ListArray.from_arrays(offsets, values), decoded], names=["id", "ids", "decoded"])
                 start = end
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, ids array<int>, decoded string")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"id {id_type}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -257,4 +270,4 @@ def tokenizer_path() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(bpe(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return bpe(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)

@@ -233,6 +233,8 @@ def test_bpe_frame(spark, library):
         assert digests[k].ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest() and digests[k].n_tokens == len(want)
         assert digests[k].decoded_sha256 == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
     assert out[1, ""].ids == []
+    in_worker = bpe.bpe(docs(spark, rows[: len(ODD)]), bpe.tokenizer_path(), digest=True).collect()
+    assert {r.doc_id: tuple(r) for r in in_worker} == {i: tuple(r) for i, r in digests.items()}
     assert bpe.bpe(docs(spark, []), bpe.tokenizer_path()).count() == 0
 
 
