@@ -4,8 +4,9 @@ Each source has a target total of words, so each of its documents is to be taken
 part for sure, the fraction by balanced sampling. The flight phase moves the vector of fractional inclusion
 probabilities through the null space of two constraints, the expected number of words and of documents, until a coordinate
 reaches 0 or 1, and again with the next document. It runs in blocks of a source, dealt by hash; each leaves at most two
-undecided documents, which meet in fewer blocks in the next round, until a source has one block. There the last two, and
-a few held back for it, are the landing problem: they are decided so that words and documents miss their targets least.
+undecided documents and a few held back, which meet in fewer blocks in the next round, until a source has one block,
+whatever the others have. There the last two and a few held back are the landing problem: they are decided so that words
+and documents miss their targets least.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from blockweave.llm.common import WORD, cut, grouped, table
 
 #: Documents in a block of the flight phase.
 BLOCK = 4096
+#: Documents held back for the landing.
+HELD = 14
 #: No document is taken more often.
 MOST = 3
 EPS = 1e-9
@@ -56,14 +59,15 @@ def _flight(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.array(val)
 
 
-def _reserve(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Open documents that the landing may still move: for each power of two the one nearest in size, at most 14."""
+def _reserve(p: np.ndarray, size: np.ndarray, most: int = HELD) -> np.ndarray:
+    """Open documents that the landing may still move: for each power of two the one nearest in size, at most ``most``."""
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     picked: list[int] = []
     for j in range(int(np.log2(max(1.0, size[open_].max(initial=1)))), -1, -1):
-        rest = [i for i in open_.tolist() if i not in picked]
-        if rest and len(picked) < 14:
-            picked.append(min(rest, key=lambda i: (abs(size[i] - 2.0**j), i)))
+        if len(open_) and len(picked) < most:
+            at = int(np.argmin(np.abs(size[open_] - 2.0**j)))
+            picked.append(int(open_[at]))
+            open_ = np.delete(open_, at)
     return np.array(picked, int)
 
 
@@ -127,14 +131,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     units = units.withColumn("rate", rate).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0)).withColumn("whole", F.floor("rate").cast("long"))
     units = cut(units.select("id", "source", "size", "h", "ordinal", "source_size", "target", "n", "p", "whole"))
 
-    def fly(salt: int, land: bool):
+    keep = max(0, min(HELD, block // 2 - 2))  # held back in each block of several: rows must get fewer from round to round
+
+    def fly(salt: int):
         def run(batches):
             for g in grouped(batches, ["sh", "k"]):
                 g = g.sort_values(["h", "ordinal", "size"], kind="stable")
                 u = np.random.default_rng([seed, salt, int(g.k.iloc[0]), int(g.sh.iloc[0]) & 0xFFFFFFFF]).random(len(g) + 3)
                 size = g["size"].to_numpy(float)
                 p = g.p.to_numpy(float)
-                held = _reserve(p, size) if land else np.zeros(0, int)
+                land = g.n.iloc[0] <= block  # the source has this block only
+                held = _reserve(p, size, HELD if land else keep)
                 others = np.setdiff1d(np.arange(len(g)), held)
                 p[others] = _flight(p[others], size[others], u)
                 g["p"] = _landing(p, size) if land else p
@@ -151,15 +158,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).cast("long")
         last = most <= block
-        flown = open_.withColumn("k", F.pmod(F.xxhash64(F.lit(round_), "h", "ordinal"), blocks)).repartition("sh", "k").sortWithinPartitions("sh", "k").mapInPandas(fly(round_, last), schema)
+        flown = open_.withColumn("k", F.pmod(F.xxhash64(F.lit(round_), "h", "ordinal"), blocks)).repartition("sh", "k").sortWithinPartitions("sh", "k").mapInPandas(fly(round_), schema)
         flown = cut(flown)
         done = flown.where((F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)).select("sh", "h", "ordinal", "size", "id", "p")
         decided = done if decided is None else decided.unionByName(done)
         if last:
             break
-        # Each block leaves two at most: a source's next number of rows is bounded by twice its blocks.
-        open_ = flown.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).withColumn("n", 2 * blocks).drop("k")
-        most = 2 * -(-most // block)
+        # Each block leaves two and those held back at most: a source's next number of rows is bounded by so many times its blocks.
+        open_ = flown.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).withColumn("n", (keep + 2) * blocks).drop("k")
+        most = (keep + 2) * -(-most // block)
         round_ += 1
     chosen = decided.where(F.col("p") > 0.5).select(F.col("sh").alias("csh"), F.col("h").alias("ch"), F.col("ordinal").alias("co"), F.col("size").alias("cs"), F.col("id").alias("cid"))
     out = units.join(chosen, (F.col("h") == F.col("ch")) & (F.col("ordinal") == F.col("co")) & (F.col("size") == F.col("cs")) & (F.xxhash64("source") == F.col("csh")) & F.col("id").eqNullSafe(F.col("cid")), "left")

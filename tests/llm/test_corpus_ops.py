@@ -188,6 +188,21 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mixing_lands_beside_a_hot_source(spark):
+    """A source lands with documents held back, however large another one is; "two" has two blocks, "hot" many."""
+    rng = np.random.default_rng(12)
+    n = {"hot": 700, "one": 50, "small": 40, "third": 60, "two": 100}
+    rows = [(f"{s}{k}", 250 if k == 0 and s != "hot" else int(rng.integers(1, 5 if s == "hot" else 60)), s) for s in n for k in range(n[s])]
+    df = spark.createDataFrame([(i, " ".join(["w"] * size), s) for i, size, s in rows], "doc_id string, text string, source string")
+    sizes = {s: sum(size for _, size, t in rows if t == s) for s in n}
+    share = brute_targets(sizes)
+    taken = dict.fromkeys(n, 0)
+    for r in mixing.mix(df, block=64).collect():
+        taken[r.doc_id.rstrip("0123456789")] += r.taken
+    assert all(abs(taken[s] - share[s]) <= 3 for s in n), {s: taken[s] - share[s] for s in n}
+
+
+
 def test_flight_balances():
     rng = np.random.default_rng(9)
     size, p = rng.integers(1, 500, 400).astype(float), np.full(400, 0.37)
