@@ -741,15 +741,25 @@ def _(spark, d):
 _SPACES = [("ycbcr-jpeg", "default", "ycbcr-jpeg"), ("rgb", "default", "rgb"), ("ycbcr-bt601", "default", "ycbcr-bt601"), ("ycbcr-bt709", "default", "ycbcr-bt709"), ("ycbcr-bt601", "JFIF", "ycbcr-bt601"), ("rgb", "Adobe", "rgb"), ("rgb", "SPIFF", "rgb")]
 
 
-@query("i18_color_space", f"SELECT internal, header, found FROM {X.values(_SPACES, 'internal, header, found')}")
-def _(spark, d):
+def _color_spaces(spark, d) -> DataFrame:
+    """The colour space found in every image's file, for each of _SPACES: image_id, internal, header, found."""
     out = None
     for internal, header, _ in _SPACES:
-        one = codec.jpeg_info(_files(spark, d, color_space_internal=internal, header=header)).where("image_id = 0").select(F.lit(internal).alias("internal"), F.lit(header).alias("header"), F.col("color_space").alias("found"))
+        one = codec.jpeg_info(_files(spark, d, color_space_internal=internal, header=header)).select("image_id", F.lit(internal).alias("internal"), F.lit(header).alias("header"), F.col("color_space").alias("found"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query("i18_color_space", f"SELECT internal, header, found FROM {X.values(_SPACES, 'internal, header, found')}")
+def _(spark, d):
+    return _color_spaces(spark, d).select("internal", "header", "found").distinct()  # of all images: one that differs adds a row
+
+
+@query("i18_color_space_by_image", f"WITH i AS ({_IMAGES}) SELECT image_id, internal, header, found FROM i, {X.values(_SPACES, 'internal, header, found')}")
+def _(spark, d):
+    return _color_spaces(spark, d)
+
+
 _AUTO = [(n, s, i, pf, cs, J.output_format(J.Jpeg(ids=list(range(n)), sampling=list(sm), interleaved=i, color_space="ycbcr-jpeg"), cs, pf)) for n, s, sm in ((1, "1x1", ((1, 1),)), (3, "1x1", ((1, 1),) * 3), (3, "2x1", ((2, 1), (1, 1), (1, 1))), (3, "2x2", ((2, 2), (1, 1), (1, 1))), (4, "1x1", ((1, 1),) * 4)) for i in (False, True) for pf in ("auto", "native", "std", "no-alpha") for cs in ("default", "none")]
 _AUTO_SQL = """WITH a AS (SELECT * FROM {v}), b AS (SELECT *, CASE WHEN cs = 'default' THEN CASE WHEN comps = 1 THEN 'ycbcr-jpeg' ELSE 'rgb' END ELSE 'ycbcr-jpeg' END AS out_cs FROM a)
 SELECT CAST(comps AS INTEGER) AS comps, s, interleaved, pf, cs, out_cs, CASE WHEN comps = 1 THEN 'u8'
@@ -763,8 +773,11 @@ def _(spark, d):
     return spark.createDataFrame([(*a[:5], *a[5]) for a in _AUTO], "comps int, s string, interleaved boolean, pf string, cs string, out_cs string, out_pf string")
 
 
-@query("i20_unsupported", "SELECT * FROM (VALUES ('progressive', true), ('extended', false), ('garbage', true)) AS t(name, failed)")
-def _(spark, d):
+_UNSUPPORTED = [("progressive", True), ("extended", False), ("garbage", True)]
+
+
+def _unsupported(spark, d) -> DataFrame:
+    """Three broken files of every image: image_id, name, failed."""
     import pandas as pd
 
     def run(batches):
@@ -773,10 +786,20 @@ def _(spark, d):
                 good = bytes(r.jpeg)
                 at = good.index(b"\xff\xc0")
                 put = lambda code: good[: at + 1] + bytes([code]) + good[at + 2 :]  # noqa: B023, E731
-                yield pd.DataFrame({"name": ["progressive", "extended", "garbage"], "jpeg": [put(0xC2), put(0xC1), b"no image"], "image_id": [1, 2, 3]})
+                yield pd.DataFrame({"name": ["progressive", "extended", "garbage"], "jpeg": [put(0xC2), put(0xC1), b"no image"], "image_id": r.image_id})
+
+    bad = _files(spark, d).mapInPandas(run, "name string, jpeg binary, image_id long")
+    return codec.jpeg_info(bad, keys=("image_id", "name")).select("image_id", "name", F.col("error").isNotNull().alias("failed"))
+
 
-    bad = _files(spark, d).where("image_id = 0").mapInPandas(run, "name string, jpeg binary, image_id long")
-    return codec.jpeg_info(bad, keys=("name",)).select("name", F.col("error").isNotNull().alias("failed"))
+@query("i20_unsupported", "SELECT * FROM (VALUES ('progressive', true), ('extended', false), ('garbage', true)) AS t(name, failed)")
+def _(spark, d):
+    return _unsupported(spark, d).select("name", "failed").distinct()  # of all images: one that differs adds a row
+
+
+@query("i20_unsupported_by_image", f"WITH i AS ({_IMAGES}) SELECT image_id, name, failed FROM i, {X.values(_UNSUPPORTED, 'name, failed')}")
+def _(spark, d):
+    return _unsupported(spark, d)
 
 
 # ---- encode, decode, J: statistics ----------------------------------------------

@@ -36,6 +36,20 @@ def test_query(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.mark.parametrize("name", ["i18_color_space", "i20_unsupported"])
+def test_all_images(spark, tmp_path, name):
+    """Images other than the first are reported too, each in the query by image."""
+    events = spark.read.parquet(f"{SF}/events.parquet").where("event_id < 2000")
+    moved = [events.withColumn("event_id", events.event_id + 5000 * k) for k in (3, 7)]
+    moved[0].unionByName(moved[1]).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for n in (name, f"{name}_by_image"):
+        got, want = catalog.queries()[n](spark, str(tmp_path)).toPandas(), c.execute(catalog.oracle_sql()[n]).fetchdf()
+        assert rows_of(got) == rows_of(want)
+    assert set(got.image_id) == {3, 7}
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["vec_id", "zz", "coef"] and df.count() == 32000
