@@ -17,8 +17,8 @@ from blockweave.llm.common import mix, remainder, small_batches, table
 
 #: Slots of the sample: at most so many documents of each language are learned from.
 SAMPLE = 600
-#: Of the languages, those with most documents are learned, at most so many.
-LANGUAGES = 64
+#: Labelled rows in all: with more than 64 languages each has a smaller sample, of one row at least.
+ROWS = 38_400
 BUCKETS = 1 << 12
 EPOCHS, C = 6, 1.0
 UNKNOWN = "und"
@@ -155,16 +155,17 @@ class Classifier:
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, families=FAMILIES) -> DataFrame:
     """id, held_out, lang_pred, score: one row a row of df.
 
-    Learned from rows with a language whose id's crc32 modulo 4 is not 2, at most ``sample`` of a language. A text that
+    Learned from rows with a language whose id's crc32 modulo 4 is not 2, at most ``sample`` of a language
+    and ``ROWS`` in all, or one of each language if there are more languages than that. A text that
     is null or has no letter is ``und`` with score 0; so is every text if nothing could be learned. A null id is classified
     and never learned from; repeated rows each give their row. Only the named columns are read.
     """
     small_batches(df)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     able = docs.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (remainder("id") != 2))
-    slots = able.withColumn("h", F.xxhash64("id")).groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    langs = slots.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
-    drawn = slots.join(F.broadcast(langs.select("lang")), "lang").select(F.col("lang").alias("its"), "h")  # at most LANGUAGES * sample rows
+    slots = able.withColumn("h", F.xxhash64("id")).groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min("h").alias("h"))
+    share = slots.agg(F.greatest(F.lit(1), F.least(F.lit(sample), F.floor(F.lit(ROWS) / F.countDistinct("lang")))).alias("share"))
+    drawn = slots.crossJoin(F.broadcast(share)).groupBy(F.col("lang").alias("its"), F.pmod("slot", "share").alias("slot")).agg(F.min("h").alias("h")).drop("slot")
     rows = able.withColumn("h", F.xxhash64("id")).join(F.broadcast(drawn), "h").where(F.col("lang") == F.col("its")).select("id", "text", "lang").dropDuplicates(["id"])
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:

@@ -180,6 +180,18 @@ def test_language(spark):
     assert language.language_id(docs(spark, [])).count() == 0
 
 
+def test_many_languages(spark, monkeypatch):
+    """Each of 70 languages is learned, with as few rows in all as languages too."""
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 70 * 3)]
+    rows = [(k, " ".join("".join(alphabet[3 * (k % 70) :][:3]) for _ in range(4 + k // 70)), f"x{k % 70:02d}", "a") for k in range(70 * 6)]
+    for most in (None, 70):
+        if most:
+            monkeypatch.setattr(language, "ROWS", most)
+        got = language.language_id(docs(spark, rows)).collect()
+        assert {r.lang_pred for r in got} == {r[2] for r in rows}
+        assert all(r.lang_pred == f"x{r.doc_id % 70:02d}" for r in got)
+
+
 def test_language_family_first():
     model = language.fit([prose(lang, k) for k in range(80) for lang in _SYLLABLES], [lang for _ in range(80) for lang in _SYLLABLES])
     names = {(a, b) for a, b, _ in model}
