@@ -151,10 +151,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     its words. class_id is the least id of all rows that links and copies connect with it. A text of fewer than five words has
     all of them as its one shingle. Null and empty texts are copies of each other. A row without an id belongs to the class
     of its text under a stand-in drawn from the text, and counts; class_id is null only if no row of the class has an id. Rows that
-    share an id share a class. ``keeper`` is ``node_id`` of the rows of the class that stay if one is to. Only the named columns are read; an empty table gives no rows.
+    share an id share a class, and each has the links of its own text. ``keeper`` is ``node_id`` of the rows of the class that stay if one is to. Only the named columns are read; an empty table gives no rows.
     """
     small_batches(df)
-    docs = df.select(F.col(id_col).alias("id"), node_id(id_col, text_col).alias("nid"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), node_id(id_col, text_col).alias("nid"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
 
     def sign(batches):
         for batch in batches:
@@ -168,20 +168,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     ends.append(ends[-1] + len(rows[-1]))
                 hi, lo = np.stack(digests).T
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hi), pa.array(lo), lists], names=["id", "nid", "hi", "lo", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(hi), pa.array(lo), lists], names=["id", "nid", "th", "hi", "lo", "bands"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    signed = stored(docs.mapInArrow(sign, f"id {id_type}, nid long, hi long, lo long, bands array<long>"))
-    texts = signed.groupBy("hi", "lo").agg(F.min("nid").alias("node"), F.count("*").alias("n_copies"), F.min(F.col("id").cast("long")).alias("least_id"))
-    texts = stored(texts)
-    keyed = texts.select(F.col("hi").alias("thi"), F.col("lo").alias("tlo"), "node")
-    representative = signed.join(keyed, (F.col("hi") == F.col("thi")) & (F.col("lo") == F.col("tlo")) & (F.col("nid") == F.col("node")))
+    signed = stored(docs.mapInArrow(sign, f"id {id_type}, nid long, th long, hi long, lo long, bands array<long>"))
+    # A text is named by half of its digest, not by an id: texts of one id are compared like others. One row of each has its words looked up.
+    texts = signed.groupBy("hi", "lo").agg(F.min(F.struct("nid", "th")).alias("row"), F.count("*").alias("n_copies"), F.min(F.col("id").cast("long")).alias("least_id"))
+    texts = stored(texts.select("hi", "lo", F.col("hi").alias("node"), F.col("row.nid").alias("rid"), F.col("row.th").alias("rth"), "n_copies", "least_id"))
+    keyed = texts.select(F.col("hi").alias("thi"), F.col("lo").alias("tlo"), "node", "rid", "rth")
+    representative = signed.join(keyed, (F.col("hi") == F.col("thi")) & (F.col("lo") == F.col("tlo")) & (F.col("nid") == F.col("rid")) & (F.col("th") == F.col("rth")))
     in_band = representative.select("node", F.explode("bands").alias("b"))
     shared = in_band.groupBy(F.col("b").alias("b2")).agg(F.min("node").alias("hub"), F.max("node").alias("last")).where(F.col("hub") != F.col("last")).select("b2", "hub")
     family = stored(components(in_band.join(shared, F.col("b") == F.col("b2")).select(F.col("node").alias("u"), F.col("hub").alias("v"))))
     sizes = family.groupBy(F.col("label").alias("fam")).agg(F.count("*").alias("members"))
     members = family.join(sizes, F.col("label") == F.col("fam")).select("node", "fam", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    with_text = docs.select("nid", "text").join(stored(members), F.col("nid") == F.col("node")).select("node", "fam", "blocks", "block", "text")
+    located = stored(members.join(texts.select(F.col("node").alias("tnode"), "rid", "rth"), F.col("node") == F.col("tnode")).drop("tnode"))
+    with_text = docs.select("nid", "th", "text").join(located, (F.col("nid") == F.col("rid")) & (F.col("th") == F.col("rth"))).select("node", "fam", "blocks", "block", "text")
 
     def shingled(batches):
         for batch in batches:
@@ -195,13 +197,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select("node", "fam", "block", "sh", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     compared = stored(rows.repartition("fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj").mapInPandas(_compare, "u long, v long, links long"))
     links = compared.groupBy(F.col("u").alias("lu")).agg(F.sum("links").alias("n_links"))
-    # Rows that share an id but not their words have one node or an edge between theirs.
-    many = signed.join(keyed, (F.col("hi") == F.col("thi")) & (F.col("lo") == F.col("tlo"))).groupBy("nid").agg(F.min("node").alias("u"), F.max("node").alias("v")).where(F.col("u") != F.col("v")).select("u", "v")
+    # Texts that share an id have an edge to the least of them.
+    many = signed.groupBy(F.col("nid").alias("mid")).agg(F.min("hi").alias("v"), F.max("hi").alias("last")).where(F.col("v") != F.col("last"))
+    many = signed.select("nid", F.col("hi").alias("u")).join(many, F.col("nid") == F.col("mid")).where(F.col("u") != F.col("v")).select("u", "v").distinct()
     classes = components(compared.select("u", "v").unionByName(many))
     labelled = texts.join(classes.withColumnRenamed("node", "cnode"), F.col("node") == F.col("cnode"), "left").withColumn("label", F.coalesce("label", "node")).join(links, F.col("node") == F.col("lu"), "left")
-    labelled = stored(labelled.select("hi", "lo", "label", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "least_id"))
-    least = labelled.groupBy(F.col("label").alias("l2")).agg(F.min("least_id").alias("class_id"))
-    named = labelled.join(least, F.col("label") == F.col("l2")).select(F.col("hi").alias("h1"), F.col("lo").alias("h2"), "class_id", "n_links", "n_copies", F.coalesce("class_id", "label").alias("keeper"))
+    labelled = stored(labelled.select("hi", "lo", "label", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "least_id", "rid"))
+    least = labelled.groupBy(F.col("label").alias("l2")).agg(F.min("least_id").alias("class_id"), F.min("rid").alias("least_rid"))
+    named = labelled.join(least, F.col("label") == F.col("l2")).select(F.col("hi").alias("h1"), F.col("lo").alias("h2"), "class_id", "n_links", "n_copies", F.coalesce("class_id", "least_rid").alias("keeper"))
     out = signed.select("id", "hi", "lo").join(named, (F.col("hi") == F.col("h1")) & (F.col("lo") == F.col("h2")))
     return out.select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", "keeper")
 

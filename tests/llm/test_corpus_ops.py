@@ -159,6 +159,16 @@ def brute_targets(sizes):
         stopped |= over
 
 
+def test_jaccard_texts_of_one_id(spark):
+    """Three texts under one id: each is compared with the others' copies elsewhere, and all share a class."""
+    text = lambda k, end: " ".join([*(f"t{k}w{i}" for i in range(40)), end])
+    rows = [(1, text(k, "end"), "en", "a") for k in (1, 2, 3)] + [(10 * k + j, text(k, f"end{j}"), "en", "a") for k in (1, 2, 3) for j in range(k)]
+    got = jaccard.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == [(1, 1), (1, 2), (1, 3), (10, 1), (20, 2), (21, 2), (30, 3), (31, 3), (32, 3)]
+    assert {r.class_id for r in got} == {1} and {r.keeper for r in got} == {1} and {r.n_copies for r in got} == {1}
+
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(8)
     rows = []
