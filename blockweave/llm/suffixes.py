@@ -1,9 +1,10 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by sparse suffixes grouped by prefix prints.
 
 Of a text's suffixes (at words) only those are retained that start at a minimiser: in each window of ``WINDOW`` starts the run
 of ``GRAM`` words with the least hash. A passage of ``LENGTH`` words in two places retains the same suffix in both, and that
-suffix has its first ``PREFIX`` words within the passage. The retained suffixes are sorted by the fingerprint of these
-words, so those that agree on them are neighbours, and each is held against the first of its run (the first against the last).
+suffix has its first ``PREFIX`` words within the passage. The retained suffixes are grouped by the fingerprint of these
+words, which stands in for sorting them and comparing neighbours: each is held against the first place of its group (the first
+against the last).
 
 Retained suffixes that agree with their partners at one distance and follow each other without a gap certify a common stretch;
 so matches grow left and right from suffix to suffix. Beyond the certified stretch, where a passage of ``LENGTH`` words may
