@@ -38,20 +38,24 @@ def parse(files: DataFrame, mode: str = "PERMISSIVE", width: int = 0, height: in
 
 
 def probe_images(spark: SparkSession, path: str, pattern: str = "*", head: int = 65536) -> DataFrame:
-    """path, width, height, color_space, pixel_format, error from the first bytes of each file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", F.substring("content", 1, head).alias("content"))
+    """path, width, height, color_space, pixel_format, error from the first bytes of each file, or the whole of it where these do not do."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
     def run(batches):
         for batch in batches:
             out = []
-            for name, content in zip(batch.path, batch.content, strict=True):
+            for name, length, content in zip(batch.path, batch.length, batch.content, strict=True):
                 try:
-                    out.append((name, *formats.probe(name, bytes(content)), None))
+                    out.append((name, *formats.probe(name, bytes(content)), None, length))
                 except Exception as e:  # noqa: BLE001
-                    out.append((name, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "width", "height", "color_space", "pixel_format", "error"]).astype({"width": "Int32", "height": "Int32"})
-
-    return files.mapInPandas(run, "path string, width int, height int, color_space string, pixel_format string, error string")
+                    out.append((name, None, None, None, None, f"{type(e).__name__}: {e}", length))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "color_space", "pixel_format", "error", "length"]).astype({"width": "Int32", "height": "Int32"})
+
+    schema = "path string, width int, height int, color_space string, pixel_format string, error string, length long"
+    heads = files.withColumn("content", F.substring("content", 1, head)).mapInPandas(run, schema)
+    short = F.col("error").isNotNull() & (F.col("length") > head)
+    whole = files.join(F.broadcast(heads.where(short).select("path")), "path", "left_semi").mapInPandas(run, schema)
+    return heads.where(~short).unionByName(whole).drop("length")
 
 
 def with_format(df: DataFrame, column: str = "path") -> DataFrame:

@@ -75,6 +75,16 @@ def test_read_write_probe_and_errors(spark, tmp_path):
     assert probed["16x16.png"] == (16, 16) and probed["bad.png"] == (None, None)
 
 
+def test_probe_long_head(spark, tmp_path):
+    """A JPEG file whose frame header lies beyond the first 65,536 bytes."""
+    _, data = formats.save("a.jpg", 16, 16, "rgb", "444-u8-p012", bytes(768))
+    (tmp_path / "long.jpg").write_bytes(data[:2] + 2 * (b"\xff\xe2\xff\xff" + bytes(65533)) + data[2:])
+    (tmp_path / "short.jpg").write_bytes(data)
+    (tmp_path / "bad.png").write_bytes(bytes(100_000))
+    got = {r.path.rsplit("/", 1)[1]: r for r in images.probe_images(spark, str(tmp_path)).collect()}
+    assert len(got) == 3 and all((got[n].width, got[n].height, got[n].error) == (16, 16, None) for n in ("long.jpg", "short.jpg"))
+
+
 def test_streams(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
