@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without the setting."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -97,6 +110,20 @@ class Rolling:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Longer runs of bytes go by a cryptographic hash: sums of powers modulo 2^64 are equal for some long unlike runs.
+_LONG = 64
+
+
+def long_hash(data: bytes) -> np.uint64:
+    return np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), np.uint64)[0]
+
+
+def run_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run b[start:end] of bytes."""
+    out = Rolling(b.astype(np.uint64) + np.uint64(1)).slices(starts, ends)
+    for k in np.flatnonzero(ends - starts > _LONG).tolist():
+        out[k] = long_hash(b[starts[k] : ends[k]].astype(np.uint8).tobytes())
+    return out
 
 
 def word_hashes(data: bytes) -> np.ndarray:
@@ -106,7 +133,7 @@ def word_hashes(data: bytes) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
     solid = np.concatenate([[False], ~_SPACE[b], [False]])
     edges = np.flatnonzero(solid[1:] != solid[:-1])
-    return Rolling(b.astype(np.uint64) + np.uint64(1)).slices(edges[::2], edges[1::2])
+    return run_hashes(b, edges[::2], edges[1::2])
 
 
 def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -130,11 +157,49 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0].reset_index(drop=True)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches that are sorted by keys, numbers without nulls; no group is cut in two."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([*rest, batch])
+        columns = [t.column(c).to_numpy() for c in keys]
+        other = np.logical_or.reduce([k != k[-1] for k in columns])  # all but the group that may go on
+        whole = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if whole:
+            yield t.slice(0, whole)
+        rest = t.slice(whole).to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+_stored: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: lineage cut, columns compressed, its size known."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """The same rows from a Parquet table in the shared folder: lineage cut, columns compressed, its size known.
+
+    The table goes with the driver, or before by ``discard``.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if not _stored:
+        atexit.register(_at_exit, df.sparkSession)
+    _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes the tables of ``stored``. Results that are still to be computed from them are lost."""
+    jvm = spark.sparkContext._jvm
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark._jsparkSession.sparkContext().hadoopConfiguration()).delete(path, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        discard(spark)
+    except (Py4JError, OSError, AttributeError):  # the JVM has gone first
+        _stored.clear()
