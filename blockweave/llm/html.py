@@ -1,18 +1,24 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. A word scores by where it stands (the kind of container, the block's tag, in a
-link or not), a tag by its name, both as log-odds of lying within the main text of labelled pages; tags never score
-above a small negative. One linear scan finds the contiguous region with the highest sum. Its blocks are the main text,
-without those in containers of menus, adverts, forms, comments and the like.
+A page is a sequence of words and tags. A word scores by where it stands: a logistic model, fitted to labelled pages, adds up
+weights of the containers around it (their tags, and the words of their class, id, role and label; those further out count for less),
+of its block's tag and of being in a link. A tag scores by its name and the kind of its place, as log-odds of lying within the main text of the labelled pages, and
+never above a small negative. One linear scan finds the contiguous region with the highest sum; of equal ones it is the one that
+ends first, and of these the one that starts last. Its blocks are the main text, without those of places that score below zero whatever
+is in them (an advert or a form amid an article). No name decides by itself: the weights of all containers add up.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import math
+import os
 import re
 from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,48 +28,67 @@ from blockweave.llm.common import small_batches, table
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas|button)\b(?>[^>]*)>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|title|iframe|select|button)\b(?>[^>]*)>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s>/]*)((?>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*))>"
     r"|</?[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+_NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Containers by tag, and by a word of their class, id or role.
-OUTSIDE_TAGS = frozenset("nav footer aside form menu head dialog fieldset".split())
-OUTSIDE_NAMES = frozenset(
-    "ad ads advert advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu sidebar sidenav aside footer breadcrumb breadcrumbs pagination pager "
-    "cookie cookies consent gdpr notice alert comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe "
-    "subscription signup login search toolbar widget widgets popup modal overlay masthead complementary contentinfo skip copyright "
-    "review reviews feedback discussion responses trending teaser teasers subnav topnav mainnav offcanvas paywall".split()
-)
-HEADER_NAMES = frozenset("header banner topbar".split())
-MAIN_TAGS, MAIN_NAMES = frozenset(("article", "main")), frozenset(("article", "main", "content", "post", "entry", "story"))
-_CLOSES = {"p": BLOCK - {"body", "html"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
-
-
-def _kind(tag: str, attributes: str, within: str) -> str:
-    """out, main, hole (out within main), or the kind of what stands around."""
-    out = "hole" if within in ("main", "hole") else "out"
-    if within in ("out", "hole") or tag in OUTSIDE_TAGS:
-        return out
-    names: set[str] = set()
-    if "=" in attributes or "hidden" in attributes:
+_CLOSES = {
+    "p": BLOCK - {"body", "html"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)),
+    "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",)),
+}
+#: Blocks whose name says nothing about their content, and tags of runs within a block, which say nothing at all.
+_PLAIN = BLOCK - frozenset("article aside dialog fieldset footer form head header main menu nav section".split())
+_INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Labelled pages, one a line: pieces of HTML, each with whether it is main text.
+PAGES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "labelled_pages.jsonl")
+#: What a container adds counts by this factor less for each container further out.
+FADE = 0.5
+#: Within a container that scores so much, what is left out weighs by this factor less, and does not part what stands around it.
+MAIN, HOLE = 1.0, 0.05
+#: Losing a word of an article costs so many times what keeping another word does.
+KEEPING = 2.0
+#: Labelled pages that must have a name before it has a weight.
+LEAST_PAGES = 3
+#: Bounds of a word's score; outside words weigh less than inside ones, so that an advert does not part an article.
+WORST, BEST = -0.5, 1.0
+
+
+@lru_cache(maxsize=1 << 14)
+def container(tag: str, attributes: str) -> frozenset:
+    """What a tag says about its content: its name, and of each class, id, role and label the last word and those before it."""
+    if tag in _INLINE:
+        return frozenset()
+    out = set() if tag in _PLAIN else {f"tag:{tag}"}
+    if tag not in ("html", "body") and attributes:
         if _HIDDEN.search(attributes):
-            return out
+            out.add("hidden")
         for a, b, c in _ATTRIBUTE.findall(attributes):
-            names.update(re.split(r"[^a-z0-9]+", (a or b or c).lower()))
-    if tag not in ("body", "html", "main", "article") and names & OUTSIDE_NAMES:
-        return out
-    if within != "main" and (tag == "header" or names & HEADER_NAMES and tag not in ("body", "html")):
-        return "out"
-    return "main" if tag in MAIN_TAGS or tag in BLOCK and names & MAIN_NAMES else within
+            for name in (a or b or c).split():
+                ws = [w.lower() for w in _NAME.findall(name)]
+                out.update(f"before:{w}" for w in ws[:-1])
+                out.update(f"name:{w}" for w in ws[-1:])
+    return frozenset(out)
+
+
+class Place:
+    """A container that says something, and the one around it; with a score where weights are known."""
+
+    __slots__ = ("around", "main", "own", "score")
+
+    def __init__(self, around: Place | None = None, own: frozenset = frozenset(), score: float = 0.0):
+        self.around, self.own, self.score = around, own, score
+        self.main = score >= MAIN or (around is not None and around.main)
 
 
 def _unended(mark: re.Match) -> bool:
@@ -76,14 +101,15 @@ def _unended(mark: re.Match) -> bool:
     return mark[1] is not None and not re.search(rf"</{mark[1]}\s*>$", text, re.I)
 
 
-def scan(page: str):
-    """Yields (text, None) for text and (None, tag) for tags, each with the kind of container, block tag and link flag."""
-    stack: list[tuple[str, str]] = []
+def scan(page: str, weights: Weights | None = None):
+    """Yields (text, None) for text and (None, tag) for tags, each with the place, the block's tag and the link flag."""
+    nothing = Place()
+    stack: list[tuple[str, Place]] = []
     link, at = 0, 0
 
     def state():
         block = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-        return (stack[-1][1] if stack else "none"), block, link > 0
+        return (stack[-1][1] if stack else nothing), block, link > 0
 
     now = state()
     limit = page.rfind(">") + 1  # no tag ends beyond it, so none is looked for there
@@ -110,8 +136,8 @@ def scan(page: str):
                     k = max(i for i, (t, _) in enumerate(stack) if t == tag)
                     if not any(t in BLOCK for t, _ in stack[k + 1 :]):
                         del stack[k]
+            yield None, "/" + tag, now  # an end tag belongs to the place that it ends
             now = state()
-            yield None, "/" + tag, now
             continue
         if tag in BLOCK:
             while stack:  # what this tag closes by itself
@@ -128,7 +154,10 @@ def scan(page: str):
                     del stack[i]
                     link -= 1
         if tag not in VOID and not m[4].endswith("/"):
-            stack.append((tag, _kind(tag, m[4], stack[-1][1] if stack else "none")))
+            place, own = (stack[-1][1] if stack else nothing), container(tag, m[4])
+            if own:
+                place = Place(place, own, weights.deeper(own, place.score) if weights else 0.0)
+            stack.append((tag, place))
             link += tag == "a"
         now = state()
         yield None, tag, now
@@ -139,105 +168,182 @@ def scan(page: str):
 
 # ---- weights from labelled pages -----------------------------------------------
 
-_TEXT = "the north field was dry that year so the people of the valley dug a long canal from the river and let its water in by night"
 
+def labelled_pages(path: str = PAGES) -> list[list[tuple[str, bool]]]:
+    with open(path, encoding="utf-8") as f:
+        return [[(piece, bool(main)) for piece, main in json.loads(line)] for line in f if line.strip()]
 
-def labelled_pages() -> list[list[tuple[str, bool]]]:
-    """Pages as pieces of HTML, each marked as main text or not: every frame is crossed with every body."""
-    ws = _TEXT.split()
-    line = lambda k, n: " ".join(ws[(k * 5 + i) % len(ws)] for i in range(n))
-    bodies = [[f"<h1>{line(1, 6)}</h1>", *(f"<p>{line(k, 18 + 7 * k)}</p>" for k in range(4))], [f"<h1>{line(2, 4)}</h1>", f"<p>{line(3, 4)}"], [*(f"<p>{line(k, 30)} <a href=x>{line(k, 2)}</a> {line(k, 9)}</p>" for k in range(3)), f"<ul><li>{line(4, 9)}</li><li>{line(5, 8)}</li></ul>", f"<blockquote>{line(6, 14)}</blockquote>"], [f"<h2>{line(7, 3)}</h2><div>{line(8, 40)}</div>", f"<table><tr><td>{line(2, 3)}</td><td>{line(3, 4)}</td></tr></table><pre>{line(1, 9)}</pre>"]]
-    menu = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in ws[:7])
-    frames = [
-        (f"<html><head><title>{line(1, 5)}</title></head><body><nav><ul>{menu}</ul></nav><div class=ad>{line(2, 9)}</div><article>", f"</article><footer>{line(3, 8)}</footer></body></html>"),
-        (f"<body><header><a href=/>{line(1, 2)}</a></header><div id=menu>{menu}</div><main>", f"</main><aside><p>{line(4, 9)}</p></aside><form>{line(2, 4)}<input></form>"),
-        (f"<body><ul>{menu}</ul><div class=content>", f"</div><div class=comments><p>{line(5, 14)}</p></div><div class=footer>{line(6, 5)}</div>"),
-        (f"<body><div class=cookie-notice>{line(3, 12)}</div><div>", f"</div><ul>{menu}</ul><div class='sidebar'><p>{line(1, 10)}</p></div>"),
-    ]
-    return [[(top, False), *((x, True) for x in body), (foot, False)] for top, foot in frames for body in bodies]
 
+class Weights:
+    """place: of what a container says; block: of (block tag, in a link); tags: of (tag, whether its place scores above 0)."""
 
-def learn(pages=None) -> dict:
-    """Log-odds of words by (kind, block, link), with (kind, link) for unseen blocks, and of tags by name and kind, at most -0.05.
+    def __init__(self, place: dict, block: dict, tags: dict, base: float):
+        self.place, self.block, self.tags, self.base = place, block, tags, base
 
-    Words in containers that are left out weigh -1 at the least: they are not returned in any case, and a long menu between two
-    paragraphs is not to part them. Within a main container they weigh nothing.
-    """
-    inside, outside = Counter(), Counter()
-    for page in pages or labelled_pages():
+    def deeper(self, own: frozenset, around: float) -> float:
+        """The score of a place within one that scores ``around``; a container of which nothing is known changes nothing."""
+        known = [self.place[x] for x in own if x in self.place]
+        return math.fsum(known) + FADE * around if known else around
+
+    def inside(self, place: Place) -> bool:
+        return self.base + place.score > 0
+
+    def word(self, place: Place, block: str, link: bool) -> float:
+        of_block = self.block.get((block, link), self.block.get(("", link), 0.0))
+        score = max(WORST, min(BEST, (self.base + place.score + of_block) / 2))
+        return score * HOLE if place.main and score < 0 and not self.inside(place) else score
+
+    def tag(self, tag: str, place: Place) -> float:
+        inside = self.inside(place)
+        score = self.tags.get((tag, inside), -0.05 if inside else -0.2)
+        return score * HOLE if place.main and not inside else score
+
+
+def _logistic(x: np.ndarray, offset: np.ndarray, weight: np.ndarray, target: np.ndarray, l2: float, steps: int = 12) -> np.ndarray:
+    """A logistic model's coefficients by Newton's method from zero, each step bounded."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
+        gradient = x.T @ (weight * (p - target)) + l2 * w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        w -= np.clip(np.linalg.solve(curve, gradient), -4, 4)
+    return w
+
+
+def learn(pages=None, l2: float = 3e-5) -> Weights:
+    """Logistic models of words, of containers and then of blocks; log-odds of tags by kind of place."""
+    words: list[tuple[Place, str, bool, bool, float]] = []
+    tags, in_pages = [], Counter()
+    pages = pages or labelled_pages()
+    for page in pages:
         bounds, text = [], ""
         for piece, main in page:
             bounds.append((len(text), main))
             text += piece
-        at = 0
-        for t, tag, (kind, block, link) in scan(text):
+        at, names = 0, set()
+        for t, tag, (place, block, link) in scan(text):
+            names |= place.own
             at = text.find(t, at) if t is not None else at
             main = next(m for start, m in reversed(bounds) if start <= at)
-            n = len(t.split()) if t is not None else 1
-            keys = [("w", kind, block, link), ("k", kind, link)] if t is not None else [("t", tag, kind), ("t", tag)]
-            for key in keys:
-                (inside if main else outside)[key] += n
-            at += len(t) if t is not None else 1
-    weights = {}
+            if t is None:
+                tags.append((tag, place, main))
+                at += 1
+                continue
+            if n := len(t.split()):
+                words.append((place, block, link, main, math.sqrt(n)))
+            at += len(t)
+        in_pages.update(names)
+    names = sorted(x for x, n in in_pages.items() if n >= min(LEAST_PAGES, len(pages)))
+    column = {x: k for k, x in enumerate(names)}
+    known: dict[int, np.ndarray] = {}
+
+    def said(place: Place | None) -> np.ndarray:
+        if place is None:
+            return np.zeros(len(names) + 1)
+        if id(place) not in known:
+            around, own = said(place.around), [column[x] for x in place.own if x in column]
+            if own:
+                around = around * FADE
+                around[own] += 1
+            around[-1] = 1
+            known[id(place)] = around
+        return known[id(place)]
+
+    weight = np.array([n for *_, n in words])
+    target = np.array([float(main) for *_, main, _ in words])
+    for main, cost in ((0.0, 1.0), (1.0, KEEPING)):  # both kinds weigh the same but for KEEPING
+        weight[target == main] *= cost / max(1e-9, weight[target == main].sum())
+    weight /= weight.sum()
+    # Containers first, alone: that a menu's words are in links is no reason to hold less against the menu.
+    x = np.stack([said(place) for place, *_ in words])
+    place = _logistic(x, np.zeros(len(words)), weight, target, l2)
+    blocks = sorted({(block, link) for _, block, link, _, _ in words} | {("", False), ("", True)})
+    column = {b: k for k, b in enumerate(blocks)}
+    y = np.zeros((len(words), len(blocks)))
+    for row, (_, block, link, _, _) in enumerate(words):
+        y[row, [column[(block, link)], column[("", link)]]] = 1  # one shared by the blocks, so that an unseen one has a weight
+    w = _logistic(y, x @ place, weight, target, l2)
+    of = {b: float(w[column[("", b[1])]] + (w[column[b]] if b[0] else 0.0)) for b in blocks}
+    out = Weights({n: float(v) for n, v in zip(names, place, strict=False)}, of, {}, float(place[-1]))
+    inside, outside = Counter(), Counter()
+    for tag, of_tag, main in tags:
+        (inside if main else outside)[tag, bool(said(of_tag) @ place > 0)] += 1
     for key in {*inside, *outside}:
-        w = math.log((inside[key] + 0.5) / (outside[key] + 0.5))
-        weights[key] = max(-4.0, min(-0.05, w)) if key[0] == "t" else max(-1.0 if key[1] == "out" else -4.0, min(4.0, w))
-    return weights
+        out.tags[key] = max(-2.0, min(-0.05, math.log((inside[key] + 0.5) / (outside[key] + 0.5))))
+    return out
 
 
-def extract(page: str | None, weights: dict) -> str:
-    """The main text of a page: blocks in order, joined by a line feed; empty if nothing scores above 0."""
-    if not page:
-        return ""
-    blocks: list[tuple[float, float, str, bool]] = []  # score of the tags before, of the words, the text, kept or not
+def best_region(before: list[float], scores: list[float]) -> tuple[int, int]:
+    """[start, end) of the blocks with the highest sum of scores and of the tags between them; (0, 0) if none is above 0.
+
+    before[k] is the score of the tags ahead of block k. Of equal regions the one that ends first, of these the one that starts last.
+    """
+    best, best_range, total, start = 0.0, (0, 0), 0.0, 0
+    for k, (tags, score) in enumerate(zip(before, scores, strict=True)):
+        if total + tags <= 0:
+            total, start = 0.0, k
+        else:
+            total += tags
+        total += score
+        if total > best:
+            best, best_range = total, (start, k + 1)
+    return best_range
+
+
+def score_blocks(page: str, weights: Weights) -> tuple[list[float], list[float], list[str], list[bool]]:
+    """Of each block: the score of the tags ahead of it and of its words, its text, and whether its place scores above 0."""
+    before: list[float] = []
+    scores: list[float] = []
+    texts: list[str] = []
+    kept: list[bool] = []
     text: list[str] = []
     tags = words = 0.0
-    last = ("none", "", False)
+    here = False
 
     def close():
         nonlocal tags, words, text
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                blocks.append((tags, words, joined, last[0] not in ("out", "hole")))
+                before.append(tags)
+                scores.append(words)
+                texts.append(joined)
+                kept.append(here)
                 tags = words = 0.0
             text = []
 
-    for t, tag, state in scan(page):
+    for t, tag, (place, block, link) in scan(page, weights):
         if tag is None:
-            if state[0] != last[0] and text:
+            if weights.inside(place) != here:
                 close()
-            last = state
+                here = not here
             text.append(entities.unescape(t))
-            kind, block, link = state
-            w = weights.get(("w", kind, block, link))
-            words += 0.0 if kind == "hole" else len(t.split()) * (w if w is not None else weights.get(("k", kind, link), 1.0 if kind != "out" else -1.0))
+            words += len(t.split()) * weights.word(place, block, link)
             continue
         name = tag.removeprefix("/")
         if name == "br":
             text.append(" ")
         elif name in BLOCK:
             close()
-        if state[0] != "hole":
-            tags += weights.get(("t", tag, state[0]), -0.05 if state[0] == "main" else weights.get(("t", tag), -0.05))
+        tags += weights.tag(tag, place)
     close()
-    best, best_range, total, start = 0.0, (0, 0), 0.0, 0
-    for k, (before, score, _, _) in enumerate(blocks):
-        if total + before <= 0:
-            total, start = 0.0, k
-        else:
-            total += before
-        total += score
-        if total > best:
-            best, best_range = total, (start, k + 1)
-    return "\n".join(t for _, _, t, kept in blocks[best_range[0] : best_range[1]] if kept)
+    return before, scores, texts, kept
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    """The main text of a page: blocks in order, joined by a line feed; empty if nothing scores above 0."""
+    if not page:
+        return ""
+    before, scores, texts, kept = score_blocks(page, weights)
+    start, end = best_region(before, scores)
+    return "\n".join(t for t, k in zip(texts[start:end], kept[start:end], strict=True) if k)
 
 
 def main_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), pages=None) -> DataFrame:
     """The columns of ``keep``, then text and n_chars: a row for each row of df.
 
-    A null or empty page, and one without content, has the text "" of 0 code points. Nulls in kept columns and repeated
-    rows pass through. Columns that are not named are not read; an empty table gives no rows. ``pages`` are labelled
+    A null or empty page, and one without content, has the text "" of 0 code points. Of regions with equal scores the one that
+    ends first is taken, of these the one that starts last. Nulls in kept columns and repeated rows pass through. Columns that are not named are not read; an empty table gives no rows. ``pages`` are labelled
     pages to learn from in place of the built-in ones.
     """
     small_batches(df)
