@@ -2,6 +2,8 @@
 
 A text's letters become counts of hashed byte n-grams (2 to 4 bytes, within and across words). The family is that of the
 highest of one-versus-rest linear SVMs; the language is the one with the most wins among the pairwise SVMs of its family.
+The counts of the sample are made where its texts are; each binary problem is a group of sparse rows and is fitted by itself, so
+that problems spread over tasks. The other families' rows of a family's problem come from a pool of ``POOL`` rows at most.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import mix, remainder, small_batches, table
+from blockweave.llm.common import mix, remainder, small_batches, stored, table
 
 #: Slots of the sample: at most so many documents of each language are learned from.
 SAMPLE = 600
@@ -22,6 +24,8 @@ ROWS = 38_400
 BUCKETS = 1 << 12
 EPOCHS, C = 6, 1.0
 UNKNOWN = "und"
+#: Rows of all languages that the problems of families hold as the other families' rows, at most.
+POOL = 4800
 
 #: Languages that are hard to tell apart share a family; one that is not listed is a family of its own.
 FAMILIES = {
@@ -35,7 +39,7 @@ FAMILIES = {
     "sinitic": ("zh", "yue"),
 }
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
 _KEEP = np.full(256, 32, np.uint8)
 for _b in (*range(97, 123), *range(128, 256)):
     _KEEP[_b] = _b
@@ -55,26 +59,41 @@ def ngrams(text: str) -> np.ndarray:
     return (mix(np.concatenate([two, three, four])) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the categories L is in the text; numbers such as fractions and Roman numerals are none."""
+    return bool(text) and any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))
+
+
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams in order, and the square roots of their counts, scaled to length 1."""
+    at, counts = np.unique(ngrams(text), return_counts=True)
+    x = np.sqrt(counts.astype(np.float32))
+    return at, x / max(1e-9, float(np.sqrt(x @ x)))
+
+
 def vector(text: str) -> np.ndarray:
-    x = np.sqrt(np.bincount(ngrams(text), minlength=BUCKETS).astype(np.float32))
-    return x / max(1e-9, float(np.sqrt(x @ x)))
+    out = np.zeros(BUCKETS, np.float32)
+    at, x = sparse(text)
+    out[at] = x
+    return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, c: float = C) -> np.ndarray:
-    """Weights and bias of a linear SVM with squared hinge loss, by dual coordinate descent in a fixed order."""
-    n = len(x)
-    w, alpha = np.zeros(x.shape[1] + 1, np.float32), np.zeros(n)
+def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, c: float = C) -> np.ndarray:
+    """Weights and bias of a linear SVM with squared hinge loss over sparse rows, by dual coordinate descent in a fixed order."""
+    n = len(rows)
+    w, alpha = np.zeros(BUCKETS + 1, np.float32), np.zeros(n)
     cost = {s: c * n / (2 * max(1, (y == s).sum())) for s in (-1, 1)}
-    diagonal = np.array([0.5 / cost[int(s)] for s in y])
-    q = (x * x).sum(axis=1) + 1 + diagonal
+    diagonal = [0.5 / cost[int(s)] for s in y]
+    q = [float(x @ x) + 1 + d for (_, x), d in zip(rows, diagonal, strict=True)]
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in order.permutation(n):
-            g = y[i] * (float(x[i] @ w[:-1]) + float(w[-1])) - 1 + diagonal[i] * alpha[i]
+        for i in order.permutation(n).tolist():
+            at, x = rows[i]
+            g = y[i] * (float(w[at] @ x) + float(w[-1])) - 1 + diagonal[i] * alpha[i]
             new = max(0.0, alpha[i] - g / q[i])
             if new != alpha[i]:
                 step = np.float32((new - alpha[i]) * y[i])
-                w[:-1] += step * x[i]
+                w[at] += step * x
                 w[-1] += step
                 alpha[i] = new
     return w
@@ -91,58 +110,88 @@ def fragments(text: str, rng) -> list[str]:
     return out
 
 
-def fit(texts: list[str], langs: list[str], families=FAMILIES) -> list[tuple[str, str, np.ndarray]]:
-    """(left, right, weights): left is a family and right empty, or both are languages of a family."""
-    rng = np.random.default_rng(11)
-    rows, tags = [], []
-    for t, lang in zip(texts, langs, strict=True):
-        if t and _LETTER.search(t):
-            for f in fragments(t, rng):
-                if _LETTER.search(f):
-                    rows.append(vector(f))
-                    tags.append(lang)
-    if not rows:
-        return []
-    x, tags = np.stack(rows), np.array(tags)
-    family = np.array([family_of(t, families) for t in tags])
-    names = sorted(set(family.tolist()))
-    model = []
-    for f in names:
-        own = family == f
-        members = sorted(set(tags[own].tolist()))
-        if len(names) == 2 and f == names[1]:
-            model.append((f"{f}/", "", -model[0][2]))
-        else:
-            model.append((f"{f}/", "", svm(x, np.where(own, 1, -1)) if len(names) > 1 else np.zeros(BUCKETS + 1, np.float32)))
-        for i, a in enumerate(members):
-            model.append((a, a, np.zeros(BUCKETS + 1, np.float32))) if len(members) == 1 else None
-            for b in members[i + 1 :]:
-                two = (tags == a) | (tags == b)
-                model.append((a, b, svm(x[two], np.where(tags[two] == a, 1, -1))))
-        if f == names[0] and len(names) == 2:  # keep the two family rows first
-            model = [model[0], *model[1:]]
-    return model
+def _features(families):
+    """Sparse rows of the texts of a sample and of runs of their words."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for h, text, lang in zip(batch.h, batch.text, batch.lang, strict=True):
+                parts = fragments(text, np.random.default_rng([11, int(h) & (1 << 63) - 1])) if has_letter(text) else []
+                for part, f in enumerate(parts):
+                    if has_letter(f):
+                        at, x = sparse(f)
+                        out.append((int(h), part, lang, family_of(lang, families), at.astype(np.uint16).tobytes(), x.tobytes()))
+            yield pd.DataFrame(out, columns=["h", "part", "lang", "family", "at", "x"])
+
+    return run
+
+
+def _rows(frame: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(x, np.float32)) for a, x in zip(frame["at"], frame.x, strict=True)]
+
+
+_MODEL = "kind string, a string, b string, w binary"
+
+
+def _family_problem(pool: pd.DataFrame):
+    """One family against the pool's rows of the others."""
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["h", "part", "lang"])
+        family = part.family.iloc[0]
+        others = pool[pool.family != family]
+        y = np.concatenate([np.ones(len(part)), -np.ones(len(others))])
+        w = svm(_rows(part) + _rows(others), y) if len(others) else np.zeros(BUCKETS + 1, np.float32)
+        return pd.DataFrame({"kind": ["family"], "a": [family], "b": [""], "w": [w.tobytes()]})
+
+    return fit
+
+
+def _pair_problem(part: pd.DataFrame) -> pd.DataFrame:
+    """Two languages of a family; a language that has its family to itself meets nobody."""
+    part = part.sort_values(["h", "part", "lang"])
+    a, b = part.a.iloc[0], part.b.iloc[0]
+    w = svm(_rows(part), np.where(part.lang == a, 1, -1)) if a != b else np.zeros(BUCKETS + 1, np.float32)
+    return pd.DataFrame({"kind": ["pair"], "a": [a], "b": [b], "w": [w.tobytes()]})
+
+
+def fit(rows: DataFrame, families=FAMILIES, pool: int = POOL) -> list[tuple[str, str, str, np.ndarray]]:
+    """(kind, a, b, weights) of each binary problem over rows h, text, lang: 16 KB a problem come to the driver."""
+    made = stored(rows.select("h", "text", "lang").mapInPandas(_features(families), "h long, part int, lang string, family string, at binary, x binary"))
+    others = made.orderBy(F.xxhash64("h", "part", "lang"), "h", "part", "lang").limit(pool).toPandas()  # at most POOL rows
+    tops = made.groupBy("family").applyInPandas(_family_problem(others), _MODEL)
+    langs = made.select("family", "lang").distinct()
+    alone = langs.groupBy("family").agg(F.count("*").alias("n"), F.min("lang").alias("a")).where("n = 1").select("family", "a", F.col("a").alias("b"))
+    pairs = langs.select("family", F.col("lang").alias("a")).join(langs.select("family", F.col("lang").alias("b")), "family").where("a < b")
+    pairs = pairs.unionByName(alone).withColumnRenamed("family", "of")
+    of_pair = made.join(pairs, (F.col("family") == F.col("of")) & (F.col("lang").isin(F.col("a"), F.col("b"))))
+    bottoms = of_pair.groupBy("a", "b").applyInPandas(_pair_problem, _MODEL)
+    model = tops.unionByName(bottoms).collect()
+    return sorted(((r.kind, r.a, r.b, np.frombuffer(bytes(r.w), np.float32)) for r in model), key=lambda m: m[:3])
 
 
 class Classifier:
-    def __init__(self, model: list[tuple[str, str, np.ndarray]], families=FAMILIES):
-        self.names = [(a, b) for a, b, _ in model]
-        self.w = np.stack([w[:-1] for _, _, w in model]) if model else np.zeros((0, BUCKETS), np.float32)
-        self.b = np.array([w[-1] for _, _, w in model])
-        self.families = families
-        self.tops = [k for k, (a, b) in enumerate(self.names) if not b]
-        self.pairs = {self.names[k][0][:-1]: [j for j, (a, b) in enumerate(self.names) if b and family_of(a, families) == self.names[k][0][:-1]] for k in self.tops}
+    def __init__(self, model: list[tuple[str, str, str, np.ndarray]], families=FAMILIES):
+        self.names = [m[:3] for m in model]
+        self.w = np.stack([w[:-1] for *_, w in model]) if model else np.zeros((0, BUCKETS), np.float32)
+        self.b = np.array([w[-1] for *_, w in model])
+        self.tops = [k for k, (kind, _, _) in enumerate(self.names) if kind == "family"]
+        self.pairs: dict[str, list[int]] = {}
+        for k, (kind, a, _) in enumerate(self.names):
+            if kind == "pair":
+                self.pairs.setdefault(family_of(a, families), []).append(k)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.names or not _LETTER.search(text):
+        if not self.names or not has_letter(text):
             return UNKNOWN, 0.0
         z = self.w @ vector(text) + self.b
         top = max(self.tops, key=lambda k: z[k])
         sure = 1 / (1 + np.exp(-4 * float(z[top]))) if len(self.tops) > 1 else 1.0
         wins: dict[str, float] = {}
         least: dict[str, float] = {}
-        for j in self.pairs[self.names[top][0][:-1]]:
-            a, b = self.names[j]
+        for j in self.pairs[self.names[top][1]]:
+            _, a, b = self.names[j]
             if a == b:
                 return a, float(sure)
             for lang, margin in ((a, float(z[j])), (b, -float(z[j]))):
@@ -157,23 +206,19 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Learned from rows with a language whose id's crc32 modulo 4 is not 2, at most ``sample`` of a language
     and ``ROWS`` in all, or one of each language if there are more languages than that. A text that
-    is null or has no letter is ``und`` with score 0; so is every text if nothing could be learned. A null id is classified
+    is null or has no letter (a character of the categories L) is ``und`` with score 0; so is every text if nothing could be learned. A null id is classified
     and never learned from; repeated rows each give their row. Only the named columns are read.
     """
     small_batches(df)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     able = docs.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (remainder("id") != 2))
     slots = able.withColumn("h", F.xxhash64("id")).groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min("h").alias("h"))
-    share = slots.agg(F.greatest(F.lit(1), F.least(F.lit(sample), F.floor(F.lit(ROWS) / F.countDistinct("lang")))).alias("share"))
+    each = F.floor(F.lit(ROWS) / F.greatest(F.lit(1), F.countDistinct("lang")))
+    share = slots.agg(F.greatest(F.lit(1), F.least(F.lit(sample), each)).alias("share"))
     drawn = slots.crossJoin(F.broadcast(share)).groupBy(F.col("lang").alias("its"), F.pmod("slot", "share").alias("slot")).agg(F.min("h").alias("h")).drop("slot")
     rows = able.withColumn("h", F.xxhash64("id")).join(F.broadcast(drawn), "h").where(F.col("lang") == F.col("its")).select("id", "text", "lang").dropDuplicates(["id"])
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        model = fit(part.text.tolist(), part.lang.tolist(), families)
-        return pd.DataFrame({"a": [m[0] for m in model], "b": [m[1] for m in model], "w": [m[2].astype(np.float32).tobytes() for m in model]})
-
-    model = [(r.a, r.b, np.frombuffer(bytes(r.w), np.float32)) for r in rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, "a string, b string, w binary").collect()]  # a row for each family and pair
+    model = fit(rows.withColumn("h", F.xxhash64("id")), families)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def classify(batches):
