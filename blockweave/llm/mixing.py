@@ -3,173 +3,229 @@
 Each source has a target total of words, so each of its documents is to be taken target / size times on average: the whole
 part for sure, the fraction by balanced sampling. The flight phase moves the vector of fractional inclusion
 probabilities through the null space of two constraints, the expected number of words and of documents, until a coordinate
-reaches 0 or 1, and again with the next document. It runs in blocks of a source, dealt by hash; each leaves at most two
-undecided documents and a few held back, which meet in fewer blocks in the next round, until a source has one block,
-whatever the others have. There the last two and a few held back are the landing problem: they are decided so that words
-and documents miss their targets least.
+reaches 0 or 1, and again. The longest open document leads each move and all others make up for it by a little, so long documents are
+decided while many short ones can still balance them. The flight runs in blocks of a source, dealt by hash; each leaves at
+most two undecided documents, which meet in fewer blocks in the next round, until a source has one block, whatever the others
+have. There the flight ends with ``LANDING`` open documents at most, and these are the landing problem: of all distributions over
+their selections that keep each document's probability, a linear program finds the one whose words and documents miss the
+targets least on average, and a selection is drawn from it. Every move of the flight has mean 0 as well, so inclusion
+probabilities are kept from the first to the last.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.llm.common import WORD, cut, grouped, table
 
 #: Documents in a block of the flight phase.
 BLOCK = 4096
-#: Documents held back for the landing.
-HELD = 14
+#: Open documents with which the flight ends: the linear program is over 2 to that power selections.
+LANDING = 12
 #: No document is taken more often.
 MOST = 3
+#: Sources whose totals are broadcast, at most; with more the totals are joined in shares.
+SOURCES, SHARES = 10_000, 64
 EPS = 1e-9
 
 
-def _flight(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Probabilities after the flight phase: all 0 or 1 but two at most. u: a uniform number for each step."""
-    p = p.copy()
-    scale = max(1.0, float(size.max(initial=1)))
-    x = (size / scale).tolist()
-    val = p.tolist()
-    active: list[int] = []
-    step = 0
-    for i in range(len(val)):
-        if not EPS < val[i] < 1 - EPS:
-            val[i] = float(round(val[i]))
-            continue
-        active.append(i)
-        while len(active) == 3:
-            a, b, c = active
-            v = [x[b] - x[c], x[c] - x[a], x[a] - x[b]]  # sums to 0, and so does its product with the sizes
-            if not any(v):
-                v = [1.0, -1.0, 0.0]
-            up = min((1 - val[k]) / w if w > 0 else -val[k] / w for k, w in zip(active, v, strict=True) if w)
-            down = min(val[k] / w if w > 0 else (val[k] - 1) / w for k, w in zip(active, v, strict=True) if w)
-            move = up if u[step] * (up + down) < down else -down
-            step += 1
-            for k, w in zip(active, v, strict=True):
-                val[k] += move * w
-                if val[k] < EPS:
-                    val[k] = 0.0
-                elif val[k] > 1 - EPS:
-                    val[k] = 1.0
-            active = [k for k in active if 0.0 < val[k] < 1.0]
-    return np.array(val)
-
-
-def _reserve(p: np.ndarray, size: np.ndarray, most: int = HELD) -> np.ndarray:
-    """Open documents that the landing may still move: for each power of two the one nearest in size, at most ``most``."""
-    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    picked: list[int] = []
-    for j in range(int(np.log2(max(1.0, size[open_].max(initial=1)))), -1, -1):
-        if len(open_) and len(picked) < most:
-            at = int(np.argmin(np.abs(size[open_] - 2.0**j)))
-            picked.append(int(open_[at]))
-            open_ = np.delete(open_, at)
-    return np.array(picked, int)
-
-
-def _landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The undecided of p, 16 at most, become 0 or 1 so that words and documents miss their expected totals least."""
+def _flight(p: np.ndarray, size: np.ndarray, rng, leave: int = 2) -> np.ndarray:
+    """Probabilities after the flight phase: all are 0 or 1 but ``leave`` at most, or two where words and documents allow no more.
+
+    A move goes along the projection of the longest open document onto the null space, in the metric of p (1 - p), as far as one
+    coordinate reaches 0 or 1, up or down by chances that make its mean 0.
+    """
+    p = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    open_ = open_[np.lexsort((open_, -size[open_]))]  # the longest first
+    x, q = size[open_] / max(1.0, float(size.max(initial=1))), p[open_]
+    while len(q) > leave:
+        d = q * (1 - q)
+        total = float(d.sum())
+        words = x - float(d @ x) / total
+        spread = float(d @ (words * words))
+        for lead in range(min(len(q), 3)):  # the first may be the only one of its size, which cannot move then
+            v = -d / total - (d * words * (words[lead] / spread) if spread > 1e-18 else 0.0)
+            v[lead] += 1.0
+            if np.abs(v).max() > 1e-9:
+                break
+        else:
+            break
+        v /= np.abs(v).max()
+        moving = np.flatnonzero(np.abs(v) > 1e-12)
+        to_one, to_zero = (1 - q[moving]) / np.abs(v[moving]), q[moving] / np.abs(v[moving])
+        up = float(np.where(v[moving] > 0, to_one, to_zero).min())
+        down = float(np.where(v[moving] > 0, to_zero, to_one).min())
+        q = q + (up if rng.random() * (up + down) < down else -down) * v
+        done = (q < EPS) | (q > 1 - EPS)
+        if not done.any():  # rounding: the coordinate nearest to a bound has reached it
+            done[int(np.argmin(np.minimum(q, 1 - q)))] = True
+        p[open_[done]] = np.round(q[done])
+        open_, x, q = open_[~done], x[~done], q[~done]
+    p[open_] = q
+    return p
+
+
+def _selections(p: np.ndarray, cost) -> tuple[np.ndarray, np.ndarray]:
+    """Selections and their probabilities: of all distributions in which document k has probability p[k] that of least mean cost.
+
+    The simplex method over all 2^n selections. It starts with the nested selections of the k likeliest documents, and any step it
+    ends at keeps the probabilities.
+    """
+    n = len(p)
+    every = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(float)
+    a = np.hstack([np.ones((1 << n, 1)), every])
+    b, c = np.append(1.0, p), cost(every)
+    order = np.argsort(-p, kind="stable")
+    basis = np.array([int(sum(1 << int(k) for k in order[:m])) for m in range(n + 1)])
+    x = np.linalg.solve(a[basis].T, b)
+    for _ in range(50 * (n + 1)):
+        inverse = np.linalg.inv(a[basis].T)
+        x = np.maximum(inverse @ b, 0.0)
+        gain = c - a @ (inverse.T @ c[basis])
+        enter = int(np.argmin(np.round(gain, 9)))
+        if gain[enter] > -1e-9:
+            break
+        step = inverse @ a[enter]
+        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
+        basis[int(np.argmin(ratio))] = enter
+    return every[basis], x / x.sum()
+
+
+def _landing(p: np.ndarray, size: np.ndarray, rng) -> np.ndarray:
+    """What the flight has left becomes 0 or 1, at the chances left, by a draw that keeps words and documents near their totals."""
     p = p.copy()
     open_ = np.flatnonzero((p > 0) & (p < 1))
     if len(open_):
-        words, docs = float(p[open_] @ size[open_]), float(p[open_].sum())
-        choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
-        miss = np.abs(choices @ size[open_] - words) / max(1.0, float(size.mean())) + 0.1 * np.abs(choices.sum(axis=1) - docs)
-        p[open_] = choices[int(np.argmin(np.round(miss, 9)))]
+        own, chance = size[open_], p[open_]
+        scale = max(1.0, float(size.mean()))
+        selections, weights = _selections(chance, lambda s: np.abs((s - chance) @ own) / scale + 0.1 * np.abs((s - chance).sum(axis=1)))
+        p[open_] = selections[int(np.searchsorted(np.cumsum(weights)[:-1], rng.random(), side="right"))]
     return p
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """sources with their rank in code point order, null last: sorted in ranges, and numbered by the sizes of the ranges."""
+    ordered = cut(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before, offsets = 0, [F.lit(0).alias("none")]
+    for r in ordered.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row a range
+        offsets.append(F.lit(r.part))
+        offsets.append(F.lit(before))
+        before += r["count"]
+    offset = F.create_map(*offsets[1:]) if before else F.create_map(F.lit(0), F.lit(0))
+    return ordered.withColumn("rank", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.element_at(offset, part.cast("long"))).drop("at")
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """source, source_size -> with target: shares by weight 1, 2, 3, 1, ... in order of the source, null last.
 
-    A target stops at MOST times its source's size and the excess is shared again by weight until none is above: sorted
-    by size over weight, the stopped ones come first, so one pass finds the level of the others. One row a source.
+    A target stops at MOST times its source's size and the excess is shared again by weight until none is above. One row a source.
+    Each round is a sum over all sources; a source that stops stays so.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("weight", ((F.row_number().over(by_name) - 1) % 3 + 1).cast("double")).withColumn("cap", F.col("source_size").cast("double") * MOST)
-    by_ratio = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    leveled = (
-        ranked.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("weights", F.sum("weight").over(everything))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-        .withColumn("at", F.row_number().over(by_ratio))
-        .withColumn("holds", F.col("cap") >= F.col("level") * F.col("weight"))
+    ranked = cut(
+        _ranked(sources)
+        .withColumn("weight", (F.col("rank") % 3 + 1).cast("double"))
+        .withColumn("cap", F.col("source_size").cast("double") * MOST)
+        .select("source", "source_size", "weight", "cap")
     )
-    first = leveled.withColumn("first", F.min(F.when(F.col("holds"), F.col("at"))).over(everything))
-    final = first.withColumn("final", F.max(F.when(F.col("at") == F.col("first"), F.col("level"))).over(everything))
-    shared = F.least("cap", F.col("final") * F.col("weight"))
-    return final.select("source", "source_size", F.when(F.col("at") >= F.col("first"), shared).otherwise(F.col("cap")).alias("target"))
+    level, stopped = None, -1
+    while True:
+        stops = F.lit(False) if level is None else F.col("cap") < F.lit(level) * F.col("weight")
+        free = F.when(~stops, F.col("weight")).otherwise(0.0)
+        held = F.when(stops, F.col("cap")).otherwise(0.0)
+        r = ranked.agg(F.sum("source_size").alias("total"), F.sum(free).alias("weights"), F.sum(held).alias("held"), F.count_if(stops).alias("stopped")).first()
+        if r.stopped == stopped or not r.weights:
+            break
+        stopped, level = r.stopped, max(level or 0.0, (float(r.total) - r.held) / r.weights)
+    shared = F.least("cap", F.lit(0.0 if level is None else level) * F.col("weight"))
+    return ranked.select("source", "source_size", shared.alias("target"))
 
 
 def row_hash(id_col: str, text_col: str, seed: int = 9):
     return F.xxhash64(F.lit(seed), id_col, text_col)
 
 
+def _with_totals(units: DataFrame, goal: DataFrame) -> DataFrame:
+    """units with the totals of their source, which are broadcast if few, else joined in shares of a source's rows."""
+    units = units.withColumnRenamed("source", "of")
+    match = F.col("of").eqNullSafe(F.col("source"))
+    if goal.count() <= SOURCES:
+        return units.join(F.broadcast(goal), match)
+    shares = goal.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    units = units.withColumn("own", F.pmod(F.xxhash64("h", "ordinal"), F.lit(SHARES)).cast("int"))
+    return units.join(shares, match & (F.col("own") == F.col("share"))).drop("own", "share")
+
+
+def _open(p: str | Column) -> Column:
+    p = F.col(p) if isinstance(p, str) else p
+    return (p > EPS) & (p < 1 - EPS)
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = 9) -> DataFrame:
     """id, size, source_size, target, copies, taken: one row a row of df; taken = copies * size.
 
-    A null or empty text has size 0 and is never taken. A null source is a source of its own, the last. Rows repeated in full
-    are documents of their own, told apart by an ordinal, with equal chances. A null id takes part like any other. Reruns
-    on the same rows agree, however they are partitioned. Only the named columns are read; an empty table gives no rows.
+    A null or empty text has size 0 and is never taken. A null source is a source of its own, the last; sources may be of any type
+    that sorts. Rows repeated in full are documents of their own, told apart by an ordinal, with equal chances. A null id takes
+    part like any other. Reruns on the same rows agree, however they are partitioned. Only the named columns are read; an
+    empty table gives no rows.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), row_hash(id_col, text_col, seed).alias("h"))
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row_hash(id_col, text_col, seed).alias("h"))
     docs = cut(docs)  # ids, sources and sizes only: the texts are read once
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    goal = targets(sizes.select("source", "source_size")).join(sizes.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    sizes = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    counts = sizes.select(F.col("source").alias("s2"), "n")
+    goal = cut(targets(sizes.select("source", "source_size")).join(counts, F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
     # One row for each equal (id, source, size, hash): such rows share their fate up to an ordinal.
     units = docs.groupBy("id", "source", "size", "h").agg(F.count("*").alias("times"))
     units = units.withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rate = F.when(F.col("target") >= MOST * F.col("source_size"), F.when(F.col("source_size") > 0, float(MOST)).otherwise(0.0)).otherwise(rate)
-    units = units.withColumnRenamed("source", "of").join(F.broadcast(goal), F.col("of").eqNullSafe(F.col("source"))) if sizes.limit(10_001).count() <= 10_000 else units.withColumnRenamed("source", "of").join(goal, F.col("of").eqNullSafe(F.col("source")))
-    units = units.withColumn("rate", rate).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0)).withColumn("whole", F.floor("rate").cast("long"))
+    stopped = F.when(F.col("source_size") > 0, float(MOST)).otherwise(0.0)
+    units = _with_totals(units, goal).withColumn("rate", F.when(F.col("target") >= MOST * F.col("source_size"), stopped).otherwise(rate))
+    units = units.withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0))
+    units = units.withColumn("whole", F.floor("rate").cast("long"))
     units = cut(units.select("id", "source", "size", "h", "ordinal", "source_size", "target", "n", "p", "whole"))
 
-    keep = max(0, min(HELD, block // 2 - 2))  # held back in each block of several: rows must get fewer from round to round
-
     def fly(salt: int):
         def run(batches):
             for g in grouped(batches, ["sh", "k"]):
                 g = g.sort_values(["h", "ordinal", "size"], kind="stable")
-                u = np.random.default_rng([seed, salt, int(g.k.iloc[0]), int(g.sh.iloc[0]) & 0xFFFFFFFF]).random(len(g) + 3)
+                rng = np.random.default_rng([seed, salt, int(g.k.iloc[0]), int(g.sh.iloc[0]) & 0xFFFFFFFF])
                 size = g["size"].to_numpy(float)
-                p = g.p.to_numpy(float)
                 land = g.n.iloc[0] <= block  # the source has this block only
-                held = _reserve(p, size, HELD if land else keep)
-                others = np.setdiff1d(np.arange(len(g)), held)
-                p[others] = _flight(p[others], size[others], u)
-                g["p"] = _landing(p, size) if land else p
+                p = _flight(g.p.to_numpy(float), size, rng, LANDING if land else 2)
+                g["p"] = _landing(p, size, rng) if land else p
                 yield g
 
         return run
 
-    open_ = units.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).select("source", F.xxhash64("source").alias("sh"), "size", "h", "ordinal", "n", "p", "id")
+    open_ = units.where(_open("p")).select("source", F.xxhash64("source").alias("sh"), "size", "h", "ordinal", "n", "p", "id")
     most = sizes.agg(F.max("n")).first()[0] or 0
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"source string, sh long, size long, h long, ordinal int, n long, p double, id {id_type}, k long"
+    types = {c: df.schema[x].dataType.simpleString() for c, x in (("id", id_col), ("source", source_col))}
+    schema = f"source {types['source']}, sh long, size long, h long, ordinal int, n long, p double, id {types['id']}, k long"
     decided = None
     round_ = 0
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).cast("long")
         last = most <= block
-        flown = open_.withColumn("k", F.pmod(F.xxhash64(F.lit(round_), "h", "ordinal"), blocks)).repartition("sh", "k").sortWithinPartitions("sh", "k").mapInPandas(fly(round_), schema)
-        flown = cut(flown)
-        done = flown.where((F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)).select("sh", "h", "ordinal", "size", "id", "p")
+        flown = open_.withColumn("k", F.pmod(F.xxhash64(F.lit(round_), "h", "ordinal"), blocks))
+        flown = cut(flown.repartition("sh", "k").sortWithinPartitions("sh", "k").mapInPandas(fly(round_), schema))
+        done = flown.where(~_open("p")).select("sh", "h", "ordinal", "size", "id", "p")
         decided = done if decided is None else decided.unionByName(done)
         if last:
             break
-        # Each block leaves two and those held back at most: a source's next number of rows is bounded by so many times its blocks.
-        open_ = flown.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).withColumn("n", (keep + 2) * blocks).drop("k")
-        most = (keep + 2) * -(-most // block)
+        # Each block leaves two at most: a source's next number of rows is bounded by so many times its blocks.
+        open_ = flown.where(_open("p")).withColumn("n", 2 * blocks).drop("k")
+        most = 2 * -(-most // block)
         round_ += 1
-    chosen = decided.where(F.col("p") > 0.5).select(F.col("sh").alias("csh"), F.col("h").alias("ch"), F.col("ordinal").alias("co"), F.col("size").alias("cs"), F.col("id").alias("cid"))
-    out = units.join(chosen, (F.col("h") == F.col("ch")) & (F.col("ordinal") == F.col("co")) & (F.col("size") == F.col("cs")) & (F.xxhash64("source") == F.col("csh")) & F.col("id").eqNullSafe(F.col("cid")), "left")
+    chosen = decided.where(F.col("p") > 0.5).select(
+        F.col("sh").alias("csh"), F.col("h").alias("ch"), F.col("ordinal").alias("co"), F.col("size").alias("cs"), F.col("id").alias("cid")
+    )
+    same = (F.col("h") == F.col("ch")) & (F.col("ordinal") == F.col("co")) & (F.col("size") == F.col("cs"))
+    out = units.join(chosen, same & (F.xxhash64("source") == F.col("csh")) & F.col("id").eqNullSafe(F.col("cid")), "left")
     copies = F.col("whole") + F.when(F.col("ch").isNotNull() | (F.col("p") >= 1 - EPS), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("long")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h", "ordinal")
