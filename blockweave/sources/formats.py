@@ -171,21 +171,21 @@ def parse_png(data: bytes):
     return w, h, "ycbcr-jpeg" if n == 1 else "rgb", {1: "u8", 3: "444-u8-p012", 4: "4444-u8-p0123"}[n], np.ascontiguousarray(p).tobytes()
 
 
-def parse_gif(data: bytes):
-    """The first frame."""
+def _gif_colours(data: bytes, at: int, flags: int, table: np.ndarray) -> int:
+    n = 2 << (flags & 7)
+    table[:n] = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(n, 3)
+    return at + 3 * n
+
+
+def _gif_head(data: bytes):
+    """(width, height, background, colours, transparent index or None, where the first frame starts)."""
     if data[:3] != b"GIF":
         raise FormatError("not a GIF file")
     w, h, flags, back, _ = struct.unpack("<HHBBB", data[6:13])
     at = 13
     table = np.zeros((256, 3), np.uint8)
-
-    def colours(at, flags):
-        n = 2 << (flags & 7)
-        table[:n] = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(n, 3)
-        return at + 3 * n
-
     if flags & 0x80:
-        at = colours(at, flags)
+        at = _gif_colours(data, at, flags, table)
     clear = None
     while data[at] != 0x2C:
         if data[at] != 0x21:
@@ -196,10 +196,16 @@ def parse_gif(data: bytes):
         while data[at]:
             at += data[at] + 1
         at += 1
+    return w, h, back, table, clear, at
+
+
+def parse_gif(data: bytes):
+    """The first frame."""
+    w, h, back, table, clear, at = _gif_head(data)
     x0, y0, fw, fh, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
     at += 10
     if flags & 0x80:
-        at = colours(at, flags)
+        at = _gif_colours(data, at, flags, table)
     least = data[at]
     at += 1
     packed = b""
@@ -312,7 +318,8 @@ def probe(name: str, head: bytes):
         w, h, depth = struct.unpack("<HHB", head[12:17])
         return w, h, "ycbcr-jpeg" if depth == 8 else "rgb", {8: "u8", 24: "444-u8-p012", 32: "4444-u8-p0123"}[depth]
     if kind == "GIF":
-        return *struct.unpack("<HH", head[6:10]), "rgb", "444-u8-p012"
+        w, h, _, _, clear, _ = _gif_head(head)
+        return w, h, "rgb", "444-u8-p012" if clear is None else "4444-u8-p0123"
     if kind in ("PNM", "PGM", "PPM", "PAM", "Y4M"):
         return PARSERS[kind](head)[:4]
     if kind == "TST":

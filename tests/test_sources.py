@@ -85,6 +85,60 @@ def test_probe_long_head(spark, tmp_path):
     assert len(got) == 3 and all((got[n].width, got[n].height, got[n].error) == (16, 16, None) for n in ("long.jpg", "short.jpg"))
 
 
+IMAGE = "path string, width int, height int, color_space string, pixel_format string, data bytes".replace("bytes", "binary")
+
+
+def test_written_files_keep_their_folders(spark, tmp_path):
+    """Files of one base name in different folders stay apart; each image is encoded once."""
+    rows = [(f"file:/in/{sub}/a.png", 4, 2, "rgb", "444-u8-p012", bytes([k] * 24)) for k, sub in enumerate(("x", "y", "y/z"))]
+    rows.append(("file:/in/bad.gif", 4, 2, "rgb", "444-u8-p012", bytes(24)))
+    df = spark.createDataFrame(rows, IMAGE)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    out = images.write_images(df.mapInPandas(counted, IMAGE), str(tmp_path / "out"), base="/in")
+    got = {r.path: (r.file, r.bytes, r.error) for r in out.collect()}
+    assert calls.value == 4 and len(got) == 4
+    for k, sub in enumerate(("x", "y", "y/z")):
+        file, size, error = got[f"file:/in/{sub}/a.png"]
+        body = (tmp_path / "out" / sub / "a.png").read_bytes()
+        assert (file, size, error) == (f"{sub}/a.png", len(body), None) and formats.load("a.png", body)[4] == bytes([k] * 24)
+    assert got["file:/in/bad.gif"][0] is None and "GIF is not written" in got["file:/in/bad.gif"][2]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("_")) == ["x", "y"]
+    assert not [p for p in (tmp_path / "out").rglob("*") if "_writing" in p.name]
+
+
+def test_clashing_names_are_an_error(spark, tmp_path):
+    rows = [(f"file:/in/{sub}/a.png", 4, 2, "rgb", "444-u8-p012", bytes([k] * 24)) for k, sub in enumerate(("x", "y"))]
+    with pytest.raises(FileExistsError, match="a.png"):
+        images.write_images(spark.createDataFrame(rows, IMAGE), str(tmp_path / "out"))
+    assert not list((tmp_path / "out").rglob("*.png"))
+    images.register(spark)
+    files = spark.createDataFrame([("d/a.jpg", b"1"), ("d/./a.jpg", b"2")], "path string, content binary")
+    with pytest.raises(Exception, match="written as one file"):
+        files.write.format("imagefiles").mode("append").save(str(tmp_path / "out2"))
+    assert not list((tmp_path / "out2").rglob("*.jpg"))
+    files.where("content = X'31'").write.format("imagefiles").mode("append").save(str(tmp_path / "out2"))
+    assert (tmp_path / "out2" / "d" / "a.jpg").read_bytes() == b"1"
+    for bad in ("../a.jpg", "/a.jpg", ""):
+        with pytest.raises(ValueError, match="no path below"):
+            images.Store(str(tmp_path)).at(bad)
+
+
+def test_probe_reads_heads_only(spark, tmp_path, monkeypatch):
+    """A large file is probed by its head; its content is in no plan."""
+    (tmp_path / "big.ppm").write_bytes(formats.write_pnm(2000, 1000, "rgb", "444-u8-p012", bytes(6_000_000)))
+    df = images.probe_images(spark, str(tmp_path), head=512)
+    assert "content" not in df._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[-1].split("Relation")[0]
+    assert [(r.width, r.height, r.error) for r in df.collect()] == [(2000, 1000, None)]
+    monkeypatch.setattr(images, "_known", lambda path: False)
+    assert [(r.width, r.height, r.error) for r in images.probe_images(spark, str(tmp_path), head=512).collect()] == [(2000, 1000, None)]
+
+
 def test_streams(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
