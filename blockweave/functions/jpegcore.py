@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import math
 import struct
 from dataclasses import dataclass, field
 
@@ -505,6 +507,49 @@ def quantise(data: bytes, width: int, height: int, color_space: str, pixel_forma
     return comps, [forward(plane, qs[c.kind]) for c, plane in zip(comps, planes_of(pixels, comps, p.flip), strict=True)], restart
 
 
+def cut_rows(data: bytes, width: int, height: int, pixel_format: str, padding: int, rows: int) -> list[tuple[int, bytes]]:
+    """(height, buffer) of the bands of so many rows that a buffer consists of; rows is a multiple of 8."""
+    planar, _, bpp, sampling = T.PIXEL_FORMATS[pixel_format]
+    if len(data) < image_size(width, height, pixel_format, padding):
+        raise CodingError(f"{len(data)} bytes are too few for {width}x{height} {pixel_format}")
+    mh, mv = sampling[0]
+    planes, at = [], 0  # (start, bytes a line, rows of the image a line) of each plane
+    for h, v in sampling if planar else ((mh, mv),):
+        line = -(-width // (mh // h)) if planar else (width + padding) * bpp
+        planes.append((at, line, mv // v))
+        at += line * -(-height // (mv // v))
+    out = []
+    for y in range(0, height, rows):
+        to = min(height, y + rows)
+        out.append((to - y, b"".join(data[start + line * (y // d) : start + line * -(-to // d)] for start, line, d in planes)))
+    return out
+
+
+def band_pieces(comps: list[Component], k: int, band: int, coefs: list[np.ndarray], interleaved: bool):
+    """Yields (scan, segment, place in the scan's order, component of each block, blocks) of the segments that band k has a part of."""
+    each = sum(c.h * c.v for c in comps)
+    parts, before = [], 0
+    for c, own in zip(comps, coefs, strict=True):
+        by, bx = (x.ravel() for x in np.indices(own.shape[:2]))
+        by = by + k * band * c.v
+        if interleaved:
+            order = (by // c.v * c.mcu_x + bx // c.h) * each + before + by % c.v * c.h + bx % c.h
+            fits = by // c.v < c.mcu_y
+        else:
+            order, fits = by * c.mcu_x + bx, by < c.mcu_y
+        before += c.h * c.v
+        parts.append((order[fits], np.full(int(fits.sum()), c.index, np.uint8), own.reshape(-1, 64)[fits], c.segment_mcus * (each if interleaved else 1)))
+    if interleaved:
+        parts = [(*(np.concatenate(x) for x in list(zip(*parts, strict=True))[:3]), parts[0][3])]
+    for scan, (order, comp, blocks, per) in enumerate(parts):
+        at = np.argsort(order, kind="stable")
+        order, comp, blocks = order[at], comp[at], blocks[at]
+        cut = np.flatnonzero(np.diff(order // per)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(order)], strict=True):
+            if b > a:
+                yield scan, int(order[a] // per), int(order[a]), comp[a:b], blocks[a:b].astype(np.int16)
+
+
 def segments_of(comps: list[Component], coefs: list[np.ndarray], interleaved: bool):
     """Yields (scan, segment, mcus, component of each block, blocks) in order."""
     for scan, (comp, by, bx, mcus, per) in enumerate(coding_order(comps, interleaved)):
@@ -760,20 +805,23 @@ class Jpeg:
 
 
 def split_scan(data: bytes) -> list[bytes]:
-    """Restart segments of a scan. Markers out of turn are skipped up to the one that is due; an empty last one goes."""
+    """Restart segments of a scan.
+
+    At a marker out of turn all bytes up to the next marker that is due are skipped, and the segments among them are lost. If no
+    such marker is left, the segment ends with the marker out of turn and the rest of the scan is lost. An empty last segment goes.
+    """
     parts, start, at, due = [], 0, 0, 0
     while (at := data.find(b"\xff", at)) >= 0 and at + 1 < len(data):
         code = data[at + 1]
-        if 0xD0 <= code <= 0xD7:
-            ahead = (code - 0xD0 - due) % 8
-            if ahead <= 3:
-                parts += [b""] * ahead  # lost segments keep their places
-                parts.append(data[start:at])
-                due = (code - 0xD0 + 1) % 8
-                start = at + 2
-            at += 2
-        else:
-            at += 2 if code == 0 else 1
+        if not 0xD0 <= code <= 0xD7:
+            at += 1 if code == 0xFF else 2
+            continue
+        found = at if code == 0xD0 + due else data.find(bytes([0xFF, 0xD0 + due]), at + 2)
+        if found < 0:
+            return [*parts, data[start : at + 2]]
+        parts.append(data[start:at])
+        start = at = found + 2
+        due = (due + 1) % 8
     if start < len(data):
         parts.append(data[start:])
     return parts
@@ -960,8 +1008,14 @@ def output_format(j: Jpeg, color_space: str, pixel_format: str) -> tuple[str, st
     return color_space, pixel_format
 
 
-def rebuild(j: Jpeg, coefs: list[np.ndarray], color_space: str = "default", pixel_format: str = "auto", alignment: int = 0, flip: bool = False, remap_to: str | None = None):
-    """(data, colour space, pixel format, padding) from each component's coefficients."""
+def bare(data: bytes) -> bytes:
+    """The head of a file, then the heads of all its scans without their bits: enough to decode any segment."""
+    at = next(at for at, code, _ in markers(data) if code == 0xDA)
+    return data[:at] + b"".join(marker(code, payload) for _, code, payload in markers(data) if code in (0xDA, 0xC4)) + EOI
+
+
+def pixels_of(j: Jpeg, coefs: list[np.ndarray], color_space: str, pixel_format: str, flip: bool = False, remap_to: str | None = None) -> np.ndarray:
+    """Rows of pixels, in the output's colour space and components, from each component's coefficients."""
     comps = geometry(j.width, j.height, j.sampling, j.restart, j.interleaved, j.color_space)
     mh, mv = max(c.h for c in comps), max(c.v for c in comps)
     planes = []
@@ -977,21 +1031,68 @@ def rebuild(j: Jpeg, coefs: list[np.ndarray], color_space: str = "default", pixe
     if pixels.shape[2] >= 3:
         pixels = convert(pixels, j.color_space, color_space)
     pixels = widen(pixels, n, color_space)
-    if remap_to:
-        pixels = remap(pixels, remap_to)
+    return remap(pixels, remap_to) if remap_to else pixels
+
+
+def finish(j: Jpeg, pixels: np.ndarray, color_space: str, pixel_format: str, alignment: int = 0):
+    """(data, colour space, pixel format, padding) of an image's pixels."""
+    color_space, pixel_format = output_format(j, color_space, pixel_format)
     bpp = T.PIXEL_FORMATS[pixel_format][2]
-    line = bpp * j.width
-    padding = (-(-line // alignment) * alignment - line) // max(1, bpp) if alignment else 0
+    # Padding is counted in pixels, so as many are added as make the bytes of a row a multiple of the alignment.
+    padding = -j.width % (alignment // math.gcd(alignment, bpp)) if alignment and bpp else 0
     return pack(pixels, pixel_format, padding), color_space, pixel_format, padding
 
 
+def rebuild(
+    j: Jpeg,
+    coefs: list[np.ndarray],
+    color_space: str = "default",
+    pixel_format: str = "auto",
+    alignment: int = 0,
+    flip: bool = False,
+    remap_to: str | None = None,
+):
+    """(data, colour space, pixel format, padding) from each component's coefficients."""
+    return finish(j, pixels_of(j, coefs, color_space, pixel_format, flip, remap_to), color_space, pixel_format, alignment)
+
+
+def band_blocks(j: Jpeg, band: int) -> list[int]:
+    """Rows of blocks of each component in a band of so many rows of MCUs."""
+    return [band * v for _, v in j.sampling]
+
+
+def band_pixels(j: Jpeg, k: int, band: int, at: np.ndarray, blocks: np.ndarray, color_space: str, pixel_format: str, remap_to: str | None) -> np.ndarray:
+    """Pixels of band k, whose coefficients are blocks at (component, row, column); rows below the image come with them."""
+    mv = max(v for _, v in j.sampling)
+    part = dataclasses.replace(j, height=8 * mv * band, scans=[], index={})
+    coefs = empty_coefs(part)
+    for c, (plane, rows) in enumerate(zip(coefs, band_blocks(j, band), strict=True)):
+        own = at[0] == c
+        plane[at[1, own] - k * rows, at[2, own]] = blocks[own]
+    return pixels_of(part, coefs, color_space, pixel_format, remap_to=remap_to)
+
+
+def join_bands(j: Jpeg, bands: dict[int, bytes], band: int, color_space: str, pixel_format: str, alignment: int = 0, remap_to: str | None = None):
+    """(data, colour space, pixel format, padding) of the bands' pixels; a band of which all segments are lost has no coefficients."""
+    height = 8 * max(v for _, v in j.sampling) * band
+    n = T.PIXEL_FORMATS[output_format(j, color_space, pixel_format)[1]][1]
+    none = np.zeros((3, 0), int), np.zeros((0, 64), np.int32)
+    rows = []
+    for k in range(-(-j.height // height)):
+        if k in bands:
+            rows.append(np.frombuffer(bands[k], np.uint8).reshape(height, j.width, n))
+        else:
+            rows.append(band_pixels(j, k, band, *none, color_space, pixel_format, remap_to))
+    return finish(j, np.concatenate(rows)[: j.height], color_space, pixel_format, alignment)
+
+
 def empty_coefs(j: Jpeg) -> list[np.ndarray]:
     comps = geometry(j.width, j.height, j.sampling, j.restart, j.interleaved, j.color_space)
     return [np.zeros((c.data_height // 8, c.data_width // 8, 64), np.int32) for c in comps]
 
 
-def decode(data: bytes, color_space: str = "default", pixel_format: str = "auto", **options):
-    j = read(data)
+def coefficients(j: Jpeg) -> list[np.ndarray]:
+    """Each component's coefficients, decoded from all segments."""
     coefs = empty_coefs(j)
     found = decode_segments(j, [(k, seg, part) for k, (_, parts, _) in enumerate(j.scans) for seg, part in enumerate(parts)])
     if found:
@@ -999,7 +1100,12 @@ def decode(data: bytes, color_space: str = "default", pixel_format: str = "auto"
         for c in range(len(coefs)):
             m = comp == c
             coefs[c][by[m], bx[m]] = blocks[m]
-    raw, cs, pf, padding = rebuild(j, coefs, color_space, pixel_format, **options)
+    return coefs
+
+
+def decode(data: bytes, color_space: str = "default", pixel_format: str = "auto", **options):
+    j = read(data)
+    raw, cs, pf, padding = rebuild(j, coefficients(j), color_space, pixel_format, **options)
     return j.width, j.height, cs, pf, padding, raw
 
 

@@ -4,13 +4,14 @@
 
 Encoding makes quantised coefficients of each image, cut into restart segments, then packs the bits of each segment, then
 joins the segments of an image to a file. With many images a task does all of it for its images and nothing is shuffled;
-``spread=True`` deals segments out by (image, scan, segment) between the first two steps, for few or very large images.
+``spread=True`` deals bands of rows out before the transform and segments by (image, scan, segment) after it, for few or very large images.
 Bad rows give a null result and a text in ``error``, or fail the query with mode="FAILFAST".
 """
 
 from __future__ import annotations
 
 import dataclasses
+import time
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ from blockweave.functions import jpegcore as J
 
 Params = J.Params
 IMAGES = "image_id long, width int, height int, color_space string, pixel_format string, width_padding int, data binary"
+SEGMENTS = "image_id long, scan int, seg int, mcu_count int, comp binary, coefs binary, kinds array<string>, error string"
+#: Rows of MCUs in a band, the part of a large image that goes to a task of its own.
+BAND = 16
 ORIENTATION = "struct<rotation: int, flip: boolean>"
 INFO = (
     "width int, height int, comp_count int, sampling array<struct<h: int, v: int>>, color_space string, interleaved boolean, restart_interval int, "
@@ -42,7 +46,8 @@ def encode(images: DataFrame, params: Params | None = None, mode: str = "PERMISS
     """image_id, jpeg, error."""
     p = params or Params()
     if spread:
-        return assemble(images, pack(segments(images, p, mode).repartition("image_id", "scan", "seg"), mode), p)
+        segs = segments(images, p, mode).repartition("image_id", "scan", "seg") if p.flip else segments_by_bands(images, p, mode)
+        return assemble(images, pack(segs, mode), p)
 
     def run(batches):
         for batch in batches:
@@ -60,7 +65,7 @@ def encode(images: DataFrame, params: Params | None = None, mode: str = "PERMISS
 def segments(images: DataFrame, params: Params | None = None, mode: str = "PERMISSIVE") -> DataFrame:
     """image_id, scan, seg, mcu_count, comp (binary, a byte a block), coefs (binary, 64 shorts a block), kinds, error."""
     p = params or Params()
-    schema = "image_id long, scan int, seg int, mcu_count int, comp binary, coefs binary, kinds array<string>, error string"
+    schema = SEGMENTS
 
     def run(batches):
         for batch in batches:
@@ -68,7 +73,8 @@ def segments(images: DataFrame, params: Params | None = None, mode: str = "PERMI
                 try:
                     comps, coefs, _ = J.quantise(*_image(row), p)
                     kinds = [c.kind for c in comps]
-                    out = [(row.image_id, scan, seg, mcus, comp.astype(np.uint8).tobytes(), blocks.tobytes(), kinds, None) for scan, seg, mcus, comp, blocks in J.segments_of(comps, coefs, p.interleaved)]
+                    found = J.segments_of(comps, coefs, p.interleaved)
+                    out = [(row.image_id, scan, seg, mcus, comp.astype(np.uint8).tobytes(), blocks.tobytes(), kinds, None) for scan, seg, mcus, comp, blocks in found]
                 except Exception as e:  # noqa: BLE001
                     out = [(row.image_id, 0, 0, 0, b"", b"", [], _failing(mode, e))]
                 yield pd.DataFrame(out, columns=["image_id", "scan", "seg", "mcu_count", "comp", "coefs", "kinds", "error"])
@@ -76,6 +82,50 @@ def segments(images: DataFrame, params: Params | None = None, mode: str = "PERMI
     return images.mapInPandas(run, schema)
 
 
+def segments_by_bands(images: DataFrame, params: Params | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    """As ``segments``, with the rows of an image dealt out in bands before the transform; without a flip."""
+    p = params or Params()
+    cut_schema = "image_id long, band int, width int, height int, rows int, color_space string, pixel_format string, width_padding int, data binary, error string"
+    piece_schema = "image_id long, scan int, seg int, at int, each int, comp binary, coefs binary, kinds array<string>, error string"
+
+    def cut(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                try:
+                    data, w, h, cs, pf, padding = _image(row)
+                    mv = max(v for _, v in J.settle(w, h, pf, p)[1])
+                    out = [(row.image_id, k, w, h, n, cs, pf, padding, part, None) for k, (n, part) in enumerate(J.cut_rows(data, w, h, pf, padding, 8 * mv * BAND))]
+                except Exception as e:  # noqa: BLE001
+                    out = [(row.image_id, -1, 0, 0, 0, None, None, 0, None, _failing(mode, e))]
+                yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in cut_schema.split(", ")])
+
+    def transform(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                error = r.error
+                if error is None:
+                    try:
+                        _, sampling, restart = J.settle(r.width, r.height, r.pixel_format, p)
+                        comps = J.geometry(r.width, r.height, sampling, restart, p.interleaved, p.color_space_internal)
+                        _, coefs, _ = J.quantise(bytes(r.data), r.width, r.rows, r.color_space, r.pixel_format, r.width_padding, p)
+                        kinds, each = [c.kind for c in comps], sum(c.h * c.v for c in comps) if p.interleaved else 1
+                        found = J.band_pieces(comps, r.band, BAND, coefs, p.interleaved)
+                        out += [(r.image_id, scan, seg, at, each, comp.tobytes(), blocks.tobytes(), kinds, None) for scan, seg, at, comp, blocks in found]
+                    except Exception as e:  # noqa: BLE001
+                        error = _failing(mode, e)
+                if error is not None:
+                    out.append((r.image_id, 0, 0, 0, 1, b"", b"", [], error))
+            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in piece_schema.split(", ")])
+
+    bands = images.mapInPandas(cut, cut_schema).repartition("image_id", "band")
+    pieces = bands.mapInPandas(transform, piece_schema)
+    parts = F.array_sort(F.collect_list(F.struct("at", "comp", "coefs"))).alias("parts")
+    segs = pieces.groupBy("image_id", "scan", "seg").agg(parts, F.max("each").alias("each"), F.max("kinds").alias("kinds"), F.max("error").alias("error"))
+    joined = lambda c: F.aggregate("parts", F.lit(b"").cast("binary"), lambda got, x: F.concat(got, x[c])).alias(c)
+    return segs.select("image_id", "scan", "seg", F.floor(F.aggregate("parts", F.lit(0), lambda n, x: n + F.length(x["comp"])) / F.col("each")).cast("int").alias("mcu_count"), joined("comp"), joined("coefs"), "kinds", "error")
+
+
 def pack(segs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """image_id, scan, seg, mcu_count, data, error: the bits of each segment."""
 
@@ -126,8 +176,28 @@ def assemble(images: DataFrame, packed: DataFrame, params: Params | None = None)
     return sizes.join(parts, "image_id").select("image_id", "width", "height", "pixel_format", "parts", "error").mapInPandas(run, "image_id long, jpeg binary, error string")
 
 
-def decode(files: DataFrame, color_space: str = "default", pixel_format: str = "auto", column: str = "jpeg", mode: str = "PERMISSIVE", alignment: int = 0, flip: bool = False, remap: str | None = None) -> DataFrame:
-    """IMAGES and error of JPEG files (image_id, ``column``); each image in one task."""
+_DECODED = ["image_id", "width", "height", "color_space", "pixel_format", "width_padding", "data", "error"]
+_INTS = {c: "Int32" for c in ("width", "height", "width_padding")}
+
+
+def decode(
+    files: DataFrame,
+    color_space: str = "default",
+    pixel_format: str = "auto",
+    column: str = "jpeg",
+    mode: str = "PERMISSIVE",
+    alignment: int = 0,
+    flip: bool = False,
+    remap: str | None = None,
+    spread: bool = False,
+) -> DataFrame:
+    """IMAGES and error of JPEG files (image_id, ``column``).
+
+    Each image is decoded in one task, or with ``spread`` its segments and then bands of its rows in many. A flip needs all rows at once, so
+    with it each image has one task in any case. Rows are padded with whole pixels until their bytes are a multiple of ``alignment``.
+    """
+    if spread and not flip:
+        return _decode_spread(files, color_space, pixel_format, column, mode, alignment, remap)
 
     def run(batches):
         for batch in batches:
@@ -138,11 +208,108 @@ def decode(files: DataFrame, color_space: str = "default", pixel_format: str = "
                     out.append((i, w, h, cs, pf, padding, raw, None))
                 except Exception as e:  # noqa: BLE001
                     out.append((i, None, None, None, None, None, None, _failing(mode, e)))
-            yield pd.DataFrame(out, columns=["image_id", "width", "height", "color_space", "pixel_format", "width_padding", "data", "error"]).astype({c: "Int32" for c in ("width", "height", "width_padding")})
+            yield pd.DataFrame(out, columns=_DECODED).astype(_INTS)
 
     return files.select("image_id", F.col(column).alias("data")).mapInPandas(run, f"{IMAGES}, error string")
 
 
+def _decode_spread(files, color_space, pixel_format, column, mode, alignment, remap) -> DataFrame:
+    """Segments to coefficients, bands of coefficients to pixels, bands to images; only the last step has an image in one place."""
+
+    def split(batches):
+        for batch in batches:
+            for i, data in zip(batch.image_id, batch.data, strict=True):
+                try:
+                    data = bytes(data)
+                    j, bare = J.read(data), J.bare(data)
+                    J.output_format(j, color_space, pixel_format)
+                    out = [(i, k, s, part, bare, None) for k, (_, parts, _) in enumerate(j.scans) for s, part in enumerate(parts)]
+                except Exception as e:  # noqa: BLE001
+                    out = [(i, -1, -1, None, None, _failing(mode, e))]
+                yield pd.DataFrame(out, columns=["image_id", "scan", "seg", "data", "head", "error"])
+
+    def blocks(batches):
+        for batch in batches:
+            out = [(r.image_id, -1, r.head, None, None, None, None, r.error) for r in batch[batch.error.notna()].itertuples()]
+            for head, part in batch[batch.error.isna()].groupby("head", sort=False):
+                j = J.read(bytes(head))
+                step = J.band_blocks(j, BAND)
+                for r in part.itertuples():
+                    try:
+                        for comp, by, bx, blocks in J.decode_segments(j, [(r.scan, r.seg, bytes(r.data))]):
+                            key = comp * (1 << 20) + by // np.array(step)[comp]
+                            for k in np.unique(key):
+                                m = key == k
+                                at = np.stack([comp[m], by[m], bx[m]]).astype(np.int32)
+                                out.append((r.image_id, int(k % (1 << 20)), head, at.tobytes(), blocks[m].astype(np.int32).tobytes(), r.scan, r.seg, None))
+                    except Exception as e:  # noqa: BLE001
+                        out.append((r.image_id, -1, head, None, None, r.scan, r.seg, _failing(mode, e)))
+            yield pd.DataFrame(out, columns=["image_id", "band", "head", "at", "blocks", "scan", "seg", "error"]).astype({"scan": "Int32", "seg": "Int32"})
+
+    def pixels(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["scan", "seg"])
+        first = part.iloc[0]
+        error = next((e for e in part.error if e is not None), None)
+        rows = None
+        if error is None:
+            at = np.concatenate([np.frombuffer(a, np.int32).reshape(3, -1) for a in part["at"]], axis=1)
+            found = np.concatenate([np.frombuffer(b, np.int32).reshape(-1, 64) for b in part.blocks])
+            rows = J.band_pixels(J.read(bytes(first["head"])), int(first.band), BAND, at, found, color_space, pixel_format, remap).tobytes()
+        return pd.DataFrame({"image_id": [first.image_id], "band": [first.band], "head": [first["head"]], "rows": [rows], "error": [error]})
+
+    def join(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                errors = [b["error"] for b in r.bands if b["error"] is not None]
+                if errors:
+                    out.append((r.image_id, None, None, None, None, None, None, errors[0]))
+                    continue
+                j = J.read(bytes(r.head))
+                bands = {int(b["band"]): bytes(b["rows"]) for b in r.bands}
+                raw, cs, pf, padding = J.join_bands(j, bands, BAND, color_space, pixel_format, alignment, remap)
+                out.append((r.image_id, j.width, j.height, cs, pf, padding, raw, None))
+            yield pd.DataFrame(out, columns=_DECODED).astype(_INTS)
+
+    parts = files.select("image_id", F.col(column).alias("data")).mapInPandas(split, "image_id long, scan int, seg int, data binary, head binary, error string")
+    found = parts.repartition("image_id", "scan", "seg").mapInPandas(
+        blocks, "image_id long, band int, head binary, at binary, blocks binary, scan int, seg int, error string"
+    )
+    bands = found.groupBy("image_id", "band").applyInPandas(pixels, "image_id long, band int, head binary, rows binary, error string")
+    whole = bands.groupBy("image_id").agg(F.first("head", ignorenulls=True).alias("head"), F.collect_list(F.struct("band", "rows", "error")).alias("bands"))
+    return whole.mapInPandas(join, f"{IMAGES}, error string")
+
+
+def durations(images: DataFrame, params: Params | None = None) -> DataFrame:
+    """image_id, stage, milliseconds: of encoding and decoding each image, stage by stage, in the task that does it."""
+    p = params or Params()
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                marks = [("start", time.perf_counter())]
+                done = lambda stage: marks.append((stage, time.perf_counter()))  # noqa: B023, E731
+                comps, coefs, restart = J.quantise(*_image(row), p)
+                done("encode: transform")
+                found = list(J.segments_of(comps, coefs, p.interleaved))
+                packed = J.pack_all([(comp, blocks) for _, _, _, comp, blocks in found], [c.kind for c in comps])
+                done("encode: entropy code")
+                bits = [(scan, seg, data) for (scan, seg, *_), data in zip(found, packed, strict=True)]
+                jpeg = J.assemble(row.width, row.height, comps, restart, p, bits)
+                done("encode: container")
+                j = J.read(jpeg)
+                done("decode: container")
+                coefs = J.coefficients(j)
+                done("decode: entropy code")
+                J.rebuild(j, coefs)
+                done("decode: transform")
+                out += [(row.image_id, stage, 1000 * (b - a)) for (_, a), (stage, b) in zip(marks, marks[1:], strict=False)]
+            yield pd.DataFrame(out, columns=["image_id", "stage", "milliseconds"])
+
+    return images.mapInPandas(run, "image_id long, stage string, milliseconds double")
+
+
 def split_segments(files: DataFrame, column: str = "jpeg", use_index: bool = False) -> DataFrame:
     """image_id, scan, seg, data: restart segments of files, by their markers or by their segment index."""
 
@@ -167,10 +334,7 @@ def coefficients(files: DataFrame, column: str = "jpeg", spread: bool = True) ->
         for batch in batches:
             for i, data in zip(batch.image_id, batch.data, strict=True):
                 data = bytes(data)
-                j = J.read(data)
-                at = next(at for at, code, _ in J.markers(data) if code == 0xDA)
-                # The head, then the heads of all scans without their bits: enough to decode any segment.
-                bare = data[:at] + b"".join(J.marker(code, payload) for _, code, payload in J.markers(data) if code in (0xDA, 0xC4)) + J.EOI
+                j, bare = J.read(data), J.bare(data)
                 out = [(i, k, s, part, bare) for k, (_, parts, _) in enumerate(j.scans) for s, part in enumerate(parts)]
                 yield pd.DataFrame(out, columns=["image_id", "scan", "seg", "data", "head"])
 

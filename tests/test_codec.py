@@ -64,15 +64,15 @@ def test_structure():
     assert J.read(jpeg).segment_count == 3 * 13
 
 
-def test_lost_segment_keeps_places():
+def test_lost_segment_loses_those_up_to_the_marker_that_is_due():
     raw = J.lcg(J.image_size(64, 64, "u8")).tobytes()
     jpeg = J.encode(raw, 64, 64, "ycbcr-jpeg", "u8", 0, J.Params(restart_interval=8))
     body = next(p for _, c, p in J.markers(jpeg) if c == 0)
     parts = J.split_scan(body)
     at = len(parts[0]) + 2
     broken = body[:at] + body[at + len(parts[1]) + 2 :]
-    again = J.split_scan(broken)
-    assert len(parts) == len(again) == 8 and again[1] == b"" and again[2:] == parts[2:]
+    again = J.split_scan(broken)  # no marker with the lost one's number follows, as there are eight segments in all
+    assert len(parts) == 8 and again == [parts[0], parts[2] + b"\xff\xd2"]
 
 
 def test_headers_exif_orientation_and_spaces():
@@ -209,3 +209,68 @@ def test_options():
     once = J.decode(J.encode(raw, 16, 16, params=codec.options(quality=95, flip=True)))[5]
     rows = np.frombuffer(once, np.uint8).reshape(16, 16, 3)
     assert J.psnr(rows[::-1], np.frombuffer(raw, np.uint8).reshape(16, 16, 3)) > 25
+
+
+def test_rows_are_aligned():
+    """Padding of whole pixels makes the bytes of a row a multiple of the alignment, with as few of them as do."""
+    raw = J.lcg(5 * 4 * 3).tobytes()
+    data = J.encode(raw, 5, 4)
+    plain = np.frombuffer(J.decode(data)[5], np.uint8).reshape(4, 15)
+    for alignment, pixels in ((0, 0), (1, 0), (3, 0), (16, 11), (32, 27), (6, 1)):
+        w, h, _, _, padding, out = J.decode(data, alignment=alignment)
+        assert padding == pixels and len(out) == (5 + pixels) * 3 * 4 and (not alignment or (5 + pixels) * 3 % alignment == 0)
+        assert (np.frombuffer(out, np.uint8).reshape(4, -1)[:, :15] == plain).all()
+        assert J.unpack(out, w, h, "444-u8-p012", padding).tobytes() == plain.tobytes()
+
+
+def test_markers_out_of_turn():
+    """Bytes up to the marker that is due are skipped; without one the rest of the scan is lost."""
+    scan = lambda numbers: b"".join(bytes([k]) * 3 + bytes([0xFF, 0xD0 + n % 8]) for k, n in enumerate(numbers)) + b"end"
+    assert J.split_scan(scan(range(20))) == [bytes([k]) * 3 for k in range(20)] + [b"end"]
+    wrong = [*range(4), 7, *range(5, 20)]
+    assert J.split_scan(scan(wrong)) == [bytes([k]) * 3 for k in range(5)] + [bytes([k]) * 3 for k in range(13, 20)] + [b"end"]
+    assert J.split_scan(scan([0, 1, 5, 3, 4])) == [b"\0\0\0", b"\1\1\1", b"\2\2\2\xff\xd5"]
+    assert J.split_scan(scan([0])[:-3]) == [b"\0\0\0"] and J.split_scan(b"") == []
+
+
+@pytest.mark.parametrize("params", [{}, {"interleaved": True, "sampling": ((2, 2), (1, 1), (1, 1))}, {"sampling": ((2, 1), (1, 1), (1, 1)), "restart_interval": 3}])
+def test_decode_in_bands(spark, params):
+    """Images of more than one band, with a broken file and one that lost its last segments, as in one task each."""
+    files = [(k, J.encode(J.lcg(w * h * 3, k + 1).tobytes(), w, h, params=J.Params(**params))) for k, (w, h) in enumerate([(70, 300), (33, 17), (130, 129)])]
+    at = files[0][1].rindex(b"\xff\xd0")
+    files += [(10, files[0][1][:at] + b"\xff\xd9"), (11, b"broken")]
+    df = spark.createDataFrame(files, "image_id long, jpeg binary")
+    for options in ({}, {"alignment": 16, "remap": "210"}, {"color_space": "ycbcr-jpeg", "pixel_format": "420-u8-p0p1p2"}, {"flip": True}):
+        key = lambda rows: sorted((r.image_id, r.width, r.height, r.pixel_format, r.width_padding, r.data and bytes(r.data), r.error) for r in rows)
+        assert key(codec.decode(df, spread=True, **options).collect()) == key(codec.decode(df, **options).collect())
+
+
+def test_durations(spark):
+    df = spark.createDataFrame([(1, 64, 64, "rgb", "444-u8-p012", 0, J.lcg(64 * 64 * 3).tobytes())], codec.IMAGES)
+    got = [(r.stage, r.milliseconds) for r in codec.durations(df).collect()]
+    assert len(got) == len(dict(got)) == 6 and all(ms > 0 for _, ms in got)
+
+
+@pytest.mark.parametrize(
+    ("pf", "params"),
+    [
+        ("444-u8-p012", {}),
+        ("444-u8-p012", {"interleaved": True, "sampling": ((2, 2), (1, 1), (1, 1)), "restart_interval": 7}),
+        ("444-u8-p012", {"sampling": ((2, 1), (1, 1), (1, 1)), "restart_interval": 0, "flip": True}),
+        ("420-u8-p0p1p2", {"color_space_internal": "ycbcr-jpeg", "restart_interval": 5}),
+        ("420-u8-p0p1p2", {"sampling": ((1, 1), (1, 1), (1, 1)), "interleaved": True, "restart_interval": 0}),
+        ("422-u8-p1020", {"restart_interval": None}),
+        ("4444-u8-p0123", {"comp_count": 4, "quality": 90}),
+        ("u8", {"interleaved": True}),
+    ],
+)
+def test_encode_in_bands(spark, pf, params):
+    """Images of several bands, and one that is too short, give the files that a task for each image gives."""
+    sizes = [(70, 300), (33, 17), (131, 257)]
+    cs = "ycbcr-jpeg" if "p0p1p2" in pf else "rgb"
+    rows = [(k, w, h, cs, pf, 3 * (k == 0 and T.PIXEL_FORMATS[pf][2] > 0), J.lcg(J.image_size(w, h, pf, 3), k + 1).tobytes()) for k, (w, h) in enumerate(sizes)]
+    rows.append((9, 50, 50, cs, pf, 0, b"short"))
+    df = spark.createDataFrame(rows, codec.IMAGES)
+    key = lambda out: sorted((r.image_id, r.jpeg and bytes(r.jpeg), r.error) for r in out.collect())
+    p = J.Params(**params)
+    assert key(codec.encode(df, p, spread=True)) == key(codec.encode(df, p))
