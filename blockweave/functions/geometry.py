@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockweave.functions import tables as T
+
 
 def up(a: Column, b: Column) -> Column:
     return F.ceil(a / b).cast("int")
@@ -61,3 +63,14 @@ def parse_subsampling(name: Column) -> Column:
     h0 = F.when(comps == 1, 1).when(odd, F.when(a == 4, 1).otherwise(2)).otherwise(F.floor(F.lit(4) / F.when(a == 0, F.lit(4)).otherwise(a)))
     v0 = F.when(comps == 1, 1).when(odd, 2).when(a == b, 1).otherwise(2)
     return F.when(fits, F.struct(comps.cast("int").alias("comps"), h0.cast("int").alias("h0"), v0.cast("int").alias("v0")))
+
+
+def orientation_name(rotation: Column, flip: Column) -> Column:
+    """What a clockwise rotation in quarter turns, and a mirroring before it, are called; null for others."""
+    names = F.create_map(*(F.lit(x) for (turns, mirrored), name in T.ORIENTATIONS.items() for x in (turns * 2 + mirrored, name)))
+    return F.try_element_at(names, rotation * 2 + flip.cast("int"))
+
+
+def table_kind(comp: Column, color_space: Column) -> Column:
+    """Which quantisation and Huffman tables a component has."""
+    return F.when((color_space == "rgb") | comp.isin(0, 3), "luma").otherwise("chroma")

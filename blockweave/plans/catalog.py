@@ -5,6 +5,9 @@ A name starts with the operator's id in the survey. Where SQL cannot express an
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +60,23 @@ def _(spark, d):
     return images.with_format(named).select("doc_id", "path", "format")
 
 
+def _samples_of(spark, name: str, width: int) -> DataFrame:
+    """x, y, v: the first component of a test image."""
+    step = (F.length("data") / F.col("width") / F.col("height")).cast("int")
+    raw = images.test_images(spark, [name]).select(F.hex("data").alias("h"), step.alias("n"), (F.col("width") * F.col("height") - 1).alias("last"))
+    at = lambda i: F.substring(F.col("h"), i * F.col("n") * 2 + 1, F.lit(2))
+    cell = raw.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.col("last")), at)).alias("i", "v"))
+    return cell.select(_int(F.col("i") % width).alias("x"), _int(F.floor(F.col("i") / width)).alias("y"), F.conv("v", 16, 10).cast("int").alias("v"))
+
+
 @query("a9a_gradient", "SELECT CAST(i % 64 AS INTEGER) AS x, CAST(i // 64 AS INTEGER) AS y, CAST((i // 64) * 255 // 48 AS INTEGER) AS v FROM range(0, 64 * 48) AS r(i)")
 def _(spark, d):
-    y = F.floor(F.col("id") / 64)
-    return spark.range(64 * 48).select(_int(F.col("id") % 64).alias("x"), _int(y).alias("y"), _int(F.floor(y * 255 / 48)).alias("v"))
+    return _samples_of(spark, "64x48.tst", 64)
 
 
 @query("a9b_blank", "SELECT CAST(i % 32 AS INTEGER) AS x, CAST(i // 32 AS INTEGER) AS y, CAST(77 AS INTEGER) AS v FROM range(0, 32 * 16) AS r(i)")
 def _(spark, d):
-    return spark.range(32 * 16).select(_int(F.col("id") % 32).alias("x"), _int(F.floor(F.col("id") / 32)).alias("y"), F.lit(77).alias("v"))
+    return _samples_of(spark, "32x16.p_u8.blank=77.tst", 32)
 
 
 @query("a9c_noise")
@@ -109,6 +120,23 @@ def _(spark, d):
     return spark.createDataFrame([(cs, pf, formats.save("a.XXX", 8, 8, cs, pf, bytes(256))[0][2:]) for cs, pf, _ in _XXX], "color_space string, pixel_format string, ext string")
 
 
+@query("c1_written_files", f"SELECT i AS image_id, 'sub' || i || '/' || 'image.' || t.ext AS file, true AS same FROM (SELECT DISTINCT event_id // 5000 AS i FROM events) CROSS JOIN {X.values([('pnm',), ('png',)], 'ext')}")
+def _(spark, d):
+    """The images written under one base name, each in a folder of its own, in two formats, and read again from the files."""
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/written-{uuid.uuid4().hex}"
+    raw = X.image(spark, d)
+    out = None
+    for ext in ("pnm", "png"):
+        folder = F.concat(F.lit("sub"), F.col("image_id").cast("string"))
+        named = raw.withColumn("path", F.concat(F.lit("/in/"), folder, F.lit("/image."), F.lit("XXX" if ext == "pnm" else ext)))
+        files = images.write_images(named, f"{base}/{ext}", base="/in").select(F.col("path").alias("name"), "file")
+        back = images.read_images(spark, f"{base}/{ext}").select(images.relative("path", f"{base}/{ext}").alias("file2"), F.col("data").alias("other"))
+        both = named.join(files, F.col("path") == F.col("name")).join(back, F.col("file") == F.col("file2"))
+        one = both.select("image_id", "file", (F.col("data") == F.col("other")).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _round_trip_files(spark: SparkSession, d: str, exts) -> DataFrame:
     """Writes the event images to each format and reads them again, in memory: path, format's pixels equal or not."""
     import pandas as pd
@@ -136,6 +164,44 @@ for _name, _exts in (("a4_c2_pnm", ["ppm", "pnm"]), ("a5_c2_pam", ["pam"]), ("a6
     query(_name, f"SELECT i AS image_id, i || '.' || t.ext AS path, true AS same, true AS probed FROM (SELECT DISTINCT event_id // 5000 AS i FROM events) CROSS JOIN {X.values([(e,) for e in _exts], 'ext')}")(lambda spark, d, exts=_exts: _round_trip_files(spark, d, exts).drop("bytes"))
 
 
+@query("a7_gif", "SELECT image_id, CAST(100 AS INTEGER) AS width, CAST(n // 100 AS INTEGER) AS height, t.pf AS pixel_format, true AS same, true AS probed FROM (SELECT event_id // 5000 AS image_id, count(*) AS n FROM events GROUP BY 1), (VALUES ('444-u8-p012'), ('4444-u8-p0123')) AS t(pf)")
+def _(spark, d):
+    """The event images as GIF files with and without a transparent index, composed here and read by the engine."""
+    import struct
+
+    import numpy as np
+    import pandas as pd
+
+    from blockweave.sources import formats
+
+    def compose(v: np.ndarray, clear: int | None) -> bytes:
+        h, w = v.shape
+        codes = []
+        for at in range(0, v.size, 250):  # a reset before the codes get longer than nine bits
+            codes += [256, *v.reshape(-1)[at : at + 250].tolist()]
+        bits = sum(c << 9 * k for k, c in enumerate([*codes, 257]))
+        body = bits.to_bytes(-(-9 * (len(codes) + 1) // 8), "little")
+        table = b"".join(bytes([k, 255 - k, k // 2]) for k in range(256))
+        extra = b"" if clear is None else b"!\xf9\x04\x01\0\0" + bytes([clear]) + b"\0"
+        parts = b"".join(bytes([len(body[k : k + 255])]) + body[k : k + 255] for k in range(0, len(body), 255))
+        return b"GIF89a" + struct.pack("<HHBBB", w, h, 0xF7, 0, 0) + table + extra + b"," + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\x08" + parts + b"\0;"
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                v = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, 3)[:, :, 0]
+                pixels = np.stack([v, 255 - v, v // 2], axis=2)
+                for clear, pf in ((None, "444-u8-p012"), (7, "4444-u8-p0123")):
+                    want = pixels if clear is None else np.concatenate([pixels, np.where(v == clear, 0, 255).astype(np.uint8)[:, :, None]], axis=2)
+                    file = compose(v, clear)
+                    w, h, _, found, raw = formats.load("a.gif", file)
+                    out.append((r.image_id, w, h, found, raw == want.tobytes(), formats.probe("a.gif", file) == (r.width, r.height, "rgb", pf)))
+            yield pd.DataFrame(out, columns=["image_id", "width", "height", "pixel_format", "same", "probed"])
+
+    return X.image(spark, d).mapInPandas(run, "image_id long, width int, height int, pixel_format string, same boolean, probed boolean")
+
+
 # ---- B: metadata ----------------------------------------------------------------
 
 _ORIENT = [(r, f, T.ORIENTATIONS[r, f]) for r, f in T.ORIENTATIONS]
@@ -143,11 +209,8 @@ _ORIENT = [(r, f, T.ORIENTATIONS[r, f]) for r, f in T.ORIENTATIONS]
 
 @query("b2_orientation_name", f"SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS rotation, doc_id % 8 >= 4 AS flip, t.name FROM documents JOIN {X.values(_ORIENT, 'rotation, flip, name')} ON t.rotation = doc_id % 4 AND t.flip = (doc_id % 8 >= 4)")
 def _(spark, d):
-    r, f = _int(F.col("doc_id") % 4), F.col("doc_id") % 8 >= 4
-    name = F.lit(None).cast("string")
-    for (rot, flip), text in T.ORIENTATIONS.items():
-        name = F.when((r == rot) & (f == flip), text).otherwise(name)
-    return X.read(spark, d, "documents").select("doc_id", r.alias("rotation"), f.alias("flip"), name.alias("name"))
+    docs = X.read(spark, d, "documents").select("doc_id", _int(F.col("doc_id") % 4).alias("rotation"), (F.col("doc_id") % 8 >= 4).alias("flip"))
+    return docs.withColumn("name", G.orientation_name(F.col("rotation"), F.col("flip")))
 
 
 @query("b3_exif_orientation", f"SELECT doc_id, CAST(doc_id % 10 AS INTEGER) AS orientation, t.rotation, t.flip FROM documents LEFT JOIN {X.values([(k, r, f) for k, (r, f) in T.EXIF_ORIENTATION.items()], 'o, rotation, flip')} ON t.o = doc_id % 10")
@@ -445,7 +508,7 @@ def _(spark, d):
 @query("f7_table_kind", f"SELECT * FROM {X.values([(cs, c, 'luma' if cs == 'rgb' or c in (0, 3) else 'chroma') for cs in ('rgb', 'ycbcr-jpeg', 'ycbcr-bt709') for c in range(4)], 'color_space, comp, kind')}")
 def _(spark, d):
     df = spark.createDataFrame([(cs, c) for cs in ("rgb", "ycbcr-jpeg", "ycbcr-bt709") for c in range(4)], "color_space string, comp int")
-    return df.withColumn("kind", F.when((F.col("color_space") == "rgb") | F.col("comp").isin(0, 3), "luma").otherwise("chroma"))
+    return df.withColumn("kind", G.table_kind(F.col("comp"), F.col("color_space")))
 
 
 @query("f8_dequantize", f"WITH {_COEFS} SELECT vec_id, zz, CAST(coef * q AS INTEGER) AS c FROM coefs")
@@ -470,8 +533,43 @@ def _(spark, d):
 
 @query("f11_decoder_table", f"WITH {_QTAB} SELECT kind, CAST(k AS INTEGER) AS k, CAST({_QUAL.format(q=90)} AS INTEGER) AS q FROM base")
 def _(spark, d):
-    raw = spark.createDataFrame([(kind, [T.quant(kind, 90)[k] for k in T.ZIGZAG]) for kind in ("luma", "chroma")], "kind string, table array<int>")  # as a file has it
-    return raw.select("kind", F.posexplode("table").alias("zz", "q")).join(F.broadcast(blocks.zigzag(spark)), "zz").select("kind", "k", "q")
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            for jpeg in batch.jpeg:
+                quant = J.read(bytes(jpeg), stop_at_scan=True).quant
+                yield pd.DataFrame([(("luma", "chroma")[n], k, int(v)) for n, t in quant.items() for k, v in enumerate(np.asarray(t).reshape(-1))], columns=["kind", "k", "q"])
+
+    return _heads(spark, quality=90).mapInPandas(run, "kind string, k int, q int")
+
+
+def _heads(spark, **params) -> DataFrame:
+    """jpeg: the file of one image, made by a worker."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"jpeg": [J.encode(bytes(24 * 16 * 3), 24, 16, params=J.Params(**params)) for _ in range(len(batch))]})
+
+    return spark.range(1).mapInPandas(run, "jpeg binary")
+
+
+def _marker_rows(files: DataFrame, code: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, ord, hex: the markers of a code in files, whole."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                found = [J.marker(c, p) for _, c, p in J.markers(bytes(row.jpeg)) if c == code]
+                out += [(*(getattr(row, k) for k in keys), n, m.hex().upper()) for n, m in enumerate(found)]
+            yield pd.DataFrame(out, columns=[*keys, "ord", "hex"])
+
+    schema = ", ".join([*(f"{k} {files.schema[k].dataType.simpleString()}" for k in keys), "ord int", "hex string"])
+    return files.select(*keys, "jpeg").mapInPandas(run, schema)
 
 
 # ---- G: symbols -----------------------------------------------------------------
@@ -618,6 +716,81 @@ def _(spark, d):
     return codec.split_segments(_files(spark, d, restart_interval=8)).groupBy("image_id").agg(F.count("*").alias("segments"))
 
 
+# A scan has s segments and s - 1 markers, the k-th with the number (k - 1) % 8. Where marker m is wrong or lost, the one that is due comes
+# eight markers later, if there are so many, and eight segments are lost; else all after the m-th.
+_DAMAGED = """WITH i AS ({images}), s AS (SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) AS BIGINT) AS s FROM i),
+c AS (SELECT image_id, s, t.name, t.m, t.lost FROM s, (VALUES ('wrong early', 2, false), ('wrong late', -1, false), ('lost early', 2, true), ('whole', 0, false)) AS t(name, m, lost)),
+p AS (SELECT *, CASE WHEN m < 0 THEN s - 1 ELSE m END AS m2 FROM c)
+SELECT image_id, name, CASE WHEN name = 'whole' OR s - 1 < m2 THEN s WHEN m2 + 8 <= s - 1 THEN s - 8 ELSE m2 END AS segments FROM p"""
+
+
+@query("h9_recovery", _DAMAGED.format(images=_IMAGES))
+def _(spark, d):
+    """Segments of the first scan of damaged files."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                bits = next(p for _, c, p in J.markers(bytes(r.jpeg)) if c == 0)
+                marks = [k for k in range(len(bits) - 1) if bits[k] == 0xFF and 0xD0 <= bits[k + 1] <= 0xD7]
+                out = [("whole", bits)]
+                for name, m, lost in (("wrong early", 2, False), ("wrong late", len(marks), False), ("lost early", 2, True)):
+                    if len(marks) >= m:
+                        at = marks[m - 1]
+                        wrong = b"" if lost else bytes([0xFF, 0xD0 + (bits[at + 1] - 0xD0 + 3) % 8])
+                        out.append((name, bits[:at] + wrong + bits[at + 2 :]))
+                    else:
+                        out.append((name, bits))
+                yield pd.DataFrame([(r.image_id, name, len(J.split_scan(x))) for name, x in out], columns=["image_id", "name", "segments"])
+
+    return _files(spark, d, restart_interval=8).mapInPandas(run, "image_id long, name string, segments long")
+
+
+@query(
+    "d23_decode_alignment",
+    f"""WITH i AS ({_IMAGES}), a AS (SELECT image_id, n // 100 AS h, t.alignment, t.pf, t.bpp FROM i, (VALUES (0, '444-u8-p012', 3), (16, '444-u8-p012', 3), (32, '444-u8-p012', 3),
+    (64, '4444-u8-p0123', 4), (128, '422-u8-p1020', 2), (16, '420-u8-p0p1p2', 0)) AS t(alignment, pf, bpp)),
+    w AS (SELECT *, CASE WHEN alignment = 0 OR bpp = 0 THEN 0 ELSE (SELECT min(p) FROM range(0, 129) AS r(p) WHERE (100 + p) * bpp % greatest(alignment, 1) = 0) END AS pad FROM a)
+    SELECT image_id, CAST(alignment AS INTEGER) AS alignment, pf AS pixel_format, CAST(pad AS INTEGER) AS width_padding,
+    CAST(CASE WHEN bpp = 0 THEN 100 * h + 2 * 50 * ((h + 1) // 2) ELSE (100 + pad) * bpp * h END AS BIGINT) AS bytes, true AS zeros FROM w""",
+)
+def _(spark, d):
+    out = None
+    files = _files(spark, d)
+    for alignment, pf in ((0, "444-u8-p012"), (16, "444-u8-p012"), (32, "444-u8-p012"), (64, "4444-u8-p0123"), (128, "422-u8-p1020"), (16, "420-u8-p0p1p2")):
+        one = codec.decode(files, "rgb" if pf[1] == "4" else "ycbcr-jpeg", pf, alignment=alignment, mode="FAILFAST").withColumn("alignment", F.lit(alignment))
+        bpp = T.PIXEL_FORMATS[pf][2]
+        gap = F.hex(F.substring("data", 100 * bpp + 1, F.col("width_padding") * bpp))  # behind the first row
+        zeros = (F.lit(True) if not bpp else gap == F.repeat(F.lit("00"), F.col("width_padding") * bpp)).alias("zeros")
+        one = one.select("image_id", "alignment", "pixel_format", "width_padding", F.length("data").cast("long").alias("bytes"), zeros)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_VALUE = "CASE WHEN cat = 0 THEN '' ELSE lpad(bin(CASE WHEN coef >= 0 THEN coef ELSE coef - 1 + (1 << cat) END), CAST(cat AS INTEGER), '0') END"
+_WORDS = f"""{_SYMS}, {_HUFF}, d AS (SELECT vec_id, coef, {_CAT.format(v='coef')} AS cat FROM coefs WHERE zz = 0),
+eob AS (SELECT vec_id FROM coefs GROUP BY vec_id HAVING max(CASE WHEN zz > 0 AND coef <> 0 THEN zz ELSE 0 END) < 63),
+words AS (SELECT vec_id, 0 AS a, 0 AS b, 'dc' AS class, cat AS symbol, {_VALUE} AS v FROM d UNION ALL SELECT vec_id, zz, 1, 'ac', symbol, {_VALUE} FROM (SELECT s.*, r.coef FROM syms s JOIN runs r USING (vec_id, zz))
+UNION ALL SELECT vec_id, zz, 0, 'ac', 240, '' FROM runs, range(0, 4) AS r(i) WHERE i < run // 16 UNION ALL SELECT vec_id, 64, 0, 'ac', 0, '' FROM eob),
+bits AS (SELECT vec_id, string_agg(lpad(bin(code), CAST(nbits AS INTEGER), '0') || v, '' ORDER BY a, b) AS t FROM words w JOIN huff h ON h.kind = 'luma' AND h.class = w.class AND h.symbol = w.symbol GROUP BY vec_id)"""
+
+
+@query("h1_packed_bits", f"WITH {_WORDS} SELECT vec_id, rpad(t, CAST(ceil(length(t) / 8.0) * 8 AS INTEGER), '1') AS bits FROM bits")
+def _(spark, d):
+    """The bytes of each block packed by itself, without the zeros stuffed after 255, as bits."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                packed = J.pack_all([(np.zeros(1, int), np.asarray(c, np.int16).reshape(1, 64)) for c in batch.coefs], ["luma"])
+                yield pd.DataFrame({"vec_id": batch.vec_id, "bits": ["".join(f"{x:08b}" for x in p.replace(b"\xff\0", b"\xff")) for p in packed]})
+
+    return blocks.dct_arrays(X.sample_arrays(spark, d), "samples", ("vec_id",)).mapInPandas(run, "vec_id long, bits string")
+
+
 @query("h10_split_by_index", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS BIGINT) AS segments, true AS same FROM i")
 def _(spark, d):
     files = _files(spark, d, restart_interval=8, segment_info=True)
@@ -668,13 +841,20 @@ _HEADS = [(cs, n, o, "SPIFF" if n == 4 or o or cs in ("ycbcr-bt601", "ycbcr-bt70
 
 @query("i7_header_choice", f"SELECT color_space, CAST(comps AS INTEGER) AS comps, oriented, CASE WHEN comps = 4 OR oriented OR color_space IN ('ycbcr-bt601', 'ycbcr-bt709') THEN 'SPIFF' WHEN color_space = 'rgb' THEN 'Adobe' ELSE 'JFIF' END AS header FROM {X.values([h[:3] for h in _HEADS], 'color_space, comps, oriented')}")
 def _(spark, d):
-    return spark.createDataFrame([(cs, n, o, J.header_kind(J.Params(color_space_internal=cs, orientation=(1, False) if o else None), n)) for cs, n, o, _ in _HEADS], "color_space string, comps int, oriented boolean, header string")
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            kinds = [J.header_kind(J.Params(color_space_internal=r.color_space, orientation=(1, False) if r.oriented else None), r.comps) for r in batch.itertuples()]
+            yield batch.assign(header=kinds)
+
+    cases = spark.createDataFrame([h[:3] for h in _HEADS], "color_space string, comps int, oriented boolean")
+    return cases.mapInPandas(run, "color_space string, comps int, oriented boolean, header string")
 
 
 @query("i8_dqt", f"WITH {_QTAB} SELECT kind, 'FFDB0043' || CASE kind WHEN 'luma' THEN '00' ELSE '01' END || string_agg(printf('%02X', {_QUAL.format(q=75)}), '' ORDER BY zz) AS hex FROM base GROUP BY kind")
 def _(spark, d):
-    cells = blocks.quality_table(spark).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("zz", "q"))).alias("t"))
-    return cells.select("kind", F.concat(F.lit("FFDB0043"), F.when(F.col("kind") == "luma", "00").otherwise("01"), F.array_join(F.transform("t", lambda c: F.lpad(F.hex(c["q"]), 2, "0")), "")).alias("hex"))
+    return _marker_rows(_heads(spark), 0xDB).select(F.when(F.col("ord") == 0, "luma").otherwise("chroma").alias("kind"), "hex")
 
 
 @query("i9_i14_frame_and_scan", """SELECT CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, 'FFC0001108' || printf('%04X', h) || printf('%04X', w) || '03012200021101031101' AS sof, 'FFDA000C03010002110311003F00' AS sos
@@ -696,29 +876,88 @@ def _(spark, d):
     return sizes.mapInPandas(run, "width int, height int, sof string, sos string")
 
 
-@query("i10_dht", "SELECT 'luma' AS kind, 'dc' AS class, 'FFC4001F00' || '00010501010101010100000000000000' || '000102030405060708090A0B' AS hex UNION ALL SELECT 'chroma', 'dc', 'FFC4001F01' || '00030101010101010101010000000000' || '000102030405060708090A0B'")
+_DHT = [  # markers of the Huffman tables: those of DC whole, those of AC by their bytes and digest
+    ("luma", "dc", 33, "FFC4001F00" + "00010501010101010100000000000000" + "000102030405060708090A0B"),
+    ("luma", "ac", 183, "2a69b763ce3a04f14fccd428916925f89a70abfd7ebf6a4ebdd51f634787ede3"),
+    ("chroma", "dc", 33, "FFC4001F01" + "00030101010101010101010000000000" + "000102030405060708090A0B"),
+    ("chroma", "ac", 183, "627f68783b5f5059bcce64dd50e21d0b9eb8a083051f105d6a80a760cd2a564e"),
+]
+
+
+@query("i10_dht", f"SELECT kind, class, CAST(bytes AS INTEGER) AS bytes, content FROM {X.values(_DHT, 'kind, class, bytes, content')}")
 def _(spark, d):
-    rows = [(k, "dc", J.marker(0xC4, bytes([k == "chroma"]) + bytes(T.HUFFMAN[k, "dc"][0]) + bytes(T.HUFFMAN[k, "dc"][1])).hex().upper()) for k in ("luma", "chroma")]
-    return spark.createDataFrame(rows, "kind string, class string, hex string")
+    rows = _marker_rows(_heads(spark), 0xC4).withColumn("bytes", (F.length("hex") / 2).cast("int"))
+    kind, group = F.when(F.col("ord") < 2, "luma").otherwise("chroma"), F.when(F.col("ord") % 2 == 0, "dc").otherwise("ac")
+    return rows.select(kind.alias("kind"), group.alias("class"), "bytes", F.when(F.col("ord") % 2 == 0, F.col("hex")).otherwise(F.sha2(F.unhex("hex"), 256)).alias("content"))
 
 
 @query("i12_comment", f"SELECT CAST(q AS INTEGER) AS quality, '{J.CREATOR}' || least(100, greatest(1, q)) AS comment FROM (VALUES (0), (1), (50), (75), (100), (120)) AS t(q)")
 def _(spark, d):
-    q = spark.createDataFrame([(q,) for q in (0, 1, 50, 75, 100, 120)], "quality int")
-    return q.withColumn("comment", F.concat(F.lit(J.CREATOR), F.least(F.lit(100), F.greatest(F.lit(1), F.col("quality"))).cast("string")))
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            heads = [J.encode(bytes(64), 8, 8, pixel_format="u8", params=J.Params(quality=int(q))) for q in batch.quality]
+            yield batch.assign(comment=[J.read(h, stop_at_scan=True).comment for h in heads])
 
+    return spark.createDataFrame([(q,) for q in (0, 1, 50, 75, 100, 120)], "quality int").mapInPandas(run, "quality int, comment string")
 
-@query("i13_segment_index", f"WITH {_SEGS}, s AS (SELECT scan, seg, sum(bytes + 2) OVER (PARTITION BY scan ORDER BY seg) - CASE WHEN lead(seg) OVER (PARTITION BY scan ORDER BY seg) IS NULL THEN 2 ELSE 0 END AS pos FROM segs) SELECT scan, '00000000' || string_agg(printf('%08X', CAST(pos AS BIGINT)), '' ORDER BY seg) AS hex FROM s GROUP BY scan")
+
+@query("i13_segment_index", f"WITH {_SEGS}, s AS (SELECT scan, seg, sum(bytes + 2) OVER (PARTITION BY scan ORDER BY seg) - CASE WHEN lead(seg) OVER (PARTITION BY scan ORDER BY seg) IS NULL THEN 2 ELSE 0 END AS pos FROM segs) SELECT scan, 'FFED' || printf('%04X', 4 * (count(*) + 1) + 3) || printf('%02X', scan) || '00000000' || string_agg(printf('%08X', CAST(pos AS BIGINT)), '' ORDER BY seg) AS hex FROM s GROUP BY scan")
 def _(spark, d):
-    w = Window.partitionBy("scan").orderBy("seg")
-    ends = _segs(spark, d).withColumn("pos", F.sum(F.col("bytes") + 2).over(w) - F.when(F.lead("seg").over(w).isNull(), 2).otherwise(0))
-    cells = ends.groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("seg", "pos"))).alias("c"))
-    return cells.select("scan", F.concat(F.lit("00000000"), F.array_join(F.transform("c", lambda c: F.lpad(F.hex(c["pos"]), 8, "0")), "")).alias("hex"))
+    import pandas as pd
 
+    def run(batches):
+        for batch in batches:
+            out = []
+            for scan, sizes in zip(batch.scan, batch.sizes, strict=True):
+                at, offsets = 0, [0]
+                for n, size in enumerate(sizes):
+                    at += size["bytes"] + (2 if n + 1 < len(sizes) else 0)
+                    offsets.append(at)
+                out.append((scan, J.segment_index(int(scan), offsets).hex().upper()))
+            yield pd.DataFrame(out, columns=["scan", "hex"])
+
+    sizes = _segs(spark, d).groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("seg", "bytes"))).alias("sizes"))
+    return sizes.mapInPandas(run, "scan int, hex string")
 
-@query("i4_spiff")
+
+_SPIFF = "'FFE80020' || '535049464600' || '0100' || '01' || '03' || printf('%08X', CAST(n // 100 AS BIGINT)) || '00000064' || '03080500' || '00000001' || '00000001'"
+
+
+@query(
+    "i4_spiff",
+    f"""WITH i AS ({_IMAGES}) SELECT image_id, CAST(0 AS INTEGER) AS ord, {_SPIFF} AS hex FROM i
+    UNION ALL SELECT image_id, CAST(t.o AS INTEGER), t.hex FROM i, (VALUES (1, 'FFE8000A0000000401010000'), (2, 'FFE8000600000001')) AS t(o, hex)""",
+)
+def _(spark, d):
+    return _marker_rows(_files(spark, d, orientation=(1, True)), 0xE8, ("image_id",))
+
+
+@query(
+    "b4_exif_little_endian",
+    """SELECT doc_id, CAST(t.tag AS INTEGER) AS tag, t.value FROM (SELECT doc_id, CAST(1 + doc_id % 8 AS INTEGER) AS o, CAST(doc_id * 65537 % 4000000 AS BIGINT) AS w FROM documents) d,
+    LATERAL (VALUES (256, CAST(w AS VARCHAR)), (274, CAST(o AS VARCHAR)), (282, '[' || w || ', 3]'), (305, 'program ' || o)) AS t(tag, value)""",
+)
 def _(spark, d):
-    return codec.jpeg_markers(_files(spark, d, orientation=(1, True)))
+    """Exif in the other byte order, composed here and read by the engine."""
+    import struct
+
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i in batch.doc_id:
+                o, w = 1 + i % 8, i * 65537 % 4000000
+                text = f"program {o}".encode() + b"\0"
+                entries = [(256, 4, 1, struct.pack("<I", w)), (274, 3, 1, struct.pack("<HH", o, 0)), (282, 5, 1, struct.pack("<I", 62)), (305, 2, len(text), struct.pack("<I", 70))]
+                body = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHI", *e[:3]) + e[3] for e in entries) + struct.pack("<I", 0)
+                payload = b"Exif\0\0II*\0\x08\0\0\0" + body + struct.pack("<II", w, 3) + text
+                out += [(i, tag, str(v)) for tag, v in J.parse_exif(payload).items()]
+            yield pd.DataFrame(out, columns=["doc_id", "tag", "value"])
+
+    return X.read(spark, d, "documents").select("doc_id").mapInPandas(run, "doc_id long, tag int, value string")
 
 
 @query("i6_b4_exif", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(t.tag AS INTEGER) AS tag, CAST(t.value AS VARCHAR) AS value FROM i, (VALUES (274, '6'), (282, '[72, 1]'), (283, '[72, 1]'), (296, '2'), (305, 'mine'), (531, '1')) AS t(tag, value)")
@@ -760,7 +999,13 @@ def _(spark, d):
     return _color_spaces(spark, d)
 
 
-_AUTO = [(n, s, i, pf, cs, J.output_format(J.Jpeg(ids=list(range(n)), sampling=list(sm), interleaved=i, color_space="ycbcr-jpeg"), cs, pf)) for n, s, sm in ((1, "1x1", ((1, 1),)), (3, "1x1", ((1, 1),) * 3), (3, "2x1", ((2, 1), (1, 1), (1, 1))), (3, "2x2", ((2, 2), (1, 1), (1, 1))), (4, "1x1", ((1, 1),) * 4)) for i in (False, True) for pf in ("auto", "native", "std", "no-alpha") for cs in ("default", "none")]
+_AUTO = [
+    (n, s, i, pf, cs)
+    for n, s in ((1, "1x1"), (3, "1x1"), (3, "2x1"), (3, "2x2"), (4, "1x1"))
+    for i in (False, True)
+    for pf in ("auto", "native", "std", "no-alpha")
+    for cs in ("default", "none")
+]
 _AUTO_SQL = """WITH a AS (SELECT * FROM {v}), b AS (SELECT *, CASE WHEN cs = 'default' THEN CASE WHEN comps = 1 THEN 'ycbcr-jpeg' ELSE 'rgb' END ELSE 'ycbcr-jpeg' END AS out_cs FROM a)
 SELECT CAST(comps AS INTEGER) AS comps, s, interleaved, pf, cs, out_cs, CASE WHEN comps = 1 THEN 'u8'
 WHEN pf = 'native' THEN CASE WHEN comps = 4 THEN '4444-u8-p0123' WHEN s = '2x2' THEN '420-u8-p0p1p2' WHEN s = '2x1' THEN CASE WHEN interleaved THEN '422-u8-p1020' ELSE '422-u8-p0p1p2' END WHEN interleaved THEN '444-u8-p012' ELSE '444-u8-p0p1p2' END
@@ -768,9 +1013,21 @@ WHEN pf = 'std' AND out_cs <> 'rgb' THEN CASE s WHEN '2x2' THEN '420-u8-p0p1p2'
 WHEN comps = 3 OR pf = 'no-alpha' THEN '444-u8-p012' ELSE '4444-u8-p0123' END AS out_pf FROM b"""
 
 
-@query("i19_output_format", _AUTO_SQL.format(v=X.values([a[:5] for a in _AUTO], "comps, s, interleaved, pf, cs")))
+@query("i19_output_format", _AUTO_SQL.format(v=X.values(_AUTO, "comps, s, interleaved, pf, cs")))
 def _(spark, d):
-    return spark.createDataFrame([(*a[:5], *a[5]) for a in _AUTO], "comps int, s string, interleaved boolean, pf string, cs string, out_cs string, out_pf string")
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                first = tuple(map(int, r.s.split("x")))
+                j = J.Jpeg(ids=list(range(r.comps)), sampling=[first, *[(1, 1)] * (r.comps - 1)], interleaved=r.interleaved, color_space="ycbcr-jpeg")
+                out.append(J.output_format(j, r.cs, r.pf))
+            yield batch.assign(out_cs=[o[0] for o in out], out_pf=[o[1] for o in out])
+
+    cases = spark.createDataFrame(_AUTO, "comps int, s string, interleaved boolean, pf string, cs string")
+    return cases.mapInPandas(run, "comps int, s string, interleaved boolean, pf string, cs string, out_cs string, out_pf string")
 
 
 _UNSUPPORTED = [("progressive", True), ("extended", False), ("garbage", True)]
@@ -805,8 +1062,8 @@ def _(spark, d):
 # ---- encode, decode, J: statistics ----------------------------------------------
 
 
-def _quality(spark, d, **params) -> DataFrame:
-    """PSNR of the event images after encoding and decoding, by components of the buffer."""
+def _quality(spark, d, floor: float = 20, **params) -> DataFrame:
+    """Whether the PSNR of the event images after encoding and decoding reaches a floor."""
     import numpy as np
     import pandas as pd
 
@@ -815,16 +1072,35 @@ def _quality(spark, d, **params) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"image_id": batch.image_id, "good": [J.psnr(np.frombuffer(bytes(a), np.uint8), np.frombuffer(bytes(b), np.uint8)) >= 20 for a, b in zip(batch.was, batch.data, strict=True)]})
+            pairs = zip(batch.was, batch.data, strict=True)
+            yield pd.DataFrame({"image_id": batch.image_id, "good": [J.psnr(np.frombuffer(bytes(a), np.uint8), np.frombuffer(bytes(b), np.uint8)) >= floor for a, b in pairs]})
 
     return raw.join(out, "image_id").mapInPandas(run, "image_id long, good boolean")
 
 
-for _name, _p in (("444", {}), ("420_interleaved", {"sampling": ((2, 2), (1, 1), (1, 1)), "interleaved": True}), ("no_restart", {"restart_interval": 0}), ("rgb", {"color_space_internal": "rgb"}), ("q95_segment_info", {"quality": 95, "segment_info": True})):
-    if _name in ("444", "rgb", "q95_segment_info", "no_restart"):
-        query(f"encode_decode_{_name}", f"WITH i AS ({_IMAGES}) SELECT image_id, true AS good FROM i")(lambda spark, d, p=_p: _quality(spark, d, **({"quality": 95} | p)))
-    else:
-        query(f"encode_decode_{_name}")(lambda spark, d, p=_p: _quality(spark, d, **p))
+for _name, _p in (
+    ("444", {"quality": 95}),
+    ("420_interleaved", {"floor": 10, "sampling": ((2, 2), (1, 1), (1, 1)), "interleaved": True}),  # the events are noise, of which decimation keeps a quarter
+    ("no_restart", {"quality": 95, "restart_interval": 0}),
+    ("rgb", {"quality": 95, "color_space_internal": "rgb"}),
+    ("q95_segment_info", {"quality": 95, "segment_info": True}),
+):
+    query(f"encode_decode_{_name}", f"WITH i AS ({_IMAGES}) SELECT image_id, true AS good FROM i")(lambda spark, d, p=_p: _quality(spark, d, **p))
+
+
+@query("decode_spread", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(t.n AS INTEGER) AS case_, true AS same FROM i, range(0, 3) AS t(n)")
+def _(spark, d):
+    """Segments and bands of rows in many tasks give the same pixels as an image in one."""
+    out = None
+    for n, (params, options) in enumerate(
+        (({}, {}), ({"sampling": ((2, 2), (1, 1), (1, 1)), "interleaved": True}, {"alignment": 16}), ({"sampling": ((2, 2), (1, 1), (1, 1))}, {"pixel_format": "420-u8-p0p1p2", "color_space": "ycbcr-jpeg"}))
+    ):
+        files = _files(spark, d, **params)
+        one = codec.decode(files, mode="FAILFAST", **options)
+        two = codec.decode(files, mode="FAILFAST", spread=True, **options).select("image_id", F.col("data").alias("other"))
+        both = one.join(two, "image_id").select("image_id", F.lit(n).alias("case_"), (F.col("data") == F.col("other")).alias("same"))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 @query("encode_spread", f"WITH i AS ({_IMAGES}) SELECT image_id, true AS same FROM i")
@@ -878,10 +1154,23 @@ def _(spark, d):
     return e.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("average"), F.round(F.avg(F.when(F.col("r") > 1, F.col("value"))), 6).alias("without_first"))
 
 
-@query("j6_size_summary")
+@query("j6_size_summary", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS BIGINT) AS segments, true AS sums_up FROM i")
+def _(spark, d):
+    """Segments of each file, and whether their bytes, restart markers and other markers are all that the file has."""
+    files = _files(spark, d)
+    segs = codec.split_segments(files).groupBy("image_id").agg(F.count("*").alias("segments"), F.sum(F.length("data")).alias("bits"))
+    plain = F.when(F.col("marker").isin(0xD8, 0xD9), 2).when(F.col("marker") == 0, 0).otherwise(F.col("length") + 4)
+    marks = codec.jpeg_markers(files).groupBy("image_id").agg(F.sum(plain).alias("heads"), F.count_if(F.col("marker") == 0).alias("scans"))
+    every = files.select("image_id", F.length("jpeg").alias("all")).join(segs, "image_id").join(marks, "image_id")
+    return every.select("image_id", "segments", (F.col("all") == F.col("bits") + 2 * (F.col("segments") - F.col("scans")) + F.col("heads")).alias("sums_up"))
+
+
+_STAGES = [f"{way}: {what}" for way in ("encode", "decode") for what in ("transform", "entropy code", "container")]
+
+
+@query("j3_stage_durations", f"WITH i AS ({_IMAGES}) SELECT image_id, t.stage, true AS measured FROM i, {X.values([(s,) for s in _STAGES], 'stage')}")
 def _(spark, d):
-    segs = codec.split_segments(_files(spark, d))
-    return segs.groupBy("image_id").agg(F.count("*").alias("segments"), F.sum(F.length("data")).alias("bytes"))
+    return codec.durations(X.image(spark, d)).select("image_id", "stage", (F.col("milliseconds") > 0).alias("measured"))
 
 
 @query("j7_number_format", "SELECT doc_id, format('{:,}', n) AS text FROM (SELECT doc_id, doc_id * doc_id * 1009 AS n FROM documents UNION ALL SELECT -1, 10000000000)")
