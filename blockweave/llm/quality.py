@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import Rolling, mix, small_batches, table, words
+from blockweave.llm.common import mix, run_hashes, small_batches, table, words
 
 BUCKETS = 1 << 14
 #: Most trusted documents that the target multinomial is fitted on, drawn by a hash of the id.
@@ -42,7 +42,7 @@ def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     edge = np.flatnonzero(kind[1:] != kind[:-1])
     starts = edge[kind[edge + 1] != 0]
     ends = edge[kind[edge] != 0]
-    one = Rolling(_LOWER[data] + np.uint64(1)).slices(starts, ends)
+    one = run_hashes(_LOWER[data], starts, ends)
     two = mix(one[:-1] * np.uint64(3) + one[1:])
     return (np.concatenate([one, two]) % np.uint64(buckets)).astype(np.int64)
 
@@ -75,7 +75,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     small_batches(df)
     ids = labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("trusted_id")).distinct()
     ids = ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted)  # so the broadcast below has a fixed bound
-    marked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("target"))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = texts.join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("target"))
 
     def count(batches):
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
@@ -89,8 +90,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         some = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": some, "raw": raw[some], "target": target[some]})
 
-    counted = marked.mapInPandas(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    rows = counted.collect()  # at most one row a bucket
+    counted = marked.mapInPandas(count, "bucket long, raw long, target long")
+    rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # at most one row a bucket
     raw, target = np.ones(buckets), np.zeros(buckets)
     for r in rows:
         raw[r.bucket] += r.raw
@@ -107,14 +108,16 @@ def _verdict(text: str | None, model: np.ndarray, threshold: float, buckets: int
     return bool(model[found].sum() / len(found) >= threshold)
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def quality_rules(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted: int = TRUSTED
+) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept: one row a row of df.
 
     A null or empty text has no words and fails the base rules. Repeated rows each give their row; a null id is
     scored like any other. Without trusted documents every ratio is 0 and only the base rules reject. An empty table
     gives no rows. Other columns are not looked at, so their names cannot clash.
     """
-    model = fit(df, labels, id_col, text_col, buckets=buckets).astype(np.float64)
+    model = fit(df, labels, id_col, text_col, trusted, buckets).astype(np.float64)
     schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, base_failed boolean, kept boolean"
     id_type = df.schema[id_col].dataType.simpleString()
 
@@ -135,9 +138,11 @@ def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return scored.withColumnRenamed("id", id_col)
 
 
-def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def keep_good(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted: int = TRUSTED
+) -> DataFrame:
     """The rows of df that quality_rules keeps, with all their columns, without a join."""
-    model = fit(df, labels, id_col, text_col, buckets=buckets).astype(np.float64)
+    model = fit(df, labels, id_col, text_col, trusted, buckets).astype(np.float64)
     at = df.columns.index(text_col)
 
     def passing(batches):
