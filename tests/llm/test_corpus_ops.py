@@ -1,6 +1,7 @@
 import numpy as np
 
 from blockweave.llm import jaccard, mixing, suffixes
+from blockweave.llm.common import word_hashes
 from blockweave.llm.components import components
 from tests.llm.test_text_ops import EDGE, LONG, docs
 
@@ -83,6 +84,36 @@ def test_jaccard_threshold_is_exact():
     assert set(zip(*map(list, jaccard.linked(b, None)), strict=True)) == {(0, 1), (1, 2)}  # 40/50 links, 40/51 does not
 
 
+def thue_morse(n):
+    """Two words of 2^n letters that every polynomial hash modulo 2^64 takes for one from n = 11 on."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_unlike_words_stay_unlike(spark):
+    a, b = thue_morse(11)
+    h = word_hashes(f"{a} {b}".encode())
+    assert h[0] != h[1]
+    texts = [" ".join([w] * k + [f"{w}{k}"] * k) for w in (a, b) for k in (60,)]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)]
+    assert [r.n_links for r in jaccard.near_duplicates(docs(spark, rows)).collect()] == [0, 0]
+    got = {r.doc_id: r for r in suffixes.repeated_passages(docs(spark, rows)).collect()}
+    assert not any(r.sources for r in got.values())
+
+
+def test_jaccard_a_template_ties_no_family(spark):
+    """Pages that share a third of their words meet in buckets and stay apart; a near copy of one is still found."""
+    rng = np.random.default_rng(4)
+    template = [f"t{k}" for k in range(50)]
+    rows = [(k, " ".join([*template, *(f"p{k}w{x}" for x in rng.integers(0, 9999, 70))]), "en", "a") for k in range(300)]
+    rows.append((300, rows[7][1] + " more", "en", "a"))
+    df = docs(spark, rows)
+    words_of = lambda t: np.frombuffer(jaccard.minhash(jaccard.shingles(t)).tobytes(), np.uint32)
+    signed = spark.createDataFrame([(k, bytearray(words_of(t).tobytes())) for k, t, _, _ in rows], "node long, sig binary")
+    assert sorted(r.node for r in jaccard._families(signed).collect()) == [7, 300]
+    assert sorted(r.doc_id for r in jaccard.near_duplicates(df).where("n_links > 0").collect()) == [7, 300]
+
+
 def test_posterior_bound():
     for n, least in jaccard.least_matches():
         import math
@@ -145,6 +176,29 @@ def test_suffixes(spark):
     assert suffixes.repeated_passages(docs(spark, EDGE)).count() == len(EDGE)
 
 
+def test_suffixes_of_texts_that_share_an_id(spark):
+    """Two texts of one id hold one passage each, found elsewhere; both passages are found in both."""
+    word = lambda k, n: " ".join(f"p{k}w{x}" for x in range(n))
+    rows = [(1, f"a b {word(1, 60)} c", "en", "a"), (1, f"{word(2, 70)} d", "en", "a"), (2, f"x {word(1, 60)}", "en", "a"), (3, f"y z {word(2, 70)}", "en", "a")]
+    got = sorted((r.doc_id, [tuple(s) for s in r.spans], r.n_drop, r.sources) for r in suffixes.repeated_passages(docs(spark, rows)).collect())
+    assert got == [(1, [(0, 70)], 0, []), (1, [(2, 62)], 0, []), (2, [(1, 61)], 60, [1]), (3, [(2, 72)], 70, [1])]
+    left = sorted(r.text for r in suffixes.without_repeats(docs(spark, rows)).collect())
+    assert left == sorted([rows[0][1], rows[1][1], "x ", "y z "])
+
+
+def test_suffixes_of_a_hot_passage(spark, monkeypatch):
+    """A passage in very many texts is sorted in shares, with the same result."""
+    monkeypatch.setattr(suffixes, "SHARE", 8)
+    passage = " ".join(f"p{k}" for k in range(90))
+    rows = [(k, f"{' '.join(f'b{k}x{i}' for i in range(k % 7))} {passage} {k} end", "en", "a") for k in range(150)]
+    want = brute_passages([(r[0], r[1]) for r in rows])
+    got = suffixes.repeated_passages(docs(spark, rows)).collect()
+    assert len(got) == 150
+    for r in got:
+        assert ([tuple(s) for s in r.spans], [tuple(s) for s in r.drop_spans]) == want[r.doc_id], r
+    assert {tuple(r.sources) for r in got if r.n_drop} == {(0,)}
+
+
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
@@ -216,14 +270,60 @@ def test_mixing_lands_beside_a_hot_source(spark):
 def test_flight_balances():
     rng = np.random.default_rng(9)
     size, p = rng.integers(1, 500, 400).astype(float), np.full(400, 0.37)
-    out = mixing._flight(p, size, rng.random(500))
+    out = mixing._flight(p, size, rng)
     open_ = (out > 0) & (out < 1)
     assert open_.sum() <= 2 and abs(out @ size - p @ size) < 1e-6 * size.sum() and abs(out.sum() - p.sum()) < 1e-6
-    assert set(np.unique(mixing._landing(out, size))) <= {0.0, 1.0}
-    mean = np.mean([mixing._flight(p[:30], size[:30], rng.random(40)) for _ in range(600)], axis=0)
+    assert set(np.unique(mixing._landing(out, size, rng))) <= {0.0, 1.0}
+    mean = np.mean([mixing._flight(p[:30], size[:30], rng) for _ in range(600)], axis=0)
     assert abs(mean - 0.37).max() < 0.1  # chances are kept
 
 
+def test_chances_are_kept_in_a_small_source():
+    """Twelve documents, one as long as all others: each is taken as often as it is to be, and totals are near."""
+    size = np.array([900.0, 40, 55, 60, 75, 80, 90, 100, 105, 110, 120, 130])
+    rate = np.array([0.5, 0.3, 0.3, 0.3, 0.7, 0.3, 0.6, 0.3, 0.3, 0.9, 0.3, 0.45])
+    drawn = np.array([mixing._landing(mixing._flight(rate, size, rng, mixing.LANDING), size, rng) for rng in map(np.random.default_rng, range(4000))])
+    assert set(np.unique(drawn)) == {0.0, 1.0}
+    assert np.abs(drawn.mean(axis=0) - rate).max() < 4 * 0.5 / np.sqrt(4000)
+    miss = np.abs(drawn @ size - rate @ size)
+    assert miss.mean() < 0.5 * np.abs((np.random.default_rng(1).random((4000, 12)) < rate) @ size - rate @ size).mean()
+
+
+def test_selections_are_the_best_that_keep_the_chances():
+    """The linear program against a search over all bases of three documents."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    every = ((np.arange(8)[:, None] >> np.arange(3)) & 1).astype(float)
+    for _ in range(20):
+        p, size = rng.uniform(0.05, 0.95, 3), rng.integers(1, 90, 3).astype(float)
+        cost = lambda s, p=p, size=size: np.abs((s - p) @ size)
+        picked, weight = mixing._selections(p, cost)
+        assert np.allclose(weight @ picked, p) and np.isclose(weight.sum(), 1) and (weight >= 0).all()
+        least = np.inf
+        for four in combinations(range(8), 4):
+            a = np.vstack([np.ones(4), every[list(four)].T])
+            if abs(np.linalg.det(a)) > 1e-9:
+                x = np.linalg.solve(a, np.append(1.0, p))
+                if (x >= -1e-12).all():
+                    least = min(least, float(x @ cost(every[list(four)])))
+        assert np.isclose(weight @ cost(picked), least)
+
+
+def test_mixing_of_sources_that_are_no_strings(spark):
+    rows = [(k, " ".join(["w"] * (k % 9 + 1)), k % 3 if k % 10 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source int")
+    few = mixing.mix(df, block=32).collect()
+    assert len(few) == 300 and {r.source_size for r in few} == {sum(k % 9 + 1 for k in range(300) if (k % 3 if k % 10 else None) == s) for s in (0, 1, 2, None)}
+
+
+def test_mixing_of_more_sources_than_are_broadcast(spark, monkeypatch):
+    rows = [(k, " ".join(["w"] * (k % 9 + 1)), "en", f"s{k % 7}") for k in range(300)]
+    want = sorted(map(tuple, mixing.mix(docs(spark, rows), block=32).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    assert sorted(map(tuple, mixing.mix(docs(spark, rows), block=32).collect())) == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -251,3 +351,36 @@ def test_pipeline(spark, tmp_path):
     assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in mixing.mix(twice).collect())
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in whole.collect()) == ids[4]
+
+
+PIPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], PIPE).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS and out.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_edges_and_extra_columns(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties and repeated rows, with columns that operators use inside."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(3, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    table = docs(spark, EDGE)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, str(tmp_path))
+        assert name == "encode" or out.columns == corpus_pipeline.COLUMNS
+        counts[name] = sorted((r.doc_id is not None, r.doc_id or 0) for r in out.collect())
+    every = sorted((i is not None, i or 0) for i, *_ in EDGE)
+    assert counts["line dedup"] == counts["encode"] == every
+    assert counts["quality rules"] == []  # the long text repeats its words
+    assert counts["near duplicates"] == [(False, 0), (True, 1), (True, 3), (True, 4), (True, 5)]
+    assert set(counts["mix sources"]) <= set(every) and not {1, 2, 7} & {i for _, i in counts["mix sources"]}

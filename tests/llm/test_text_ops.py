@@ -135,6 +135,50 @@ def test_counterfactual_penalty_closes_the_gap():
     assert gap[4.0] < 0.3 * gap[0.0]
 
 
+def test_gradient_is_that_of_the_loss():
+    """Central differences of the loss, with swaps, at weights drawn at random."""
+    rng = np.random.default_rng(8)
+    texts, toxic = labelled(60)
+    rows = [toxicity.features(t) for t in texts]
+    kept, _ = toxicity.choose(rows, toxic.astype(float), 50)
+    swapped = [(toxicity.places(a, kept), toxicity.places(b, kept)) for t in texts for a, b in toxicity.changes(t)]
+    assert len(kept) == 50 and any(len(b) for _, b in swapped)
+    sample = toxicity.Sample([toxicity.places(r, kept) for r in rows], toxic.astype(float), swapped, 50, 4.0)
+    w, b = rng.normal(size=50), 0.3
+    _, g, g_b = sample.objective(w, b)
+    for k in range(50):
+        step = np.eye(50)[k] * 1e-5
+        assert abs((sample.objective(w + step, b)[0] - sample.objective(w - step, b)[0]) / 2e-5 - g[k]) < 1e-7
+    assert abs((sample.objective(w, b + 1e-5)[0] - sample.objective(w, b - 1e-5)[0]) / 2e-5 - g_b) < 1e-7
+    brute = 0.0
+    for t in texts:
+        own = set(toxicity.features(t).tolist())
+        for x in toxicity.swaps(t):
+            other = set(toxicity.features(x).tolist())
+            brute += sum(w[i] * ((h in own) - (h in other)) for i, h in enumerate(kept.tolist())) ** 2
+    plain = toxicity.Sample([toxicity.places(r, kept) for r in rows], toxic.astype(float), [], 50, 4.0).objective(w, b)[0]
+    assert abs(sample.objective(w, b)[0] - plain - 4.0 * brute / len(swapped)) < 1e-9
+
+
+def test_swaps_without_chosen_features():
+    """Swaps whose terms are no chosen feature add nothing, alone or beside others."""
+    toxic, rows = np.array([1.0, 0.0]), [np.array([0]), np.array([1])]
+    none = np.zeros(0, int)
+    for swapped in ([(none, none)], [(none, none), (none, np.array([1]))], []):
+        sample = toxicity.Sample(rows, toxic, swapped, 2, 4.0)
+        loss, g, _ = sample.objective(np.array([1.0, 2.0]), 0.0)
+        assert np.isfinite(loss) and g.dtype == float
+        w, _ = sample.fit(np.array([1.0, -1.0]))
+        assert w[0] > 0 > w[1]
+
+
+def test_fit_of_rows_is_that_of_texts(spark):
+    texts, toxic = labelled(120)
+    rows = spark.createDataFrame([(k, t, int(y)) for k, (t, y) in enumerate(zip(texts, toxic, strict=True))], "label_id long, text string, label int")
+    for got, want in zip(toxicity.fit_rows(rows.repartition(5), n_features=60), toxicity.fit(texts, toxic, n_features=60), strict=True):
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
 def test_swaps():
     assert toxicity.swaps("A Muslim man", (("muslim", "jewish", "hindu"), ("man", "woman"))) == ["a jewish woman", "a hindu man"]
     assert toxicity.swaps(None) == toxicity.swaps("no terms here") == []
@@ -192,10 +236,34 @@ def test_many_languages(spark, monkeypatch):
         assert all(r.lang_pred == f"x{r.doc_id % 70:02d}" for r in got)
 
 
-def test_language_family_first():
-    model = language.fit([prose(lang, k) for k in range(80) for lang in _SYLLABLES], [lang for _ in range(80) for lang in _SYLLABLES])
-    names = {(a, b) for a, b, _ in model}
-    assert names == {("germanic/", ""), ("romance/", ""), ("de", "en"), ("es", "fr")}
+def test_language_family_first(spark):
+    rows = [(k, prose(lang, k), lang) for k in range(80) for lang in _SYLLABLES]
+    model = language.fit(spark.createDataFrame(rows, "h long, text string, lang string"))
+    assert {m[:3] for m in model} == {("family", "germanic", ""), ("family", "romance", ""), ("pair", "de", "en"), ("pair", "es", "fr")}
+
+
+def test_texts_without_letters_are_und(spark):
+    """Numbers of any kind are no letters; a letter of any script is one."""
+    rows = [(k, prose("en", k), "en", "a") for k in range(20)]
+    none, some = ["½ ²", "①", "Ⅷ", "12 !!", "٣", "_", "\u0301"], ["ª", "я", "中", "ʰ", "ǅ", "½ a"]
+    texts = [(100 + k, t, None, "a") for k, t in enumerate(none + some)]
+    got = {r.doc_id: r.lang_pred for r in language.language_id(docs(spark, rows + texts)).collect()}
+    assert [got[100 + k] for k in range(len(none + some))] == ["und"] * len(none) + ["en"] * len(some)
+
+
+def test_sparse_svm_is_a_minimum():
+    """Dual coordinate descent against gradient descent on the primal problem of dense rows."""
+    rng = np.random.default_rng(2)
+    texts = [prose(lang, k, 8) for k in range(30) for lang in ("en", "de")]
+    y = np.tile([1, -1], 30)
+    w = language.svm([language.sparse(t) for t in texts], y, epochs=200)
+    x = np.hstack([np.stack([language.vector(t) for t in texts]), np.ones((60, 1))])
+    loss = lambda w: 0.5 * w @ w + (np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    least = np.zeros(x.shape[1])
+    for _ in range(4000):
+        least -= 0.002 * (least - 2 * x.T @ (y * np.maximum(0, 1 - y * (x @ least))))
+    assert abs(loss(w.astype(float)) - loss(least)) < 1e-3 * loss(least)
+    assert all(loss(w + 1e-3 * rng.normal(size=len(w))) > loss(w) for _ in range(20))
 
 
 # ---- 5: BPE -----------------------------------------------------------------------
@@ -282,9 +350,72 @@ def test_main_text_frame(spark):
 
 
 def test_weights_come_from_the_labels():
-    pages = [[("<nav>a b</nav>", False), ("<p>one two three</p>", True)], [("<div>x y z</div>", False), ("<p>four five</p>", True)]]
+    pages = [[("<nav>a b</nav>", False), ("<p>one two three</p>", True)], [("<div class=x>x y z</div>", False), ("<p>four five</p>", True)]] * 3
     w = html.learn(pages)
-    assert w["w", "none", "p", False] > 0 > w["w", "none", "div", False] and all(v <= -0.05 for k, v in w.items() if k[0] == "t")
+    none, out = html.Place(), html.Place(None, frozenset(["name:x"]), w.deeper(frozenset(["name:x"]), 0.0))
+    assert w.inside(none) and not w.inside(out) and w.word(none, "p", False) > 0 > w.word(out, "div", False)
+    assert all(v <= -0.05 for v in w.tags.values())
+    swapped = html.learn([[(piece, not main) for piece, main in page] for page in pages])
+    assert swapped.word(none, "p", False) < 0
+
+
+ARTICLE = "<h1>A title</h1>" + "".join(f"<p>{' '.join(f'w{k}x{i}' for i in range(40))}</p>" for k in range(3))
+FRAME = (
+    "<html><body><nav><ul><li><a href=/a>home</a></li><li><a href=/b>news</a></li></ul></nav>{}"
+    "<div class=comments><p>what a nice text is this one here</p></div><footer>c someone</footer></body></html>"
+)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["page no-sidebar", "layout with-ads", "review", "post-review", "has-comments", "search-results-article", "story related", "widget-area content", "unheard of", "x1y2"],
+)
+def test_main_text_no_name_decides_by_itself(name):
+    w = html.learn()
+    want = html.extract(FRAME.format(f"<article>{ARTICLE}</article>"), w)
+    assert len(want.split()) == 122
+    for tag in (f'<div class="{name}">', f'<div id="{name}">'):
+        assert html.extract(FRAME.format(f"{tag}{ARTICLE}</div>"), w) == want
+
+
+@pytest.mark.parametrize("name", ["sidebar", "ad", "cookie-notice", "comments", "site-footer", "navbar", "newsletter", "share", "advertisement", "comment-list"])
+def test_main_text_leaves_out(name):
+    w = html.learn()
+    junk = f'<div class="{name}"><p>junk text of a box with some words in it</p></div>'
+    for page in (f"{junk}<article>{ARTICLE}</article>", f"<article>{ARTICLE}</article>{junk}", f"<article>{ARTICLE}{junk}{ARTICLE}</article>", f"<div class=content>{ARTICLE}</div>{junk}"):
+        assert "junk" not in html.extract(FRAME.format(page), w) and "w2x39" in html.extract(FRAME.format(page), w)
+
+
+def test_main_text_of_formulas_and_drawings():
+    page = "<article><p>Let <math><mi>x</mi></math> be <object>an object</object>.</p><svg><text>a label</text></svg></article>"
+    assert html.extract(page, html.learn()) == "Let x be an object.\na label"
+
+
+def brute_region(before, scores):
+    """All contiguous regions; of equal ones that which ends first, then that which starts last."""
+    best = max(
+        ((round(sum(scores[a:b]) + sum(before[a + 1 : b]), 9), -b, a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)),
+        default=(0, 0, 0),
+    )
+    return (best[2], -best[1]) if best[0] > 0 else (0, 0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(-4, 0), st.integers(-6, 6)), max_size=14))
+def test_region_is_the_best_of_all(blocks):
+    before, scores = [float(a) for a, _ in blocks], [float(b) for _, b in blocks]
+    assert html.best_region(before, scores) == brute_region(before, scores)
+
+
+def test_regions_of_pages_are_the_best_of_all():
+    w = html.learn()
+    rng = np.random.default_rng(3)
+    pieces = [p for page in html.labelled_pages()[:40] for p, _ in page]
+    for _ in range(120):
+        page = "".join(pieces[k] for k in rng.integers(0, len(pieces), 12))
+        before, scores, texts, kept = html.score_blocks(page, w)
+        a, b = brute_region(before, scores)
+        assert html.extract(page, w) == "\n".join(t for t, k in zip(texts[a:b], kept[a:b], strict=True) if k)
 
 
 # ---- 8: quality rules -------------------------------------------------------------
@@ -338,6 +469,33 @@ def test_quality_rules(spark):
     assert all(not r.kept or not r.base_failed for r in quality.quality_rules(docs(spark, rows), labels.limit(0)).collect())
 
 
+def test_llr_and_verdict_by_brute_force(spark):
+    """Both multinomials, the ratio of every text and its verdict, counted in Python; the bound on trusted ids is a parameter."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{j}" for j in range(150)]
+    texts = [" ".join(rng.choice(vocabulary, int(rng.integers(30, 120)))) for _ in range(30)]
+    texts += [" ".join(f"{w}$$" for w in rng.choice(vocabulary, 90)) for _ in range(10)]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)] + [(900, None, None, None), (901, "", "en", "a")]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    buckets = 1 << 10
+    raw, target = np.ones(buckets), np.zeros(buckets)
+    for k, t in enumerate(texts):
+        for x in quality.ngram_buckets(t, buckets).tolist():
+            raw[x] += 1
+            target[x] += k < 30 and k % 3 == 0
+    share = raw / raw.sum()
+    ratio = np.log((target + quality.PRIOR * share) / (target.sum() + quality.PRIOR) / share)
+    for threshold in (-0.35, 0.0):
+        got = quality.quality_rules(docs(spark, rows), labels, threshold=threshold, buckets=buckets).collect()
+        for r in got:
+            found = quality.ngram_buckets(dict((i, t) for i, t, *_ in rows)[r.doc_id], buckets)
+            want = float(np.mean([ratio[x] for x in found.tolist()])) if len(found) else 0.0
+            assert abs(r.llr - want) < 1e-9 and r.kept == (not r.base_failed and r.llr >= threshold)
+        assert {r.kept for r in got if not r.base_failed} == {False, True} or threshold < 0
+    few = quality.fit(docs(spark, rows), labels, trusted=2, buckets=buckets)
+    assert not np.allclose(few, quality.fit(docs(spark, rows), labels, buckets=buckets))
+
+
 # ---- 10: top-k --------------------------------------------------------------------
 
 
@@ -352,7 +510,8 @@ def brute_topk(rows, k=10, every=100):
 
 
 @pytest.mark.parametrize("kind", ["spread", "clustered", "copies", "few"])
-def test_topk(spark, kind):
+def test_topk(spark, kind, monkeypatch):
+    monkeypatch.setattr(topk, "PASSING", 3)
     rng = np.random.default_rng(4)
     n, dim = {"few": (5, 3)}.get(kind, (700, 8))
     x = rng.normal(size=(n, dim))
@@ -364,12 +523,44 @@ def test_topk(spark, kind):
     rows += [(9001, None), (9002, [1.0, None] + [0.0] * (dim - 2)), (9003, [float("nan")] * dim), (9004, [float("inf")] * dim), (9005, []), (9006, [1.0] * (dim + 1)), (None, [0.5] * dim)]
     df = spark.createDataFrame([(i, v, 1, 5) for i, v in rows], "vec_id long, embedding array<float>, label int, v int")
     got: dict = {}
-    for r in sorted(topk.top_k(df, group=150, block=4).collect(), key=lambda r: (r.query_id, r["rank"])):
+    for r in sorted(topk.top_k(df, group=150, pivots=4).collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == {q: v for q, v in brute_topk(rows).items() if v}
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_huge_components(spark):
+    """Products beyond a long are ranked exactly and returned as the nearest long; those of other rows are as ever."""
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=3)]) for k in range(201)]
+    rows += [(300, [1e30, 1.0, 2.0]), (301, [1e30, 1.5, 2.0]), (302, [-1e30, 0.25, 1.0]), (303, [1e308, -1e308, 3.0]), (304, [2e9, 1.0, 1.0]), (305, [3e9, -1e5, 7.0]), (400, [1e308, 1.0, 0.0])]
+    whole = lambda v: [__import__("math").floor(__import__("fractions").Fraction(x) * 1024) for x in v]
+    exact = [(i, whole(v)) for i, v in rows]
+    want = {}
+    for q, qv in exact:
+        if q % 100 == 0:
+            found = sorted(((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in exact if i != q))[:10]
+            want[q] = [(i, max(-(2**63 - 1), min(2**63 - 1, -s))) for s, i in found]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in sorted(topk.top_k(df, group=40).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+
+
+def test_topk_visits_few_trees(spark, monkeypatch):
+    """With data in clusters the floor of the first tree keeps queries away from most others."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8, 8))[rng.integers(0, 8, 1600)] * 50 + rng.normal(size=(1600, 8)) * 0.1
+    df = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent = []
+    passing = topk._passing
+    monkeypatch.setattr(topk, "_passing", lambda trees, queries, k: (sent.append((trees.count(), queries.count())), passing(trees, queries, k))[1])
+    assert topk.top_k(df, group=200, pivots=64).count() == 160
+    (trees, first), (_, second) = sent
+    assert first == 16 and second < 0.5 * 16 * (trees - 1), (trees, first, second)
+
+
 def test_mtree_prunes():
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] * 1000 + rng.normal(size=(4000, 16)) * 10).astype(np.int64)
