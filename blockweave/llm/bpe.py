@@ -52,7 +52,9 @@ class Vocabulary:
         self.tokens = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.split_special = regex.compile(
+            "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
+        ) if self.special else None
         symbols = byte_symbols()
         self.byte_id = np.array([vocab[s] for s in symbols], np.int64)
         self.last_id = np.array([vocab[s + self.end] for s in symbols], np.int64)
@@ -152,7 +154,9 @@ class Splitter:
         from tokenizers import Regex, normalizers, pre_tokenizers
 
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.split = pre_tokenizers.Split(Regex(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior="removed", invert=True)
+        self.split = pre_tokenizers.Split(
+            Regex(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior="removed", invert=True
+        )
 
     def __call__(self, run: str) -> list[bytes]:
         if not run.isascii():
@@ -246,21 +250,39 @@ def bpe(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
                 coded = coder.encode(part)
                 if digest:  # made here, ids and decoded texts need not travel to the JVM
                     made = [coder.digest(c) for c in coded]
-                    yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([m[0] for m in made]), pa.array([m[1] for m in made])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.slice(start, end - start),
+                            pa.array([len(c) // 4 for c in coded], pa.int64()),
+                            pa.array([m[0] for m in made]),
+                            pa.array([m[1] for m in made]),
+                        ],
+                        names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
                     start = end
                     continue
                 values = pa.array(np.frombuffer(b"".join(coded), np.int32), pa.int32())
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32), pa.int32())
                 decoded = pa.array([coder.decode(c) for c in coded], pa.string())
-                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.ListArray.from_arrays(offsets, values), decoded], names=["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(start, end - start), pa.ListArray.from_arrays(offsets, values), decoded], names=["id", "ids", "decoded"]
+                )
                 start = end
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"id {id_type}, ids array<int>, decoded string")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run,
+        f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"id {id_type}, ids array<int>, decoded string",
+    )
     return out.withColumnRenamed("id", id_col)
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return coded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return coded.select(
+        id_col,
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
 
 
 def tokenizer_path() -> str:

@@ -44,12 +44,16 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CLOSES = {
-    "p": BLOCK - {"body", "html"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)),
+    "p": BLOCK - {"body", "html"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(
+        ("dt", "dd")
+    ), "tr": frozenset(("tr",)),
     "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",)),
 }
 #: Blocks whose name says nothing about their content, and tags of runs within a block, which say nothing at all.
 _PLAIN = BLOCK - frozenset("article aside dialog fieldset footer form head header main menu nav section".split())
-_INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset(
+    "a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()
+)
 #: Labelled pages, one a line: pieces of HTML, each with whether it is main text.
 PAGES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "labelled_pages.jsonl")
 #: What a container adds counts by this factor less for each container further out.
@@ -355,7 +359,9 @@ def main_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("p
             for start in range(0, len(batch), 500):
                 part = batch.iloc[start : start + 500]
                 texts = [extract(h, weights) for h in part.html]
-                yield pd.DataFrame({f"k{i}": part[f"k{i}"].to_numpy() for i in range(len(keep))} | {"text": texts, "n_chars": [len(t) for t in texts]})
+                yield pd.DataFrame(
+                    {f"k{i}": part[f"k{i}"].to_numpy() for i in range(len(keep))} | {"text": texts, "n_chars": [len(t) for t in texts]}
+                )
 
     out = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(html_col).alias("html")).mapInPandas(run, schema)
     return out.toDF(*keep, "text", "n_chars")

@@ -270,20 +270,30 @@ def _families(texts: DataFrame) -> DataFrame:
         for batch in batches:
             h = bands(_signatures(batch.column(1)))
             nodes = pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(np.tile(ks, len(h))), pa.array(h.reshape(-1).view(np.int64))], names=["node", "k", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [nodes, pa.array(np.tile(ks, len(h))), pa.array(h.reshape(-1).view(np.int64))], names=["node", "k", "b"]
+            )
 
     light = signed.mapInArrow(banded, "node long, k int, b long")
     prints = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"print{salt}") for salt in (0, 1)]  # of the texts that a bucket holds
-    buckets = light.groupBy("b").agg(F.count("*").alias("members"), F.min("node").alias("hub"), F.min("k").alias("k"), *prints).where("members > 1")
+    buckets = light.groupBy("b").agg(F.count("*").alias("members"), F.min("node").alias("hub"), F.min("k").alias("k"), *prints).where(
+        "members > 1"
+    )
     mixed = buckets.groupBy("members", "hub", "print0", "print1").agg(F.min(F.struct("k", "b")).alias("least"))
     mixed = stored(mixed.select(F.col("least.b").alias("mb"), "members", "hub"))
-    hubs = mixed.hint("merge").join(signed.select(F.col("node").alias("hnode"), F.col("sig").alias("hub_sig")), F.col("hub") == F.col("hnode"))
+    hubs = mixed.hint("merge").join(
+        signed.select(F.col("node").alias("hnode"), F.col("sig").alias("hub_sig")), F.col("hub") == F.col("hnode")
+    )
     hubs = hubs.select(F.col("mb").alias("hb"), "hub_sig", _each(_block("members")[0]).alias("hshare"))
     spread = mixed.withColumn("mshare", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    some = light.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SPREAD))).join(spread, (F.col("b") == F.col("mb")) & (F.col("share") == F.col("mshare")))
+    some = light.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SPREAD))).join(
+        spread, (F.col("b") == F.col("mb")) & (F.col("share") == F.col("mshare"))
+    )
     some = some.where(F.col("node") != F.col("hub")).select(F.col("node").alias("bnode"), "k", "b", "hub", "members")
     some = some.hint("merge").join(signed, F.col("bnode") == F.col("node")).withColumn("share", _share("members"))
-    some = some.join(hubs, (F.col("b") == F.col("hb")) & (F.col("share") == F.col("hshare"))).select("node", "k", "b", "hub", "members", "sig", "hub_sig")
+    some = some.join(hubs, (F.col("b") == F.col("hb")) & (F.col("share") == F.col("hshare"))).select(
+        "node", "k", "b", "hub", "members", "sig", "hub_sig"
+    )
     held = stored(some.mapInArrow(_near_hub, "node long, k int, b long, hub long, members long, near boolean"))
     edges = held.where("near").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     # Texts unlike the least of their bucket meet all others of it.
@@ -294,8 +304,12 @@ def _families(texts: DataFrame) -> DataFrame:
     left_over = left_over.hint("merge").join(signed, F.col("bnode") == F.col("node"))
     (fars, own_far), (alls, own_all) = _block("far"), _block("members", 1)
     columns = ["node", "k", "b", "near", "sig", "bi", "bj"]
-    sides = left_over.where(~F.col("near")).withColumn("bi", own_far).withColumn("bj", _each(alls)).select(*columns, F.lit(True).alias("left"))
-    sides = sides.unionByName(left_over.withColumn("bj", own_all).withColumn("bi", _each(fars)).select(*columns, F.lit(False).alias("left")))
+    sides = left_over.where(~F.col("near")).withColumn("bi", own_far).withColumn("bj", _each(alls)).select(
+        *columns, F.lit(True).alias("left")
+    )
+    sides = sides.unionByName(
+        left_over.withColumn("bj", own_all).withColumn("bi", _each(fars)).select(*columns, F.lit(False).alias("left"))
+    )
     sides = sides.repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj")
     edges = edges.unionByName(sides.mapInArrow(_bucket_edges, "u long, v long"))
     return stored(components(edges))
@@ -312,7 +326,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     class that stay if one is to. Only the named columns are read; an empty table gives no rows.
     """
     small_batches(df)
-    docs = df.select(F.col(id_col).alias("id"), node_id(id_col, text_col).alias("nid"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    docs = df.select(
+        F.col(id_col).alias("id"), node_id(id_col, text_col).alias("nid"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")
+    )
 
     def sign(batches):
         for batch in batches:
@@ -325,18 +341,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     signatures.append(minhash(sh).tobytes() if len(sh) else b"")
                 hi, lo = np.stack(digests).T
                 made = [pa.array(hi), pa.array(lo), pa.array(signatures, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *made], names=["id", "nid", "th", "hi", "lo", "sig"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), part.column(3), *made], names=["id", "nid", "th", "hi", "lo", "sig"]
+                )
 
     id_type = df.schema[id_col].dataType.simpleString()
     signed = stored(docs.mapInArrow(sign, f"id {id_type}, nid long, th long, hi long, lo long, sig binary"))
     # A text is named by half of its digest, not by an id: texts of one id are compared like others. One row of each has its words looked up.
     texts = signed.groupBy("hi", "lo").agg(
-        F.min(F.struct("nid", "th")).alias("row"), F.count("*").alias("n_copies"), F.min(F.col("id").cast("long")).alias("least_id"), F.first("sig").alias("sig")
+        F.min(F.struct("nid", "th")).alias("row"), F.count("*").alias("n_copies"), F.min(
+            F.col("id").cast("long")
+        ).alias("least_id"), F.first("sig").alias("sig")
+    )
+    texts = stored(
+        texts.select(
+            "hi",
+            "lo",
+            F.col("hi").alias("node"),
+            F.col("row.nid").alias("rid"),
+            F.col("row.th").alias("rth"),
+            "n_copies",
+            "least_id",
+            "sig",
+        )
     )
-    texts = stored(texts.select("hi", "lo", F.col("hi").alias("node"), F.col("row.nid").alias("rid"), F.col("row.th").alias("rth"), "n_copies", "least_id", "sig"))
     family = _families(texts)
-    members = by_key(family, "label", "node", [F.count("*").alias("some")], [F.sum("some").alias("members")]).withColumnRenamed("node", "fnode")
-    located = stored(members.join(texts, F.col("fnode") == F.col("node")).select("node", F.col("label").alias("fam"), "members", "rid", "rth", "sig"))
+    members = by_key(family, "label", "node", [F.count("*").alias("some")], [F.sum("some").alias("members")]).withColumnRenamed(
+        "node", "fnode"
+    )
+    located = stored(
+        members.join(texts, F.col("fnode") == F.col("node")).select("node", F.col("label").alias("fam"), "members", "rid", "rth", "sig")
+    )
     # A merge join whatever the sizes: what is looked up grows with the texts.
     with_text = docs.select("nid", "th", "text").hint("merge").join(located, (F.col("nid") == F.col("rid")) & (F.col("th") == F.col("rth")))
 
@@ -347,7 +382,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 sh = pa.array([shingles(t).tobytes() for t in part.column(4).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], sh], names=["node", "fam", "members", "sig", "sh"])
 
-    rows = with_text.select("node", "fam", "members", "sig", "text").mapInArrow(shingled, "node long, fam long, members long, sig binary, sh binary")
+    rows = with_text.select("node", "fam", "members", "sig", "text").mapInArrow(
+        shingled, "node long, fam long, members long, sig binary, sh binary"
+    )
     blocks, own = _block("members")
     rows = rows.withColumn("block", own).withColumn("other", _each(blocks))
     rows = rows.select("node", "fam", "block", "sig", "sh", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
@@ -355,15 +392,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     compared = stored(rows.mapInPandas(_compare, "u long, v long, links long"))
     links = compared.groupBy(F.col("u").alias("lu")).agg(F.sum("links").alias("n_links"))
     # Texts that share an id have an edge to the least of them.
-    many = signed.groupBy(F.col("nid").alias("mid")).agg(F.min("hi").alias("v"), F.max("hi").alias("last")).where(F.col("v") != F.col("last"))
-    many = signed.select("nid", F.col("hi").alias("u")).join(many, F.col("nid") == F.col("mid")).where(F.col("u") != F.col("v")).select("u", "v").distinct()
+    many = signed.groupBy(F.col("nid").alias("mid")).agg(F.min("hi").alias("v"), F.max("hi").alias("last")).where(
+        F.col("v") != F.col("last")
+    )
+    many = signed.select("nid", F.col("hi").alias("u")).join(many, F.col("nid") == F.col("mid")).where(
+        F.col("u") != F.col("v")
+    ).select("u", "v").distinct()
     classes = components(compared.select("u", "v").unionByName(many)).withColumnRenamed("node", "cnode")
     labelled = texts.drop("sig").join(classes, F.col("node") == F.col("cnode"), "left").withColumn("label", F.coalesce("label", "node"))
     labelled = labelled.join(links, F.col("node") == F.col("lu"), "left")
     labelled = stored(labelled.select("hi", "lo", "label", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "least_id", "rid"))
     parts = [F.min("least_id").alias("some_id"), F.min("rid").alias("some_rid")]
     named = by_key(labelled, "label", "hi", parts, [F.min("some_id").alias("class_id"), F.min("some_rid").alias("least_rid")])
-    named = named.select(F.col("hi").alias("h1"), F.col("lo").alias("h2"), "class_id", "n_links", "n_copies", F.coalesce("class_id", "least_rid").alias("keeper"))
+    named = named.select(
+        F.col("hi").alias("h1"),
+        F.col("lo").alias("h2"),
+        "class_id",
+        "n_links",
+        "n_copies",
+        F.coalesce("class_id", "least_rid").alias("keeper"),
+    )
     out = signed.select("id", "hi", "lo").join(named, (F.col("hi") == F.col("h1")) & (F.col("lo") == F.col("h2")))
     return out.select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", "keeper")
 

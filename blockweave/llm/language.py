@@ -158,11 +158,17 @@ def _pair_problem(part: pd.DataFrame) -> pd.DataFrame:
 
 def fit(rows: DataFrame, families=FAMILIES, pool: int = POOL) -> list[tuple[str, str, str, np.ndarray]]:
     """(kind, a, b, weights) of each binary problem over rows h, text, lang: 16 KB a problem come to the driver."""
-    made = stored(rows.select("h", "text", "lang").mapInPandas(_features(families), "h long, part int, lang string, family string, at binary, x binary"))
+    made = stored(
+        rows.select("h", "text", "lang").mapInPandas(
+            _features(families), "h long, part int, lang string, family string, at binary, x binary"
+        )
+    )
     others = made.orderBy(F.xxhash64("h", "part", "lang"), "h", "part", "lang").limit(pool).toPandas()  # at most POOL rows
     tops = made.groupBy("family").applyInPandas(_family_problem(others), _MODEL)
     langs = made.select("family", "lang").distinct()
-    alone = langs.groupBy("family").agg(F.count("*").alias("n"), F.min("lang").alias("a")).where("n = 1").select("family", "a", F.col("a").alias("b"))
+    alone = langs.groupBy("family").agg(F.count("*").alias("n"), F.min("lang").alias("a")).where("n = 1").select(
+        "family", "a", F.col("a").alias("b")
+    )
     pairs = langs.select("family", F.col("lang").alias("a")).join(langs.select("family", F.col("lang").alias("b")), "family").where("a < b")
     pairs = pairs.unionByName(alone).withColumnRenamed("family", "of")
     of_pair = made.join(pairs, (F.col("family") == F.col("of")) & (F.col("lang").isin(F.col("a"), F.col("b"))))
@@ -201,7 +207,9 @@ class Classifier:
         return best, float(sure / (1 + np.exp(-4 * least[best])))
 
 
-def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, families=FAMILIES) -> DataFrame:
+def language_id(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, families=FAMILIES
+) -> DataFrame:
     """id, held_out, lang_pred, score: one row a row of df.
 
     Learned from rows with a language whose id's crc32 modulo 4 is not 2, at most ``sample`` of a language
@@ -215,8 +223,12 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     slots = able.withColumn("h", F.xxhash64("id")).groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min("h").alias("h"))
     each = F.floor(F.lit(ROWS) / F.greatest(F.lit(1), F.countDistinct("lang")))
     share = slots.agg(F.greatest(F.lit(1), F.least(F.lit(sample), each)).alias("share"))
-    drawn = slots.crossJoin(F.broadcast(share)).groupBy(F.col("lang").alias("its"), F.pmod("slot", "share").alias("slot")).agg(F.min("h").alias("h")).drop("slot")
-    rows = able.withColumn("h", F.xxhash64("id")).join(F.broadcast(drawn), "h").where(F.col("lang") == F.col("its")).select("id", "text", "lang").dropDuplicates(["id"])
+    drawn = slots.crossJoin(F.broadcast(share)).groupBy(F.col("lang").alias("its"), F.pmod("slot", "share").alias("slot")).agg(
+        F.min("h").alias("h")
+    ).drop("slot")
+    rows = able.withColumn("h", F.xxhash64("id")).join(F.broadcast(drawn), "h").where(F.col("lang") == F.col("its")).select(
+        "id", "text", "lang"
+    ).dropDuplicates(["id"])
 
     model = fit(rows.withColumn("h", F.xxhash64("id")), families)
     id_type = df.schema[id_col].dataType.simpleString()
@@ -225,9 +237,18 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         c = Classifier(model, families)
         for batch in batches:
             found = [c(t) for t in batch.text]
-            yield pd.DataFrame({"id": batch.id.to_numpy(), "held_out": batch.held_out.to_numpy(), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
-
-    out = docs.select("id", "text", F.coalesce(remainder("id") == 2, F.lit(False)).alias("held_out")).mapInPandas(classify, f"id {id_type}, held_out boolean, lang_pred string, score double")
+            yield pd.DataFrame(
+                {
+                    "id": batch.id.to_numpy(),
+                    "held_out": batch.held_out.to_numpy(),
+                    "lang_pred": [f[0] for f in found],
+                    "score": [f[1] for f in found],
+                }
+            )
+
+    out = docs.select("id", "text", F.coalesce(remainder("id") == 2, F.lit(False)).alias("held_out")).mapInPandas(
+        classify, f"id {id_type}, held_out boolean, lang_pred string, score double"
+    )
     return out.withColumnRenamed("id", id_col)
 
 

@@ -32,10 +32,22 @@ def chunk_bounds(lines: Column) -> Column:
         n = F.size(roll) + 1
         low = lambda b: (F.get(roll, b - 1) < F.coalesce(F.get(roll, b - 2), F.lit(_P))) & (F.get(roll, b - 1) <= F.get(roll, b))
         ends = F.when(n >= 4, F.filter(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), low)).otherwise(F.array().cast("array<int>"))
-        return let(ends, lambda e: let(F.concat(F.array(F.lit(0)), F.transform(e, lambda x: x + 1), F.array(n)), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.struct(i.alias("k"), F.get(c, i - 1).alias("s"), (F.get(c, i) - F.get(c, i - 1)).alias("n")))))
+        return let(
+            ends,
+            lambda e: let(
+                F.concat(F.array(F.lit(0)), F.transform(e, lambda x: x + 1), F.array(n)),
+                lambda c: F.transform(
+                    F.sequence(F.lit(1), F.size(c) - 1),
+                    lambda i: F.struct(i.alias("k"), F.get(c, i - 1).alias("s"), (F.get(c, i) - F.get(c, i - 1)).alias("n")),
+                ),
+            ),
+        )
 
     def rolls(h: Column) -> Column:
-        return F.when(F.size(h) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - 1, F.lit(1))), lambda i: (F.get(h, i - 1) * _B + F.get(h, i)) % _P)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(
+            F.size(h) > 1,
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - 1, F.lit(1))), lambda i: (F.get(h, i - 1) * _B + F.get(h, i)) % _P),
+        ).otherwise(F.array().cast("array<bigint>"))
 
     return let(F.transform(lines, _line_hash), lambda h: let(rolls(h), by_roll))
 
@@ -54,19 +66,43 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     The first occurrence of a chunk is that in the smallest id (null last), there the first one; it stays. A null text has no
     lines and stays null; an empty one has one line. A text of which all chunks went becomes empty. Rows that repeat an id
-    and text are one document: each gets the same result. Lines end at \\n alone. Columns that are not named are not read, so
+    and text are one document: each gets the same result. Ids are numbers, or texts of numbers. Lines end at \\n alone. Columns that are not named are not read, so
     their names cannot clash; an empty table gives no rows.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
-    bounds = let(F.split("text", "\n"), lambda ls: let(chunk_bounds(ls), lambda b: F.transform(F.filter(b, lambda c: c["n"] > 1), lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), _chunk_hash(_piece(ls, c)).alias("h")))))
-    light = docs.where(F.col("text").contains("\n")).select("id", "th", F.explode(bounds).alias("c")).select("id", "th", "c.k", "c.n", "c.h")
+    docs = df.select(
+        F.col(id_col).alias("id"),
+        F.col(text_col).alias("text"),
+        F.xxhash64(text_col).alias("th"),
+        *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)),
+    )
+    bounds = let(
+        F.split("text", "\n"),
+        lambda ls: let(
+            chunk_bounds(ls),
+            lambda b: F.transform(
+                F.filter(b, lambda c: c["n"] > 1),
+                lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), _chunk_hash(_piece(ls, c)).alias("h")),
+            ),
+        ),
+    )
+    light = docs.where(F.col("text").contains("\n")).select("id", "th", F.explode(bounds).alias("c")).select(
+        "id", "th", "c.k", "c.n", "c.h"
+    )
     light = cut(light.dropDuplicates(["id", "th", "k"]))  # hashes and places only
     often = light.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("h")
     maybe = cut(light.join(cut(often), "h", "left_semi"))  # dealt anew on both sides, so a hot hash can be split
     per_doc = maybe.groupBy(F.col("id").alias("id1"), F.col("th").alias("th1")).agg(F.collect_list(F.struct("k", "h")).alias("ks"))  # a document's own chunks
     same = lambda a, b: F.col("id").eqNullSafe(F.col(a)) & (F.col("th") == F.col(b))
     texts = docs.join(per_doc, same("id1", "th1"), "left").where(F.col("ks").isNotNull())
-    pieces = let(F.split("text", "\n"), lambda ls: let(chunk_bounds(ls), lambda b: F.transform("ks", lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"), _piece(ls, F.get(b, x["k"] - 1)).alias("chunk")))))
+    pieces = let(
+        F.split("text", "\n"),
+        lambda ls: let(
+            chunk_bounds(ls),
+            lambda b: F.transform(
+                "ks", lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"), _piece(ls, F.get(b, x["k"] - 1)).alias("chunk"))
+            ),
+        ),
+    )
     candidates = texts.select("id", "th", F.explode(pieces).alias("c")).select("id", "th", "c.k", "c.h", "c.chunk")
     place = F.struct(F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("th").alias("th"), F.col("k").alias("k"))
     # Byte comparison: only equal texts meet in a group.
@@ -76,11 +112,36 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     gone = maybe.join(cut(alike), F.col("h") == F.col("h2")).where(place != F.col("first")).select("id", "th", "k", "n")
     clashes = per_hash.where(F.col("n_texts") > 1).select("h")
     if not clashes.isEmpty():  # one hash, several texts: these are told apart by their text
-        told = groups.join(clashes, "h", "left_semi").where(F.col("times") > 1).select(F.col("h").alias("h2"), F.col("chunk").alias("chunk2"), "first")
-        more = candidates.join(told, (F.col("h") == F.col("h2")) & (F.col("chunk") == F.col("chunk2"))).where(place != F.col("first")).select("id", "th", "k")
-        gone = gone.unionByName(more.join(maybe.select(F.col("id").alias("id3"), F.col("th").alias("th3"), F.col("k").alias("k3"), "n"), F.col("id").eqNullSafe(F.col("id3")) & (F.col("th") == F.col("th3")) & (F.col("k") == F.col("k3"))).select("id", "th", "k", "n"))
-    removal = gone.groupBy(F.col("id").alias("id1"), F.col("th").alias("th1")).agg(F.collect_set("k").alias("ks"), F.sum("n").alias("lines"))
-    left = let(F.split("text", "\n"), lambda ls: let(chunk_bounds(ls), lambda b: F.array_join(F.flatten(F.transform(F.array_except(F.transform(b, lambda c: c["k"]), F.col("ks")), lambda k: let(F.get(b, k - 1), lambda c: F.slice(ls, c["s"] + 1, c["n"])))), "\n")))
+        told = groups.join(clashes, "h", "left_semi").where(F.col("times") > 1).select(
+            F.col("h").alias("h2"), F.col("chunk").alias("chunk2"), "first"
+        )
+        more = candidates.join(told, (F.col("h") == F.col("h2")) & (F.col("chunk") == F.col("chunk2"))).where(
+            place != F.col("first")
+        ).select("id", "th", "k")
+        gone = gone.unionByName(
+            more.join(
+                maybe.select(F.col("id").alias("id3"), F.col("th").alias("th3"), F.col("k").alias("k3"), "n"),
+                F.col("id").eqNullSafe(F.col("id3")) & (F.col("th") == F.col("th3")) & (F.col("k") == F.col("k3")),
+            ).select("id", "th", "k", "n")
+        )
+    removal = gone.groupBy(F.col("id").alias("id1"), F.col("th").alias("th1")).agg(
+        F.collect_set("k").alias("ks"), F.sum("n").alias("lines")
+    )
+    left = let(
+        F.split("text", "\n"),
+        lambda ls: let(
+            chunk_bounds(ls),
+            lambda b: F.array_join(
+                F.flatten(
+                    F.transform(
+                        F.array_except(F.transform(b, lambda c: c["k"]), F.col("ks")),
+                        lambda k: let(F.get(b, k - 1), lambda c: F.slice(ls, c["s"] + 1, c["n"])),
+                    )
+                ),
+                "\n",
+            ),
+        ),
+    )
     out = docs.join(removal, same("id1", "th1"), "left")
     return out.select(
         F.col("id").alias(id_col),

@@ -137,7 +137,9 @@ def targets(sources: DataFrame) -> DataFrame:
         stops = F.lit(False) if level is None else F.col("cap") < F.lit(level) * F.col("weight")
         free = F.when(~stops, F.col("weight")).otherwise(0.0)
         held = F.when(stops, F.col("cap")).otherwise(0.0)
-        r = ranked.agg(F.sum("source_size").alias("total"), F.sum(free).alias("weights"), F.sum(held).alias("held"), F.count_if(stops).alias("stopped")).first()
+        r = ranked.agg(
+            F.sum("source_size").alias("total"), F.sum(free).alias("weights"), F.sum(held).alias("held"), F.count_if(stops).alias("stopped")
+        ).first()
         if r.stopped == stopped or not r.weights:
             break
         stopped, level = r.stopped, max(level or 0.0, (float(r.total) - r.held) / r.weights)
@@ -165,7 +167,9 @@ def _open(p: str | Column) -> Column:
     return (p > EPS) & (p < 1 - EPS)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = 9) -> DataFrame:
+def mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = 9
+) -> DataFrame:
     """id, size, source_size, target, copies, taken: one row a row of df; taken = copies * size.
 
     A null or empty text has size 0 and is never taken. A null source is a source of its own, the last; sources may be of any type
@@ -174,7 +178,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     empty table gives no rows.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row_hash(id_col, text_col, seed).alias("h"))
+    docs = df.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row_hash(id_col, text_col, seed).alias("h")
+    )
     docs = cut(docs)  # ids, sources and sizes only: the texts are read once
     sizes = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     counts = sizes.select(F.col("source").alias("s2"), "n")
@@ -228,7 +234,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     out = units.join(chosen, same & (F.xxhash64("source") == F.col("csh")) & F.col("id").eqNullSafe(F.col("cid")), "left")
     copies = F.col("whole") + F.when(F.col("ch").isNotNull() | (F.col("p") >= 1 - EPS), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("long")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h", "ordinal")
+    return out.select(
+        F.col("id").alias(id_col),
+        "size",
+        "source_size",
+        "target",
+        copies.alias("copies"),
+        (copies * F.col("size")).alias("taken"),
+        "h",
+        "ordinal",
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,13 +70,17 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(ws), chars, symbols, len(lines) - len(set(lines)), repeat
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted: int = TRUSTED, buckets: int = BUCKETS) -> np.ndarray:
+def fit(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted: int = TRUSTED, buckets: int = BUCKETS
+) -> np.ndarray:
     """Log ratio of each bucket. Raw counts cover every row of df; at most ``trusted`` labelled ids feed the target."""
     small_batches(df)
     ids = labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("trusted_id")).distinct()
     ids = ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted)  # so the broadcast below has a fixed bound
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = texts.join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left").select("text", F.col("trusted_id").isNotNull().alias("target"))
+    marked = texts.join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left").select(
+        "text", F.col("trusted_id").isNotNull().alias("target")
+    )
 
     def count(batches):
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
@@ -130,7 +134,9 @@ def quality_rules(
                 llr = float(model[found].sum() / len(found)) if len(found) else 0.0
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT * counts[0]
                 out.append((*counts, llr, failed, not failed and llr >= threshold))
-            frame = pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"])
+            frame = pd.DataFrame(
+                out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
+            )
             frame.insert(0, "id", batch.id.to_numpy())
             yield frame
 

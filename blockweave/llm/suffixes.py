@@ -100,7 +100,14 @@ def _spell(batches):
             spelt += [b" ".join(ws[p : p + PREFIX]) for p in f["pos"][a:b].tolist()]
         sizes = [b - a for a, b in bounds]
         owners = [_ints(np.repeat(x, sizes)) for x in (nids, ths)]
-        made = [_ints(f["h"]), _ints(f["share"], np.int32), pa.array(f["shared"], pa.bool_()), pa.array(spelt, pa.binary()), *owners, _ints(f["pos"], np.int32)]
+        made = [
+            _ints(f["h"]),
+            _ints(f["share"], np.int32),
+            pa.array(f["shared"], pa.bool_()),
+            pa.array(spelt, pa.binary()),
+            *owners,
+            _ints(f["pos"], np.int32),
+        ]
         yield pa.RecordBatch.from_arrays(made, names=["h", "share", "shared", "words", "nid", "th", "pos"])
 
 
@@ -138,7 +145,14 @@ def _neighbours(batches):
             ints = [_ints(h[own]), _ints(share[own], np.int32), _ints(runs)]
             places = [_ints(nid[of]), _ints(th[of]), _ints(pos[of], np.int32), _ints(nid[to]), _ints(th[to]), _ints(pos[to], np.int32)]
             spelt = words.take(pa.array(own)) if with_words else none
-            made = [_ints(np.full(len(own), kind), np.int32), *ints, pa.array(t.column("shared").to_numpy()[own], pa.bool_()), spelt, *places, pa.array(first, pa.bool_())]
+            made = [
+                _ints(np.full(len(own), kind), np.int32),
+                *ints,
+                pa.array(t.column("shared").to_numpy()[own], pa.bool_()),
+                spelt,
+                *places,
+                pa.array(first, pa.bool_()),
+            ]
             return pa.RecordBatch.from_arrays(made, names=_FOUND)
 
         yield rows(0, at, run, False, at, partner, is_first)
@@ -238,9 +252,15 @@ def _sorted_suffixes(docs: DataFrame) -> DataFrame:
     often = retained.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("n"), F.min(where).alias("lo"), F.max(where).alias("hi"))
     often = stored(often.where(F.col("lo") != F.col("hi")).select("h2", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")))
     met = retained.join(often, F.col("h") == F.col("h2"))
-    met = met.select("nid", "th", F.struct("h", "pos", F.pmod(where, F.col("shares")).cast("int").alias("share"), (F.col("shares") > 1).alias("shared")).alias("f"))
+    met = met.select(
+        "nid",
+        "th",
+        F.struct("h", "pos", F.pmod(where, F.col("shares")).cast("int").alias("share"), (F.col("shares") > 1).alias("shared")).alias("f"),
+    )
     per_text = met.groupBy(F.col("nid").alias("mnid"), F.col("th").alias("mth")).agg(F.collect_set("f").alias("met"))  # a text's own suffixes
-    spelt = docs.hint("merge").join(per_text, (F.col("nid") == F.col("mnid")) & (F.col("th") == F.col("mth"))).select("nid", "th", "text", "met")
+    spelt = docs.hint("merge").join(per_text, (F.col("nid") == F.col("mnid")) & (F.col("th") == F.col("mth"))).select(
+        "nid", "th", "text", "met"
+    )
     spelt = spelt.mapInArrow(_spell, "h long, share int, shared boolean, words binary, nid long, th long, pos int")
     spelt = spelt.repartition("h", "share").sortWithinPartitions("h", "share", "words", "nid", "th", "pos")
     kinds = "kind int, h long, share int, run long, shared boolean, words binary, nid long, th long, pos int, pn long, pt long, pp int, first boolean"
@@ -248,10 +268,14 @@ def _sorted_suffixes(docs: DataFrame) -> DataFrame:
     own = found.where("kind = 0")
     # Runs of one print's shares: equal words are one run.
     runs = found.where("kind = 1")
-    whole = runs.groupBy(F.col("h").alias("h2"), F.col("words").alias("words2")).agg(F.min(_place()).alias("lo"), F.max(_place("pn", "pt", "pp")).alias("hi"))
+    whole = runs.groupBy(F.col("h").alias("h2"), F.col("words").alias("words2")).agg(
+        F.min(_place()).alias("lo"), F.max(_place("pn", "pt", "pp")).alias("hi")
+    )
     whole = runs.join(whole.where(F.col("lo") != F.col("hi")), (F.col("h") == F.col("h2")) & (F.col("words") == F.col("words2")))
     whole = whole.select(F.col("h").alias("h3"), F.col("share").alias("share3"), F.col("run").alias("run3"), "lo", "hi")
-    split = own.where("shared").join(whole, (F.col("h") == F.col("h3")) & (F.col("share") == F.col("share3")) & (F.col("run") == F.col("run3")))
+    split = own.where("shared").join(
+        whole, (F.col("h") == F.col("h3")) & (F.col("share") == F.col("share3")) & (F.col("run") == F.col("run3"))
+    )
     split = split.withColumn("first", _place() == F.col("lo")).withColumn("p", F.when(F.col("first"), F.col("hi")).otherwise(F.col("lo")))
     columns = ["nid", "th", "pos", "pn", "pt", "pp", "first"]
     split = split.select("nid", "th", "pos", F.col("p.nid").alias("pn"), F.col("p.th").alias("pt"), F.col("p.pos").alias("pp"), "first")
@@ -262,24 +286,37 @@ def _passages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, th, n_repeated, n_drop, spans, drop_spans, sources: a row for each row of df; th is a hash of its text."""
     small_batches(df)
     stand_in = -(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2)) - F.lit(1 << 61)
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), stand_in).alias("nid"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    docs = df.select(
+        F.col(id_col).alias("id"),
+        F.coalesce(F.col(id_col).cast("long"), stand_in).alias("nid"),
+        F.xxhash64(text_col).alias("th"),
+        F.col(text_col).alias("text"),
+    )
     texts = docs.select("nid", "th", "text")
-    found = _sorted_suffixes(texts).select(F.col("nid").alias("fnid"), F.col("th").alias("fth"), F.struct("pos", "pn", "pt", "pp", "first").alias("f"))
+    found = _sorted_suffixes(texts).select(
+        F.col("nid").alias("fnid"), F.col("th").alias("fth"), F.struct("pos", "pn", "pt", "pp", "first").alias("f")
+    )
     per_text = found.groupBy("fnid", "fth").agg(F.collect_set("f").alias("found"))  # a text's own suffixes, once each
     kinds = "kind int, w long, nid long, th long, a int, b int, first boolean, src long"
-    joined = texts.hint("merge").join(per_text, (F.col("nid") == F.col("fnid")) & (F.col("th") == F.col("fth"))).select("nid", "th", "text", "found")
+    joined = texts.hint("merge").join(per_text, (F.col("nid") == F.col("fnid")) & (F.col("th") == F.col("fth"))).select(
+        "nid", "th", "text", "found"
+    )
     grown = stored(joined.mapInArrow(_extend, kinds))
     place = _place("nid", "th", "pos")
     windows = grown.where("kind = 1").select("w", "nid", "th", F.col("a").alias("pos"))
     met = windows.groupBy(F.col("w").alias("w2")).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
     met = stored(met.where(F.col("lo") != F.col("hi")).select("w2", "lo"))
     told = windows.join(met, F.col("w") == F.col("w2"))
-    told = told.select("nid", "th", F.col("pos").alias("a"), F.col("pos").alias("b"), (place == F.col("lo")).alias("first"), F.col("lo.nid").alias("src"))
+    told = told.select(
+        "nid", "th", F.col("pos").alias("a"), F.col("pos").alias("b"), (place == F.col("lo")).alias("first"), F.col("lo.nid").alias("src")
+    )
     items = grown.where("kind = 0").select("nid", "th", "a", "b", "first", "src").unionByName(told)
     items = items.groupBy("nid", "th", "a", "first", "src").agg(F.max("b").alias("b"))
     items = items.groupBy("nid", "th").agg(F.collect_list(F.struct("a", "b", "first", "src")).alias("items"))
     span = "array<struct<start: int, end: int>>"
-    spans = items.mapInArrow(_gather, f"nid long, th long, spans {span}, drop_spans {span}, n_repeated int, n_drop int, sources array<long>")
+    spans = items.mapInArrow(
+        _gather, f"nid long, th long, spans {span}, drop_spans {span}, n_repeated int, n_drop int, sources array<long>"
+    )
     spans = spans.withColumnRenamed("nid", "snid").withColumnRenamed("th", "sth")
     none = F.array().cast(span)
     out = docs.select("id", "nid", "th").join(spans, (F.col("nid") == F.col("snid")) & (F.col("th") == F.col("sth")), "left")
@@ -309,7 +346,9 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with later places of repeated passages cut from the text, from the first word of a span to its last."""
-    spans = _passages(df, id_col, text_col).where("n_drop > 0").select(F.col("id").alias("span_id"), F.col("th").alias("span_th"), "drop_spans")
+    spans = _passages(df, id_col, text_col).where("n_drop > 0").select(
+        F.col("id").alias("span_id"), F.col("th").alias("span_th"), "drop_spans"
+    )
     spans = spans.dropDuplicates(["span_id", "span_th"])
     at, columns = df.columns.index(text_col), df.columns
 
@@ -322,7 +361,9 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     for g in reversed(gone):
                         text = text[: places[g["start"]][0]] + text[places[g["end"] - 1][1] :]
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns
+            )
 
     match = F.col(id_col).eqNullSafe(F.col("span_id")) & (F.xxhash64(text_col) == F.col("span_th"))
     joined = df.join(spans, match, "left").select(*(df[c] for c in columns), "drop_spans")
@@ -333,11 +374,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans as "start-end,start-end" and sources as "id,id", so that SQL can be held against them."""
 
     def text(c):
-        return F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias(c)
+        return F.array_join(
+            F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ","
+        ).alias(c)
 
     out = repeated_passages(table(spark, sf_dir, "documents"))
     numbers = [F.col(c).cast("long").alias(c) for c in ("n_repeated", "n_drop")]
-    return out.select("doc_id", *numbers, text("spans"), text("drop_spans"), F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
+    return out.select(
+        "doc_id", *numbers, text("spans"), text("drop_spans"), F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources")
+    )
 
 
 SQL = """

@@ -286,7 +286,9 @@ def _search(k: int):
                     found.append((own, q, i, max(-_LONG, min(_LONG, s)), beyond(s)))
             columns = [*zip(*found, strict=True)] if found else [()] * 5
             types = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "q", "vec_id", "score", "wide"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "q", "vec_id", "score", "wide"]
+            )
 
     return run
 
@@ -324,7 +326,9 @@ def top_k(
     vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(fine)
     n = vectors.count()
     moderate = ~F.exists("v", lambda x: F.abs(x) > HUGE / scale / 2)
-    drawn = vectors.where(moderate).select("v", F.xxhash64("v").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(max(1, min(pivots, -(-n // group))))
+    drawn = vectors.where(moderate).select("v", F.xxhash64("v").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(
+        max(1, min(pivots, -(-n // group)))
+    )
     cells = Cells([r.v for r in drawn.collect()], scale)
 
     def assign(batches):
@@ -342,14 +346,20 @@ def top_k(
     for r in stats:
         cells.radius[r.cell], cells.trees[r.cell] = r.radius, r.trees
     counts = spark.createDataFrame([(r.cell, r.trees) for r in stats], "c2 long, trees int")
-    dealt = assigned.join(F.broadcast(counts), F.col("cell") == F.col("c2")).withColumn("sub", F.pmod(F.xxhash64("vec_id", "v"), "trees").cast("int"))
+    dealt = assigned.join(F.broadcast(counts), F.col("cell") == F.col("c2")).withColumn(
+        "sub", F.pmod(F.xxhash64("vec_id", "v"), "trees").cast("int")
+    )
 
     def build(key, part: pd.DataFrame) -> pd.DataFrame:
         tree = MTree([None if pd.isna(i) else int(i) for i in part.vec_id], np.stack(part.v.to_numpy()), scale=scale)
         return pd.DataFrame({"cell": [key[0]], "sub": [key[1]], "tree": [pickle.dumps(tree)]})
 
-    trees = stored(dealt.select("cell", "sub", "vec_id", "v").groupBy("cell", "sub").applyInPandas(build, "cell long, sub int, tree binary"))
-    queries = assigned.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("q"), "v").dropDuplicates(["query_id", "q"])
+    trees = stored(
+        dealt.select("cell", "sub", "vec_id", "v").groupBy("cell", "sub").applyInPandas(build, "cell long, sub int, tree binary")
+    )
+    queries = assigned.where(F.col("vec_id") % every == 0).select(
+        F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("q"), "v"
+    ).dropDuplicates(["query_id", "q"])
 
     def first_tree(query_id: int, q: int, query: np.ndarray) -> tuple[int, int]:
         at, products, _ = cells.bounds(query)
@@ -380,7 +390,9 @@ def top_k(
     second = queries.join(kth, (F.col("query_id") == F.col("id2")) & (F.col("q") == F.col("q2")), "left")
     second = second.select("query_id", "q", "v", F.when(F.col("n") >= k, F.col("least")).alias("least"), F.lit(2).alias("round"))
     found = found.unionByName(_passing(trees, second.mapInArrow(route, routed), k))
-    order = Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), F.col("wide").desc_nulls_last(), F.col("vec_id").asc_nulls_last())
+    order = Window.partitionBy("query_id", "q").orderBy(
+        F.col("score").desc(), F.col("wide").desc_nulls_last(), F.col("vec_id").asc_nulls_last()
+    )
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

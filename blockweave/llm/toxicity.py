@@ -75,7 +75,11 @@ def swaps(text: str | None, groups=IDENTITY_GROUPS) -> list[str]:
 def changes(text: str | None, groups=IDENTITY_GROUPS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each swap of a text the features that it adds and those that it removes."""
     own = features(text)
-    return [(np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)) for other in map(features, swaps(text, groups))]
+    return [
+        (np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)) for other in map(
+            features, swaps(text, groups)
+        )
+    ]
 
 
 def gains(there, bad, n: float, n_bad: float):
@@ -155,7 +159,9 @@ def constant(toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return np.zeros(0, np.uint64), np.zeros(0), float(np.log(base / (1 - base)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, groups=IDENTITY_GROUPS, n_features: int = FEATURES, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(texts: list[str], toxic: np.ndarray, groups=IDENTITY_GROUPS, n_features: int = FEATURES, penalty: float = PENALTY) -> tuple[
+    np.ndarray, np.ndarray, float
+]:
     """Feature hashes, their weights, and the intercept, of texts at hand."""
     toxic = np.asarray(toxic, float)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -166,7 +172,9 @@ def fit(texts: list[str], toxic: np.ndarray, groups=IDENTITY_GROUPS, n_features:
     return kept, *Sample([places(r, kept) for r in rows], toxic, swapped, len(kept), penalty).fit(prior)
 
 
-def fit_rows(rows: DataFrame, groups=IDENTITY_GROUPS, n_features: int = FEATURES, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_rows(rows: DataFrame, groups=IDENTITY_GROUPS, n_features: int = FEATURES, penalty: float = PENALTY) -> tuple[
+    np.ndarray, np.ndarray, float
+]:
     """As ``fit``, of rows label_id, text, label: at most n_features counts and weights come to the driver."""
 
     def make(batches):
@@ -178,12 +186,18 @@ def fit_rows(rows: DataFrame, groups=IDENTITY_GROUPS, n_features: int = FEATURES
             yield pd.DataFrame(out, columns=["label_id", "label", "has", "adds", "drops"])
 
     id_type = rows.schema["label_id"].dataType.simpleString()
-    made = stored(rows.mapInPandas(make, f"label_id {id_type}, label int, has array<long>, adds array<array<long>>, drops array<array<long>>"))
+    made = stored(
+        rows.mapInPandas(make, f"label_id {id_type}, label int, has array<long>, adds array<array<long>>, drops array<array<long>>")
+    )
     n, n_bad = made.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < n_bad < n:
         return constant(np.repeat([1.0, 0.0], [n_bad, n - n_bad]))
-    counts = made.select("label", F.explode("has").alias("h")).groupBy("h").agg(F.count("*").cast("double").alias("there"), F.sum("label").cast("double").alias("bad"))
-    counts = counts.where(F.col("there") >= LEAST).withColumn("gain", gains(F.col("there"), F.col("bad"), float(n), float(n_bad))).where("gain > 0")
+    counts = made.select("label", F.explode("has").alias("h")).groupBy("h").agg(
+        F.count("*").cast("double").alias("there"), F.sum("label").cast("double").alias("bad")
+    )
+    counts = counts.where(F.col("there") >= LEAST).withColumn(
+        "gain", gains(F.col("there"), F.col("bad"), float(n), float(n_bad))
+    ).where("gain > 0")
     unsigned = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
     best = counts.orderBy(F.col("gain").desc(), unsigned).limit(n_features).toPandas()
     kept = best.h.to_numpy(np.int64).view(np.uint64)
@@ -194,7 +208,14 @@ def fit_rows(rows: DataFrame, groups=IDENTITY_GROUPS, n_features: int = FEATURES
     def place(batches):
         at = lambda x: places(np.asarray(x, np.int64).view(np.uint64), kept).tolist()
         for batch in batches:
-            yield pd.DataFrame({"label_id": batch.label_id, "label": batch.label, "has": [at(x) for x in batch.has], **{c: [[at(x) for x in xs] for xs in batch[c]] for c in ("adds", "drops")}})
+            yield pd.DataFrame(
+                {
+                    "label_id": batch.label_id,
+                    "label": batch.label,
+                    "has": [at(x) for x in batch.has],
+                    **{c: [[at(x) for x in xs] for xs in batch[c]] for c in ("adds", "drops")},
+                }
+            )
 
     placed = made.mapInPandas(place, f"label_id {id_type}, label int, has array<int>, adds array<array<int>>, drops array<array<int>>")
 
@@ -258,7 +279,9 @@ def toxicity(
         for batch in batches:
             yield pd.DataFrame({"id": batch.id.to_numpy(), "held_out": batch.held_out.to_numpy(), "score": [s(t) for t in batch.text]})
 
-    scored = docs.withColumn("held_out", F.coalesce(remainder("id") == 2, F.lit(False))).mapInPandas(score, f"id {id_type}, held_out boolean, score double")
+    scored = docs.withColumn("held_out", F.coalesce(remainder("id") == 2, F.lit(False))).mapInPandas(
+        score, f"id {id_type}, held_out boolean, score double"
+    )
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
 
 

@@ -64,7 +64,9 @@ def family(rng, n, edits):
 def test_jaccard(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng = np.random.default_rng(2)
-    texts = [t for _ in range(8) for t in family(rng, 5, 6)] + family(rng, 70, 8) + [" ".join(f"u{x}" for x in rng.integers(0, 99999, 60)) for _ in range(30)] + ["same text here"] * 20 + ["a b"] * 2
+    texts = [t for _ in range(8) for t in family(rng, 5, 6)] + family(rng, 70, 8) + [
+        " ".join(f"u{x}" for x in rng.integers(0, 99999, 60)) for _ in range(30)
+    ] + ["same text here"] * 20 + ["a b"] * 2
     rows = [(k, t, "en", "a") for k, t in enumerate(texts)] + [(None if i is None else 1000 + i, t, lang, s) for i, t, lang, s in EDGE]
     got = jaccard.near_duplicates(docs(spark, rows)).collect()
     want = brute_jaccard([(r[0], r[1]) for r in rows])
@@ -158,7 +160,15 @@ def test_suffixes(spark):
             a = int(rng.integers(0, 12)) if rng.random() < 0.4 else 0
             body += passages[p][a:] + word(int(rng.integers(0, 60)))
         rows.append((k, " ".join(body), "en", "a"))
-    rows += [(200, " ".join(["again"] * 300), "en", "a"), (201, " ".join(word(40) * 4), "en", "a"), (202, rows[3][1], "en", "a"), (202, rows[3][1], "en", "a"), (203, None, None, None), (204, "", "en", "a"), (205, LONG, "en", "b")]
+    rows += [
+        (200, " ".join(["again"] * 300), "en", "a"),
+        (201, " ".join(word(40) * 4), "en", "a"),
+        (202, rows[3][1], "en", "a"),
+        (202, rows[3][1], "en", "a"),
+        (203, None, None, None),
+        (204, "", "en", "a"),
+        (205, LONG, "en", "b"),
+    ]
     got = suffixes.repeated_passages(docs(spark, rows)).collect()
     want = brute_passages([(r[0], r[1]) for r in rows])
     assert len(got) == len(rows)
@@ -179,8 +189,15 @@ def test_suffixes(spark):
 def test_suffixes_of_texts_that_share_an_id(spark):
     """Two texts of one id hold one passage each, found elsewhere; both passages are found in both."""
     word = lambda k, n: " ".join(f"p{k}w{x}" for x in range(n))
-    rows = [(1, f"a b {word(1, 60)} c", "en", "a"), (1, f"{word(2, 70)} d", "en", "a"), (2, f"x {word(1, 60)}", "en", "a"), (3, f"y z {word(2, 70)}", "en", "a")]
-    got = sorted((r.doc_id, [tuple(s) for s in r.spans], r.n_drop, r.sources) for r in suffixes.repeated_passages(docs(spark, rows)).collect())
+    rows = [
+        (1, f"a b {word(1, 60)} c", "en", "a"),
+        (1, f"{word(2, 70)} d", "en", "a"),
+        (2, f"x {word(1, 60)}", "en", "a"),
+        (3, f"y z {word(2, 70)}", "en", "a"),
+    ]
+    got = sorted(
+        (r.doc_id, [tuple(s) for s in r.spans], r.n_drop, r.sources) for r in suffixes.repeated_passages(docs(spark, rows)).collect()
+    )
     assert got == [(1, [(0, 70)], 0, []), (1, [(2, 62)], 0, []), (2, [(1, 61)], 60, [1]), (3, [(2, 72)], 70, [1])]
     left = sorted(r.text for r in suffixes.without_repeats(docs(spark, rows)).collect())
     assert left == sorted([rows[0][1], rows[1][1], "x ", "y z "])
@@ -216,7 +233,9 @@ def brute_targets(sizes):
 def test_jaccard_texts_of_one_id(spark):
     """Three texts under one id: each is compared with the others' copies elsewhere, and all share a class."""
     text = lambda k, end: " ".join([*(f"t{k}w{i}" for i in range(40)), end])
-    rows = [(1, text(k, "end"), "en", "a") for k in (1, 2, 3)] + [(10 * k + j, text(k, f"end{j}"), "en", "a") for k in (1, 2, 3) for j in range(k)]
+    rows = [(1, text(k, "end"), "en", "a") for k in (1, 2, 3)] + [
+        (10 * k + j, text(k, f"end{j}"), "en", "a") for k in (1, 2, 3) for j in range(k)
+    ]
     got = jaccard.near_duplicates(docs(spark, rows)).collect()
     assert sorted((r.doc_id, r.n_links) for r in got) == [(1, 1), (1, 2), (1, 3), (10, 1), (20, 2), (21, 2), (30, 3), (31, 3), (32, 3)]
     assert {r.class_id for r in got} == {1} and {r.keeper for r in got} == {1} and {r.n_copies for r in got} == {1}
@@ -229,7 +248,16 @@ def test_mixing(spark):
     for k in range(900):
         s = rng.choice(["a", "b", "c", "d", "é", "z"], p=[0.6, 0.1, 0.1, 0.05, 0.05, 0.1])
         rows.append((k, " ".join(["w"] * int(rng.integers(1, 60))), "en", str(s)))
-    rows += [(None, "x y z", "en", "a"), (2000, "x y", "en", None), (2001, None, "en", "a"), (2002, "", "en", "a"), (2003, "p q r", "en", "tiny"), (2004, "p q r", "en", "b"), (2004, "p q r", "en", "b"), (2005, "", "en", "empty")]
+    rows += [
+        (None, "x y z", "en", "a"),
+        (2000, "x y", "en", None),
+        (2001, None, "en", "a"),
+        (2002, "", "en", "a"),
+        (2003, "p q r", "en", "tiny"),
+        (2004, "p q r", "en", "b"),
+        (2004, "p q r", "en", "b"),
+        (2005, "", "en", "empty"),
+    ]
     df = docs(spark, rows)
     got = mixing.mix(df, block=64).collect()
     assert len(got) == len(rows)
@@ -282,7 +310,9 @@ def test_chances_are_kept_in_a_small_source():
     """Twelve documents, one as long as all others: each is taken as often as it is to be, and totals are near."""
     size = np.array([900.0, 40, 55, 60, 75, 80, 90, 100, 105, 110, 120, 130])
     rate = np.array([0.5, 0.3, 0.3, 0.3, 0.7, 0.3, 0.6, 0.3, 0.3, 0.9, 0.3, 0.45])
-    drawn = np.array([mixing._landing(mixing._flight(rate, size, rng, mixing.LANDING), size, rng) for rng in map(np.random.default_rng, range(4000))])
+    drawn = np.array(
+        [mixing._landing(mixing._flight(rate, size, rng, mixing.LANDING), size, rng) for rng in map(np.random.default_rng, range(4000))]
+    )
     assert set(np.unique(drawn)) == {0.0, 1.0}
     assert np.abs(drawn.mean(axis=0) - rate).max() < 4 * 0.5 / np.sqrt(4000)
     miss = np.abs(drawn @ size - rate @ size)
@@ -314,7 +344,9 @@ def test_mixing_of_sources_that_are_no_strings(spark):
     rows = [(k, " ".join(["w"] * (k % 9 + 1)), k % 3 if k % 10 else None) for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source int")
     few = mixing.mix(df, block=32).collect()
-    assert len(few) == 300 and {r.source_size for r in few} == {sum(k % 9 + 1 for k in range(300) if (k % 3 if k % 10 else None) == s) for s in (0, 1, 2, None)}
+    assert len(few) == 300 and {r.source_size for r in few} == {
+        sum(k % 9 + 1 for k in range(300) if (k % 3 if k % 10 else None) == s) for s in (0, 1, 2, None)
+    }
 
 
 def test_mixing_of_more_sources_than_are_broadcast(spark, monkeypatch):
@@ -329,9 +361,15 @@ def test_pipeline(spark, tmp_path):
 
     rng = np.random.default_rng(10)
     rows = [(k, "\n".join(" ".join(f"w{x}" for x in rng.integers(0, 400, 20)) for _ in range(5)), "en", "abc"[k % 3]) for k in range(60)]
-    rows += [(100 + k, rows[k][1].replace("\n", " "), "en", "a") for k in range(5)] + [(200, None, None, None), (201, "short", "en", "a"), (202, " ".join(["again"] * 200), "en", "b"), (203, rows[0][1], "en", "a")]
-    spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(k, 1, 0) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows += [(100 + k, rows[k][1].replace("\n", " "), "en", "a") for k in range(5)] + [
+        (200, None, None, None), (201, "short", "en", "a"), (202, " ".join(["again"] * 200), "en", "b"), (203, rows[0][1], "en", "a")
+    ]
+    spark.createDataFrame(
+        [(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet")
+    )
     at = spark.read.parquet(str(tmp_path / "documents.parquet"))
     kept = []
     for _, stage in corpus_pipeline.STAGES:

@@ -33,7 +33,25 @@ def test_columns(spark, name):
     table = "pages" if "page_id" in df.columns else "documents"
     assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
     types = dict(df.dtypes)
-    want = {"held_out": "boolean", "score": "double", "predicted": "int", "lang_pred": "string", "n_tokens": "bigint", "n_chars": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"}
+    want = {
+        "held_out": "boolean",
+        "score": "double",
+        "predicted": "int",
+        "lang_pred": "string",
+        "n_tokens": "bigint",
+        "n_chars": "bigint",
+        "size": "bigint",
+        "source_size": "bigint",
+        "target": "double",
+        "taken": "bigint",
+        "n_words": "bigint",
+        "word_chars": "bigint",
+        "n_symbols": "bigint",
+        "n_dup_lines": "bigint",
+        "n_repeat_words": "bigint",
+        "base_failed": "boolean",
+        "kept": "boolean",
+    }
     assert all(types[k] == v for k, v in want.items() if k in types)
 
 

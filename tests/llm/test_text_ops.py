@@ -20,7 +20,17 @@ def docs(spark, rows):
 
 
 LONG = " ".join(f"w{i * 7919 % 5003}" for i in range(30000))
-EDGE = [(1, None, None, None), (2, "", "en", "a"), (None, "a line\nb line\nc line\nd line", "en", "a"), (3, LONG, "en", None), (3, LONG, "en", None), (4, "1234 !!", None, "b"), (5, "tie tie tie", "fr", "b"), (6, "tie tie tie", "fr", "b"), (7, " \t\n\x0b\x0c\r ", "en", "c")]
+EDGE = [
+    (1, None, None, None),
+    (2, "", "en", "a"),
+    (None, "a line\nb line\nc line\nd line", "en", "a"),
+    (3, LONG, "en", None),
+    (3, LONG, "en", None),
+    (4, "1234 !!", None, "b"),
+    (5, "tie tie tie", "fr", "b"),
+    (6, "tie tie tie", "fr", "b"),
+    (7, " \t\n\x0b\x0c\r ", "en", "c"),
+]
 
 
 # ---- hashes and grouping ----------------------------------------------------------
@@ -42,7 +52,12 @@ def test_word_hashes(text):
 def test_grouped_crosses_batches():
     import pandas as pd
 
-    frames = [pd.DataFrame({"a": [1, 1, 2], "v": [1, 2, 3]}), pd.DataFrame({"a": [], "v": []}), pd.DataFrame({"a": [2, 2], "v": [4, 5]}), pd.DataFrame({"a": [3], "v": [6]})]
+    frames = [
+        pd.DataFrame({"a": [1, 1, 2], "v": [1, 2, 3]}),
+        pd.DataFrame({"a": [], "v": []}),
+        pd.DataFrame({"a": [2, 2], "v": [4, 5]}),
+        pd.DataFrame({"a": [3], "v": [6]}),
+    ]
     assert [g.v.tolist() for g in grouped(iter(frames), ["a"])] == [[1, 2], [3, 4, 5], [6]]
 
 
@@ -131,7 +146,9 @@ def test_counterfactual_penalty_closes_the_gap():
     for penalty in (0.0, 4.0):
         s = toxicity.Scorer(*toxicity.fit(texts, toxic, penalty=penalty))
         gap[penalty] = abs(s("the muslim man word3 word5") - s("the christian man word3 word5"))
-        assert all(s(t) > 0.5 for t, y in zip(texts, toxic, strict=True) if y) and sum(s(t) < 0.3 for t, y in zip(texts, toxic, strict=True) if not y) > 190
+        assert all(s(t) > 0.5 for t, y in zip(texts, toxic, strict=True) if y) and sum(
+            s(t) < 0.3 for t, y in zip(texts, toxic, strict=True) if not y
+        ) > 190
     assert gap[4.0] < 0.3 * gap[0.0]
 
 
@@ -174,7 +191,9 @@ def test_swaps_without_chosen_features():
 
 def test_fit_of_rows_is_that_of_texts(spark):
     texts, toxic = labelled(120)
-    rows = spark.createDataFrame([(k, t, int(y)) for k, (t, y) in enumerate(zip(texts, toxic, strict=True))], "label_id long, text string, label int")
+    rows = spark.createDataFrame(
+        [(k, t, int(y)) for k, (t, y) in enumerate(zip(texts, toxic, strict=True))], "label_id long, text string, label int"
+    )
     for got, want in zip(toxicity.fit_rows(rows.repartition(5), n_features=60), toxicity.fit(texts, toxic, n_features=60), strict=True):
         assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
 
@@ -187,7 +206,10 @@ def test_swaps():
 def test_toxicity_edges(spark):
     texts, toxic = labelled(400, biased=False)
     rows = [(1000 + i, t, "en", "a") for i, t in enumerate(texts)]
-    labels = spark.createDataFrame([(1000 + i, 1, int(y), "clash") for i, y in enumerate(toxic)] + [(None, 1, 1, "clash"), (1000, 1, 1, "twice")], "doc_id long, quality int, toxic int, text string")
+    labels = spark.createDataFrame(
+        [(1000 + i, 1, int(y), "clash") for i, y in enumerate(toxic)] + [(None, 1, 1, "clash"), (1000, 1, 1, "twice")],
+        "doc_id long, quality int, toxic int, text string",
+    )
     got = toxicity.toxicity(docs(spark, rows + EDGE), labels).collect()
     assert len(got) == len(rows) + len(EDGE) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     import zlib
@@ -201,7 +223,12 @@ def test_toxicity_edges(spark):
 
 # ---- 3: language ------------------------------------------------------------------
 
-_SYLLABLES = {"en": "th er on an re he in ed nd ha".split(), "de": "ch sch ung ei ver ge der ich ent st".split(), "fr": "eau ou ent ai que oi les é on re".split(), "es": "ción ado ar os ll ue ra í que ez".split()}
+_SYLLABLES = {
+    "en": "th er on an re he in ed nd ha".split(),
+    "de": "ch sch ung ei ver ge der ich ent st".split(),
+    "fr": "eau ou ent ai que oi les é on re".split(),
+    "es": "ción ado ar os ll ue ra í que ez".split(),
+}
 
 
 def prose(lang, seed, n=60):
@@ -211,7 +238,14 @@ def prose(lang, seed, n=60):
 
 def test_language(spark):
     rows = [(k, prose(lang, k, 4 + k % 60), lang, "a") for k in range(240) for lang in [list(_SYLLABLES)[k % 4]]]
-    got = language.language_id(docs(spark, rows + [(None, "tie", "en", "a"), (900, None, None, None), (901, "", "en", "a"), (902, "12 !!", "en", "a"), (903, LONG, "en", "a")])).collect()
+    got = language.language_id(
+        docs(
+            spark,
+            rows + [
+                (None, "tie", "en", "a"), (900, None, None, None), (901, "", "en", "a"), (902, "12 !!", "en", "a"), (903, LONG, "en", "a")
+            ],
+        )
+    ).collect()
     assert len(got) == 245 and all(0 <= r.score <= 1 for r in got)
     truth = {r[0]: r[2] for r in rows}
     held = [r for r in got if r.held_out and r.doc_id < 240]
@@ -268,7 +302,17 @@ def test_sparse_svm_is_a_minimum():
 
 # ---- 5: BPE -----------------------------------------------------------------------
 
-ODD = ["", "  ", "I'm you'LL it's café ΣΑΣ ẞ İstanbul ½ 123 a\x1cb \x1d\x85 q　z é", "<|endoftext|>x<|startoftext|> <|endoftext <|EndOfText|>", "日本語 テキスト 🎉👨‍👩‍👧 aaaaaa aaaa", "Å ẛ̣ ﬁ don't'd 'S 'T", "a" * 3000, "ab" * 2000 + "!" * 500, " x y﻿z​"]
+ODD = [
+    "",
+    "  ",
+    "I'm you'LL it's café ΣΑΣ ẞ İstanbul ½ 123 a\x1cb \x1d\x85 q　z é",
+    "<|endoftext|>x<|startoftext|> <|endoftext <|EndOfText|>",
+    "日本語 テキスト 🎉👨‍👩‍👧 aaaaaa aaaa",
+    "Å ẛ̣ ﬁ don't'd 'S 'T",
+    "a" * 3000,
+    "ab" * 2000 + "!" * 500,
+    " x y﻿z​",
+]
 
 
 @pytest.fixture(scope="module")
@@ -333,15 +377,24 @@ def test_main_text():
     for empty in (None, "", "<p></p>", "<nav>a b c</nav>", "<script>x", "<!-- c"):
         assert html.extract(empty, w) == ""
     assert html.extract("only  plain\ntext", w) == "only plain text"
-    assert html.extract("<p>seen</p><script>var x = 1; a < b", w) == html.extract("<p>seen</p><!-- <p>no</p> and", w) == html.extract("<p>seen</p><!-- no", w) == "seen"
+    assert html.extract("<p>seen</p><script>var x = 1; a < b", w) == html.extract("<p>seen</p><!-- <p>no</p> and", w) == html.extract(
+        "<p>seen</p><!-- no", w
+    ) == "seen"
     assert html.extract("<p>one</p><p>two < three", w) == "one\ntwo < three"
-    for broken in ('<a b="' * 20000,"<p>a <", "<a href='x>y</a>", "</div></p><p>text here</p>", "<" * 2000, "<p" * 500, "<p>" * 3000 + "deep"):
+    for broken in (
+        '<a b="' * 20000,"<p>a <", "<a href='x>y</a>", "</div></p><p>text here</p>", "<" * 2000, "<p" * 500, "<p>" * 3000 + "deep"
+    ):
         html.extract(broken, w)
-    assert html.extract("<body><div><p>one two three four five</p><p>six</p></div><ul><li><a href=x>m</a></li></ul>", w) == "one two three four five\nsix"
+    assert html.extract(
+        "<body><div><p>one two three four five</p><p>six</p></div><ul><li><a href=x>m</a></li></ul>", w
+    ) == "one two three four five\nsix"
 
 
 def test_main_text_frame(spark):
-    df = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, None), (2, "v", "<p>" + "word " * 200000, "t")], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame(
+        [(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, None), (2, "v", "<p>" + "word " * 200000, "t")],
+        "page_id long, url string, html string, text string",
+    )
     got = html.main_text(df).collect()
     assert len(got) == 4 and {r.n_chars == len(r.text) for r in got} == {True}
     assert next(r for r in got if r.page_id == 2).n_chars == 5 * 200000 - 1
@@ -350,7 +403,9 @@ def test_main_text_frame(spark):
 
 
 def test_weights_come_from_the_labels():
-    pages = [[("<nav>a b</nav>", False), ("<p>one two three</p>", True)], [("<div class=x>x y z</div>", False), ("<p>four five</p>", True)]] * 3
+    pages = [
+        [("<nav>a b</nav>", False), ("<p>one two three</p>", True)], [("<div class=x>x y z</div>", False), ("<p>four five</p>", True)]
+    ] * 3
     w = html.learn(pages)
     none, out = html.Place(), html.Place(None, frozenset(["name:x"]), w.deeper(frozenset(["name:x"]), 0.0))
     assert w.inside(none) and not w.inside(out) and w.word(none, "p", False) > 0 > w.word(out, "div", False)
@@ -368,7 +423,18 @@ FRAME = (
 
 @pytest.mark.parametrize(
     "name",
-    ["page no-sidebar", "layout with-ads", "review", "post-review", "has-comments", "search-results-article", "story related", "widget-area content", "unheard of", "x1y2"],
+    [
+        "page no-sidebar",
+        "layout with-ads",
+        "review",
+        "post-review",
+        "has-comments",
+        "search-results-article",
+        "story related",
+        "widget-area content",
+        "unheard of",
+        "x1y2",
+    ],
 )
 def test_main_text_no_name_decides_by_itself(name):
     w = html.learn()
@@ -378,11 +444,18 @@ def test_main_text_no_name_decides_by_itself(name):
         assert html.extract(FRAME.format(f"{tag}{ARTICLE}</div>"), w) == want
 
 
-@pytest.mark.parametrize("name", ["sidebar", "ad", "cookie-notice", "comments", "site-footer", "navbar", "newsletter", "share", "advertisement", "comment-list"])
+@pytest.mark.parametrize(
+    "name", ["sidebar", "ad", "cookie-notice", "comments", "site-footer", "navbar", "newsletter", "share", "advertisement", "comment-list"]
+)
 def test_main_text_leaves_out(name):
     w = html.learn()
     junk = f'<div class="{name}"><p>junk text of a box with some words in it</p></div>'
-    for page in (f"{junk}<article>{ARTICLE}</article>", f"<article>{ARTICLE}</article>{junk}", f"<article>{ARTICLE}{junk}{ARTICLE}</article>", f"<div class=content>{ARTICLE}</div>{junk}"):
+    for page in (
+        f"{junk}<article>{ARTICLE}</article>",
+        f"<article>{ARTICLE}</article>{junk}",
+        f"<article>{ARTICLE}{junk}{ARTICLE}</article>",
+        f"<div class=content>{ARTICLE}</div>{junk}",
+    ):
         assert "junk" not in html.extract(FRAME.format(page), w) and "w2x39" in html.extract(FRAME.format(page), w)
 
 
@@ -455,7 +528,10 @@ def test_quality_rules(spark):
     good = [" ".join(np.random.default_rng(k).choice([f"w{j}" for j in range(300)], 2500)) for k in range(40)]
     bad = [" ".join(f"{w}###" for w in np.random.default_rng(k).choice([f"w{j}" for j in range(300)], 2500)) for k in range(10)]
     rows = [(k, t, "en", "a") for k, t in enumerate(good + bad)] + [(100 + k, t, lang, s) for k, (_, t, lang, s) in enumerate(EDGE)]
-    labels = spark.createDataFrame([(k, 1, 0, "x") for k in range(0, 40, 2)] + [(None, 1, 1, "x"), (0, 1, 0, "x"), (41, 0, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    labels = spark.createDataFrame(
+        [(k, 1, 0, "x") for k in range(0, 40, 2)] + [(None, 1, 1, "x"), (0, 1, 0, "x"), (41, 0, 0, "x")],
+        "doc_id long, quality int, toxic int, text string",
+    )
     got = {r.doc_id: r for r in quality.quality_rules(docs(spark, rows), labels).collect()}
     assert len(got) == len(rows)
     for i, t, *_ in rows:
@@ -520,7 +596,15 @@ def test_topk(spark, kind, monkeypatch):
     if kind == "copies":
         x = np.tile(rng.normal(size=(3, dim)), (n // 3 + 1, 1))[:n]
     rows = [(i * (20 if kind == "few" else 1), [float(np.float32(a)) for a in v]) for i, v in enumerate(x)]
-    rows += [(9001, None), (9002, [1.0, None] + [0.0] * (dim - 2)), (9003, [float("nan")] * dim), (9004, [float("inf")] * dim), (9005, []), (9006, [1.0] * (dim + 1)), (None, [0.5] * dim)]
+    rows += [
+        (9001, None),
+        (9002, [1.0, None] + [0.0] * (dim - 2)),
+        (9003, [float("nan")] * dim),
+        (9004, [float("inf")] * dim),
+        (9005, []),
+        (9006, [1.0] * (dim + 1)),
+        (None, [0.5] * dim),
+    ]
     df = spark.createDataFrame([(i, v, 1, 5) for i, v in rows], "vec_id long, embedding array<float>, label int, v int")
     got: dict = {}
     for r in sorted(topk.top_k(df, group=150, pivots=4).collect(), key=lambda r: (r.query_id, r["rank"])):
@@ -533,7 +617,15 @@ def test_topk_of_huge_components(spark):
     """Products beyond a long are ranked exactly and returned as the nearest long; those of other rows are as ever."""
     rng = np.random.default_rng(5)
     rows = [(k, [float(x) for x in rng.normal(size=3)]) for k in range(201)]
-    rows += [(300, [1e30, 1.0, 2.0]), (301, [1e30, 1.5, 2.0]), (302, [-1e30, 0.25, 1.0]), (303, [1e308, -1e308, 3.0]), (304, [2e9, 1.0, 1.0]), (305, [3e9, -1e5, 7.0]), (400, [1e308, 1.0, 0.0])]
+    rows += [
+        (300, [1e30, 1.0, 2.0]),
+        (301, [1e30, 1.5, 2.0]),
+        (302, [-1e30, 0.25, 1.0]),
+        (303, [1e308, -1e308, 3.0]),
+        (304, [2e9, 1.0, 1.0]),
+        (305, [3e9, -1e5, 7.0]),
+        (400, [1e308, 1.0, 0.0]),
+    ]
     whole = lambda v: [__import__("math").floor(__import__("fractions").Fraction(x) * 1024) for x in v]
     exact = [(i, whole(v)) for i, v in rows]
     want = {}
@@ -555,7 +647,9 @@ def test_topk_visits_few_trees(spark, monkeypatch):
     df = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     sent = []
     passing = topk._passing
-    monkeypatch.setattr(topk, "_passing", lambda trees, queries, k: (sent.append((trees.count(), queries.count())), passing(trees, queries, k))[1])
+    monkeypatch.setattr(
+        topk, "_passing", lambda trees, queries, k: (sent.append((trees.count(), queries.count())), passing(trees, queries, k))[1]
+    )
     assert topk.top_k(df, group=200, pivots=64).count() == 160
     (trees, first), (_, second) = sent
     assert first == 16 and second < 0.5 * 16 * (trees - 1), (trees, first, second)
