@@ -60,12 +60,18 @@ def main(args: list[str]) -> int:
     stem = F.regexp_replace(images.relative("path", source), r"\.[^./]*$", "")  # folders below the source are kept
     if args[0] == "encode":
         raw = images.read_images(spark, source).withColumn("image_id", F.xxhash64("path"))
-        coded = codec.encode(raw, codec.options(**rest)).join(raw.select("image_id", F.concat(stem, F.lit(".jpg")).alias("name")), "image_id")
+        coded = codec.encode(raw, codec.options(**rest)).join(
+            raw.select("image_id", F.concat(stem, F.lit(".jpg")).alias("name")), "image_id"
+        )
         bad = raw.where("error is not null").select("path", "error").collect()
-        coded.where("jpeg is not null").select(F.col("name").alias("path"), F.col("jpeg").alias("content")).write.format("imagefiles").mode("append").save(target)
+        coded.where("jpeg is not null").select(F.col("name").alias("path"), F.col("jpeg").alias("content")).write.format(
+            "imagefiles"
+        ).mode("append").save(target)
     elif args[0] == "decode":
         ext = rest.pop("format", "pnm")
-        files = spark.read.format("binaryFile").load(source).select(F.xxhash64("path").alias("image_id"), "path", F.col("content").alias("jpeg"))
+        files = spark.read.format("binaryFile").load(source).select(
+            F.xxhash64("path").alias("image_id"), "path", F.col("content").alias("jpeg")
+        )
         out = codec.decode(
             files,
             rest.get("color_space", "default"),

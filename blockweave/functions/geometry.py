@@ -22,7 +22,13 @@ def components(df: DataFrame) -> DataFrame:
         "mcu_h": F.when(F.col("interleaved"), F.col("v") * 8).otherwise(8).cast("int"),
     })
     out = out.withColumns({"mcu_x": up(F.col("comp_width"), F.col("mcu_w")), "mcu_y": up(F.col("comp_height"), F.col("mcu_h"))})
-    out = out.withColumns({"data_width": (F.col("mcu_x") * F.col("mcu_w")).cast("int"), "data_height": (F.col("mcu_y") * F.col("mcu_h")).cast("int"), "mcu_count": (F.col("mcu_x") * F.col("mcu_y")).cast("int")})
+    out = out.withColumns(
+        {
+            "data_width": (F.col("mcu_x") * F.col("mcu_w")).cast("int"),
+            "data_height": (F.col("mcu_y") * F.col("mcu_h")).cast("int"),
+            "mcu_count": (F.col("mcu_x") * F.col("mcu_y")).cast("int"),
+        }
+    )
     out = out.withColumn("segment_mcu_count", F.when(F.col("restart") == 0, F.col("mcu_count")).otherwise(F.col("restart")).cast("int"))
     return out.withColumn("segment_count", up(F.col("mcu_count"), F.col("segment_mcu_count")))
 
@@ -53,14 +59,20 @@ def subsampling_name(h0: Column, v0: Column, h1: Column, v1: Column) -> Column:
 
 def parse_subsampling(name: Column) -> Column:
     """struct<comps, h0, v0>: sampling of the first component (chroma is 1x1), null if not J:a:b[:alpha] with or without colons."""
-    parts = F.split(F.when(name.rlike(r"^4[0-9]{2,3}$"), F.regexp_replace(F.regexp_replace(name, r"(\d)", "$1:"), ":$", "")).otherwise(name), ":")
+    parts = F.split(
+        F.when(name.rlike(r"^4[0-9]{2,3}$"), F.regexp_replace(F.regexp_replace(name, r"(\d)", "$1:"), ":$", "")).otherwise(name), ":"
+    )
     n = F.size(parts)
     at = lambda i: F.get(parts, F.lit(i)).try_cast("int")
     j, a, b, alpha = at(0), at(1), at(2), F.when(n == 4, at(3)).otherwise(F.lit(0))
-    fits = n.isin(3, 4) & (j == 4) & alpha.isin(0, 4) & ((a == b) | (b == 0) | ((a == 4) & (b == 2) & (alpha == 0)) | ((a == 2) & (b == 1) & (alpha == 0)))
+    fits = n.isin(3, 4) & (j == 4) & alpha.isin(0, 4) & (
+        (a == b) | (b == 0) | ((a == 4) & (b == 2) & (alpha == 0)) | ((a == 2) & (b == 1) & (alpha == 0))
+    )
     comps = F.when((a == 0) & (b == 0) & (alpha == 0), 1).when(alpha == 4, 4).otherwise(3)
     odd = ((a == 4) & (b == 2)) | ((a == 2) & (b == 1))
-    h0 = F.when(comps == 1, 1).when(odd, F.when(a == 4, 1).otherwise(2)).otherwise(F.floor(F.lit(4) / F.when(a == 0, F.lit(4)).otherwise(a)))
+    h0 = F.when(comps == 1, 1).when(odd, F.when(a == 4, 1).otherwise(2)).otherwise(
+        F.floor(F.lit(4) / F.when(a == 0, F.lit(4)).otherwise(a))
+    )
     v0 = F.when(comps == 1, 1).when(odd, 2).when(a == b, 1).otherwise(2)
     return F.when(fits, F.struct(comps.cast("int").alias("comps"), h0.cast("int").alias("h0"), v0.cast("int").alias("v0")))
 

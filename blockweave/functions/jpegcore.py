@@ -88,7 +88,9 @@ def image_size(width: int, height: int, pixel_format: str, padding: int = 0) ->
     if bpp:
         return (width + padding) * height * bpp
     half_w, half_h = (width + 1) // 2, (height + 1) // 2
-    return width * height + 2 * {"444-u8-p0p1p2": width * height, "422-u8-p0p1p2": half_w * height, "420-u8-p0p1p2": half_w * half_h}[pixel_format]
+    return width * height + 2 * {"444-u8-p0p1p2": width * height, "422-u8-p0p1p2": half_w * height, "420-u8-p0p1p2": half_w * half_h}[
+        pixel_format
+    ]
 
 
 def unpack(data: bytes, width: int, height: int, pixel_format: str, padding: int = 0) -> np.ndarray:
@@ -446,7 +448,9 @@ def coding_order(comps: list[Component], interleaved: bool) -> list[tuple[np.nda
 def direct(color_space: str, pixel_format: str, sampling, comps: int, p: Params) -> bool:
     """Whether a buffer's planes are the components as they are: no colour, channel or sampling change."""
     planar, own, _, of_format = T.PIXEL_FORMATS[pixel_format]
-    return (planar or own == 1) and own == comps and not p.remap and (comps == 1 or color_space == p.color_space_internal) and tuple(map(tuple, sampling)) == of_format
+    return (planar or own == 1) and own == comps and not p.remap and (comps == 1 or color_space == p.color_space_internal) and tuple(
+        map(tuple, sampling)
+    ) == of_format
 
 
 def planes_in(data: bytes, width: int, height: int, pixel_format: str, comps: list[Component], flip: bool = False) -> list[np.ndarray]:
@@ -538,7 +542,14 @@ def band_pieces(comps: list[Component], k: int, band: int, coefs: list[np.ndarra
         else:
             order, fits = by * c.mcu_x + bx, by < c.mcu_y
         before += c.h * c.v
-        parts.append((order[fits], np.full(int(fits.sum()), c.index, np.uint8), own.reshape(-1, 64)[fits], c.segment_mcus * (each if interleaved else 1)))
+        parts.append(
+            (
+                order[fits],
+                np.full(int(fits.sum()), c.index, np.uint8),
+                own.reshape(-1, 64)[fits],
+                c.segment_mcus * (each if interleaved else 1),
+            )
+        )
     if interleaved:
         parts = [(*(np.concatenate(x) for x in list(zip(*parts, strict=True))[:3]), parts[0][3])]
     for scan, (order, comp, blocks, per) in enumerate(parts):
@@ -588,7 +599,16 @@ def spiff(width: int, height: int, n: int, color_space: str, orientation) -> byt
 
 
 #: Exif types: code and bytes of a value.
-EXIF_TYPES = {"BYTE": (1, 1), "ASCII": (2, 1), "SHORT": (3, 2), "LONG": (4, 4), "RATIONAL": (5, 8), "UNDEFINED": (7, 1), "SLONG": (9, 4), "SRATIONAL": (10, 8)}
+EXIF_TYPES = {
+    "BYTE": (1, 1),
+    "ASCII": (2, 1),
+    "SHORT": (3, 2),
+    "LONG": (4, 4),
+    "RATIONAL": (5, 8),
+    "UNDEFINED": (7, 1),
+    "SLONG": (9, 4),
+    "SRATIONAL": (10, 8),
+}
 
 
 def _exif_value(kind: str, value) -> tuple[int, bytes]:
@@ -604,10 +624,23 @@ def _exif_value(kind: str, value) -> tuple[int, bytes]:
 
 
 def exif(width: int, height: int, p: Params) -> bytes:
-    first = {0x11A: ("RATIONAL", [(72, 1)]), 0x11B: ("RATIONAL", [(72, 1)]), 0x128: ("SHORT", 2), 0x131: ("ASCII", "blockweave"), 0x213: ("SHORT", 1)}
+    first = {
+        0x11A: ("RATIONAL", [(72, 1)]),
+        0x11B: ("RATIONAL", [(72, 1)]),
+        0x128: ("SHORT", 2),
+        0x131: ("ASCII", "blockweave"),
+        0x213: ("SHORT", 1),
+    }
     if p.orientation:
         first[0x112] = ("SHORT", next(k for k, v in T.EXIF_ORIENTATION.items() if v == (p.orientation[0], bool(p.orientation[1]))))
-    second = {0x9000: ("UNDEFINED", "0230"), 0x9101: ("UNDEFINED", b"\1\2\3\0"), 0xA000: ("UNDEFINED", "0100"), 0xA001: ("SHORT", 1), 0xA002: ("SHORT", width), 0xA003: ("SHORT", height)}
+    second = {
+        0x9000: ("UNDEFINED", "0230"),
+        0x9101: ("UNDEFINED", b"\1\2\3\0"),
+        0xA000: ("UNDEFINED", "0100"),
+        0xA001: ("SHORT", 1),
+        0xA002: ("SHORT", width),
+        0xA003: ("SHORT", height),
+    }
     for tag, kv in p.exif_tags.items():
         (second if tag >= 0x9000 else first)[tag] = tuple(kv)
 
@@ -642,10 +675,25 @@ def header_kind(p: Params, n: int) -> str:
 def head(width: int, height: int, comps: list[Component], restart: int, p: Params) -> bytes:
     n, cs = len(comps), p.color_space_internal
     kind = header_kind(p, n)
-    out = [SOI, {"SPIFF": lambda: spiff(width, height, n, cs, p.orientation), "Adobe": lambda: APP14, "JFIF": lambda: APP0, "Exif": lambda: exif(width, height, p)}[kind]()]
+    out = [
+        SOI,
+        {
+            "SPIFF": lambda: spiff(width, height, n, cs, p.orientation),
+            "Adobe": lambda: APP14,
+            "JFIF": lambda: APP0,
+            "Exif": lambda: exif(width, height, p),
+        }[kind](),
+    ]
     kinds = list(dict.fromkeys(c.kind for c in comps))
     out += [marker(0xDB, bytes([k == "chroma"]) + bytes(np.array(T.quant(k, p.quality))[ZZ].tolist())) for k in kinds]
-    out.append(marker(0xC0, struct.pack(">BHHB", 8, height, width, n) + b"".join(bytes([component_id(c.index, cs), c.h << 4 | c.v, c.kind == "chroma"]) for c in comps)))
+    out.append(
+        marker(
+            0xC0,
+            struct.pack(">BHHB", 8, height, width, n) + b"".join(
+                bytes([component_id(c.index, cs), c.h << 4 | c.v, c.kind == "chroma"]) for c in comps
+            ),
+        )
+    )
     for k in kinds:
         for group, base in (("dc", 0), ("ac", 16)):
             bits, symbols = T.HUFFMAN[k, group]
@@ -659,7 +707,12 @@ def head(width: int, height: int, comps: list[Component], restart: int, p: Param
 
 def scan_head(scan: int, comps: list[Component], interleaved: bool, color_space: str) -> bytes:
     own = comps if interleaved else [comps[scan]]
-    return marker(0xDA, bytes([len(own)]) + b"".join(bytes([component_id(c.index, color_space), 0x11 if c.kind == "chroma" else 0]) for c in own) + b"\0\x3f\0")
+    return marker(
+        0xDA,
+        bytes([len(own)]) + b"".join(
+            bytes([component_id(c.index, color_space), 0x11 if c.kind == "chroma" else 0]) for c in own
+        ) + b"\0\x3f\0",
+    )
 
 
 def segment_index(scan: int, offsets: list[int]) -> bytes:
@@ -689,7 +742,15 @@ def assemble(width: int, height: int, comps: list[Component], restart: int, p: P
     return b"".join([*out, EOI])
 
 
-def encode(data: bytes, width: int, height: int, color_space: str = "rgb", pixel_format: str = "444-u8-p012", padding: int = 0, params: Params | None = None) -> bytes:
+def encode(
+    data: bytes,
+    width: int,
+    height: int,
+    color_space: str = "rgb",
+    pixel_format: str = "444-u8-p012",
+    padding: int = 0,
+    params: Params | None = None,
+) -> bytes:
     p = params or Params()
     comps, coefs, restart = quantise(data, width, height, color_space, pixel_format, padding, p)
     found = list(segments_of(comps, coefs, p.interleaved))
@@ -875,7 +936,9 @@ def read(data: bytes, stop_at_scan: bool = False, use_index: bool = True) -> Jpe
         elif code == 0xEE and payload[:5] == b"Adobe" and len(payload) >= 12:
             j.header, adobe = "Adobe", payload[11]
         elif code == 0xED and payload:
-            j.index.setdefault(payload[0], []).extend(struct.unpack(f">{(len(payload) - 1) // 4}I", payload[1 : 1 + (len(payload) - 1) // 4 * 4]))
+            j.index.setdefault(payload[0], []).extend(
+                struct.unpack(f">{(len(payload) - 1) // 4}I", payload[1 : 1 + (len(payload) - 1) // 4 * 4])
+            )
         elif code == 0xFE:
             text = payload.rstrip(b"\0").decode("latin-1")
             if text == "CS=ITU601":
@@ -955,7 +1018,9 @@ def decode_segments(j: Jpeg, wanted: list[tuple[int, int, bytes]]) -> list[tuple
         part = slice(seg * per * each, min(mcus, (seg + 1) * per) * each)
         cells.append((comp[part], by[part], bx[part]))
     if len(wanted) < LANES:
-        found = [unpack_segment(data, comp.tolist(), *tables[k], len(j.ids)) for (k, _, data), (comp, _, _) in zip(wanted, cells, strict=True)]
+        found = [
+            unpack_segment(data, comp.tolist(), *tables[k], len(j.ids)) for (k, _, data), (comp, _, _) in zip(wanted, cells, strict=True)
+        ]
     else:
         found = unpack_side_by_side([data for _, _, data in wanted], [c for c, _, _ in cells], [tables[k] for k, _, _ in wanted])
     return [(*cell, blocks) for cell, blocks in zip(cells, found, strict=True)]
@@ -980,7 +1045,14 @@ def native_format(n: int, sampling, interleaved: bool) -> str:
     gh, gv = int(np.gcd.reduce([s[0] for s in sampling])), int(np.gcd.reduce([s[1] for s in sampling]))
     s = [(h // gh, v // gv) for h, v in sampling]
     if s[1] == s[2] == (1, 1):
-        found = {(True, 1, 1): "444-u8-p012", (False, 1, 1): "444-u8-p0p1p2", (True, 2, 1): "422-u8-p1020", (False, 2, 1): "422-u8-p0p1p2", (True, 2, 2): "420-u8-p0p1p2", (False, 2, 2): "420-u8-p0p1p2"}.get((interleaved, *s[0]))
+        found = {
+            (True, 1, 1): "444-u8-p012",
+            (False, 1, 1): "444-u8-p0p1p2",
+            (True, 2, 1): "422-u8-p1020",
+            (False, 2, 1): "422-u8-p0p1p2",
+            (True, 2, 2): "420-u8-p0p1p2",
+            (False, 2, 2): "420-u8-p0p1p2",
+        }.get((interleaved, *s[0]))
         if found:
             return found
     return "444-u8-p012" if interleaved else "444-u8-p0p1p2"
@@ -1000,7 +1072,9 @@ def output_format(j: Jpeg, color_space: str, pixel_format: str) -> tuple[str, st
             pixel_format = native_format(n, j.sampling, j.interleaved)
         elif pixel_format == "std" and color_space != "rgb":
             s = [tuple(x) for x in j.sampling[:3]]
-            pixel_format = "420-u8-p0p1p2" if s == [(2, 2), (1, 1), (1, 1)] else "422-u8-p0p1p2" if s == [(2, 1), (1, 1), (1, 1)] else "444-u8-p0p1p2"
+            pixel_format = "420-u8-p0p1p2" if s == [(2, 2), (1, 1), (1, 1)] else "422-u8-p0p1p2" if s == [
+                (2, 1), (1, 1), (1, 1)
+            ] else "444-u8-p0p1p2"
         elif n == 3 or pixel_format == "no-alpha":
             pixel_format = "444-u8-p012"
         else:
@@ -1014,7 +1088,9 @@ def bare(data: bytes) -> bytes:
     return data[:at] + b"".join(marker(code, payload) for _, code, payload in markers(data) if code in (0xDA, 0xC4)) + EOI
 
 
-def pixels_of(j: Jpeg, coefs: list[np.ndarray], color_space: str, pixel_format: str, flip: bool = False, remap_to: str | None = None) -> np.ndarray:
+def pixels_of(
+    j: Jpeg, coefs: list[np.ndarray], color_space: str, pixel_format: str, flip: bool = False, remap_to: str | None = None
+) -> np.ndarray:
     """Rows of pixels, in the output's colour space and components, from each component's coefficients."""
     comps = geometry(j.width, j.height, j.sampling, j.restart, j.interleaved, j.color_space)
     mh, mv = max(c.h for c in comps), max(c.v for c in comps)
@@ -1061,7 +1137,9 @@ def band_blocks(j: Jpeg, band: int) -> list[int]:
     return [band * v for _, v in j.sampling]
 
 
-def band_pixels(j: Jpeg, k: int, band: int, at: np.ndarray, blocks: np.ndarray, color_space: str, pixel_format: str, remap_to: str | None) -> np.ndarray:
+def band_pixels(
+    j: Jpeg, k: int, band: int, at: np.ndarray, blocks: np.ndarray, color_space: str, pixel_format: str, remap_to: str | None
+) -> np.ndarray:
     """Pixels of band k, whose coefficients are blocks at (component, row, column); rows below the image come with them."""
     mv = max(v for _, v in j.sampling)
     part = dataclasses.replace(j, height=8 * mv * band, scans=[], index={})
@@ -1072,7 +1150,9 @@ def band_pixels(j: Jpeg, k: int, band: int, at: np.ndarray, blocks: np.ndarray,
     return pixels_of(part, coefs, color_space, pixel_format, remap_to=remap_to)
 
 
-def join_bands(j: Jpeg, bands: dict[int, bytes], band: int, color_space: str, pixel_format: str, alignment: int = 0, remap_to: str | None = None):
+def join_bands(
+    j: Jpeg, bands: dict[int, bytes], band: int, color_space: str, pixel_format: str, alignment: int = 0, remap_to: str | None = None
+):
     """(data, colour space, pixel format, padding) of the bands' pixels; a band of which all segments are lost has no coefficients."""
     height = 8 * max(v for _, v in j.sampling) * band
     n = T.PIXEL_FORMATS[output_format(j, color_space, pixel_format)[1]][1]

@@ -84,7 +84,14 @@ EXTENSIONS = {
 }
 
 # Names of colour spaces and header types, and of orientations by (rotation, flip).
-COLOR_SPACES = {"rgb": "rgb", "yuv": "yuv", "ycbcr": "ycbcr-bt709", "ycbcr-jpeg": "ycbcr-jpeg", "ycbcr-bt601": "ycbcr-bt601", "ycbcr-bt709": "ycbcr-bt709"}
+COLOR_SPACES = {
+    "rgb": "rgb",
+    "yuv": "yuv",
+    "ycbcr": "ycbcr-bt709",
+    "ycbcr-jpeg": "ycbcr-jpeg",
+    "ycbcr-bt601": "ycbcr-bt601",
+    "ycbcr-bt709": "ycbcr-bt709",
+}
 HEADERS = ("JFIF", "SPIFF", "Adobe", "Exif")
 ORIENTATIONS = {
     (0, False): "normal", (0, True): "mirror horizontal", (1, False): "rotated CW 90 deg", (1, True): "rotated CW 90 and mirrored horizontal",
@@ -123,7 +130,11 @@ def canonical(bits, symbols) -> dict[int, tuple[int, int]]:
 def basis() -> list[tuple[int, int, float]]:
     """(k, n, weight) of the 8x8 cosine transform; that of the constant is 0.125 exactly."""
     one = [[math.sqrt(1 / 8) if u == 0 else 0.5 * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)]
-    return [(8 * v + u, 8 * y + x, 0.125 if u == v == 0 else one[v][y] * one[u][x]) for v in range(8) for u in range(8) for y in range(8) for x in range(8)]
+    return [
+        (
+            8 * v + u, 8 * y + x, 0.125 if u == v == 0 else one[v][y] * one[u][x]
+        ) for v in range(8) for u in range(8) for y in range(8) for x in range(8)
+    ]
 
 
 def kind_of(comp: int, color_space: str) -> str:

@@ -35,7 +35,9 @@ def basis(spark: SparkSession) -> DataFrame:
 def dct(samples: DataFrame, keys: tuple[str, ...] = ("block",)) -> DataFrame:
     """keys, k, c: the cosine transform of the level-shifted samples (keys, n, v), as a broadcast join and a sum."""
     shifted = samples.select(*keys, "n", (F.col("v") - 128).alias("s"))
-    return shifted.join(F.broadcast(basis(samples.sparkSession)), "n").groupBy(*keys, "k").agg(F.round(F.sum(F.col("s") * F.col("w")), 6).alias("c"))
+    return shifted.join(F.broadcast(basis(samples.sparkSession)), "n").groupBy(*keys, "k").agg(
+        F.round(F.sum(F.col("s") * F.col("w")), 6).alias("c")
+    )
 
 
 def quantise(coefs: DataFrame, quality: int = 75, kind: str = "luma") -> DataFrame:

@@ -121,9 +121,20 @@ def segments_by_bands(images: DataFrame, params: Params | None = None, mode: str
     bands = images.mapInPandas(cut, cut_schema).repartition("image_id", "band")
     pieces = bands.mapInPandas(transform, piece_schema)
     parts = F.array_sort(F.collect_list(F.struct("at", "comp", "coefs"))).alias("parts")
-    segs = pieces.groupBy("image_id", "scan", "seg").agg(parts, F.max("each").alias("each"), F.max("kinds").alias("kinds"), F.max("error").alias("error"))
+    segs = pieces.groupBy("image_id", "scan", "seg").agg(
+        parts, F.max("each").alias("each"), F.max("kinds").alias("kinds"), F.max("error").alias("error")
+    )
     joined = lambda c: F.aggregate("parts", F.lit(b"").cast("binary"), lambda got, x: F.concat(got, x[c])).alias(c)
-    return segs.select("image_id", "scan", "seg", F.floor(F.aggregate("parts", F.lit(0), lambda n, x: n + F.length(x["comp"])) / F.col("each")).cast("int").alias("mcu_count"), joined("comp"), joined("coefs"), "kinds", "error")
+    return segs.select(
+        "image_id",
+        "scan",
+        "seg",
+        F.floor(F.aggregate("parts", F.lit(0), lambda n, x: n + F.length(x["comp"])) / F.col("each")).cast("int").alias("mcu_count"),
+        joined("comp"),
+        joined("coefs"),
+        "kinds",
+        "error",
+    )
 
 
 def pack(segs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
@@ -136,7 +147,9 @@ def pack(segs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
                 if error is None:
                     groups.setdefault(tuple(kinds), []).append(at)
             data, errors = [None] * len(batch), batch.error.tolist()
-            blocks = lambda at: (np.frombuffer(batch.comp.iloc[at], np.uint8).astype(int), np.frombuffer(batch.coefs.iloc[at], np.int16).reshape(-1, 64))  # noqa: B023, E731
+            blocks = lambda at: (  # noqa: B023, E731
+                np.frombuffer(batch.comp.iloc[at], np.uint8).astype(int), np.frombuffer(batch.coefs.iloc[at], np.int16).reshape(-1, 64)
+            )
             for kinds, rows in groups.items():
                 try:
                     packed = J.pack_all([blocks(at) for at in rows], list(kinds))
@@ -158,7 +171,9 @@ def pack(segs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
 def assemble(images: DataFrame, packed: DataFrame, params: Params | None = None) -> DataFrame:
     """Files of packed segments: one group an image, which is no more than its file."""
     p = params or Params()
-    parts = packed.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("scan", "seg", "data"))).alias("parts"), F.max("error").alias("error"))
+    parts = packed.groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.struct("scan", "seg", "data"))).alias("parts"), F.max("error").alias("error")
+    )
     sizes = images.select("image_id", "width", "height", "pixel_format")
 
     def run(batches):
@@ -169,11 +184,15 @@ def assemble(images: DataFrame, packed: DataFrame, params: Params | None = None)
                 if row.error is None:
                     n, sampling, restart = J.settle(row.width, row.height, row.pixel_format, p)
                     comps = J.geometry(row.width, row.height, sampling, restart, p.interleaved, p.color_space_internal)
-                    jpeg = J.assemble(row.width, row.height, comps, restart, p, [(s["scan"], s["seg"], bytes(s["data"])) for s in row.parts])
+                    jpeg = J.assemble(
+                        row.width, row.height, comps, restart, p, [(s["scan"], s["seg"], bytes(s["data"])) for s in row.parts]
+                    )
                 out.append((row.image_id, jpeg, row.error))
             yield pd.DataFrame(out, columns=["image_id", "jpeg", "error"])
 
-    return sizes.join(parts, "image_id").select("image_id", "width", "height", "pixel_format", "parts", "error").mapInPandas(run, "image_id long, jpeg binary, error string")
+    return sizes.join(parts, "image_id").select("image_id", "width", "height", "pixel_format", "parts", "error").mapInPandas(
+        run, "image_id long, jpeg binary, error string"
+    )
 
 
 _DECODED = ["image_id", "width", "height", "color_space", "pixel_format", "width_padding", "data", "error"]
@@ -204,7 +223,9 @@ def decode(
             out = []
             for i, data in zip(batch.image_id, batch.data, strict=True):
                 try:
-                    w, h, cs, pf, padding, raw = J.decode(bytes(data), color_space, pixel_format, alignment=alignment, flip=flip, remap_to=remap)
+                    w, h, cs, pf, padding, raw = J.decode(
+                        bytes(data), color_space, pixel_format, alignment=alignment, flip=flip, remap_to=remap
+                    )
                     out.append((i, w, h, cs, pf, padding, raw, None))
                 except Exception as e:  # noqa: BLE001
                     out.append((i, None, None, None, None, None, None, _failing(mode, e)))
@@ -241,10 +262,23 @@ def _decode_spread(files, color_space, pixel_format, column, mode, alignment, re
                             for k in np.unique(key):
                                 m = key == k
                                 at = np.stack([comp[m], by[m], bx[m]]).astype(np.int32)
-                                out.append((r.image_id, int(k % (1 << 20)), head, at.tobytes(), blocks[m].astype(np.int32).tobytes(), r.scan, r.seg, None))
+                                out.append(
+                                    (
+                                        r.image_id,
+                                        int(k % (1 << 20)),
+                                        head,
+                                        at.tobytes(),
+                                        blocks[m].astype(np.int32).tobytes(),
+                                        r.scan,
+                                        r.seg,
+                                        None,
+                                    )
+                                )
                     except Exception as e:  # noqa: BLE001
                         out.append((r.image_id, -1, head, None, None, r.scan, r.seg, _failing(mode, e)))
-            yield pd.DataFrame(out, columns=["image_id", "band", "head", "at", "blocks", "scan", "seg", "error"]).astype({"scan": "Int32", "seg": "Int32"})
+            yield pd.DataFrame(out, columns=["image_id", "band", "head", "at", "blocks", "scan", "seg", "error"]).astype(
+                {"scan": "Int32", "seg": "Int32"}
+            )
 
     def pixels(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["scan", "seg"])
@@ -271,12 +305,16 @@ def _decode_spread(files, color_space, pixel_format, column, mode, alignment, re
                 out.append((r.image_id, j.width, j.height, cs, pf, padding, raw, None))
             yield pd.DataFrame(out, columns=_DECODED).astype(_INTS)
 
-    parts = files.select("image_id", F.col(column).alias("data")).mapInPandas(split, "image_id long, scan int, seg int, data binary, head binary, error string")
+    parts = files.select("image_id", F.col(column).alias("data")).mapInPandas(
+        split, "image_id long, scan int, seg int, data binary, head binary, error string"
+    )
     found = parts.repartition("image_id", "scan", "seg").mapInPandas(
         blocks, "image_id long, band int, head binary, at binary, blocks binary, scan int, seg int, error string"
     )
     bands = found.groupBy("image_id", "band").applyInPandas(pixels, "image_id long, band int, head binary, rows binary, error string")
-    whole = bands.groupBy("image_id").agg(F.first("head", ignorenulls=True).alias("head"), F.collect_list(F.struct("band", "rows", "error")).alias("bands"))
+    whole = bands.groupBy("image_id").agg(
+        F.first("head", ignorenulls=True).alias("head"), F.collect_list(F.struct("band", "rows", "error")).alias("bands")
+    )
     return whole.mapInPandas(join, f"{IMAGES}, error string")
 
 
@@ -343,11 +381,15 @@ def coefficients(files: DataFrame, column: str = "jpeg", spread: bool = True) ->
             out = []
             for head, part in batch.groupby("head", sort=False):
                 wanted = [(row.scan, row.seg, bytes(row.data)) for row in part.itertuples()]
-                for i, (scan, seg, _), (comp, by, bx, blocks) in zip(part.image_id, wanted, J.decode_segments(J.read(bytes(head)), wanted), strict=True):
+                for i, (scan, seg, _), (comp, by, bx, blocks) in zip(
+                    part.image_id, wanted, J.decode_segments(J.read(bytes(head)), wanted), strict=True
+                ):
                     out += [(i, scan, seg, int(c), int(y), int(x), b) for c, y, x, b in zip(comp, by, bx, blocks, strict=True)]
             yield pd.DataFrame(out, columns=["image_id", "scan", "seg", "comp", "by", "bx", "coefs"])
 
-    parts = files.select("image_id", F.col(column).alias("data")).mapInPandas(split, "image_id long, scan int, seg int, data binary, head binary")
+    parts = files.select("image_id", F.col(column).alias("data")).mapInPandas(
+        split, "image_id long, scan int, seg int, data binary, head binary"
+    )
     parts = parts.repartition("image_id", "scan", "seg") if spread else parts
     return parts.mapInPandas(run, "image_id long, scan int, seg int, comp int, by int, bx int, coefs array<int>")
 
@@ -361,11 +403,45 @@ def jpeg_info(files: DataFrame, column: str = "jpeg", count_segments: bool = Tru
             for data in batch.data:
                 try:
                     j = J.read(bytes(data), stop_at_scan=not count_segments)
-                    out.append((j.width, j.height, len(j.ids), [{"h": h, "v": v} for h, v in j.sampling], j.color_space, j.interleaved, j.restart, j.segment_count if count_segments else None, j.header, j.comment, {"rotation": j.orientation[0], "flip": j.orientation[1]} if j.orientation else None, j.warning, None))
+                    out.append(
+                        (
+                            j.width,
+                            j.height,
+                            len(j.ids),
+                            [{"h": h, "v": v} for h, v in j.sampling],
+                            j.color_space,
+                            j.interleaved,
+                            j.restart,
+                            j.segment_count if count_segments else None,
+                            j.header,
+                            j.comment,
+                            {"rotation": j.orientation[0], "flip": j.orientation[1]} if j.orientation else None,
+                            j.warning,
+                            None,
+                        )
+                    )
                 except Exception as e:  # noqa: BLE001
                     out.append((None,) * 12 + (_failing("PERMISSIVE", e),))
-            names = [f.split(" ")[0] for f in ("width", "height", "comp_count", "sampling", "color_space", "interleaved", "restart_interval", "segment_count", "header_type", "comment", "orientation", "warning", "error")]
-            frame = pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("width", "height", "comp_count", "restart_interval", "segment_count")}).astype({"interleaved": "boolean"})
+            names = [
+                f.split(" ")[0] for f in (
+                    "width",
+                    "height",
+                    "comp_count",
+                    "sampling",
+                    "color_space",
+                    "interleaved",
+                    "restart_interval",
+                    "segment_count",
+                    "header_type",
+                    "comment",
+                    "orientation",
+                    "warning",
+                    "error",
+                )
+            ]
+            frame = pd.DataFrame(out, columns=names).astype(
+                {c: "Int32" for c in ("width", "height", "comp_count", "restart_interval", "segment_count")}
+            ).astype({"interleaved": "boolean"})
             for k in reversed(keys):
                 frame.insert(0, k, batch[k].to_numpy())
             yield frame
@@ -382,7 +458,9 @@ def jpeg_markers(files: DataFrame, column: str = "jpeg") -> DataFrame:
             out = [(i, k, at, code, len(payload)) for i, data in zip(batch.image_id, batch.data, strict=True) for k, (at, code, payload) in enumerate(J.markers(bytes(data)))]
             yield pd.DataFrame(out, columns=["image_id", "ord", "byte_offset", "marker", "length"])
 
-    return files.select("image_id", F.col(column).alias("data")).mapInPandas(run, "image_id long, ord int, byte_offset long, marker int, length int")
+    return files.select("image_id", F.col(column).alias("data")).mapInPandas(
+        run, "image_id long, ord int, byte_offset long, marker int, length int"
+    )
 
 
 def exif_tags(files: DataFrame, column: str = "jpeg") -> DataFrame:
@@ -409,7 +487,11 @@ def reindex(files: DataFrame, column: str = "jpeg") -> DataFrame:
 def options(params: Params | None = None, **changes) -> Params:
     """Parameters with changes by name; text values are read as their option strings."""
     read = {
-        "quality": int, "restart_interval": lambda v: None if v == "auto" else int(v), "interleaved": lambda v: str(v).lower() in ("1", "true", "yes"),
-        "segment_info": lambda v: str(v).lower() in ("1", "true", "yes"), "comp_count": int, "flip": lambda v: str(v).lower() in ("1", "true", "yes"),
+        "quality": int, "restart_interval": lambda v: None if v == "auto" else int(v), "interleaved": lambda v: str(v).lower() in (
+            "1", "true", "yes"
+        ),
+        "segment_info": lambda v: str(v).lower() in ("1", "true", "yes"), "comp_count": int, "flip": lambda v: str(v).lower() in (
+            "1", "true", "yes"
+        ),
     }
     return dataclasses.replace(params or Params(), **{k: read[k](v) if k in read and isinstance(v, str) else v for k, v in changes.items()})

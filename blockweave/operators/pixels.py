@@ -65,14 +65,20 @@ def upsample(plane: DataFrame, grid: DataFrame, h: int, v: int, keys: tuple[str,
 
 def upsample_by_copy(plane: DataFrame, h: int, v: int, width: int, height: int) -> DataFrame:
     """The same without a join: each sample is repeated over its cell, and what lies outside the image goes."""
-    out = plane.withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(v - 1))))
-    out = out.withColumns({"x": (F.col("x") * h + F.col("dx")).cast("int"), "y": (F.col("y") * v + F.col("dy")).cast("int")}).drop("dx", "dy")
+    out = plane.withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn(
+        "dy", F.explode(F.sequence(F.lit(0), F.lit(v - 1)))
+    )
+    out = out.withColumns(
+        {"x": (F.col("x") * h + F.col("dx")).cast("int"), "y": (F.col("y") * v + F.col("dy")).cast("int")}
+    ).drop("dx", "dy")
     return within(out, width, height)
 
 
 def tile(planes: DataFrame, data_width: int) -> DataFrame:
     """block (row-major number) and n (position 0..63 within it)."""
-    return planes.withColumns({"block": idiv("y", 8) * F.lit(data_width // 8) + idiv("x", 8), "n": (F.col("y") % 8 * 8 + F.col("x") % 8).cast("int")})
+    return planes.withColumns(
+        {"block": idiv("y", 8) * F.lit(data_width // 8) + idiv("x", 8), "n": (F.col("y") % 8 * 8 + F.col("x") % 8).cast("int")}
+    )
 
 
 def pad(plane: DataFrame, data_width: int, data_height: int, split: int = 8) -> DataFrame:
@@ -80,7 +86,9 @@ def pad(plane: DataFrame, data_width: int, data_height: int, split: int = 8) ->
     spark = plane.sparkSession
     size = plane.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
     width, height = size.w or 0, size.h or 0
-    grid = spark.range(0, data_width * data_height, 1, split).select((F.col("id") % data_width).cast("int").alias("x"), idiv("id", data_width).alias("y"))
+    grid = spark.range(0, data_width * data_height, 1, split).select(
+        (F.col("id") % data_width).cast("int").alias("x"), idiv("id", data_width).alias("y")
+    )
     margin = grid.where((F.col("x") >= width) | (F.col("y") >= height)).withColumn("v", F.lit(0))
     return plane.select("x", "y", "v").unionByName(margin)
 
@@ -120,7 +128,9 @@ def raw_size(width: Column, height: Column, pixel_format: Column, padding: Colum
     half_w, half_h = F.floor((w + 1) / 2), F.floor((h + 1) / 2)
     size = F.lit(None).cast("long")
     for name, (_, _, bpp, _) in T.PIXEL_FORMATS.items():
-        own = (w + padding) * h * bpp if bpp else w * h + 2 * {"444-u8-p0p1p2": w * h, "422-u8-p0p1p2": half_w * h, "420-u8-p0p1p2": half_w * half_h}[name]
+        own = (w + padding) * h * bpp if bpp else w * h + 2 * {
+            "444-u8-p0p1p2": w * h, "422-u8-p0p1p2": half_w * h, "420-u8-p0p1p2": half_w * half_h
+        }[name]
         size = F.when(pixel_format == name, own).otherwise(size)
     return size.cast("long")
 
@@ -136,4 +146,6 @@ def value_range(planes: DataFrame, keys: tuple[str, ...] = ("comp",)) -> DataFra
 def psnr(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Peak signal-to-noise ratio in dB; null for equal inputs (infinite)."""
     mse = F.avg(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b))).cast("double"))
-    return pairs.groupBy(*keys).agg(mse.alias("mse")).select(*keys, F.when(F.col("mse") > 0, F.round(10 * F.log10(F.lit(65025.0) / F.col("mse")), 6)).alias("psnr"))
+    return pairs.groupBy(*keys).agg(mse.alias("mse")).select(
+        *keys, F.when(F.col("mse") > 0, F.round(10 * F.log10(F.lit(65025.0) / F.col("mse")), 6)).alias("psnr")
+    )

@@ -49,7 +49,9 @@ def end_of_block(coefs: DataFrame, block: tuple[str, ...]) -> DataFrame:
 
 def zrl(runs: DataFrame) -> DataFrame:
     """A row (symbol 240) for each 16 zeros that a coefficient follows."""
-    return runs.where(F.col("run") >= 16).withColumn("i", F.explode(F.sequence(F.lit(1), F.floor(F.col("run") / 16).cast("int")))).withColumn("symbol", F.lit(0xF0))
+    return runs.where(F.col("run") >= 16).withColumn(
+        "i", F.explode(F.sequence(F.lit(1), F.floor(F.col("run") / 16).cast("int")))
+    ).withColumn("symbol", F.lit(0xF0))
 
 
 def ac_symbols(runs: DataFrame) -> DataFrame:
@@ -76,7 +78,9 @@ def all_symbols(coefs: DataFrame, block: tuple[str, ...], kind: str = "luma", di
     head = dc.select(*block, F.lit(0).alias("pos"), F.lit(0).alias("ord"), cat.alias("symbol"), cat.alias("vbits"))
     zeros = zrl(runs).select(*block, F.col("zz").alias("pos"), F.lit(0).alias("ord"), "symbol", F.lit(0).alias("vbits"))
     values = runs.select(*block, F.col("zz").alias("pos"), F.lit(1).alias("ord"), "symbol", F.col("cat").alias("vbits"))
-    ends = end_of_block(coefs, block).where("eob").select(*block, F.lit(64).alias("pos"), F.lit(0).alias("ord"), F.lit(0).alias("symbol"), F.lit(0).alias("vbits"))
+    ends = end_of_block(coefs, block).where("eob").select(
+        *block, F.lit(64).alias("pos"), F.lit(0).alias("ord"), F.lit(0).alias("symbol"), F.lit(0).alias("vbits")
+    )
     ac = zeros.unionByName(values).unionByName(ends)
     return coded(head, kind, "dc").unionByName(coded(ac, kind, "ac")).select(*block, "pos", "ord", "symbol", "nbits", "vbits")
 
@@ -94,4 +98,6 @@ def offsets(sizes: DataFrame, scan: tuple[str, ...], order: str, size: str) -> D
 def restart_markers(segments: DataFrame, scan: tuple[str, ...], order: str = "seg") -> DataFrame:
     """rst: the marker after a segment, as hexadecimal digits; none after the last of a scan."""
     w = Window.partitionBy(*scan).orderBy(order)
-    return segments.withColumn("rst", F.when(F.lead(order).over(w).isNull(), F.lit("")).otherwise(F.concat(F.lit("FF"), F.hex(F.col(order) % 8 + 0xD0))))
+    return segments.withColumn(
+        "rst", F.when(F.lead(order).over(w).isNull(), F.lit("")).otherwise(F.concat(F.lit("FF"), F.hex(F.col(order) % 8 + 0xD0)))
+    )

@@ -56,25 +56,38 @@ _EXTS = [*T.EXTENSIONS, "JPG", "Pnm", "txt", "XXX"]
 )
 def _(spark, d):
     exts = F.array(*map(F.lit, _EXTS))
-    named = X.read(spark, d, "documents").select("doc_id", F.concat(F.lit("dir.v1/img_"), F.col("doc_id"), F.lit("."), F.get(exts, (F.col("doc_id") % len(_EXTS)).cast("int"))).alias("path"))
+    named = X.read(spark, d, "documents").select(
+        "doc_id",
+        F.concat(F.lit("dir.v1/img_"), F.col("doc_id"), F.lit("."), F.get(exts, (F.col("doc_id") % len(_EXTS)).cast("int"))).alias("path"),
+    )
     return images.with_format(named).select("doc_id", "path", "format")
 
 
 def _samples_of(spark, name: str, width: int) -> DataFrame:
     """x, y, v: the first component of a test image."""
     step = (F.length("data") / F.col("width") / F.col("height")).cast("int")
-    raw = images.test_images(spark, [name]).select(F.hex("data").alias("h"), step.alias("n"), (F.col("width") * F.col("height") - 1).alias("last"))
+    raw = images.test_images(spark, [name]).select(
+        F.hex("data").alias("h"), step.alias("n"), (F.col("width") * F.col("height") - 1).alias("last")
+    )
     at = lambda i: F.substring(F.col("h"), i * F.col("n") * 2 + 1, F.lit(2))
     cell = raw.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.col("last")), at)).alias("i", "v"))
-    return cell.select(_int(F.col("i") % width).alias("x"), _int(F.floor(F.col("i") / width)).alias("y"), F.conv("v", 16, 10).cast("int").alias("v"))
+    return cell.select(
+        _int(F.col("i") % width).alias("x"), _int(F.floor(F.col("i") / width)).alias("y"), F.conv("v", 16, 10).cast("int").alias("v")
+    )
 
 
-@query("a9a_gradient", "SELECT CAST(i % 64 AS INTEGER) AS x, CAST(i // 64 AS INTEGER) AS y, CAST((i // 64) * 255 // 48 AS INTEGER) AS v FROM range(0, 64 * 48) AS r(i)")
+@query(
+    "a9a_gradient",
+    "SELECT CAST(i % 64 AS INTEGER) AS x, CAST(i // 64 AS INTEGER) AS y, CAST((i // 64) * 255 // 48 AS INTEGER) AS v FROM range(0, 64 * 48) AS r(i)",
+)
 def _(spark, d):
     return _samples_of(spark, "64x48.tst", 64)
 
 
-@query("a9b_blank", "SELECT CAST(i % 32 AS INTEGER) AS x, CAST(i // 32 AS INTEGER) AS y, CAST(77 AS INTEGER) AS v FROM range(0, 32 * 16) AS r(i)")
+@query(
+    "a9b_blank",
+    "SELECT CAST(i % 32 AS INTEGER) AS x, CAST(i // 32 AS INTEGER) AS y, CAST(77 AS INTEGER) AS v FROM range(0, 32 * 16) AS r(i)",
+)
 def _(spark, d):
     return _samples_of(spark, "32x16.p_u8.blank=77.tst", 32)
 
@@ -92,35 +105,79 @@ def _(spark, d):
 )
 def _(spark, d):
     raw = images.test_images(spark, ["32x24.p_u8.random.tst"]).select(F.hex("data").alias("h"))
-    return raw.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.conv(F.substring(F.col("h"), i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).alias("i", "v"))
+    return raw.select(
+        F.posexplode(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(767)), lambda i: F.conv(F.substring(F.col("h"), i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            )
+        ).alias("i", "v")
+    )
 
 
-@query("a9_test_names", f"SELECT * FROM {X.values([('7x5.tst', 7, 5, 'rgb', '444-u8-p012', 105), ('8x4.c_ycbcr-jpeg.p_420-u8-p0p1p2.blank=9.tst', 8, 4, 'ycbcr-jpeg', '420-u8-p0p1p2', 48), ('5x5.p_u8.random=3.tst', 5, 5, 'rgb', 'u8', 25)], 'path, width, height, color_space, pixel_format, bytes')}")
+@query(
+    "a9_test_names",
+    f"SELECT * FROM {
+        X.values(
+            [
+                ('7x5.tst', 7, 5, 'rgb', '444-u8-p012', 105),
+                ('8x4.c_ycbcr-jpeg.p_420-u8-p0p1p2.blank=9.tst', 8, 4, 'ycbcr-jpeg', '420-u8-p0p1p2', 48),
+                ('5x5.p_u8.random=3.tst', 5, 5, 'rgb', 'u8', 25),
+            ],
+            'path, width, height, color_space, pixel_format, bytes',
+        )
+    }",
+)
 def _(spark, d):
     out = images.test_images(spark, ["7x5.tst", "8x4.c_ycbcr-jpeg.p_420-u8-p0p1p2.blank=9.tst", "5x5.p_u8.random=3.tst"])
     return out.select("path", "width", "height", "color_space", "pixel_format", F.length("data").alias("bytes"))
 
 
-_RAWS = [("a.rgb", "rgb", "444-u8-p012"), ("a.rgba", "rgb", "4444-u8-p0123"), ("a.yuv", "ycbcr-bt709", "444-u8-p012"), ("a.uyvy", "ycbcr-bt709", "422-u8-p1020"), ("a.i420", "ycbcr-bt709", "420-u8-p0p1p2"), ("a.r", "ycbcr-jpeg", "u8")]
+_RAWS = [
+    ("a.rgb", "rgb", "444-u8-p012"),
+    ("a.rgba", "rgb", "4444-u8-p0123"),
+    ("a.yuv", "ycbcr-bt709", "444-u8-p012"),
+    ("a.uyvy", "ycbcr-bt709", "422-u8-p1020"),
+    ("a.i420", "ycbcr-bt709", "420-u8-p0p1p2"),
+    ("a.r", "ycbcr-jpeg", "u8"),
+]
 
 
-@query("a1_a3_headerless", f"SELECT path, color_space, pixel_format, CAST(bytes AS INTEGER) AS bytes FROM {X.values([(*r, J.image_size(8, 6, r[2])) for r in _RAWS], 'path, color_space, pixel_format, bytes')}")
+@query(
+    "a1_a3_headerless",
+    f"SELECT path, color_space, pixel_format, CAST(bytes AS INTEGER) AS bytes FROM {
+        X.values([(*r, J.image_size(8, 6, r[2])) for r in _RAWS], 'path, color_space, pixel_format, bytes')
+    }",
+)
 def _(spark, d):
     files = spark.createDataFrame([(n, bytes(8 * 6 * 4 + 9)) for n, _, _ in _RAWS], "path string, content binary")
     return images.parse(files, width=8, height=6).select("path", "color_space", "pixel_format", F.length("data").alias("bytes"))
 
 
-_XXX = [("rgb", "444-u8-p012", "pnm"), ("rgb", "4444-u8-p0123", "pam"), ("ycbcr-jpeg", "444-u8-p0p1p2", "y4m"), ("ycbcr-bt709", "420-u8-p0p1p2", "y4m"), ("ycbcr-jpeg", "u8", "pnm")]
+_XXX = [
+    ("rgb", "444-u8-p012", "pnm"),
+    ("rgb", "4444-u8-p0123", "pam"),
+    ("ycbcr-jpeg", "444-u8-p0p1p2", "y4m"),
+    ("ycbcr-bt709", "420-u8-p0p1p2", "y4m"),
+    ("ycbcr-jpeg", "u8", "pnm"),
+]
 
 
 @query("c1_format_choice", f"SELECT color_space, pixel_format, ext FROM {X.values(_XXX, 'color_space, pixel_format, ext')}")
 def _(spark, d):
     from blockweave.sources import formats
 
-    return spark.createDataFrame([(cs, pf, formats.save("a.XXX", 8, 8, cs, pf, bytes(256))[0][2:]) for cs, pf, _ in _XXX], "color_space string, pixel_format string, ext string")
+    return spark.createDataFrame(
+        [(cs, pf, formats.save("a.XXX", 8, 8, cs, pf, bytes(256))[0][2:]) for cs, pf, _ in _XXX],
+        "color_space string, pixel_format string, ext string",
+    )
 
 
-@query("c1_written_files", f"SELECT i AS image_id, 'sub' || i || '/' || 'image.' || t.ext AS file, true AS same FROM (SELECT DISTINCT event_id // 5000 AS i FROM events) CROSS JOIN {X.values([('pnm',), ('png',)], 'ext')}")
+@query(
+    "c1_written_files",
+    f"SELECT i AS image_id, 'sub' || i || '/' || 'image.' || t.ext AS file, true AS same FROM (SELECT DISTINCT event_id // 5000 AS i FROM events) CROSS JOIN {
+        X.values([('pnm',), ('png',)], 'ext')
+    }",
+)
 def _(spark, d):
     """The images written under one base name, each in a folder of its own, in two formats, and read again from the files."""
     base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/written-{uuid.uuid4().hex}"
@@ -130,7 +187,9 @@ def _(spark, d):
         folder = F.concat(F.lit("sub"), F.col("image_id").cast("string"))
         named = raw.withColumn("path", F.concat(F.lit("/in/"), folder, F.lit("/image."), F.lit("XXX" if ext == "pnm" else ext)))
         files = images.write_images(named, f"{base}/{ext}", base="/in").select(F.col("path").alias("name"), "file")
-        back = images.read_images(spark, f"{base}/{ext}").select(images.relative("path", f"{base}/{ext}").alias("file2"), F.col("data").alias("other"))
+        back = images.read_images(spark, f"{base}/{ext}").select(
+            images.relative("path", f"{base}/{ext}").alias("file2"), F.col("data").alias("other")
+        )
         both = named.join(files, F.col("path") == F.col("name")).join(back, F.col("file") == F.col("file2"))
         one = both.select("image_id", "file", (F.col("data") == F.col("other")).alias("same"))
         out = one if out is None else out.unionByName(one)
@@ -153,18 +212,38 @@ def _round_trip_files(spark: SparkSession, d: str, exts) -> DataFrame:
                     if ext == "y4m":
                         cs, pf = "ycbcr-jpeg", "444-u8-p0p1p2"
                         body = J.pack(J.convert(J.unpack(raw, r.width, r.height, r.pixel_format), "rgb", cs), pf)
-                    name, file = formats.save(f"{r.image_id}.{ext}", r.width, r.height, cs, pf, body, **({"rle": True} if ext == "tga" else {}))
-                    out.append((r.image_id, name, len(file), formats.load(name, file) == (r.width, r.height, cs, pf, body), formats.probe(name, file) == (r.width, r.height, cs, pf)))
+                    name, file = formats.save(
+                        f"{r.image_id}.{ext}", r.width, r.height, cs, pf, body, **({"rle": True} if ext == "tga" else {})
+                    )
+                    out.append(
+                        (
+                            r.image_id,
+                            name,
+                            len(file),
+                            formats.load(name, file) == (r.width, r.height, cs, pf, body),
+                            formats.probe(name, file) == (r.width, r.height, cs, pf),
+                        )
+                    )
             yield pd.DataFrame(out, columns=["image_id", "path", "bytes", "same", "probed"])
 
     return X.image(spark, d).mapInPandas(run, "image_id long, path string, bytes int, same boolean, probed boolean")
 
 
-for _name, _exts in (("a4_c2_pnm", ["ppm", "pnm"]), ("a5_c2_pam", ["pam"]), ("a6_c3_y4m", ["y4m"]), ("a7_c4_bmp_png_tga", ["bmp", "png", "tga"])):
-    query(_name, f"SELECT i AS image_id, i || '.' || t.ext AS path, true AS same, true AS probed FROM (SELECT DISTINCT event_id // 5000 AS i FROM events) CROSS JOIN {X.values([(e,) for e in _exts], 'ext')}")(lambda spark, d, exts=_exts: _round_trip_files(spark, d, exts).drop("bytes"))
+for _name, _exts in (
+    ("a4_c2_pnm", ["ppm", "pnm"]), ("a5_c2_pam", ["pam"]), ("a6_c3_y4m", ["y4m"]), ("a7_c4_bmp_png_tga", ["bmp", "png", "tga"])
+):
+    query(
+        _name,
+        f"SELECT i AS image_id, i || '.' || t.ext AS path, true AS same, true AS probed FROM (SELECT DISTINCT event_id // 5000 AS i FROM events) CROSS JOIN {
+            X.values([(e,) for e in _exts], 'ext')
+        }",
+    )(lambda spark, d, exts=_exts: _round_trip_files(spark, d, exts).drop("bytes"))
 
 
-@query("a7_gif", "SELECT image_id, CAST(100 AS INTEGER) AS width, CAST(n // 100 AS INTEGER) AS height, t.pf AS pixel_format, true AS same, true AS probed FROM (SELECT event_id // 5000 AS image_id, count(*) AS n FROM events GROUP BY 1), (VALUES ('444-u8-p012'), ('4444-u8-p0123')) AS t(pf)")
+@query(
+    "a7_gif",
+    "SELECT image_id, CAST(100 AS INTEGER) AS width, CAST(n // 100 AS INTEGER) AS height, t.pf AS pixel_format, true AS same, true AS probed FROM (SELECT event_id // 5000 AS image_id, count(*) AS n FROM events GROUP BY 1), (VALUES ('444-u8-p012'), ('4444-u8-p0123')) AS t(pf)",
+)
 def _(spark, d):
     """The event images as GIF files with and without a transparent index, composed here and read by the engine."""
     import struct
@@ -184,7 +263,9 @@ def _(spark, d):
         table = b"".join(bytes([k, 255 - k, k // 2]) for k in range(256))
         extra = b"" if clear is None else b"!\xf9\x04\x01\0\0" + bytes([clear]) + b"\0"
         parts = b"".join(bytes([len(body[k : k + 255])]) + body[k : k + 255] for k in range(0, len(body), 255))
-        return b"GIF89a" + struct.pack("<HHBBB", w, h, 0xF7, 0, 0) + table + extra + b"," + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\x08" + parts + b"\0;"
+        return b"GIF89a" + struct.pack("<HHBBB", w, h, 0xF7, 0, 0) + table + extra + b"," + struct.pack(
+            "<HHHHB", 0, 0, w, h, 0
+        ) + b"\x08" + parts + b"\0;"
 
     def run(batches):
         for batch in batches:
@@ -193,10 +274,14 @@ def _(spark, d):
                 v = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, 3)[:, :, 0]
                 pixels = np.stack([v, 255 - v, v // 2], axis=2)
                 for clear, pf in ((None, "444-u8-p012"), (7, "4444-u8-p0123")):
-                    want = pixels if clear is None else np.concatenate([pixels, np.where(v == clear, 0, 255).astype(np.uint8)[:, :, None]], axis=2)
+                    want = pixels if clear is None else np.concatenate(
+                        [pixels, np.where(v == clear, 0, 255).astype(np.uint8)[:, :, None]], axis=2
+                    )
                     file = compose(v, clear)
                     w, h, _, found, raw = formats.load("a.gif", file)
-                    out.append((r.image_id, w, h, found, raw == want.tobytes(), formats.probe("a.gif", file) == (r.width, r.height, "rgb", pf)))
+                    out.append(
+                        (r.image_id, w, h, found, raw == want.tobytes(), formats.probe("a.gif", file) == (r.width, r.height, "rgb", pf))
+                    )
             yield pd.DataFrame(out, columns=["image_id", "width", "height", "pixel_format", "same", "probed"])
 
     return X.image(spark, d).mapInPandas(run, "image_id long, width int, height int, pixel_format string, same boolean, probed boolean")
@@ -207,38 +292,92 @@ def _(spark, d):
 _ORIENT = [(r, f, T.ORIENTATIONS[r, f]) for r, f in T.ORIENTATIONS]
 
 
-@query("b2_orientation_name", f"SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS rotation, doc_id % 8 >= 4 AS flip, t.name FROM documents JOIN {X.values(_ORIENT, 'rotation, flip, name')} ON t.rotation = doc_id % 4 AND t.flip = (doc_id % 8 >= 4)")
+@query(
+    "b2_orientation_name",
+    f"SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS rotation, doc_id % 8 >= 4 AS flip, t.name FROM documents JOIN {
+        X.values(_ORIENT, 'rotation, flip, name')
+    } ON t.rotation = doc_id % 4 AND t.flip = (doc_id % 8 >= 4)",
+)
 def _(spark, d):
-    docs = X.read(spark, d, "documents").select("doc_id", _int(F.col("doc_id") % 4).alias("rotation"), (F.col("doc_id") % 8 >= 4).alias("flip"))
+    docs = X.read(spark, d, "documents").select(
+        "doc_id", _int(F.col("doc_id") % 4).alias("rotation"), (F.col("doc_id") % 8 >= 4).alias("flip")
+    )
     return docs.withColumn("name", G.orientation_name(F.col("rotation"), F.col("flip")))
 
 
-@query("b3_exif_orientation", f"SELECT doc_id, CAST(doc_id % 10 AS INTEGER) AS orientation, t.rotation, t.flip FROM documents LEFT JOIN {X.values([(k, r, f) for k, (r, f) in T.EXIF_ORIENTATION.items()], 'o, rotation, flip')} ON t.o = doc_id % 10")
+@query(
+    "b3_exif_orientation",
+    f"SELECT doc_id, CAST(doc_id % 10 AS INTEGER) AS orientation, t.rotation, t.flip FROM documents LEFT JOIN {
+        X.values([(k, r, f) for k, (r, f) in T.EXIF_ORIENTATION.items()], 'o, rotation, flip')
+    } ON t.o = doc_id % 10",
+)
 def _(spark, d):
     table = spark.createDataFrame([(k, r, f) for k, (r, f) in T.EXIF_ORIENTATION.items()], "o int, rotation int, flip boolean")
     docs = X.read(spark, d, "documents").select("doc_id", _int(F.col("doc_id") % 10).alias("orientation"))
     return docs.join(F.broadcast(table), F.col("orientation") == F.col("o"), "left").drop("o")
 
 
-_NAMES = [("4:2:0", 3, 2, 2), ("420", 3, 2, 2), ("4:2:2", 3, 2, 1), ("422", 3, 2, 1), ("4:4:4", 3, 1, 1), ("444", 3, 1, 1), ("4:4:4:4", 4, 1, 1), ("4224", 4, 2, 1), ("4:4:0", 3, 1, 2), ("411", 3, 4, 1), ("400", 1, 1, 1), ("4:4:2", 3, 1, 2), ("4:2:1", 3, 2, 2), ("5:2:2", None, None, None), ("4:2:3", None, None, None), ("abc", None, None, None), ("42", None, None, None)]
+_NAMES = [
+    ("4:2:0", 3, 2, 2),
+    ("420", 3, 2, 2),
+    ("4:2:2", 3, 2, 1),
+    ("422", 3, 2, 1),
+    ("4:4:4", 3, 1, 1),
+    ("444", 3, 1, 1),
+    ("4:4:4:4", 4, 1, 1),
+    ("4224", 4, 2, 1),
+    ("4:4:0", 3, 1, 2),
+    ("411", 3, 4, 1),
+    ("400", 1, 1, 1),
+    ("4:4:2", 3, 1, 2),
+    ("4:2:1", 3, 2, 2),
+    ("5:2:2", None, None, None),
+    ("4:2:3", None, None, None),
+    ("abc", None, None, None),
+    ("42", None, None, None),
+]
 
 
-@query("b5_subsampling_parse", f"SELECT CAST(name AS VARCHAR) AS name, CAST(comps AS INTEGER) AS comps, CAST(h0 AS INTEGER) AS h0, CAST(v0 AS INTEGER) AS v0 FROM {X.values(_NAMES, 'name, comps, h0, v0')}")
+@query(
+    "b5_subsampling_parse",
+    f"SELECT CAST(name AS VARCHAR) AS name, CAST(comps AS INTEGER) AS comps, CAST(h0 AS INTEGER) AS h0, CAST(v0 AS INTEGER) AS v0 FROM {
+        X.values(_NAMES, 'name, comps, h0, v0')
+    }",
+)
 def _(spark, d):
     names = spark.createDataFrame([(n[0],) for n in _NAMES], "name string").withColumn("s", G.parse_subsampling(F.col("name")))
     return names.select("name", "s.comps", "s.h0", "s.v0")
 
 
-@query("b5_subsampling_name", f"SELECT CAST(h0 AS INTEGER) AS h0, CAST(v0 AS INTEGER) AS v0, CAST(name AS VARCHAR) AS name FROM {X.values([(1, 1, '4:4:4'), (2, 1, '4:2:2'), (2, 2, '4:2:0'), (4, 1, '4:1:1'), (1, 2, '4:4:0')], 'h0, v0, name')}")
+@query(
+    "b5_subsampling_name",
+    f"SELECT CAST(h0 AS INTEGER) AS h0, CAST(v0 AS INTEGER) AS v0, CAST(name AS VARCHAR) AS name FROM {
+        X.values([(1, 1, '4:4:4'), (2, 1, '4:2:2'), (2, 2, '4:2:0'), (4, 1, '4:1:1'), (1, 2, '4:4:0')], 'h0, v0, name')
+    }",
+)
 def _(spark, d):
     df = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (4, 1), (1, 2)], "h0 int, v0 int")
     return df.withColumn("name", G.subsampling_name(F.col("h0"), F.col("v0"), F.lit(1), F.lit(1)))
 
 
-@query("b6_names", f"SELECT * FROM {X.values([('pixel format', n, c, p) for n, (p, c, _, _) in T.PIXEL_FORMATS.items()] + [('colour space', n, 0, False) for n in T.COLOR_SPACES] + [('header', n, 0, False) for n in T.HEADERS], 'domain, name, comps, planar')}")
+@query(
+    "b6_names",
+    f"SELECT * FROM {
+        X.values(
+            [('pixel format', n, c, p) for n, (p, c, _, _) in T.PIXEL_FORMATS.items()] + [
+                ('colour space', n, 0, False) for n in T.COLOR_SPACES
+            ] + [('header', n, 0, False) for n in T.HEADERS],
+            'domain, name, comps, planar',
+        )
+    }",
+)
 def _(spark, d):
-    formats = spark.createDataFrame([("pixel format", n, c, p) for n, (p, c, _, _) in T.PIXEL_FORMATS.items()], "domain string, name string, comps int, planar boolean")
-    rest = spark.createDataFrame([("colour space", n, 0, False) for n in T.COLOR_SPACES] + [("header", n, 0, False) for n in T.HEADERS], formats.schema)
+    formats = spark.createDataFrame(
+        [("pixel format", n, c, p) for n, (p, c, _, _) in T.PIXEL_FORMATS.items()], "domain string, name string, comps int, planar boolean"
+    )
+    rest = spark.createDataFrame(
+        [("colour space", n, 0, False) for n in T.COLOR_SPACES] + [("header", n, 0, False) for n in T.HEADERS], formats.schema
+    )
     return formats.unionByName(rest)
 
 
@@ -251,18 +390,44 @@ def _sql_convert(source: str, target: str, c=("c0", "c1", "c2")) -> list[str]:
         return _sql_convert("rgb", target, tuple(f"({x})" for x in _sql_convert(source, "rgb", c)))
     (m, base), out = (T.TO[target], "to") if source == "rgb" else (T.FROM[source], "from")
     r = [f"(({x} - {0 if out == 'to' else b}) * 256 // 255)" for x, b in zip(c, base, strict=True)]
-    return [f"CAST(least(255, greatest(0, (({' + '.join(f'({m[3 * k + i]}) * {r[i]}' for i in range(3))} + 128) >> 8) + {base[k] if out == 'to' else 0})) AS INTEGER)" for k in range(3)]
-
-
-_IDS = {("rgb", "ycbcr-bt601"): "d6", ("ycbcr-bt601", "rgb"): "d7", ("rgb", "ycbcr-jpeg"): "d8", ("ycbcr-jpeg", "rgb"): "d9", ("rgb", "ycbcr-bt709"): "d10", ("ycbcr-bt709", "rgb"): "d11", ("rgb", "yuv"): "d12", ("yuv", "rgb"): "d13", ("ycbcr-bt601", "ycbcr-jpeg"): "d14a", ("ycbcr-jpeg", "ycbcr-bt601"): "d14b", ("ycbcr-bt709", "ycbcr-jpeg"): "d14c", ("ycbcr-bt601", "ycbcr-bt709"): "d14d", ("yuv", "ycbcr-jpeg"): "d14e", ("ycbcr-jpeg", "ycbcr-bt709"): "d14f", ("ycbcr-bt709", "ycbcr-bt601"): "d14g", ("ycbcr-jpeg", "yuv"): "d14h"}
+    return [
+        f"CAST(least(255, greatest(0, (({' + '.join(f'({m[3 * k + i]}) * {r[i]}' for i in range(3))} + 128) >> 8) + {
+            base[k] if out == 'to' else 0
+        })) AS INTEGER)" for k in range(3)
+    ]
+
+
+_IDS = {
+    ("rgb", "ycbcr-bt601"): "d6",
+    ("ycbcr-bt601", "rgb"): "d7",
+    ("rgb", "ycbcr-jpeg"): "d8",
+    ("ycbcr-jpeg", "rgb"): "d9",
+    ("rgb", "ycbcr-bt709"): "d10",
+    ("ycbcr-bt709", "rgb"): "d11",
+    ("rgb", "yuv"): "d12",
+    ("yuv", "rgb"): "d13",
+    ("ycbcr-bt601", "ycbcr-jpeg"): "d14a",
+    ("ycbcr-jpeg", "ycbcr-bt601"): "d14b",
+    ("ycbcr-bt709", "ycbcr-jpeg"): "d14c",
+    ("ycbcr-bt601", "ycbcr-bt709"): "d14d",
+    ("yuv", "ycbcr-jpeg"): "d14e",
+    ("ycbcr-jpeg", "ycbcr-bt709"): "d14f",
+    ("ycbcr-bt709", "ycbcr-bt601"): "d14g",
+    ("ycbcr-jpeg", "yuv"): "d14h",
+}
 for (_s, _t), _id in _IDS.items():
     _c = _sql_convert(_s, _t)
-    query(f"{_id}_{_s}_to_{_t}".replace("-", "_"), f"WITH {X.PIXELS} SELECT event_id, {_c[0]} AS c0, {_c[1]} AS c1, {_c[2]} AS c2 FROM pixels")(lambda spark, d, s=_s, t=_t: pixels.convert(X.pixels(spark, d), s, t).drop("x", "y"))
+    query(
+        f"{_id}_{_s}_to_{_t}".replace("-", "_"), f"WITH {X.PIXELS} SELECT event_id, {_c[0]} AS c0, {_c[1]} AS c1, {_c[2]} AS c2 FROM pixels"
+    )(lambda spark, d, s=_s, t=_t: pixels.convert(X.pixels(spark, d), s, t).drop("x", "y"))
 
 _c = _sql_convert("rgb", "ycbcr-jpeg")
 
 
-@query("d4_d5_color_statistics", f"WITH {X.BAG}, t AS (SELECT {_c[0]} AS c0, {_c[1]} AS c1, {_c[2]} AS c2 FROM bag) SELECT c0, c1, c2, count(*) AS n FROM t GROUP BY c0, c1, c2")
+@query(
+    "d4_d5_color_statistics",
+    f"WITH {X.BAG}, t AS (SELECT {_c[0]} AS c0, {_c[1]} AS c1, {_c[2]} AS c2 FROM bag) SELECT c0, c1, c2, count(*) AS n FROM t GROUP BY c0, c1, c2",
+)
 def _(spark, d):
     return pixels.convert(X.bag(spark, d), "rgb", "ycbcr-jpeg").groupBy("c0", "c1", "c2").agg(F.count("*").alias("n"))
 
@@ -282,18 +447,29 @@ def _(spark, d):
     return pixels.remap(X.pixels(spark, d), "2FZ").drop("x", "y")
 
 
-@query("d17_alpha", f"WITH {X.PIXELS} SELECT event_id, c0, c1, c2, CAST(coalesce(CASE WHEN event_id % 3 = 0 THEN c0 END, 255) AS INTEGER) AS c3 FROM pixels")
+@query(
+    "d17_alpha",
+    f"WITH {X.PIXELS} SELECT event_id, c0, c1, c2, CAST(coalesce(CASE WHEN event_id % 3 = 0 THEN c0 END, 255) AS INTEGER) AS c3 FROM pixels",
+)
 def _(spark, d):
     return pixels.opaque(X.pixels(spark, d).withColumn("c3", F.when(F.col("event_id") % 3 == 0, F.col("c0")))).drop("x", "y")
 
 
-@query("d18_gray", f"WITH {X.PIXELS} SELECT event_id, CAST('rgb' AS VARCHAR) AS internal, c0, c0 AS c1, c0 AS c2 FROM pixels UNION ALL SELECT event_id, 'ycbcr-jpeg', c0, CAST(128 AS INTEGER), CAST(128 AS INTEGER) FROM pixels")
+@query(
+    "d18_gray",
+    f"WITH {X.PIXELS} SELECT event_id, CAST('rgb' AS VARCHAR) AS internal, c0, c0 AS c1, c0 AS c2 FROM pixels UNION ALL SELECT event_id, 'ycbcr-jpeg', c0, CAST(128 AS INTEGER), CAST(128 AS INTEGER) FROM pixels",
+)
 def _(spark, d):
     gray = X.pixels(spark, d).select("event_id", "c0")
-    return pixels.gray_to_three(gray, "rgb").withColumn("internal", F.lit("rgb")).unionByName(pixels.gray_to_three(gray, "ycbcr-jpeg").withColumn("internal", F.lit("ycbcr-jpeg")))
+    return pixels.gray_to_three(gray, "rgb").withColumn("internal", F.lit("rgb")).unionByName(
+        pixels.gray_to_three(gray, "ycbcr-jpeg").withColumn("internal", F.lit("ycbcr-jpeg"))
+    )
 
 
-@query("d19_flip", f"WITH {X.PIXELS}, h AS (SELECT (max(y) + 8) // 8 * 8 AS h FROM pixels) SELECT event_id, x, CAST(h.h - 1 - y AS INTEGER) AS y FROM pixels, h")
+@query(
+    "d19_flip",
+    f"WITH {X.PIXELS}, h AS (SELECT (max(y) + 8) // 8 * 8 AS h FROM pixels) SELECT event_id, x, CAST(h.h - 1 - y AS INTEGER) AS y FROM pixels, h",
+)
 def _(spark, d):
     p = X.pixels(spark, d).select("event_id", "x", "y")
     h = p.agg(F.floor((F.max("y") + 8) / 8) * 8).first()[0]
@@ -301,17 +477,31 @@ def _(spark, d):
 
 
 _HALF = {"444-u8-p0p1p2": "w * h", "422-u8-p0p1p2": "((w + 1) // 2) * h", "420-u8-p0p1p2": "((w + 1) // 2) * ((h + 1) // 2)"}
-_SIZE = "CASE pf " + " ".join(f"WHEN '{n}' THEN " + (f"(w + p) * h * {b}" if b else f"w * h + 2 * {_HALF[n]}") for n, (_, _, b, _) in T.PIXEL_FORMATS.items()) + " END"
+_SIZE = "CASE pf " + " ".join(
+    f"WHEN '{n}' THEN " + (f"(w + p) * h * {b}" if b else f"w * h + 2 * {_HALF[n]}") for n, (_, _, b, _) in T.PIXEL_FORMATS.items()
+) + " END"
 _PFS = list(T.PIXEL_FORMATS)
 
 
-@query("d22_raw_size", f"WITH s AS (SELECT doc_id, CAST(1 + doc_id % 1921 AS BIGINT) AS w, CAST(1 + doc_id % 1081 AS BIGINT) AS h, doc_id % 5 AS p, t.pf FROM documents JOIN {X.values(list(enumerate(_PFS)), 'i, pf')} ON t.i = doc_id % 7) SELECT doc_id, pf, CAST({_SIZE} AS BIGINT) AS bytes FROM s")
+@query(
+    "d22_raw_size",
+    f"WITH s AS (SELECT doc_id, CAST(1 + doc_id % 1921 AS BIGINT) AS w, CAST(1 + doc_id % 1081 AS BIGINT) AS h, doc_id % 5 AS p, t.pf FROM documents JOIN {
+        X.values(list(enumerate(_PFS)), 'i, pf')
+    } ON t.i = doc_id % 7) SELECT doc_id, pf, CAST({_SIZE} AS BIGINT) AS bytes FROM s",
+)
 def _(spark, d):
     pf = F.get(F.array(*map(F.lit, _PFS)), _int(F.col("doc_id") % 7))
-    return X.read(spark, d, "documents").select("doc_id", pf.alias("pf"), pixels.raw_size(1 + F.col("doc_id") % 1921, 1 + F.col("doc_id") % 1081, pf, F.col("doc_id") % 5).alias("bytes"))
+    return X.read(spark, d, "documents").select(
+        "doc_id",
+        pf.alias("pf"),
+        pixels.raw_size(1 + F.col("doc_id") % 1921, 1 + F.col("doc_id") % 1081, pf, F.col("doc_id") % 5).alias("bytes"),
+    )
 
 
-@query("d23_line_padding", "SELECT doc_id, CAST(((1 + doc_id % 1921) * 3 + 31) // 32 * 32 - (1 + doc_id % 1921) * 3 AS INTEGER) AS padding FROM documents")
+@query(
+    "d23_line_padding",
+    "SELECT doc_id, CAST(((1 + doc_id % 1921) * 3 + 31) // 32 * 32 - (1 + doc_id % 1921) * 3 AS INTEGER) AS padding FROM documents",
+)
 def _(spark, d):
     return X.read(spark, d, "documents").select("doc_id", pixels.line_padding((1 + F.col("doc_id") % 1921) * 3, F.lit(32)).alias("padding"))
 
@@ -333,7 +523,9 @@ def _sql_offsets(pf: str) -> str:
 
 for _pf in T.PIXEL_FORMATS:
     query(f"d1_unpack_{_pf.replace('-', '_')}", f"WITH {X.PIXELS} SELECT event_id, {_sql_offsets(_pf)} FROM pixels")(
-        lambda spark, d, pf=_pf: pixels.unpack_offsets(p := X.pixels(spark, d).select("event_id", "x", "y"), X.WIDTH, p.agg(F.max("y")).first()[0] + 1, pf).drop("x", "y")
+        lambda spark, d, pf=_pf: pixels.unpack_offsets(
+            p := X.pixels(spark, d).select("event_id", "x", "y"), X.WIDTH, p.agg(F.max("y")).first()[0] + 1, pf
+        ).drop("x", "y")
     )
 
 
@@ -352,7 +544,10 @@ def _plane(spark, d, comp: int) -> DataFrame:
 
 
 for _n, (_h, _v) in (("420", (2, 2)), ("422", (2, 1))):
-    query(f"e1_subsample_{_n}", f"WITH {X.PIXELS} SELECT CAST(x // {_h} AS INTEGER) AS x, CAST(y // {_v} AS INTEGER) AS y, c1 AS v FROM pixels WHERE x % {_h} = 0 AND y % {_v} = 0")(lambda spark, d, h=_h, v=_v: pixels.subsample(_plane(spark, d, 1), h, v))
+    query(
+        f"e1_subsample_{_n}",
+        f"WITH {X.PIXELS} SELECT CAST(x // {_h} AS INTEGER) AS x, CAST(y // {_v} AS INTEGER) AS y, c1 AS v FROM pixels WHERE x % {_h} = 0 AND y % {_v} = 0",
+    )(lambda spark, d, h=_h, v=_v: pixels.subsample(_plane(spark, d, 1), h, v))
 
 
 @query("e2_fan_out", f"WITH {_PLANES} SELECT x, y, CAST(comp AS INTEGER) AS comp, v FROM planes")
@@ -392,7 +587,21 @@ CAST(mx * mw AS INTEGER) AS data_width, CAST(my * mhh AS INTEGER) AS data_height
 def _(spark, d):
     jobs = spark.createDataFrame(_JOBS, "width int, height int, comp int, n string, h int, v int, interleaved boolean, restart int")
     jobs = jobs.withColumns({"max_h": F.when(F.col("n") == "444", 1).otherwise(2), "max_v": F.when(F.col("n") == "420", 2).otherwise(1)})
-    return G.components(jobs).select("width", "height", "comp", "n", "interleaved", "restart", "comp_width", "comp_height", "data_width", "data_height", "mcu_count", "segment_mcu_count", "segment_count")
+    return G.components(jobs).select(
+        "width",
+        "height",
+        "comp",
+        "n",
+        "interleaved",
+        "restart",
+        "comp_width",
+        "comp_height",
+        "data_width",
+        "data_height",
+        "mcu_count",
+        "segment_mcu_count",
+        "segment_count",
+    )
 
 
 _PAD = f"{X.PIXELS}, s AS (SELECT (max(x) + 8) // 8 * 8 AS w, (max(y) + 8) // 8 * 8 AS h FROM pixels), g AS (SELECT CAST(i % s.w AS INTEGER) AS x, CAST(i // s.w AS INTEGER) AS y, s.w FROM s, range(0, s.w * s.h) AS r(i)), padded AS (SELECT g.x, g.y, g.w, CAST(coalesce(p.c0, 0) AS INTEGER) AS v FROM g LEFT JOIN pixels p ON p.x = g.x AND p.y = g.y)"
@@ -411,30 +620,44 @@ def _(spark, d):
     return _padded(spark, d)[0]
 
 
-@query("e7_tile", f"WITH {_PAD} SELECT CAST((y // 8) * (w // 8) + x // 8 AS INTEGER) AS block, CAST(y % 8 * 8 + x % 8 AS INTEGER) AS n, v FROM padded")
+@query(
+    "e7_tile",
+    f"WITH {_PAD} SELECT CAST((y // 8) * (w // 8) + x // 8 AS INTEGER) AS block, CAST(y % 8 * 8 + x % 8 AS INTEGER) AS n, v FROM padded",
+)
 def _(spark, d):
     plane, w = _padded(spark, d)
     return pixels.tile(plane, w).select(_int("block").alias("block"), "n", "v")
 
 
-@query("e8_mcu_order", "WITH b AS (SELECT vec_id, vec_id % 13 AS bx, vec_id // 13 AS br FROM embeddings) SELECT vec_id, CAST(br * 13 + bx AS INTEGER) AS mcu, CAST((br * 13 + bx) // 8 AS INTEGER) AS seg FROM b")
+@query(
+    "e8_mcu_order",
+    "WITH b AS (SELECT vec_id, vec_id % 13 AS bx, vec_id // 13 AS br FROM embeddings) SELECT vec_id, CAST(br * 13 + bx AS INTEGER) AS mcu, CAST((br * 13 + bx) // 8 AS INTEGER) AS seg FROM b",
+)
 def _(spark, d):
     b = X.read(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 13).alias("bx"), F.floor(F.col("vec_id") / 13).alias("by"))
     mcu, _ = G.mcu_position(F.col("bx"), F.col("by"), 1, 1, 13)
     return b.select("vec_id", mcu.alias("mcu"), G.segment_of(mcu, 8).alias("seg"))
 
 
-@query("e9_mcu_interleaved", "WITH b AS (SELECT vec_id, vec_id % 14 AS bx, vec_id // 14 AS br FROM embeddings) SELECT vec_id, CAST((br // 2) * 7 + bx // 2 AS INTEGER) AS mcu, CAST(br % 2 * 2 + bx % 2 AS INTEGER) AS pos FROM b")
+@query(
+    "e9_mcu_interleaved",
+    "WITH b AS (SELECT vec_id, vec_id % 14 AS bx, vec_id // 14 AS br FROM embeddings) SELECT vec_id, CAST((br // 2) * 7 + bx // 2 AS INTEGER) AS mcu, CAST(br % 2 * 2 + bx % 2 AS INTEGER) AS pos FROM b",
+)
 def _(spark, d):
     b = X.read(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 14).alias("bx"), F.floor(F.col("vec_id") / 14).alias("by"))
     mcu, pos = G.mcu_position(F.col("bx"), F.col("by"), 2, 2, 7)
     return b.select("vec_id", mcu.alias("mcu"), pos.alias("pos"))
 
 
-@query("e10_segments", "SELECT CAST(0 AS INTEGER) AS restart, CAST(0 AS INTEGER) AS seg, count(*) AS blocks FROM embeddings UNION ALL SELECT 12, CAST(vec_id // 12 AS INTEGER), count(*) FROM embeddings GROUP BY 2")
+@query(
+    "e10_segments",
+    "SELECT CAST(0 AS INTEGER) AS restart, CAST(0 AS INTEGER) AS seg, count(*) AS blocks FROM embeddings UNION ALL SELECT 12, CAST(vec_id // 12 AS INTEGER), count(*) FROM embeddings GROUP BY 2",
+)
 def _(spark, d):
     e = X.read(spark, d, "embeddings")
-    one = lambda r: e.select(F.lit(r).alias("restart"), G.segment_of(F.col("vec_id"), r).alias("seg")).groupBy("restart", "seg").agg(F.count("*").alias("blocks"))
+    one = lambda r: e.select(F.lit(r).alias("restart"), G.segment_of(F.col("vec_id"), r).alias("seg")).groupBy("restart", "seg").agg(
+        F.count("*").alias("blocks")
+    )
     return one(0).unionByName(one(12))
 
 
@@ -444,10 +667,14 @@ SELECT doc_id, CAST(CASE WHEN i THEN CASE WHEN sub THEN r // 2 ELSE r END ELSE r
 def _(spark, d):
     n = F.col("doc_id")
     c = F.when(n % 3 == 0, 1).when(n % 3 == 1, 3).otherwise(4)
-    return X.read(spark, d, "documents").select("doc_id", G.suggest_restart(64 + n * 37 % 8000, 48 + n * 53 % 4500, c, n % 2 == 0, n % 4 < 2).alias("restart"))
+    return X.read(spark, d, "documents").select(
+        "doc_id", G.suggest_restart(64 + n * 37 % 8000, 48 + n * 53 % 4500, c, n % 2 == 0, n % 4 < 2).alias("restart")
+    )
 
 
-_DIRECT = [(pf, cs, i, s) for pf in T.PIXEL_FORMATS for cs in ("rgb", "ycbcr-jpeg") for i in ("rgb", "ycbcr-jpeg") for s in ("native", "444")]
+_DIRECT = [
+    (pf, cs, i, s) for pf in T.PIXEL_FORMATS for cs in ("rgb", "ycbcr-jpeg") for i in ("rgb", "ycbcr-jpeg") for s in ("native", "444")
+]
 
 
 @query("e12_no_transform", f"""SELECT pf, cs, internal, s, (pf = 'u8' OR pf LIKE '%p0p1p2') AND (pf = 'u8' OR cs = internal) AND (s = 'native' OR pf IN ('u8', '444-u8-p0p1p2')) AS direct
@@ -467,7 +694,9 @@ _BASIS = f"basis AS (SELECT k, n, w FROM {X.values(T.basis(), 'k, n, w')})"
 _QT = [(kind, zz, k, T.QUANT[kind][k]) for kind in ("luma", "chroma") for zz, k in enumerate(T.ZIGZAG)]
 _QTAB = f"base AS (SELECT kind, zz, k, base FROM {X.values(_QT, 'kind, zz, k, base')})"
 _QUAL = "least(255, greatest(1, ((CASE WHEN {q} < 50 THEN 5000 // greatest(1, {q}) ELSE 200 - 2 * least(100, {q}) END) * base + 50) // 100))"
-_COEFS = f"{X.SAMPLES}, {_BASIS}, {_QTAB}, q AS (SELECT zz, k, {_QUAL.format(q=75)} AS q FROM base WHERE kind = 'luma'), dct AS (SELECT vec_id, k, round(sum((v - 128) * w), 6) AS c FROM samples JOIN basis USING (n) GROUP BY vec_id, k), coefs AS (SELECT vec_id, CAST(zz AS INTEGER) AS zz, CAST(round_even(round(c / q, 6), 0) AS INTEGER) AS coef, q, k FROM dct JOIN q USING (k))"
+_COEFS = f"{X.SAMPLES}, {_BASIS}, {_QTAB}, q AS (SELECT zz, k, {
+    _QUAL.format(q=75)
+} AS q FROM base WHERE kind = 'luma'), dct AS (SELECT vec_id, k, round(sum((v - 128) * w), 6) AS c FROM samples JOIN basis USING (n) GROUP BY vec_id, k), coefs AS (SELECT vec_id, CAST(zz AS INTEGER) AS zz, CAST(round_even(round(c / q, 6), 0) AS INTEGER) AS coef, q, k FROM dct JOIN q USING (k))"
 
 
 def _coefs(spark, d, quality: int = 75) -> DataFrame:
@@ -489,23 +718,42 @@ def _(spark, d):
     return blocks.quantise(blocks.dct(X.samples(spark, d), ("vec_id",))).select("vec_id", "zz", "coef")
 
 
-@query("f4_default_tables", f"WITH {_QTAB} SELECT kind, CAST(zz AS INTEGER) AS zz, CAST(k AS INTEGER) AS k, CAST(base AS INTEGER) AS base FROM base")
+@query(
+    "f4_default_tables",
+    f"WITH {_QTAB} SELECT kind, CAST(zz AS INTEGER) AS zz, CAST(k AS INTEGER) AS k, CAST(base AS INTEGER) AS base FROM base",
+)
 def _(spark, d):
     return blocks.quality_table(spark).drop("q")
 
 
-@query("f5_quality_scaling", f"WITH {_QTAB}, ql AS (SELECT i - 5 AS quality FROM range(0, 120) AS r(i)) SELECT CAST(quality AS INTEGER) AS quality, kind, CAST(zz AS INTEGER) AS zz, CAST({_QUAL.format(q='quality')} AS INTEGER) AS q FROM base, ql")
+@query(
+    "f5_quality_scaling",
+    f"WITH {_QTAB}, ql AS (SELECT i - 5 AS quality FROM range(0, 120) AS r(i)) SELECT CAST(quality AS INTEGER) AS quality, kind, CAST(zz AS INTEGER) AS zz, CAST({
+        _QUAL.format(q='quality')
+    } AS INTEGER) AS q FROM base, ql",
+)
 def _(spark, d):
     base = blocks.quality_table(spark).select("kind", "zz", "base").withColumn("quality", F.explode(F.sequence(F.lit(-5), F.lit(114))))
     return base.select("quality", "kind", "zz", blocks.scaled(F.col("base"), F.col("quality")).alias("q"))
 
 
-@query("f6_zigzag", "WITH c AS (SELECT i // 8 AS r, i % 8 AS c, i AS k FROM range(0, 64) AS t(i)) SELECT CAST(row_number() OVER (ORDER BY r + c, CASE WHEN (r + c) % 2 = 1 THEN r ELSE c END) - 1 AS INTEGER) AS zz, CAST(k AS INTEGER) AS k FROM c")
+@query(
+    "f6_zigzag",
+    "WITH c AS (SELECT i // 8 AS r, i % 8 AS c, i AS k FROM range(0, 64) AS t(i)) SELECT CAST(row_number() OVER (ORDER BY r + c, CASE WHEN (r + c) % 2 = 1 THEN r ELSE c END) - 1 AS INTEGER) AS zz, CAST(k AS INTEGER) AS k FROM c",
+)
 def _(spark, d):
     return blocks.zigzag(spark)
 
 
-@query("f7_table_kind", f"SELECT * FROM {X.values([(cs, c, 'luma' if cs == 'rgb' or c in (0, 3) else 'chroma') for cs in ('rgb', 'ycbcr-jpeg', 'ycbcr-bt709') for c in range(4)], 'color_space, comp, kind')}")
+@query(
+    "f7_table_kind",
+    f"SELECT * FROM {
+        X.values(
+            [(cs, c, 'luma' if cs == 'rgb' or c in (0, 3) else 'chroma') for cs in ('rgb', 'ycbcr-jpeg', 'ycbcr-bt709') for c in range(4)],
+            'color_space, comp, kind',
+        )
+    }",
+)
 def _(spark, d):
     df = spark.createDataFrame([(cs, c) for cs in ("rgb", "ycbcr-jpeg", "ycbcr-bt709") for c in range(4)], "color_space string, comp int")
     return df.withColumn("kind", G.table_kind(F.col("comp"), F.col("color_space")))
@@ -540,7 +788,10 @@ def _(spark, d):
         for batch in batches:
             for jpeg in batch.jpeg:
                 quant = J.read(bytes(jpeg), stop_at_scan=True).quant
-                yield pd.DataFrame([(("luma", "chroma")[n], k, int(v)) for n, t in quant.items() for k, v in enumerate(np.asarray(t).reshape(-1))], columns=["kind", "k", "q"])
+                yield pd.DataFrame(
+                    [(("luma", "chroma")[n], k, int(v)) for n, t in quant.items() for k, v in enumerate(np.asarray(t).reshape(-1))],
+                    columns=["kind", "k", "q"],
+                )
 
     return _heads(spark, quality=90).mapInPandas(run, "kind string, k int, q int")
 
@@ -580,7 +831,11 @@ _DIFF = f"{_DC}, diffs AS (SELECT vec_id, seg, CAST(dc - lag(dc, 1, 0) OVER (PAR
 
 def _dc(spark, d) -> DataFrame:
     e = X.read(spark, d, "embeddings")
-    return e.select("vec_id", _int(F.floor(F.col("vec_id") / 8)).alias("seg"), _int(F.floor(F.get("embedding", F.lit(0)).cast("double") * 1000)).alias("dc"))
+    return e.select(
+        "vec_id",
+        _int(F.floor(F.col("vec_id") / 8)).alias("seg"),
+        _int(F.floor(F.get("embedding", F.lit(0)).cast("double") * 1000)).alias("dc"),
+    )
 
 
 def _diff(spark, d) -> DataFrame:
@@ -597,7 +852,12 @@ def _(spark, d):
     return _diff(spark, d).select("vec_id", symbols.category(F.col("diff")).alias("cat"))
 
 
-@query("g3_value_bits", f"WITH {_DIFF}, c AS (SELECT vec_id, diff, {_CAT.format(v='diff')} AS cat FROM diffs) SELECT vec_id, CAST(CASE WHEN diff >= 0 THEN diff ELSE diff - 1 + (1 << cat) END AS INTEGER) AS bits FROM c")
+@query(
+    "g3_value_bits",
+    f"WITH {_DIFF}, c AS (SELECT vec_id, diff, {
+        _CAT.format(v='diff')
+    } AS cat FROM diffs) SELECT vec_id, CAST(CASE WHEN diff >= 0 THEN diff ELSE diff - 1 + (1 << cat) END AS INTEGER) AS bits FROM c",
+)
 def _(spark, d):
     v = F.col("diff")
     return _diff(spark, d).select("vec_id", symbols.value_bits(v, symbols.category(v)).alias("bits"))
@@ -611,12 +871,19 @@ def _(spark, d):
     return symbols.zero_runs(_coefs(spark, d), ("vec_id",))
 
 
-@query("g5_zrl", f"WITH {_RUNS} SELECT vec_id, zz, CAST(run // 16 AS BIGINT) AS zrls FROM runs WHERE run >= 16".replace(_QUAL.format(q=75), _QUAL.format(q=10)))
+@query(
+    "g5_zrl",
+    f"WITH {_RUNS} SELECT vec_id, zz, CAST(run // 16 AS BIGINT) AS zrls FROM runs WHERE run >= 16".replace(
+        _QUAL.format(q=75), _QUAL.format(q=10)
+    ),
+)
 def _(spark, d):
     return symbols.zrl(symbols.zero_runs(_coefs(spark, d, 10), ("vec_id",))).groupBy("vec_id", "zz").agg(F.count("*").alias("zrls"))
 
 
-@query("g6_eob", f"WITH {_COEFS} SELECT vec_id, max(CASE WHEN zz > 0 AND coef <> 0 THEN zz ELSE 0 END) < 63 AS eob FROM coefs GROUP BY vec_id")
+@query(
+    "g6_eob", f"WITH {_COEFS} SELECT vec_id, max(CASE WHEN zz > 0 AND coef <> 0 THEN zz ELSE 0 END) < 63 AS eob FROM coefs GROUP BY vec_id"
+)
 def _(spark, d):
     return symbols.end_of_block(_coefs(spark, d), ("vec_id",))
 
@@ -631,15 +898,23 @@ def _(spark, d):
 
 _HUFF_IN = [(k, g, i, s, next(n for n in range(1, 17) if i < sum(bits[:n]))) for (k, g), (bits, syms) in T.HUFFMAN.items() for i, s in enumerate(syms)]
 # A canonical code is the sum of 2^-bits over the codes before it, scaled to its own bits.
-_HUFF = f"huff AS (SELECT kind, class, symbol, nbits, CAST(coalesce(sum(1 << (16 - nbits)) OVER (PARTITION BY kind, class ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> (16 - nbits) AS code FROM {X.values(_HUFF_IN, 'kind, class, i, symbol, nbits')})"
+_HUFF = f"huff AS (SELECT kind, class, symbol, nbits, CAST(coalesce(sum(1 << (16 - nbits)) OVER (PARTITION BY kind, class ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> (16 - nbits) AS code FROM {
+    X.values(_HUFF_IN, 'kind, class, i, symbol, nbits')
+})"
 
 
-@query("g8_g9_huffman_tables", f"WITH {_HUFF} SELECT kind, class, CAST(symbol AS INTEGER) AS symbol, CAST(code AS INTEGER) AS code, CAST(nbits AS INTEGER) AS nbits FROM huff")
+@query(
+    "g8_g9_huffman_tables",
+    f"WITH {_HUFF} SELECT kind, class, CAST(symbol AS INTEGER) AS symbol, CAST(code AS INTEGER) AS code, CAST(nbits AS INTEGER) AS nbits FROM huff",
+)
 def _(spark, d):
     return symbols.huffman(spark)
 
 
-@query("g10_codewords", f"WITH {_SYMS}, {_HUFF} SELECT vec_id, zz, CAST(s.symbol AS INTEGER) AS symbol, CAST(code AS INTEGER) AS code, CAST(nbits AS INTEGER) AS nbits FROM syms s JOIN huff h ON h.kind = 'luma' AND h.class = 'ac' AND h.symbol = s.symbol")
+@query(
+    "g10_codewords",
+    f"WITH {_SYMS}, {_HUFF} SELECT vec_id, zz, CAST(s.symbol AS INTEGER) AS symbol, CAST(code AS INTEGER) AS code, CAST(nbits AS INTEGER) AS nbits FROM syms s JOIN huff h ON h.kind = 'luma' AND h.class = 'ac' AND h.symbol = s.symbol",
+)
 def _(spark, d):
     s = symbols.ac_symbols(symbols.zero_runs(_coefs(spark, d), ("vec_id",))).select("vec_id", "zz", "symbol")
     return symbols.coded(s, "luma", "ac")
@@ -662,9 +937,16 @@ query("g12_block_bits", f"WITH {_ALL} SELECT vec_id, bits FROM bits")(_bits)
 # ---- H: segments and bit stream -------------------------------------------------
 
 
-@query("h1_bit_offsets", f"WITH {_ALL} SELECT vec_id, CAST(vec_id // 8 AS INTEGER) AS seg, bits, CAST(coalesce(sum(bits) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM bits".replace("AS offset", 'AS "offset"'))
+@query(
+    "h1_bit_offsets",
+    f"WITH {_ALL} SELECT vec_id, CAST(vec_id // 8 AS INTEGER) AS seg, bits, CAST(coalesce(sum(bits) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM bits".replace(
+        "AS offset", 'AS "offset"'
+    ),
+)
 def _(spark, d):
-    return symbols.offsets(_bits(spark, d).withColumn("seg", _int(F.floor(F.col("vec_id") / 8))), ("seg",), "vec_id", "bits").select("vec_id", "seg", "bits", "offset")
+    return symbols.offsets(_bits(spark, d).withColumn("seg", _int(F.floor(F.col("vec_id") / 8))), ("seg",), "vec_id", "bits").select(
+        "vec_id", "seg", "bits", "offset"
+    )
 
 
 _SEGS = "segs AS (SELECT CAST(vec_id // 64 AS INTEGER) AS scan, CAST(vec_id // 8 % 8 AS INTEGER) AS seg, CAST(sum(CAST(floor(abs(CAST(embedding[1] AS DOUBLE)) * 100) AS INTEGER)) AS BIGINT) AS bytes FROM embeddings GROUP BY 1, 2)"
@@ -672,15 +954,23 @@ _SEGS = "segs AS (SELECT CAST(vec_id // 64 AS INTEGER) AS scan, CAST(vec_id // 8
 
 def _segs(spark, d) -> DataFrame:
     e = X.read(spark, d, "embeddings")
-    return e.groupBy(_int(F.floor(F.col("vec_id") / 64)).alias("scan"), _int(F.floor(F.col("vec_id") / 8) % 8).alias("seg")).agg(F.sum(F.floor(F.abs(F.get("embedding", F.lit(0)).cast("double")) * 100).cast("int")).alias("bytes"))
+    return e.groupBy(_int(F.floor(F.col("vec_id") / 64)).alias("scan"), _int(F.floor(F.col("vec_id") / 8) % 8).alias("seg")).agg(
+        F.sum(F.floor(F.abs(F.get("embedding", F.lit(0)).cast("double")) * 100).cast("int")).alias("bytes")
+    )
 
 
-@query("h3_restart_markers", f"WITH {_SEGS} SELECT scan, seg, CASE WHEN lead(seg) OVER (PARTITION BY scan ORDER BY seg) IS NULL THEN '' ELSE 'FF' || printf('%02X', 208 + seg % 8) END AS rst FROM segs")
+@query(
+    "h3_restart_markers",
+    f"WITH {_SEGS} SELECT scan, seg, CASE WHEN lead(seg) OVER (PARTITION BY scan ORDER BY seg) IS NULL THEN '' ELSE 'FF' || printf('%02X', 208 + seg % 8) END AS rst FROM segs",
+)
 def _(spark, d):
     return symbols.restart_markers(_segs(spark, d), ("scan",)).select("scan", "seg", "rst")
 
 
-@query("h7_segment_offsets", f"WITH {_SEGS} SELECT scan, seg, bytes, CAST(coalesce(sum(bytes) OVER (PARTITION BY scan ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM segs")
+@query(
+    "h7_segment_offsets",
+    f"WITH {_SEGS} SELECT scan, seg, bytes, CAST(coalesce(sum(bytes) OVER (PARTITION BY scan ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM segs",
+)
 def _(spark, d):
     return symbols.offsets(_segs(spark, d), ("scan",), "seg", "bytes")
 
@@ -704,14 +994,19 @@ def _files(spark, d, **params) -> DataFrame:
 _IMAGES = "SELECT event_id // 5000 AS image_id, count(*) AS n FROM events GROUP BY 1"
 
 
-@query("h1_h6_pack_segments", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(s.i AS INTEGER) AS scan, CAST(ceil(13 * ceil(n / 100 / 8) / 8) AS BIGINT) AS segments FROM i, range(0, 3) AS s(i)")
+@query(
+    "h1_h6_pack_segments",
+    f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(s.i AS INTEGER) AS scan, CAST(ceil(13 * ceil(n / 100 / 8) / 8) AS BIGINT) AS segments FROM i, range(0, 3) AS s(i)",
+)
 def _(spark, d):
     segs = codec.segments(X.image(spark, d), codec.Params(restart_interval=8), mode="FAILFAST")
     packed = codec.pack(segs.repartition("image_id", "scan", "seg"), mode="FAILFAST")
     return packed.where(F.length("data") > 0).groupBy("image_id", "scan").agg(F.count("*").alias("segments"))
 
 
-@query("h9_split_segments", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS BIGINT) AS segments FROM i")
+@query(
+    "h9_split_segments", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS BIGINT) AS segments FROM i"
+)
 def _(spark, d):
     return codec.split_segments(_files(spark, d, restart_interval=8)).groupBy("image_id").agg(F.count("*").alias("segments"))
 
@@ -758,8 +1053,12 @@ def _(spark, d):
 def _(spark, d):
     out = None
     files = _files(spark, d)
-    for alignment, pf in ((0, "444-u8-p012"), (16, "444-u8-p012"), (32, "444-u8-p012"), (64, "4444-u8-p0123"), (128, "422-u8-p1020"), (16, "420-u8-p0p1p2")):
-        one = codec.decode(files, "rgb" if pf[1] == "4" else "ycbcr-jpeg", pf, alignment=alignment, mode="FAILFAST").withColumn("alignment", F.lit(alignment))
+    for alignment, pf in (
+        (0, "444-u8-p012"), (16, "444-u8-p012"), (32, "444-u8-p012"), (64, "4444-u8-p0123"), (128, "422-u8-p1020"), (16, "420-u8-p0p1p2")
+    ):
+        one = codec.decode(files, "rgb" if pf[1] == "4" else "ycbcr-jpeg", pf, alignment=alignment, mode="FAILFAST").withColumn(
+            "alignment", F.lit(alignment)
+        )
         bpp = T.PIXEL_FORMATS[pf][2]
         gap = F.hex(F.substring("data", 100 * bpp + 1, F.col("width_padding") * bpp))  # behind the first row
         zeros = (F.lit(True) if not bpp else gap == F.repeat(F.lit("00"), F.col("width_padding") * bpp)).alias("zeros")
@@ -786,19 +1085,29 @@ def _(spark, d):
         for batch in batches:
             if len(batch):
                 packed = J.pack_all([(np.zeros(1, int), np.asarray(c, np.int16).reshape(1, 64)) for c in batch.coefs], ["luma"])
-                yield pd.DataFrame({"vec_id": batch.vec_id, "bits": ["".join(f"{x:08b}" for x in p.replace(b"\xff\0", b"\xff")) for p in packed]})
+                yield pd.DataFrame(
+                    {"vec_id": batch.vec_id, "bits": ["".join(f"{x:08b}" for x in p.replace(b"\xff\0", b"\xff")) for p in packed]}
+                )
 
     return blocks.dct_arrays(X.sample_arrays(spark, d), "samples", ("vec_id",)).mapInPandas(run, "vec_id long, bits string")
 
 
-@query("h10_split_by_index", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS BIGINT) AS segments, true AS same FROM i")
+@query(
+    "h10_split_by_index",
+    f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS BIGINT) AS segments, true AS same FROM i",
+)
 def _(spark, d):
     files = _files(spark, d, restart_interval=8, segment_info=True)
     by_index, by_scan = codec.split_segments(files, use_index=True), codec.split_segments(files).withColumnRenamed("data", "other")
-    return by_index.join(by_scan, ["image_id", "scan", "seg"], "full").groupBy("image_id").agg(F.count("*").alias("segments"), F.every(F.col("data").eqNullSafe(F.col("other"))).alias("same"))
+    return by_index.join(by_scan, ["image_id", "scan", "seg"], "full").groupBy("image_id").agg(
+        F.count("*").alias("segments"), F.every(F.col("data").eqNullSafe(F.col("other"))).alias("same")
+    )
 
 
-@query("h13_h18_decode_segments", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(c.i AS INTEGER) AS comp, CAST(13 * ceil(n / 100 / 8) AS BIGINT) AS blocks, true AS same FROM i, range(0, 3) AS c(i)")
+@query(
+    "h13_h18_decode_segments",
+    f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(c.i AS INTEGER) AS comp, CAST(13 * ceil(n / 100 / 8) AS BIGINT) AS blocks, true AS same FROM i, range(0, 3) AS c(i)",
+)
 def _(spark, d):
     """Coefficients decoded segment by segment, held against those before packing."""
     import numpy as np
@@ -812,7 +1121,9 @@ def _(spark, d):
 
     was = X.image(spark, d).mapInPandas(before, "image_id long, comp int, by int, bx int, was array<int>")
     now = codec.coefficients(_files(spark, d))
-    return now.join(was, ["image_id", "comp", "by", "bx"], "full").groupBy("image_id", "comp").agg(F.count("*").alias("blocks"), F.every(F.col("coefs").eqNullSafe(F.col("was"))).alias("same"))
+    return now.join(was, ["image_id", "comp", "by", "bx"], "full").groupBy("image_id", "comp").agg(
+        F.count("*").alias("blocks"), F.every(F.col("coefs").eqNullSafe(F.col("was"))).alias("same")
+    )
 
 
 @query("h19_reindex", f"WITH i AS ({_IMAGES}) SELECT image_id, true AS same, true AS indexed FROM i")
@@ -821,7 +1132,9 @@ def _(spark, d):
     again = codec.reindex(files)
     pixels_of = lambda df: codec.decode(df, mode="FAILFAST").select("image_id", "data")
     marks = codec.jpeg_markers(again).groupBy("image_id").agg((F.count_if(F.col("marker") == 0xED) == 3).alias("indexed"))
-    return pixels_of(files).join(pixels_of(again).withColumnRenamed("data", "other"), "image_id").join(marks, "image_id").select("image_id", (F.col("data") == F.col("other")).alias("same"), "indexed")
+    return pixels_of(files).join(pixels_of(again).withColumnRenamed("data", "other"), "image_id").join(marks, "image_id").select(
+        "image_id", (F.col("data") == F.col("other")).alias("same"), "indexed"
+    )
 
 
 # ---- I: container ---------------------------------------------------------------
@@ -831,28 +1144,49 @@ def _hex_rows(spark, rows):
     return spark.createDataFrame([(n, bytes(b).hex().upper()) for n, b in rows], "name string, hex string")
 
 
-@query("i2_i3_i5_i11_fixed_markers", "SELECT * FROM (VALUES ('SOI', 'FFD8'), ('EOI', 'FFD9'), ('APP0', 'FFE000104A46494600010101012C012C0000'), ('APP14', 'FFEE000E41646F626500640000000000'), ('DRI', 'FFDD00040008')) AS t(name, hex)")
+@query(
+    "i2_i3_i5_i11_fixed_markers",
+    "SELECT * FROM (VALUES ('SOI', 'FFD8'), ('EOI', 'FFD9'), ('APP0', 'FFE000104A46494600010101012C012C0000'), ('APP14', 'FFEE000E41646F626500640000000000'), ('DRI', 'FFDD00040008')) AS t(name, hex)",
+)
 def _(spark, d):
     return _hex_rows(spark, [("SOI", J.SOI), ("EOI", J.EOI), ("APP0", J.APP0), ("APP14", J.APP14), ("DRI", J.marker(0xDD, b"\0\x08"))])
 
 
-_HEADS = [(cs, n, o, "SPIFF" if n == 4 or o or cs in ("ycbcr-bt601", "ycbcr-bt709") else "Adobe" if cs == "rgb" else "JFIF") for cs in ("rgb", "ycbcr-jpeg", "ycbcr-bt601", "ycbcr-bt709", "yuv") for n in (1, 3, 4) for o in (False, True)]
+_HEADS = [
+    (cs, n, o, "SPIFF" if n == 4 or o or cs in ("ycbcr-bt601", "ycbcr-bt709") else "Adobe" if cs == "rgb" else "JFIF") for cs in (
+        "rgb", "ycbcr-jpeg", "ycbcr-bt601", "ycbcr-bt709", "yuv"
+    ) for n in (1, 3, 4) for o in (False, True)
+]
 
 
-@query("i7_header_choice", f"SELECT color_space, CAST(comps AS INTEGER) AS comps, oriented, CASE WHEN comps = 4 OR oriented OR color_space IN ('ycbcr-bt601', 'ycbcr-bt709') THEN 'SPIFF' WHEN color_space = 'rgb' THEN 'Adobe' ELSE 'JFIF' END AS header FROM {X.values([h[:3] for h in _HEADS], 'color_space, comps, oriented')}")
+@query(
+    "i7_header_choice",
+    f"SELECT color_space, CAST(comps AS INTEGER) AS comps, oriented, CASE WHEN comps = 4 OR oriented OR color_space IN ('ycbcr-bt601', 'ycbcr-bt709') THEN 'SPIFF' WHEN color_space = 'rgb' THEN 'Adobe' ELSE 'JFIF' END AS header FROM {
+        X.values([h[:3] for h in _HEADS], 'color_space, comps, oriented')
+    }",
+)
 def _(spark, d):
     import pandas as pd
 
     def run(batches):
         for batch in batches:
-            kinds = [J.header_kind(J.Params(color_space_internal=r.color_space, orientation=(1, False) if r.oriented else None), r.comps) for r in batch.itertuples()]
+            kinds = [
+                J.header_kind(
+                    J.Params(color_space_internal=r.color_space, orientation=(1, False) if r.oriented else None), r.comps
+                ) for r in batch.itertuples()
+            ]
             yield batch.assign(header=kinds)
 
     cases = spark.createDataFrame([h[:3] for h in _HEADS], "color_space string, comps int, oriented boolean")
     return cases.mapInPandas(run, "color_space string, comps int, oriented boolean, header string")
 
 
-@query("i8_dqt", f"WITH {_QTAB} SELECT kind, 'FFDB0043' || CASE kind WHEN 'luma' THEN '00' ELSE '01' END || string_agg(printf('%02X', {_QUAL.format(q=75)}), '' ORDER BY zz) AS hex FROM base GROUP BY kind")
+@query(
+    "i8_dqt",
+    f"WITH {_QTAB} SELECT kind, 'FFDB0043' || CASE kind WHEN 'luma' THEN '00' ELSE '01' END || string_agg(printf('%02X', {
+        _QUAL.format(q=75)
+    }), '' ORDER BY zz) AS hex FROM base GROUP BY kind",
+)
 def _(spark, d):
     return _marker_rows(_heads(spark), 0xDB).select(F.when(F.col("ord") == 0, "luma").otherwise("chroma").alias("kind"), "hex")
 
@@ -872,7 +1206,9 @@ def _(spark, d):
                 out.append((w, h, sof.hex().upper(), J.scan_head(0, comps, True, "ycbcr-jpeg").hex().upper()))
             yield pd.DataFrame(out, columns=["width", "height", "sof", "sos"])
 
-    sizes = X.read(spark, d, "documents").select(_int(1 + F.col("doc_id") % 1921).alias("width"), _int(1 + F.col("doc_id") % 1081).alias("height")).distinct()
+    sizes = X.read(spark, d, "documents").select(
+        _int(1 + F.col("doc_id") % 1921).alias("width"), _int(1 + F.col("doc_id") % 1081).alias("height")
+    ).distinct()
     return sizes.mapInPandas(run, "width int, height int, sof string, sos string")
 
 
@@ -888,10 +1224,18 @@ _DHT = [  # markers of the Huffman tables: those of DC whole, those of AC by the
 def _(spark, d):
     rows = _marker_rows(_heads(spark), 0xC4).withColumn("bytes", (F.length("hex") / 2).cast("int"))
     kind, group = F.when(F.col("ord") < 2, "luma").otherwise("chroma"), F.when(F.col("ord") % 2 == 0, "dc").otherwise("ac")
-    return rows.select(kind.alias("kind"), group.alias("class"), "bytes", F.when(F.col("ord") % 2 == 0, F.col("hex")).otherwise(F.sha2(F.unhex("hex"), 256)).alias("content"))
+    return rows.select(
+        kind.alias("kind"),
+        group.alias("class"),
+        "bytes",
+        F.when(F.col("ord") % 2 == 0, F.col("hex")).otherwise(F.sha2(F.unhex("hex"), 256)).alias("content"),
+    )
 
 
-@query("i12_comment", f"SELECT CAST(q AS INTEGER) AS quality, '{J.CREATOR}' || least(100, greatest(1, q)) AS comment FROM (VALUES (0), (1), (50), (75), (100), (120)) AS t(q)")
+@query(
+    "i12_comment",
+    f"SELECT CAST(q AS INTEGER) AS quality, '{J.CREATOR}' || least(100, greatest(1, q)) AS comment FROM (VALUES (0), (1), (50), (75), (100), (120)) AS t(q)",
+)
 def _(spark, d):
     import pandas as pd
 
@@ -903,7 +1247,10 @@ def _(spark, d):
     return spark.createDataFrame([(q,) for q in (0, 1, 50, 75, 100, 120)], "quality int").mapInPandas(run, "quality int, comment string")
 
 
-@query("i13_segment_index", f"WITH {_SEGS}, s AS (SELECT scan, seg, sum(bytes + 2) OVER (PARTITION BY scan ORDER BY seg) - CASE WHEN lead(seg) OVER (PARTITION BY scan ORDER BY seg) IS NULL THEN 2 ELSE 0 END AS pos FROM segs) SELECT scan, 'FFED' || printf('%04X', 4 * (count(*) + 1) + 3) || printf('%02X', scan) || '00000000' || string_agg(printf('%08X', CAST(pos AS BIGINT)), '' ORDER BY seg) AS hex FROM s GROUP BY scan")
+@query(
+    "i13_segment_index",
+    f"WITH {_SEGS}, s AS (SELECT scan, seg, sum(bytes + 2) OVER (PARTITION BY scan ORDER BY seg) - CASE WHEN lead(seg) OVER (PARTITION BY scan ORDER BY seg) IS NULL THEN 2 ELSE 0 END AS pos FROM segs) SELECT scan, 'FFED' || printf('%04X', 4 * (count(*) + 1) + 3) || printf('%02X', scan) || '00000000' || string_agg(printf('%08X', CAST(pos AS BIGINT)), '' ORDER BY seg) AS hex FROM s GROUP BY scan",
+)
 def _(spark, d):
     import pandas as pd
 
@@ -951,8 +1298,15 @@ def _(spark, d):
             for i in batch.doc_id:
                 o, w = 1 + i % 8, i * 65537 % 4000000
                 text = f"program {o}".encode() + b"\0"
-                entries = [(256, 4, 1, struct.pack("<I", w)), (274, 3, 1, struct.pack("<HH", o, 0)), (282, 5, 1, struct.pack("<I", 62)), (305, 2, len(text), struct.pack("<I", 70))]
-                body = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHI", *e[:3]) + e[3] for e in entries) + struct.pack("<I", 0)
+                entries = [
+                    (256, 4, 1, struct.pack("<I", w)),
+                    (274, 3, 1, struct.pack("<HH", o, 0)),
+                    (282, 5, 1, struct.pack("<I", 62)),
+                    (305, 2, len(text), struct.pack("<I", 70)),
+                ]
+                body = struct.pack("<H", len(entries)) + b"".join(
+                    struct.pack("<HHI", *e[:3]) + e[3] for e in entries
+                ) + struct.pack("<I", 0)
                 payload = b"Exif\0\0II*\0\x08\0\0\0" + body + struct.pack("<II", w, 3) + text
                 out += [(i, tag, str(v)) for tag, v in J.parse_exif(payload).items()]
             yield pd.DataFrame(out, columns=["doc_id", "tag", "value"])
@@ -960,13 +1314,19 @@ def _(spark, d):
     return X.read(spark, d, "documents").select("doc_id").mapInPandas(run, "doc_id long, tag int, value string")
 
 
-@query("i6_b4_exif", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(t.tag AS INTEGER) AS tag, CAST(t.value AS VARCHAR) AS value FROM i, (VALUES (274, '6'), (282, '[72, 1]'), (283, '[72, 1]'), (296, '2'), (305, 'mine'), (531, '1')) AS t(tag, value)")
+@query(
+    "i6_b4_exif",
+    f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(t.tag AS INTEGER) AS tag, CAST(t.value AS VARCHAR) AS value FROM i, (VALUES (274, '6'), (282, '[72, 1]'), (283, '[72, 1]'), (296, '2'), (305, 'mine'), (531, '1')) AS t(tag, value)",
+)
 def _(spark, d):
     files = _files(spark, d, header="Exif", orientation=(1, False), exif_tags={0x131: ("ASCII", "mine")})
     return codec.exif_tags(files).where("tag <> 34665")
 
 
-@query("i15_markers", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(t.marker AS INTEGER) AS marker, CAST(t.n AS BIGINT) AS n FROM i, (VALUES (216, 1), (224, 1), (219, 2), (192, 1), (196, 4), (221, 1), (254, 1), (218, 3), (0, 3), (217, 1)) AS t(marker, n)")
+@query(
+    "i15_markers",
+    f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(t.marker AS INTEGER) AS marker, CAST(t.n AS BIGINT) AS n FROM i, (VALUES (216, 1), (224, 1), (219, 2), (192, 1), (196, 4), (221, 1), (254, 1), (218, 3), (0, 3), (217, 1)) AS t(marker, n)",
+)
 def _(spark, d):
     return codec.jpeg_markers(_files(spark, d)).groupBy("image_id", "marker").agg(F.count("*").alias("n"))
 
@@ -974,17 +1334,39 @@ def _(spark, d):
 @query("b1_i16_i17_jpeg_info", f"""WITH i AS ({_IMAGES}) SELECT image_id, CAST(100 AS INTEGER) AS width, CAST(n // 100 AS INTEGER) AS height, CAST(3 AS INTEGER) AS comp_count, 'ycbcr-jpeg' AS color_space, false AS interleaved,
 CAST(8 AS INTEGER) AS restart_interval, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS INTEGER) AS segment_count, 'JFIF' AS header_type, '{J.CREATOR}75' AS comment, CAST(NULL AS VARCHAR) AS error FROM i""")
 def _(spark, d):
-    return codec.jpeg_info(_files(spark, d)).select("image_id", "width", "height", "comp_count", "color_space", "interleaved", "restart_interval", "segment_count", "header_type", "comment", "error")
+    return codec.jpeg_info(_files(spark, d)).select(
+        "image_id",
+        "width",
+        "height",
+        "comp_count",
+        "color_space",
+        "interleaved",
+        "restart_interval",
+        "segment_count",
+        "header_type",
+        "comment",
+        "error",
+    )
 
 
-_SPACES = [("ycbcr-jpeg", "default", "ycbcr-jpeg"), ("rgb", "default", "rgb"), ("ycbcr-bt601", "default", "ycbcr-bt601"), ("ycbcr-bt709", "default", "ycbcr-bt709"), ("ycbcr-bt601", "JFIF", "ycbcr-bt601"), ("rgb", "Adobe", "rgb"), ("rgb", "SPIFF", "rgb")]
+_SPACES = [
+    ("ycbcr-jpeg", "default", "ycbcr-jpeg"),
+    ("rgb", "default", "rgb"),
+    ("ycbcr-bt601", "default", "ycbcr-bt601"),
+    ("ycbcr-bt709", "default", "ycbcr-bt709"),
+    ("ycbcr-bt601", "JFIF", "ycbcr-bt601"),
+    ("rgb", "Adobe", "rgb"),
+    ("rgb", "SPIFF", "rgb"),
+]
 
 
 def _color_spaces(spark, d) -> DataFrame:
     """The colour space found in every image's file, for each of _SPACES: image_id, internal, header, found."""
     out = None
     for internal, header, _ in _SPACES:
-        one = codec.jpeg_info(_files(spark, d, color_space_internal=internal, header=header)).select("image_id", F.lit(internal).alias("internal"), F.lit(header).alias("header"), F.col("color_space").alias("found"))
+        one = codec.jpeg_info(_files(spark, d, color_space_internal=internal, header=header)).select(
+            "image_id", F.lit(internal).alias("internal"), F.lit(header).alias("header"), F.col("color_space").alias("found")
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -994,7 +1376,10 @@ def _(spark, d):
     return _color_spaces(spark, d).select("internal", "header", "found").distinct()  # of all images: one that differs adds a row
 
 
-@query("i18_color_space_by_image", f"WITH i AS ({_IMAGES}) SELECT image_id, internal, header, found FROM i, {X.values(_SPACES, 'internal, header, found')}")
+@query(
+    "i18_color_space_by_image",
+    f"WITH i AS ({_IMAGES}) SELECT image_id, internal, header, found FROM i, {X.values(_SPACES, 'internal, header, found')}",
+)
 def _(spark, d):
     return _color_spaces(spark, d)
 
@@ -1022,7 +1407,12 @@ def _(spark, d):
             out = []
             for r in batch.itertuples():
                 first = tuple(map(int, r.s.split("x")))
-                j = J.Jpeg(ids=list(range(r.comps)), sampling=[first, *[(1, 1)] * (r.comps - 1)], interleaved=r.interleaved, color_space="ycbcr-jpeg")
+                j = J.Jpeg(
+                    ids=list(range(r.comps)),
+                    sampling=[first, *[(1, 1)] * (r.comps - 1)],
+                    interleaved=r.interleaved,
+                    color_space="ycbcr-jpeg",
+                )
                 out.append(J.output_format(j, r.cs, r.pf))
             yield batch.assign(out_cs=[o[0] for o in out], out_pf=[o[1] for o in out])
 
@@ -1043,7 +1433,9 @@ def _unsupported(spark, d) -> DataFrame:
                 good = bytes(r.jpeg)
                 at = good.index(b"\xff\xc0")
                 put = lambda code: good[: at + 1] + bytes([code]) + good[at + 2 :]  # noqa: B023, E731
-                yield pd.DataFrame({"name": ["progressive", "extended", "garbage"], "jpeg": [put(0xC2), put(0xC1), b"no image"], "image_id": r.image_id})
+                yield pd.DataFrame(
+                    {"name": ["progressive", "extended", "garbage"], "jpeg": [put(0xC2), put(0xC1), b"no image"], "image_id": r.image_id}
+                )
 
     bad = _files(spark, d).mapInPandas(run, "name string, jpeg binary, image_id long")
     return codec.jpeg_info(bad, keys=("image_id", "name")).select("image_id", "name", F.col("error").isNotNull().alias("failed"))
@@ -1073,7 +1465,12 @@ def _quality(spark, d, floor: float = 20, **params) -> DataFrame:
     def run(batches):
         for batch in batches:
             pairs = zip(batch.was, batch.data, strict=True)
-            yield pd.DataFrame({"image_id": batch.image_id, "good": [J.psnr(np.frombuffer(bytes(a), np.uint8), np.frombuffer(bytes(b), np.uint8)) >= floor for a, b in pairs]})
+            yield pd.DataFrame(
+                {
+                    "image_id": batch.image_id,
+                    "good": [J.psnr(np.frombuffer(bytes(a), np.uint8), np.frombuffer(bytes(b), np.uint8)) >= floor for a, b in pairs],
+                }
+            )
 
     return raw.join(out, "image_id").mapInPandas(run, "image_id long, good boolean")
 
@@ -1085,7 +1482,9 @@ for _name, _p in (
     ("rgb", {"quality": 95, "color_space_internal": "rgb"}),
     ("q95_segment_info", {"quality": 95, "segment_info": True}),
 ):
-    query(f"encode_decode_{_name}", f"WITH i AS ({_IMAGES}) SELECT image_id, true AS good FROM i")(lambda spark, d, p=_p: _quality(spark, d, **p))
+    query(f"encode_decode_{_name}", f"WITH i AS ({_IMAGES}) SELECT image_id, true AS good FROM i")(
+        lambda spark, d, p=_p: _quality(spark, d, **p)
+    )
 
 
 @query("decode_spread", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(t.n AS INTEGER) AS case_, true AS same FROM i, range(0, 3) AS t(n)")
@@ -1093,7 +1492,11 @@ def _(spark, d):
     """Segments and bands of rows in many tasks give the same pixels as an image in one."""
     out = None
     for n, (params, options) in enumerate(
-        (({}, {}), ({"sampling": ((2, 2), (1, 1), (1, 1)), "interleaved": True}, {"alignment": 16}), ({"sampling": ((2, 2), (1, 1), (1, 1))}, {"pixel_format": "420-u8-p0p1p2", "color_space": "ycbcr-jpeg"}))
+        (
+            ({}, {}),
+            ({"sampling": ((2, 2), (1, 1), (1, 1)), "interleaved": True}, {"alignment": 16}),
+            ({"sampling": ((2, 2), (1, 1), (1, 1))}, {"pixel_format": "420-u8-p0p1p2", "color_space": "ycbcr-jpeg"}),
+        )
     ):
         files = _files(spark, d, **params)
         one = codec.decode(files, mode="FAILFAST", **options)
@@ -1111,10 +1514,19 @@ def _(spark, d):
     return one.join(two, "image_id").select("image_id", (F.col("jpeg") == F.col("other")).alias("same"))
 
 
-_PSNR = [("1119x561.c_ycbcr-jpeg.p_u8.random.tst", 75, 1, "ycbcr-jpeg", 28.538), ("1119x561.random.tst", 75, 3, "ycbcr-jpeg", 22.262), ("1119x561.p_4444-u8-p0123.random.tst", 90, 4, "rgb", 36.43)]
+_PSNR = [
+    ("1119x561.c_ycbcr-jpeg.p_u8.random.tst", 75, 1, "ycbcr-jpeg", 28.538),
+    ("1119x561.random.tst", 75, 3, "ycbcr-jpeg", 22.262),
+    ("1119x561.p_4444-u8-p0123.random.tst", 90, 4, "rgb", 36.43),
+]
 
 
-@query("j4_published_psnr", f"SELECT * FROM {X.values([(p[0], p[4]) for p in _PSNR], 'path, psnr')}".replace("SELECT *", "SELECT path, CAST(psnr AS DOUBLE) AS psnr"))
+@query(
+    "j4_published_psnr",
+    f"SELECT * FROM {X.values([(p[0], p[4]) for p in _PSNR], 'path, psnr')}".replace(
+        "SELECT *", "SELECT path, CAST(psnr AS DOUBLE) AS psnr"
+    ),
+)
 def _(spark, d):
     """The test noise at the published settings."""
     import numpy as np
@@ -1130,31 +1542,49 @@ def _(spark, d):
                 w, h, cs, pf, raw = formats.parse_tst(r.path)
                 jpeg = J.encode(raw, w, h, cs, pf, 0, J.Params(quality=r.quality, comp_count=r.comps, color_space_internal=r.internal))
                 back = J.decode(jpeg, cs, pf)[5]
-                yield pd.DataFrame({"path": [r.path], "psnr": [round(J.psnr(np.frombuffer(raw, np.uint8), np.frombuffer(back, np.uint8)), 3)]})
+                yield pd.DataFrame(
+                    {"path": [r.path], "psnr": [round(J.psnr(np.frombuffer(raw, np.uint8), np.frombuffer(back, np.uint8)), 3)]}
+                )
 
     return jobs.mapInPandas(run, "path string, psnr double")
 
 
-@query("j4_psnr", f"{_IDCT} SELECT vec_id, CASE WHEN avg((s.v - r.v) * (s.v - r.v)) > 0 THEN round(10 * log10(65025.0 / avg((s.v - r.v) * (s.v - r.v))), 6) END AS psnr FROM samples s JOIN rebuilt r USING (vec_id, n) GROUP BY vec_id")
+@query(
+    "j4_psnr",
+    f"{_IDCT} SELECT vec_id, CASE WHEN avg((s.v - r.v) * (s.v - r.v)) > 0 THEN round(10 * log10(65025.0 / avg((s.v - r.v) * (s.v - r.v))), 6) END AS psnr FROM samples s JOIN rebuilt r USING (vec_id, n) GROUP BY vec_id",
+)
 def _(spark, d):
     arrays = X.sample_arrays(spark, d)
-    back = blocks.idct_arrays(blocks.dct_arrays(arrays, "samples", ("vec_id",)), ("vec_id",)).select("vec_id", F.posexplode("samples").alias("n", "b"))
+    back = blocks.idct_arrays(blocks.dct_arrays(arrays, "samples", ("vec_id",)), ("vec_id",)).select(
+        "vec_id", F.posexplode("samples").alias("n", "b")
+    )
     return pixels.psnr(X.samples(spark, d).join(back, ["vec_id", "n"]), "v", "b", ("vec_id",))
 
 
-@query("j1_value_range", f"WITH {_PLANES} SELECT CAST(comp AS INTEGER) AS comp, CAST(min(v) AS INTEGER) AS low, CAST(max(v) AS INTEGER) AS high FROM planes GROUP BY comp")
+@query(
+    "j1_value_range",
+    f"WITH {_PLANES} SELECT CAST(comp AS INTEGER) AS comp, CAST(min(v) AS INTEGER) AS low, CAST(max(v) AS INTEGER) AS high FROM planes GROUP BY comp",
+)
 def _(spark, d):
     return pixels.value_range(pixels.fan_out(X.pixels(spark, d)))
 
 
-@query("j2_durations", "SELECT user_id, round(avg(value), 6) AS average, round(avg(value) FILTER (WHERE r > 1), 6) AS without_first FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY user_id")
+@query(
+    "j2_durations",
+    "SELECT user_id, round(avg(value), 6) AS average, round(avg(value) FILTER (WHERE r > 1), 6) AS without_first FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY user_id",
+)
 def _(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = X.read(spark, d, "events").withColumn("r", F.row_number().over(w))
-    return e.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("average"), F.round(F.avg(F.when(F.col("r") > 1, F.col("value"))), 6).alias("without_first"))
+    return e.groupBy("user_id").agg(
+        F.round(F.avg("value"), 6).alias("average"), F.round(F.avg(F.when(F.col("r") > 1, F.col("value"))), 6).alias("without_first")
+    )
 
 
-@query("j6_size_summary", f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS BIGINT) AS segments, true AS sums_up FROM i")
+@query(
+    "j6_size_summary",
+    f"WITH i AS ({_IMAGES}) SELECT image_id, CAST(ceil(13 * ceil(n / 100 / 8) / 8) * 3 AS BIGINT) AS segments, true AS sums_up FROM i",
+)
 def _(spark, d):
     """Segments of each file, and whether their bytes, restart markers and other markers are all that the file has."""
     files = _files(spark, d)
@@ -1162,25 +1592,58 @@ def _(spark, d):
     plain = F.when(F.col("marker").isin(0xD8, 0xD9), 2).when(F.col("marker") == 0, 0).otherwise(F.col("length") + 4)
     marks = codec.jpeg_markers(files).groupBy("image_id").agg(F.sum(plain).alias("heads"), F.count_if(F.col("marker") == 0).alias("scans"))
     every = files.select("image_id", F.length("jpeg").alias("all")).join(segs, "image_id").join(marks, "image_id")
-    return every.select("image_id", "segments", (F.col("all") == F.col("bits") + 2 * (F.col("segments") - F.col("scans")) + F.col("heads")).alias("sums_up"))
+    return every.select(
+        "image_id", "segments", (F.col("all") == F.col("bits") + 2 * (F.col("segments") - F.col("scans")) + F.col("heads")).alias("sums_up")
+    )
 
 
 _STAGES = [f"{way}: {what}" for way in ("encode", "decode") for what in ("transform", "entropy code", "container")]
 
 
-@query("j3_stage_durations", f"WITH i AS ({_IMAGES}) SELECT image_id, t.stage, true AS measured FROM i, {X.values([(s,) for s in _STAGES], 'stage')}")
+@query(
+    "j3_stage_durations",
+    f"WITH i AS ({_IMAGES}) SELECT image_id, t.stage, true AS measured FROM i, {X.values([(s,) for s in _STAGES], 'stage')}",
+)
 def _(spark, d):
     return codec.durations(X.image(spark, d)).select("image_id", "stage", (F.col("milliseconds") > 0).alias("measured"))
 
 
-@query("j7_number_format", "SELECT doc_id, format('{:,}', n) AS text FROM (SELECT doc_id, doc_id * doc_id * 1009 AS n FROM documents UNION ALL SELECT -1, 10000000000)")
+@query(
+    "j7_number_format",
+    "SELECT doc_id, format('{:,}', n) AS text FROM (SELECT doc_id, doc_id * doc_id * 1009 AS n FROM documents UNION ALL SELECT -1, 10000000000)",
+)
 def _(spark, d):
-    n = X.read(spark, d, "documents").select("doc_id", (F.col("doc_id") * F.col("doc_id") * 1009).alias("n")).unionByName(spark.createDataFrame([(-1, 10**10)], "doc_id long, n long"))
+    n = X.read(spark, d, "documents").select("doc_id", (F.col("doc_id") * F.col("doc_id") * 1009).alias("n")).unionByName(
+        spark.createDataFrame([(-1, 10**10)], "doc_id long, n long")
+    )
     return n.select("doc_id", F.format_number("n", 0).alias("text"))
 
 
-@query("j13_chroma_subsampling", f"SELECT name, CAST(comp AS INTEGER) AS comp, CAST(h AS INTEGER) AS h, CAST(v AS INTEGER) AS v FROM {X.values([('420', 0, 2, 2), ('420', 1, 1, 1), ('420', 2, 1, 1), ('422', 0, 2, 1), ('422', 1, 1, 1), ('422', 2, 1, 1), ('444', 0, 1, 1), ('444', 1, 1, 1), ('444', 2, 1, 1)], 'name, comp, h, v')}")
+@query(
+    "j13_chroma_subsampling",
+    f"SELECT name, CAST(comp AS INTEGER) AS comp, CAST(h AS INTEGER) AS h, CAST(v AS INTEGER) AS v FROM {
+        X.values(
+            [
+                ('420', 0, 2, 2),
+                ('420', 1, 1, 1),
+                ('420', 2, 1, 1),
+                ('422', 0, 2, 1),
+                ('422', 1, 1, 1),
+                ('422', 2, 1, 1),
+                ('444', 0, 1, 1),
+                ('444', 1, 1, 1),
+                ('444', 2, 1, 1),
+            ],
+            'name, comp, h, v',
+        )
+    }",
+)
 def _(spark, d):
     s = spark.createDataFrame([("420",), ("422",), ("444",)], "name string").withColumn("s", G.parse_subsampling(F.col("name")))
     comps = s.withColumn("comp", F.explode(F.sequence(F.lit(0), F.col("s.comps") - 1)))
-    return comps.select("name", "comp", F.when(F.col("comp") == 0, F.col("s.h0")).otherwise(1).alias("h"), F.when(F.col("comp") == 0, F.col("s.v0")).otherwise(1).alias("v"))
+    return comps.select(
+        "name",
+        "comp",
+        F.when(F.col("comp") == 0, F.col("s.h0")).otherwise(1).alias("h"),
+        F.when(F.col("comp") == 0, F.col("s.v0")).otherwise(1).alias("v"),
+    )

@@ -17,7 +17,9 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
     i = lambda c: c.cast("int")
     return read(spark, d, "events").select(
         "event_id", i(F.col("event_id") % WIDTH).alias("x"), i(F.floor(F.col("event_id") / WIDTH)).alias("y"),
-        i(F.floor("value").cast("int") % 256).alias("c0"), i(F.col("user_id") % 256).alias("c1"), i(F.length("event_type") * 37 % 256).alias("c2"),
+        i(F.floor("value").cast("int") % 256).alias("c0"), i(F.col("user_id") % 256).alias("c1"), i(
+            F.length("event_type") * 37 % 256
+        ).alias("c2"),
     )
 
 
@@ -28,7 +30,11 @@ PIXELS = """pixels AS (SELECT event_id, CAST(event_id % 100 AS INTEGER) AS x, CA
 def bag(spark: SparkSession, d: str) -> DataFrame:
     """Pixels without places: c0, c1, c2 of line items."""
     i = lambda c: c.cast("int")
-    return read(spark, d, "lineitem").select(i(F.col("l_partkey") % 256).alias("c0"), i(F.col("l_suppkey") % 256).alias("c1"), i(F.col("l_quantity").cast("int") * 5 % 256).alias("c2"))
+    return read(spark, d, "lineitem").select(
+        i(F.col("l_partkey") % 256).alias("c0"),
+        i(F.col("l_suppkey") % 256).alias("c1"),
+        i(F.col("l_quantity").cast("int") * 5 % 256).alias("c2"),
+    )
 
 
 BAG = "bag AS (SELECT CAST(l_partkey % 256 AS INTEGER) AS c0, CAST(l_suppkey % 256 AS INTEGER) AS c1, CAST((CAST(l_quantity AS INTEGER) * 5) % 256 AS INTEGER) AS c2 FROM lineitem)"
@@ -55,10 +61,20 @@ def image(spark: SparkSession, d: str, pixel_format: str = "444-u8-p012") -> Dat
     cells = F.array_sort(F.collect_list(F.struct("row", "x", F.concat(*(F.lpad(F.hex(f"c{k}"), 2, "0") for k in range(3))).alias("d"))))
     whole = p.groupBy("image_id").agg(cells.alias("cells"), F.count("*").alias("n"))  # 5,000 pixels an image
     data = F.unhex(F.array_join(F.transform("cells", lambda c: c["d"]), ""))
-    return whole.select("image_id", F.lit(WIDTH).alias("width"), (F.col("n") / WIDTH).cast("int").alias("height"), F.lit("rgb").alias("color_space"), F.lit(pixel_format).alias("pixel_format"), F.lit(0).alias("width_padding"), data.alias("data"))
+    return whole.select(
+        "image_id",
+        F.lit(WIDTH).alias("width"),
+        (F.col("n") / WIDTH).cast("int").alias("height"),
+        F.lit("rgb").alias("color_space"),
+        F.lit(pixel_format).alias("pixel_format"),
+        F.lit(0).alias("width_padding"),
+        data.alias("data"),
+    )
 
 
 def values(rows, columns: str) -> str:
     """A VALUES table in SQL."""
-    lit = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else repr(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
+    lit = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else repr(x) if isinstance(
+        x, (int, float)
+    ) else "'" + str(x).replace("'", "''") + "'"
     return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS t({columns})"

@@ -23,7 +23,15 @@ def file_format(name: str) -> str | None:
 
 # Each parser gives (width, height, colour space, pixel format, offset of the samples, or the samples themselves).
 
-_RAW = {"RGB": ("rgb", "444-u8-p012"), "RGBA": ("rgb", "4444-u8-p0123"), "YUV": ("ycbcr-bt709", "444-u8-p012"), "YUVA": ("ycbcr-bt709", "4444-u8-p0123"), "UYVY": ("ycbcr-bt709", "422-u8-p1020"), "I420": ("ycbcr-bt709", "420-u8-p0p1p2"), "GRAY": ("ycbcr-jpeg", "u8")}
+_RAW = {
+    "RGB": ("rgb", "444-u8-p012"),
+    "RGBA": ("rgb", "4444-u8-p0123"),
+    "YUV": ("ycbcr-bt709", "444-u8-p012"),
+    "YUVA": ("ycbcr-bt709", "4444-u8-p0123"),
+    "UYVY": ("ycbcr-bt709", "422-u8-p1020"),
+    "I420": ("ycbcr-bt709", "420-u8-p0p1p2"),
+    "GRAY": ("ycbcr-jpeg", "u8"),
+}
 
 
 def _tokens(data: bytes, n: int) -> tuple[list[bytes], int]:
@@ -58,7 +66,15 @@ def parse_pam(data: bytes):
     return w, h, cs, pf, data.find(b"\n", end) + 1
 
 
-_CHROMA = {b"420": "420-u8-p0p1p2", b"420jpeg": "420-u8-p0p1p2", b"420paldv": "420-u8-p0p1p2", b"420mpeg2": "420-u8-p0p1p2", b"422": "422-u8-p0p1p2", b"444": "444-u8-p0p1p2", b"mono": "u8"}
+_CHROMA = {
+    b"420": "420-u8-p0p1p2",
+    b"420jpeg": "420-u8-p0p1p2",
+    b"420paldv": "420-u8-p0p1p2",
+    b"420mpeg2": "420-u8-p0p1p2",
+    b"422": "422-u8-p0p1p2",
+    b"444": "444-u8-p0p1p2",
+    b"mono": "u8",
+}
 
 
 def parse_y4m(data: bytes):
@@ -247,7 +263,9 @@ def parse_gif(data: bytes):
     indices[y0 : y0 + fh, x0 : x0 + fw] = rows
     p = table[indices]
     if clear is not None:
-        return w, h, "rgb", "4444-u8-p0123", np.concatenate([p, np.where(indices == clear, 0, 255).astype(np.uint8)[:, :, None]], axis=2).tobytes()
+        return w, h, "rgb", "4444-u8-p0123", np.concatenate(
+            [p, np.where(indices == clear, 0, 255).astype(np.uint8)[:, :, None]], axis=2
+        ).tobytes()
     return w, h, "rgb", "444-u8-p012", p.tobytes()
 
 
@@ -278,7 +296,17 @@ def parse_tst(name: str):
     return w, h, cs, pf, raw
 
 
-PARSERS = {"PNM": parse_pnm, "PGM": parse_pnm, "PPM": parse_pnm, "PAM": parse_pam, "Y4M": parse_y4m, "BMP": parse_bmp, "TGA": parse_tga, "PNG": parse_png, "GIF": parse_gif}
+PARSERS = {
+    "PNM": parse_pnm,
+    "PGM": parse_pnm,
+    "PPM": parse_pnm,
+    "PAM": parse_pam,
+    "Y4M": parse_y4m,
+    "BMP": parse_bmp,
+    "TGA": parse_tga,
+    "PNG": parse_png,
+    "GIF": parse_gif,
+}
 
 
 def load(name: str, data: bytes, width: int = 0, height: int = 0, color_space: str | None = None, pixel_format: str | None = None):
@@ -310,7 +338,9 @@ def probe(name: str, head: bytes):
         return j.width, j.height, j.color_space, J.native_format(len(j.ids), j.sampling, j.interleaved)
     if kind == "PNG":
         w, h, _, color = struct.unpack(">IIBB", head[16:26])
-        return w, h, "rgb" if color else "ycbcr-jpeg", {0: "u8", 2: "444-u8-p012", 3: "444-u8-p012", 4: "4444-u8-p0123", 6: "4444-u8-p0123"}[color]
+        return w, h, "rgb" if color else "ycbcr-jpeg", {
+            0: "u8", 2: "444-u8-p012", 3: "444-u8-p012", 4: "4444-u8-p0123", 6: "4444-u8-p0123"
+        }[color]
     if kind == "BMP":
         w, h, _, depth = struct.unpack("<iiHH", head[18:30])
         return w, abs(h), "rgb", "4444-u8-p0123" if depth == 32 else "444-u8-p012"
@@ -348,14 +378,18 @@ def write_pam(w, h, cs, pf, raw) -> bytes:
     if pf != "u8" and cs != "rgb":
         raise FormatError("only RGB and gray are written")
     n = p.shape[2]
-    return f"P7\nWIDTH {w}\nHEIGHT {h}\nDEPTH {n}\nMAXVAL 255\nTUPLTYPE { {1: 'GRAYSCALE', 3: 'RGB', 4: 'RGB_ALPHA'}[n] }\nENDHDR\n".encode() + p.tobytes()
+    return f"P7\nWIDTH {w}\nHEIGHT {h}\nDEPTH {n}\nMAXVAL 255\nTUPLTYPE {
+        {1: 'GRAYSCALE', 3: 'RGB', 4: 'RGB_ALPHA'}[n]
+    }\nENDHDR\n".encode() + p.tobytes()
 
 
 def write_y4m(w, h, cs, pf, raw) -> bytes:
     chroma = {"u8": "mono", "420-u8-p0p1p2": "420", "422-u8-p0p1p2": "422", "444-u8-p0p1p2": "444"}.get(pf)
     if chroma is None or cs == "rgb":
         raise FormatError("only planar images that are not RGB are written")
-    return f"YUV4MPEG2 W{w} H{h} F25:1 Ip A0:0 C{chroma} XCOLORRANGE={'FULL' if cs == 'ycbcr-jpeg' else 'LIMITED'}\nFRAME\n".encode() + raw[: J.image_size(w, h, pf)]
+    return f"YUV4MPEG2 W{w} H{h} F25:1 Ip A0:0 C{chroma} XCOLORRANGE={'FULL' if cs == 'ycbcr-jpeg' else 'LIMITED'}\nFRAME\n".encode() + raw[
+        : J.image_size(w, h, pf)
+    ]
 
 
 def write_bmp(w, h, cs, pf, raw) -> bytes:
@@ -397,10 +431,21 @@ def write_png(w, h, cs, pf, raw) -> bytes:
     color = {1: 0, 3: 2, 4: 6}[p.shape[2]]
     lines = np.concatenate([np.zeros((h, 1), np.uint8), p.reshape(h, -1)], axis=1).tobytes()
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
-
-
-WRITERS = {"PNM": write_pnm, "PGM": write_pnm, "PPM": write_pnm, "PAM": write_pam, "Y4M": write_y4m, "BMP": write_bmp, "TGA": write_tga, "PNG": write_png}
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)) + chunk(
+        b"IDAT", zlib.compress(lines, 6)
+    ) + chunk(b"IEND", b"")
+
+
+WRITERS = {
+    "PNM": write_pnm,
+    "PGM": write_pnm,
+    "PPM": write_pnm,
+    "PAM": write_pam,
+    "Y4M": write_y4m,
+    "BMP": write_bmp,
+    "TGA": write_tga,
+    "PNG": write_png,
+}
 
 
 def save(name: str, w: int, h: int, cs: str, pf: str, raw: bytes, **options) -> tuple[str, bytes]:

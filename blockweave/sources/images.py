@@ -30,7 +30,9 @@ def read_images(
     pattern: str = "*",
 ) -> DataFrame:
     """SCHEMA, a row a file, whatever its format; files are read by Spark, so any store it reaches will do."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select(
+        "path", "content"
+    )
     return parse(files, mode, width, height, color_space, pixel_format)
 
 
@@ -47,7 +49,9 @@ def parse(
                     if mode == "FAILFAST":
                         raise
                     row = (name, None, None, None, None, None, None, f"{type(e).__name__}: {e}")
-                yield pd.DataFrame([row], columns=["path", "width", "height", "color_space", "pixel_format", "width_padding", "data", "error"]).astype({c: "Int32" for c in ("width", "height", "width_padding")})
+                yield pd.DataFrame(
+                    [row], columns=["path", "width", "height", "color_space", "pixel_format", "width_padding", "data", "error"]
+                ).astype({c: "Int32" for c in ("width", "height", "width_padding")})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
@@ -93,7 +97,9 @@ def probe_images(spark: SparkSession, path: str, pattern: str = "*", head: int =
                             found = (row.path, None, None, None, None, f"{type(e).__name__}: {e}")
                         n *= 2
                 out.append(found)
-            yield pd.DataFrame(out, columns=["path", "width", "height", "color_space", "pixel_format", "error"]).astype({"width": "Int32", "height": "Int32"})
+            yield pd.DataFrame(out, columns=["path", "width", "height", "color_space", "pixel_format", "error"]).astype(
+                {"width": "Int32", "height": "Int32"}
+            )
 
     files = files.select("path", "length") if direct else files.select("path", "length", "content")
     return files.mapInPandas(run, "path string, width int, height int, color_space string, pixel_format string, error string")
@@ -174,7 +180,9 @@ def write_images(images: DataFrame, folder: str, name: str = "path", base: str |
             out = []
             for row in batch.itertuples():
                 try:
-                    file, body = formats.save(row.name_, row.width, row.height, row.color_space, row.pixel_format, bytes(row.data), **options)
+                    file, body = formats.save(
+                        row.name_, row.width, row.height, row.color_space, row.pixel_format, bytes(row.data), **options
+                    )
                     store.at(file)
                     out.append((row.path_, file, store.put(f"{work}/{uuid.uuid4().hex}", body), len(body), None))
                 except Exception as e:  # noqa: BLE001  a bad image becomes a row with an error
@@ -192,7 +200,9 @@ def write_images(images: DataFrame, folder: str, name: str = "path", base: str |
     store = Store(folder)
     store.fs.create_dir(store.root, recursive=True)
     report, done = f"{folder.rstrip('/')}/{work}/report", f"{folder.rstrip('/')}/_written-{work[9:]}"
-    named = images.select(F.col(name).alias("path_"), relative(name, base).alias("name_"), "width", "height", "color_space", "pixel_format", "data")
+    named = images.select(
+        F.col(name).alias("path_"), relative(name, base).alias("name_"), "width", "height", "color_space", "pixel_format", "data"
+    )
     named.mapInPandas(run, _WRITTEN.replace("file string", "file string, tmp string")).write.parquet(report)
     written = spark.read.schema(_WRITTEN.replace("file string", "file string, tmp string")).parquet(report)
     clash = written.where("file is not null").groupBy("file").count().where("count > 1").orderBy("file").limit(5).collect()

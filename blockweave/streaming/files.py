@@ -12,7 +12,9 @@ from blockweave.sources import images
 def incoming(spark: SparkSession, folder: str, pattern: str = "*", files_a_batch: int = 100) -> DataFrame:
     """path, modificationTime, length, content of new files."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_a_batch).load(folder)
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option(
+        "maxFilesPerTrigger", files_a_batch
+    ).load(folder)
 
 
 def encode_stream(spark: SparkSession, folder: str, params: codec.Params | None = None, **options) -> DataFrame:

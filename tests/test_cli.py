@@ -20,5 +20,7 @@ def test_cli(spark, tmp_path, capsys):
     (src / "sub").mkdir()
     (src / "sub" / "a.ppm").write_bytes(formats.write_pnm(8, 8, "rgb", "444-u8-p012", bytes(192)))
     assert main(["encode", str(src), str(tmp_path / "out3")]) == 1
-    assert J.read((tmp_path / "out3" / "sub" / "a.jpg").read_bytes()).width == 8 and J.read((tmp_path / "out3" / "a.jpg").read_bytes()).width == 32
+    assert J.read((tmp_path / "out3" / "sub" / "a.jpg").read_bytes()).width == 8 and J.read(
+        (tmp_path / "out3" / "a.jpg").read_bytes()
+    ).width == 32
     assert main(["formats"]) == main(["--version"]) == main([]) == 0 and main(["what", "a", "b"]) == 2

@@ -35,7 +35,11 @@ def test_round_trip(pf, interleaved, restart):
 
 
 def test_published_quality():
-    for w, h, pf, q, n, cs, internal, want in ((1119, 561, "u8", 75, 1, "ycbcr-jpeg", "ycbcr-jpeg", 28.538), (1119, 561, "444-u8-p012", 75, 3, "rgb", "ycbcr-jpeg", 22.262), (1119, 561, "4444-u8-p0123", 90, 4, "rgb", "rgb", 36.43)):
+    for w, h, pf, q, n, cs, internal, want in (
+        (1119, 561, "u8", 75, 1, "ycbcr-jpeg", "ycbcr-jpeg", 28.538),
+        (1119, 561, "444-u8-p012", 75, 3, "rgb", "ycbcr-jpeg", 22.262),
+        (1119, 561, "4444-u8-p0123", 90, 4, "rgb", "rgb", 36.43),
+    ):
         raw = J.lcg(J.image_size(w, h, pf)).tobytes()
         back = J.decode(J.encode(raw, w, h, cs, pf, 0, J.Params(quality=q, comp_count=n, color_space_internal=internal)), cs, pf)[5]
         assert abs(psnr_of(raw, back) - want) < 0.001
@@ -77,7 +81,9 @@ def test_lost_segment_loses_those_up_to_the_marker_that_is_due():
 
 def test_headers_exif_orientation_and_spaces():
     raw = J.pack(smooth(40, 24, 3), "444-u8-p012")
-    for cs, header, kind in (("rgb", "default", "Adobe"), ("ycbcr-bt709", "default", "SPIFF"), ("ycbcr-bt601", "JFIF", "JFIF"), ("ycbcr-jpeg", "Exif", "Exif")):
+    for cs, header, kind in (
+        ("rgb", "default", "Adobe"), ("ycbcr-bt709", "default", "SPIFF"), ("ycbcr-bt601", "JFIF", "JFIF"), ("ycbcr-jpeg", "Exif", "Exif")
+    ):
         j = J.read(J.encode(raw, 40, 24, params=J.Params(color_space_internal=cs, header=header)))
         assert (j.color_space, j.header) == (cs, kind)
     for o in T.ORIENTATIONS:
@@ -92,7 +98,13 @@ def test_headers_exif_orientation_and_spaces():
 def test_foreign_decoder_reads_our_files(spark, tmp_path):
     """The JVM's own JPEG reader, through Spark's image source."""
     raw = J.pack(smooth(61, 47, 3), "444-u8-p012")
-    for k, p in enumerate((J.Params(quality=95), J.Params(quality=95, interleaved=True, sampling=((2, 2), (1, 1), (1, 1))), J.Params(quality=95, interleaved=True, restart_interval=0))):
+    for k, p in enumerate(
+        (
+            J.Params(quality=95),
+            J.Params(quality=95, interleaved=True, sampling=((2, 2), (1, 1), (1, 1))),
+            J.Params(quality=95, interleaved=True, restart_interval=0),
+        )
+    ):
         (tmp_path / f"{k}.jpg").write_bytes(J.encode(raw, 61, 47, params=p))
     rows = spark.read.format("image").load(str(tmp_path)).select("image.width", "image.height", "image.data", "image.nChannels").collect()
     assert len(rows) == 3
@@ -181,12 +193,17 @@ def test_segments_side_by_side(blocks, zeros, data):
 
 
 def images_frame(spark, rows):
-    return spark.createDataFrame(rows, "image_id long, width int, height int, color_space string, pixel_format string, width_padding int, data binary")
+    return spark.createDataFrame(
+        rows, "image_id long, width int, height int, color_space string, pixel_format string, width_padding int, data binary"
+    )
 
 
 def test_frames(spark):
     raw = J.pack(smooth(40, 24, 3), "444-u8-p012")
-    frame = images_frame(spark, [(1, 40, 24, "rgb", "444-u8-p012", 0, raw), (2, 40, 24, "rgb", "444-u8-p012", 0, b"short"), (3, 40, 24, "rgb", "nothing", 0, raw)])
+    frame = images_frame(
+        spark,
+        [(1, 40, 24, "rgb", "444-u8-p012", 0, raw), (2, 40, 24, "rgb", "444-u8-p012", 0, b"short"), (3, 40, 24, "rgb", "nothing", 0, raw)],
+    )
     out = {r.image_id: r for r in codec.encode(frame).collect()}
     assert bytes(out[1].jpeg) == J.encode(raw, 40, 24) and out[1].error is None
     assert out[2].jpeg is None and "too few" in out[2].error and out[3].error
@@ -233,7 +250,10 @@ def test_markers_out_of_turn():
     assert J.split_scan(scan([0])[:-3]) == [b"\0\0\0"] and J.split_scan(b"") == []
 
 
-@pytest.mark.parametrize("params", [{}, {"interleaved": True, "sampling": ((2, 2), (1, 1), (1, 1))}, {"sampling": ((2, 1), (1, 1), (1, 1)), "restart_interval": 3}])
+@pytest.mark.parametrize(
+    "params",
+    [{}, {"interleaved": True, "sampling": ((2, 2), (1, 1), (1, 1))}, {"sampling": ((2, 1), (1, 1), (1, 1)), "restart_interval": 3}],
+)
 def test_decode_in_bands(spark, params):
     """Images of more than one band, with a broken file and one that lost its last segments, as in one task each."""
     files = [(k, J.encode(J.lcg(w * h * 3, k + 1).tobytes(), w, h, params=J.Params(**params))) for k, (w, h) in enumerate([(70, 300), (33, 17), (130, 129)])]
@@ -241,7 +261,9 @@ def test_decode_in_bands(spark, params):
     files += [(10, files[0][1][:at] + b"\xff\xd9"), (11, b"broken")]
     df = spark.createDataFrame(files, "image_id long, jpeg binary")
     for options in ({}, {"alignment": 16, "remap": "210"}, {"color_space": "ycbcr-jpeg", "pixel_format": "420-u8-p0p1p2"}, {"flip": True}):
-        key = lambda rows: sorted((r.image_id, r.width, r.height, r.pixel_format, r.width_padding, r.data and bytes(r.data), r.error) for r in rows)
+        key = lambda rows: sorted(
+            (r.image_id, r.width, r.height, r.pixel_format, r.width_padding, r.data and bytes(r.data), r.error) for r in rows
+        )
         assert key(codec.decode(df, spread=True, **options).collect()) == key(codec.decode(df, **options).collect())
 
 

@@ -20,7 +20,11 @@ def duck():
 
 def rows_of(frame):
     plain = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple("" if x != x or x is None else str(int(x)) if isinstance(x, (int, float)) and x == int(x) else str(x) for x in r) for r in plain.where(plain.notna(), None).values.tolist())
+    return sorted(
+        tuple(
+            "" if x != x or x is None else str(int(x)) if isinstance(x, (int, float)) and x == int(x) else str(x) for x in r
+        ) for r in plain.where(plain.notna(), None).values.tolist()
+    )
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
@@ -61,5 +65,7 @@ def test_plans(spark):
     plan = lambda n: catalog.queries()[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for name in ("d8_rgb_to_ycbcr_jpeg", "e1_subsample_420", "e2_fan_out", "f1_level_shift", "f2_f3_dct_quantize", "e3_upsample_by_copy"):
         assert "Exchange" not in plan(name), name
-    assert "ReadSchema: struct<event_id:bigint,user_id:" in plan("e1_subsample_420").replace("int>", "bigint>") or "event_type" not in plan("e1_subsample_420")
+    assert "ReadSchema: struct<event_id:bigint,user_id:" in plan("e1_subsample_420").replace("int>", "bigint>") or "event_type" not in plan(
+        "e1_subsample_420"
+    )
     assert "BroadcastHashJoin" in plan("g10_codewords")

@@ -5,7 +5,25 @@ from blockweave.functions import jpegcore as J
 from blockweave.sources import formats, images
 from blockweave.streaming import files as streams
 
-CASES = [("pnm", "u8"), ("ppm", "444-u8-p012"), ("pam", "u8"), ("pam", "444-u8-p012"), ("pam", "4444-u8-p0123"), ("y4m", "u8"), ("y4m", "420-u8-p0p1p2"), ("y4m", "422-u8-p0p1p2"), ("y4m", "444-u8-p0p1p2"), ("bmp", "444-u8-p012"), ("bmp", "4444-u8-p0123"), ("tga", "u8"), ("tga", "444-u8-p012"), ("tga", "4444-u8-p0123"), ("png", "u8"), ("png", "444-u8-p012"), ("png", "4444-u8-p0123")]
+CASES = [
+    ("pnm", "u8"),
+    ("ppm", "444-u8-p012"),
+    ("pam", "u8"),
+    ("pam", "444-u8-p012"),
+    ("pam", "4444-u8-p0123"),
+    ("y4m", "u8"),
+    ("y4m", "420-u8-p0p1p2"),
+    ("y4m", "422-u8-p0p1p2"),
+    ("y4m", "444-u8-p0p1p2"),
+    ("bmp", "444-u8-p012"),
+    ("bmp", "4444-u8-p0123"),
+    ("tga", "u8"),
+    ("tga", "444-u8-p012"),
+    ("tga", "4444-u8-p0123"),
+    ("png", "u8"),
+    ("png", "444-u8-p012"),
+    ("png", "4444-u8-p0123"),
+]
 
 
 @pytest.mark.parametrize(("ext", "pf"), CASES)
@@ -48,7 +66,13 @@ def test_extensions_and_choice():
     assert formats.save("a.XXX", 10, 10, "rgb", "4444-u8-p0123", bytes(400))[0] == "a.pam"
     assert formats.save("a.XXX", 10, 10, "ycbcr-jpeg", "444-u8-p0p1p2", raw)[0] == "a.y4m"
     assert formats.load("a.rgb", raw, 10, 10)[:4] == (10, 10, "rgb", "444-u8-p012")
-    for bad in (lambda: formats.save("a.gif", 10, 10, "rgb", "444-u8-p012", raw), lambda: formats.load("a.rgb", raw), lambda: formats.parse_tst("x.tst"), lambda: formats.load("a.ppm", b"P6\n9 9\n255\nxx"), lambda: formats.save("a.y4m", 10, 10, "rgb", "444-u8-p0p1p2", raw)):
+    for bad in (
+        lambda: formats.save("a.gif", 10, 10, "rgb", "444-u8-p012", raw),
+        lambda: formats.load("a.rgb", raw),
+        lambda: formats.parse_tst("x.tst"),
+        lambda: formats.load("a.ppm", b"P6\n9 9\n255\nxx"),
+        lambda: formats.save("a.y4m", 10, 10, "rgb", "444-u8-p0p1p2", raw),
+    ):
         with pytest.raises(formats.FormatError):
             bad()
 
@@ -64,7 +88,9 @@ def test_read_write_probe_and_errors(spark, tmp_path):
     images.register(spark)
     df = spark.read.format("tst").option("names", "16x16.tst;8x8.p_u8.random.tst").load()
     assert df.count() == 2
-    images.write_images(df.selectExpr("replace(path, '.tst', '.png') path", "width", "height", "color_space", "pixel_format", "data"), str(tmp_path / "out")).collect()
+    images.write_images(
+        df.selectExpr("replace(path, '.tst', '.png') path", "width", "height", "color_space", "pixel_format", "data"), str(tmp_path / "out")
+    ).collect()
     (tmp_path / "out" / "bad.png").write_bytes(b"nothing")
     got = {r.path.rsplit("/", 1)[1]: r for r in images.read_images(spark, str(tmp_path / "out")).collect()}
     assert got["16x16.png"].width == 16 and got["8x8.p_u8.random.png"].pixel_format == "u8"
@@ -144,7 +170,9 @@ def test_streams(spark, tmp_path):
     folder.mkdir()
     for k in range(3):
         (folder / f"{k}.ppm").write_bytes(formats.write_pnm(20, 10, "rgb", "444-u8-p012", J.lcg(600, k + 1).tobytes()))
-    q = streams.encode_stream(spark, str(folder), files_a_batch=1).writeStream.format("memory").queryName("coded").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = streams.encode_stream(spark, str(folder), files_a_batch=1).writeStream.format("memory").queryName("coded").option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.sql("select * from coded").collect()
     assert len(rows) == 3 and all(J.read(bytes(r.jpeg)).width == 20 for r in rows)
