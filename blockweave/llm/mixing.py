@@ -1,15 +1,14 @@
 """Mixing sources to target weights by cube-method balanced sampling.
 
-Each source has a target total of words, so each of its documents is to be taken target / size times on average: the whole
-part for sure, the fraction by balanced sampling. The flight phase moves the vector of fractional inclusion
-probabilities through the null space of two constraints, the expected number of words and of documents, until a coordinate
-reaches 0 or 1, and again. The longest open document leads each move and all others make up for it by a little, so long documents are
-decided while many short ones can still balance them. The flight runs in blocks of a source, dealt by hash; each leaves at
-most two undecided documents, which meet in fewer blocks in the next round, until a source has one block, whatever the others
-have. There the flight ends with ``LANDING`` open documents at most, and these are the landing problem: of all distributions over
-their selections that keep each document's probability, a linear program finds the one whose words and documents miss the
-targets least on average, and a selection is drawn from it. Every move of the flight has mean 0 as well, so inclusion
-probabilities are kept from the first to the last.
+Each source has a target total of words, so each of its documents is to be taken target / size times on average. The flight phase
+moves the vector of these numbers, each between 0 and the most copies, through the null space of two constraints, the expected number
+of words and of documents. The longest document whose number is no integer leads each move, until its own number is one or another's
+reaches an end, and all others make up for it by a little; so long documents are decided while many short ones can still balance
+them. The flight runs in blocks of a source, dealt by hash; each leaves at most two undecided documents, which meet in fewer
+blocks in the next round, until a source has one block, whatever the others have. There the flight ends with ``LANDING`` open
+documents at most, and these are the landing problem: of all distributions over their numbers of copies that keep each document's
+mean, a linear program finds the one whose words and documents miss the targets least on average, and one is drawn from it. Every
+move of the flight has mean 0 as well, so the mean number of copies of each document is kept from the first move to the draw.
 """
 
 from __future__ import annotations
@@ -23,8 +22,8 @@ from blockweave.llm.common import WORD, cut, grouped, table
 
 #: Documents in a block of the flight phase.
 BLOCK = 4096
-#: Open documents with which the flight ends: the linear program is over 2 to that power selections.
-LANDING = 12
+#: Open documents with which the flight ends: the linear program is over MOST + 1 to that power selections.
+LANDING = 6
 #: No document is taken more often.
 MOST = 3
 #: Sources whose totals are broadcast, at most; with more the totals are joined in shares.
@@ -32,22 +31,27 @@ SOURCES, SHARES = 10_000, 64
 EPS = 1e-9
 
 
-def _flight(p: np.ndarray, size: np.ndarray, rng, leave: int = 2) -> np.ndarray:
-    """Probabilities after the flight phase: all are 0 or 1 but ``leave`` at most, or two where words and documents allow no more.
+def _whole(q: np.ndarray) -> np.ndarray:
+    """Whether a number of copies is an integer."""
+    return np.abs(q - np.round(q)) < EPS
 
-    A move goes along the projection of the longest open document onto the null space, in the metric of p (1 - p), as far as one
-    coordinate reaches 0 or 1, up or down by chances that make its mean 0.
+
+def _flight(q: np.ndarray, size: np.ndarray, rng, leave: int = 2, most: int = MOST) -> np.ndarray:
+    """Numbers of copies after the flight phase: all are integers but ``leave`` at most, or two where words and documents allow no more.
+
+    A move goes along the projection of the longest open document onto the null space, in the metric of q (most - q), up or down by
+    chances that make its mean 0.
     """
-    p = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
-    open_ = np.flatnonzero((p > 0) & (p < 1))
+    q = np.where(_whole(q), np.round(q), q)
+    open_ = np.flatnonzero(~_whole(q))
     open_ = open_[np.lexsort((open_, -size[open_]))]  # the longest first
-    x, q = size[open_] / max(1.0, float(size.max(initial=1))), p[open_]
-    while len(q) > leave:
-        d = q * (1 - q)
+    x, y = size[open_] / max(1.0, float(size.max(initial=1))), q[open_]
+    while len(y) > leave:
+        d = y * (most - y)
         total = float(d.sum())
         words = x - float(d @ x) / total
         spread = float(d @ (words * words))
-        for lead in range(min(len(q), 3)):  # the first may be the only one of its size, which cannot move then
+        for lead in range(min(len(y), 3)):  # the first may be the only one of its size, which cannot move then
             v = -d / total - (d * words * (words[lead] / spread) if spread > 1e-18 else 0.0)
             v[lead] += 1.0
             if np.abs(v).max() > 1e-9:
@@ -55,32 +59,37 @@ def _flight(p: np.ndarray, size: np.ndarray, rng, leave: int = 2) -> np.ndarray:
         else:
             break
         v /= np.abs(v).max()
+        high, low = np.full(len(y), float(most)), np.zeros(len(y))
+        high[lead], low[lead] = np.ceil(y[lead]), np.floor(y[lead])
         moving = np.flatnonzero(np.abs(v) > 1e-12)
-        to_one, to_zero = (1 - q[moving]) / np.abs(v[moving]), q[moving] / np.abs(v[moving])
-        up = float(np.where(v[moving] > 0, to_one, to_zero).min())
-        down = float(np.where(v[moving] > 0, to_zero, to_one).min())
-        q = q + (up if rng.random() * (up + down) < down else -down) * v
-        done = (q < EPS) | (q > 1 - EPS)
-        if not done.any():  # rounding: the coordinate nearest to a bound has reached it
-            done[int(np.argmin(np.minimum(q, 1 - q)))] = True
-        p[open_[done]] = np.round(q[done])
-        open_, x, q = open_[~done], x[~done], q[~done]
-    p[open_] = q
-    return p
-
-
-def _selections(p: np.ndarray, cost) -> tuple[np.ndarray, np.ndarray]:
-    """Selections and their probabilities: of all distributions in which document k has probability p[k] that of least mean cost.
-
-    The simplex method over all 2^n selections. It starts with the nested selections of the k likeliest documents, and any step it
-    ends at keeps the probabilities.
+        above, below = (high - y)[moving] / np.abs(v[moving]), (y - low)[moving] / np.abs(v[moving])
+        up = float(np.where(v[moving] > 0, above, below).min())
+        down = float(np.where(v[moving] > 0, below, above).min())
+        y = y + (up if rng.random() * (up + down) < down else -down) * v
+        done = (y < EPS) | (y > most - EPS)
+        done[lead] |= _whole(y[lead])
+        if not done.any():  # rounding: the lead has reached an integer
+            done[lead] = True
+        q[open_[done]] = np.round(y[done])
+        open_, x, y = open_[~done], x[~done], y[~done]
+    q[open_] = y
+    return q
+
+
+def _selections(q: np.ndarray, cost, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of copies and their probabilities: of all distributions with means q that of least mean cost.
+
+    The simplex method over all (most + 1)^n selections. It starts with the integers below and the nested sets of documents of which one
+    copy more is likeliest, and any step it ends at keeps the means.
     """
-    n = len(p)
-    every = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(float)
-    a = np.hstack([np.ones((1 << n, 1)), every])
-    b, c = np.append(1.0, p), cost(every)
-    order = np.argsort(-p, kind="stable")
-    basis = np.array([int(sum(1 << int(k) for k in order[:m])) for m in range(n + 1)])
+    n, base = len(q), most + 1
+    unit = base ** np.arange(n)
+    every = ((np.arange(base**n)[:, None] // unit) % base).astype(float)
+    a = np.hstack([np.ones((base**n, 1)), every])
+    b, c = np.append(1.0, q), cost(every)
+    order = np.argsort(-(q - np.floor(q)), kind="stable")
+    least = int((np.floor(q) * unit).sum())
+    basis = np.array([least + int(unit[order[:m]].sum()) for m in range(n + 1)])
     x = np.linalg.solve(a[basis].T, b)
     for _ in range(50 * (n + 1)):
         inverse = np.linalg.inv(a[basis].T)
@@ -95,16 +104,16 @@ def _selections(p: np.ndarray, cost) -> tuple[np.ndarray, np.ndarray]:
     return every[basis], x / x.sum()
 
 
-def _landing(p: np.ndarray, size: np.ndarray, rng) -> np.ndarray:
-    """What the flight has left becomes 0 or 1, at the chances left, by a draw that keeps words and documents near their totals."""
-    p = p.copy()
-    open_ = np.flatnonzero((p > 0) & (p < 1))
+def _landing(q: np.ndarray, size: np.ndarray, rng) -> np.ndarray:
+    """What the flight has left becomes integers, with the means left, by a draw that keeps words and documents near their totals."""
+    q = np.where(_whole(q), np.round(q), q)
+    open_ = np.flatnonzero(~_whole(q))
     if len(open_):
-        own, chance = size[open_], p[open_]
+        own, mean = size[open_], q[open_]
         scale = max(1.0, float(size.mean()))
-        selections, weights = _selections(chance, lambda s: np.abs((s - chance) @ own) / scale + 0.1 * np.abs((s - chance).sum(axis=1)))
-        p[open_] = selections[int(np.searchsorted(np.cumsum(weights)[:-1], rng.random(), side="right"))]
-    return p
+        selections, weights = _selections(mean, lambda s: np.abs((s - mean) @ own) / scale + 0.1 * np.abs((s - mean).sum(axis=1)))
+        q[open_] = selections[int(np.searchsorted(np.cumsum(weights)[:-1], rng.random(), side="right"))]
+    return q
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -162,9 +171,8 @@ def _with_totals(units: DataFrame, goal: DataFrame) -> DataFrame:
     return units.join(shares, match & (F.col("own") == F.col("share"))).drop("own", "share")
 
 
-def _open(p: str | Column) -> Column:
-    p = F.col(p) if isinstance(p, str) else p
-    return (p > EPS) & (p < 1 - EPS)
+def _open(q: str) -> Column:
+    return F.abs(F.col(q) - F.round(F.col(q))) >= EPS
 
 
 def mix(
@@ -191,9 +199,8 @@ def mix(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     stopped = F.when(F.col("source_size") > 0, float(MOST)).otherwise(0.0)
     units = _with_totals(units, goal).withColumn("rate", F.when(F.col("target") >= MOST * F.col("source_size"), stopped).otherwise(rate))
-    units = units.withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0))
-    units = units.withColumn("whole", F.floor("rate").cast("long"))
-    units = cut(units.select("id", "source", "size", "h", "ordinal", "source_size", "target", "n", "p", "whole"))
+    units = units.withColumn("q", F.when(F.col("size") > 0, F.col("rate")).otherwise(0.0))  # copies on average
+    units = cut(units.select("id", "source", "size", "h", "ordinal", "source_size", "target", "n", "q"))
 
     def fly(salt: int):
         def run(batches):
@@ -202,16 +209,16 @@ def mix(
                 rng = np.random.default_rng([seed, salt, int(g.k.iloc[0]), int(g.sh.iloc[0]) & 0xFFFFFFFF])
                 size = g["size"].to_numpy(float)
                 land = g.n.iloc[0] <= block  # the source has this block only
-                p = _flight(g.p.to_numpy(float), size, rng, LANDING if land else 2)
-                g["p"] = _landing(p, size, rng) if land else p
+                q = _flight(g.q.to_numpy(float), size, rng, LANDING if land else 2)
+                g["q"] = _landing(q, size, rng) if land else q
                 yield g
 
         return run
 
-    open_ = units.where(_open("p")).select("source", F.xxhash64("source").alias("sh"), "size", "h", "ordinal", "n", "p", "id")
+    open_ = units.where(_open("q")).select("source", F.xxhash64("source").alias("sh"), "size", "h", "ordinal", "n", "q", "id")
     most = sizes.agg(F.max("n")).first()[0] or 0
     types = {c: df.schema[x].dataType.simpleString() for c, x in (("id", id_col), ("source", source_col))}
-    schema = f"source {types['source']}, sh long, size long, h long, ordinal int, n long, p double, id {types['id']}, k long"
+    schema = f"source {types['source']}, sh long, size long, h long, ordinal int, n long, q double, id {types['id']}, k long"
     decided = None
     round_ = 0
     while True:
@@ -219,21 +226,25 @@ def mix(
         last = most <= block
         flown = open_.withColumn("k", F.pmod(F.xxhash64(F.lit(round_), "h", "ordinal"), blocks))
         flown = cut(flown.repartition("sh", "k").sortWithinPartitions("sh", "k").mapInPandas(fly(round_), schema))
-        done = flown.where(~_open("p")).select("sh", "h", "ordinal", "size", "id", "p")
+        done = flown.where(~_open("q")).select("sh", "h", "ordinal", "size", "id", "q")
         decided = done if decided is None else decided.unionByName(done)
         if last:
             break
         # Each block leaves two at most: a source's next number of rows is bounded by so many times its blocks.
-        open_ = flown.where(_open("p")).withColumn("n", 2 * blocks).drop("k")
+        open_ = flown.where(_open("q")).withColumn("n", 2 * blocks).drop("k")
         most = 2 * -(-most // block)
         round_ += 1
-    chosen = decided.where(F.col("p") > 0.5).select(
-        F.col("sh").alias("csh"), F.col("h").alias("ch"), F.col("ordinal").alias("co"), F.col("size").alias("cs"), F.col("id").alias("cid")
+    taken = decided.select(
+        F.col("sh").alias("csh"),
+        F.col("h").alias("ch"),
+        F.col("ordinal").alias("co"),
+        F.col("size").alias("cs"),
+        F.col("id").alias("cid"),
+        F.col("q").alias("drawn"),
     )
     same = (F.col("h") == F.col("ch")) & (F.col("ordinal") == F.col("co")) & (F.col("size") == F.col("cs"))
-    out = units.join(chosen, same & (F.xxhash64("source") == F.col("csh")) & F.col("id").eqNullSafe(F.col("cid")), "left")
-    copies = F.col("whole") + F.when(F.col("ch").isNotNull() | (F.col("p") >= 1 - EPS), 1).otherwise(0)
-    copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("long")
+    out = units.join(taken, same & (F.xxhash64("source") == F.col("csh")) & F.col("id").eqNullSafe(F.col("cid")), "left")
+    copies = F.round(F.coalesce("drawn", "q")).cast("long")
     return out.select(
         F.col("id").alias(id_col),
         "size",

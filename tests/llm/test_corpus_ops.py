@@ -297,46 +297,47 @@ def test_mixing_lands_beside_a_hot_source(spark):
 
 def test_flight_balances():
     rng = np.random.default_rng(9)
-    size, p = rng.integers(1, 500, 400).astype(float), np.full(400, 0.37)
-    out = mixing._flight(p, size, rng)
-    open_ = (out > 0) & (out < 1)
-    assert open_.sum() <= 2 and abs(out @ size - p @ size) < 1e-6 * size.sum() and abs(out.sum() - p.sum()) < 1e-6
-    assert set(np.unique(mixing._landing(out, size, rng))) <= {0.0, 1.0}
-    mean = np.mean([mixing._flight(p[:30], size[:30], rng) for _ in range(600)], axis=0)
-    assert abs(mean - 0.37).max() < 0.1  # chances are kept
-
-
-def test_chances_are_kept_in_a_small_source():
-    """Twelve documents, one as long as all others: each is taken as often as it is to be, and totals are near."""
+    size, q = rng.integers(1, 500, 400).astype(float), np.full(400, 1.37)
+    out = mixing._flight(q, size, rng)
+    open_ = ~mixing._whole(out)
+    assert open_.sum() <= 2 and abs(out @ size - q @ size) < 1e-6 * size.sum() and abs(out.sum() - q.sum()) < 1e-6
+    assert out.min() >= 0 and out.max() <= mixing.MOST and (np.isin(out[~open_], [1, 2])).mean() > 0.9
+    assert set(np.unique(mixing._landing(out, size, rng))) <= {0.0, 1.0, 2.0, 3.0}
+    drawn = [mixing._landing(mixing._flight(q[:30], size[:30], rng, mixing.LANDING), size[:30], rng) for _ in range(1500)]
+    assert abs(np.mean(drawn, axis=0) - 1.37).max() < 4 * np.std(drawn) / np.sqrt(1500)  # means are kept
+
+
+def test_means_are_kept_in_a_small_source():
+    """Twelve documents, one as long as all others: each is taken as often as it is to be on average, and totals are near."""
     size = np.array([900.0, 40, 55, 60, 75, 80, 90, 100, 105, 110, 120, 130])
-    rate = np.array([0.5, 0.3, 0.3, 0.3, 0.7, 0.3, 0.6, 0.3, 0.3, 0.9, 0.3, 0.45])
-    drawn = np.array(
-        [mixing._landing(mixing._flight(rate, size, rng, mixing.LANDING), size, rng) for rng in map(np.random.default_rng, range(4000))]
-    )
-    assert set(np.unique(drawn)) == {0.0, 1.0}
-    assert np.abs(drawn.mean(axis=0) - rate).max() < 4 * 0.5 / np.sqrt(4000)
+    rate = np.array([0.5, 0.3, 1.3, 0.3, 0.7, 0.3, 0.6, 0.3, 2.3, 0.9, 0.3, 0.45])
+    drawn = [mixing._landing(mixing._flight(rate, size, rng, mixing.LANDING), size, rng) for rng in map(np.random.default_rng, range(4000))]
+    drawn = np.array(drawn)
+    assert set(np.unique(drawn)) <= {0.0, 1.0, 2.0, 3.0}
+    assert (np.abs(drawn.mean(axis=0) - rate) < 4 * drawn.std(axis=0) / np.sqrt(4000) + 1e-9).all()
     miss = np.abs(drawn @ size - rate @ size)
-    assert miss.mean() < 0.5 * np.abs((np.random.default_rng(1).random((4000, 12)) < rate) @ size - rate @ size).mean()
+    apart = np.floor(rate) + (np.random.default_rng(1).random((4000, 12)) < rate - np.floor(rate))
+    assert miss.mean() < 0.5 * np.abs(apart @ size - rate @ size).mean()
 
 
-def test_selections_are_the_best_that_keep_the_chances():
-    """The linear program against a search over all bases of three documents."""
+def test_selections_are_the_best_that_keep_the_means():
+    """The linear program against a search over all bases of two documents."""
     from itertools import combinations
 
     rng = np.random.default_rng(3)
-    every = ((np.arange(8)[:, None] >> np.arange(3)) & 1).astype(float)
+    every = np.array([[k % 4, k // 4] for k in range(16)], float)
     for _ in range(20):
-        p, size = rng.uniform(0.05, 0.95, 3), rng.integers(1, 90, 3).astype(float)
-        cost = lambda s, p=p, size=size: np.abs((s - p) @ size)
-        picked, weight = mixing._selections(p, cost)
-        assert np.allclose(weight @ picked, p) and np.isclose(weight.sum(), 1) and (weight >= 0).all()
+        q, size = rng.uniform(0.05, 2.95, 2), rng.integers(1, 90, 2).astype(float)
+        cost = lambda s, q=q, size=size: np.abs((s - q) @ size)
+        picked, weight = mixing._selections(q, cost)
+        assert np.allclose(weight @ picked, q) and np.isclose(weight.sum(), 1) and (weight >= 0).all()
         least = np.inf
-        for four in combinations(range(8), 4):
-            a = np.vstack([np.ones(4), every[list(four)].T])
+        for three in combinations(range(16), 3):
+            a = np.vstack([np.ones(3), every[list(three)].T])
             if abs(np.linalg.det(a)) > 1e-9:
-                x = np.linalg.solve(a, np.append(1.0, p))
+                x = np.linalg.solve(a, np.append(1.0, q))
                 if (x >= -1e-12).all():
-                    least = min(least, float(x @ cost(every[list(four)])))
+                    least = min(least, float(x @ cost(every[list(three)])))
         assert np.isclose(weight @ cost(picked), least)
 
 
