@@ -57,6 +57,16 @@ def idct(coefs: DataFrame, keys: tuple[str, ...] = ("block",)) -> DataFrame:
     return s.select(*keys, "n", F.least(F.lit(255), F.greatest(F.lit(0), F.rint(F.round("s", 6) + 128))).cast("int").alias("v"))
 
 
+#: Blocks of an Arrow batch that are worked on at once: arrays made of all its 10,000 would take most of a worker's memory.
+SLICE = 1024
+
+
+def slices(batches):
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.iloc[at : at + SLICE]
+
+
 _W = np.zeros((64, 64))
 for _k, _n, _w in T.basis():
     _W[_k, _n] = _w
@@ -68,11 +78,10 @@ def dct_arrays(blocks: DataFrame, column: str, keys: tuple[str, ...], quality: i
     schema = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys) + ", coefs array<int>"
 
     def run(batches):
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch.samples.to_numpy()).astype(float) - 128
-                c = np.rint(np.round(np.round(x @ _W.T, 6) / q, 6)).astype(np.int32)[:, zz]
-                yield batch[list(keys)].assign(coefs=list(c))
+        for batch in slices(batches):
+            x = np.stack(batch.samples.to_numpy()).astype(float) - 128
+            c = np.rint(np.round(np.round(x @ _W.T, 6) / q, 6)).astype(np.int32)[:, zz]
+            yield batch[list(keys)].assign(coefs=list(c))
 
     return blocks.select(*keys, F.col(column).alias("samples")).mapInPandas(run, schema)
 
@@ -83,11 +92,10 @@ def idct_arrays(blocks: DataFrame, keys: tuple[str, ...], quality: int = 75, kin
     schema = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys) + ", samples array<int>"
 
     def run(batches):
-        for batch in batches:
-            if len(batch):
-                c = np.zeros((len(batch), 64))
-                c[:, zz] = np.stack(batch.coefs.to_numpy())
-                s = np.clip(np.rint(np.round((c * q) @ _W, 6) + 128), 0, 255).astype(np.int32)
-                yield pd.DataFrame({k: batch[k] for k in keys} | {"samples": list(s)})
+        for batch in slices(batches):
+            c = np.zeros((len(batch), 64))
+            c[:, zz] = np.stack(batch.coefs.to_numpy())
+            s = np.clip(np.rint(np.round((c * q) @ _W, 6) + 128), 0, 255).astype(np.int32)
+            yield pd.DataFrame({k: batch[k] for k in keys} | {"samples": list(s)})
 
     return blocks.select(*keys, "coefs").mapInPandas(run, schema)

@@ -1,6 +1,11 @@
 """Every query of the catalogue against its SQL in DuckDB."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -66,6 +71,45 @@ def test_segment_index_of_many_scans(spark, tmp_path):
     assert set(got.scan) == {0, 1, 2, 254, 255, 256, 4095, 4096, 4097}
 
 
+def test_memory_of_packed_bits(spark, monkeypatch):
+    """The functions that the query runs in Python, on a whole Arrow batch of 10,000 blocks each: what they hold beside it."""
+    runs = []
+    frame = SimpleNamespace(schema=spark.createDataFrame([], "vec_id long").schema)
+    frame.select = lambda *_: frame
+    frame.mapInPandas = lambda run, _: runs.append(run) or frame
+    monkeypatch.setattr(catalog.X, "sample_arrays", lambda *_: frame)
+    catalog.queries()["h1_packed_bits"](spark, SF)
+    samples = np.random.default_rng(1).integers(0, 256, (10_000, 64), dtype=np.int32)
+    batch = pd.DataFrame({"vec_id": np.arange(10_000), "samples": list(samples)})
+    assert len(runs) == 2
+    for run in runs:
+        tracemalloc.start()
+        out, most = [], 0
+        for part in run(iter([batch])):
+            most = max(most, tracemalloc.get_traced_memory()[1])
+            out.append(part)
+            tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        batch = pd.concat(out, ignore_index=True)
+        assert len(batch) == 10_000 and batch.vec_id.tolist() == list(range(10_000))
+        assert most - held < 40 << 20, (most, held)
+
+
+def test_packed_bits_of_many_blocks(spark, tmp_path):
+    """Blocks of several slices in one batch."""
+    embeddings = spark.read.parquet(f"{SF}/embeddings.parquet")
+    moved = embeddings
+    for k in range(1, 5):
+        moved = moved.unionByName(embeddings.withColumn("vec_id", embeddings.vec_id + 500 * k))
+    moved.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("h1_packed_bits", "f9_idct"):
+        got, want = catalog.queries()[name](spark, str(tmp_path)).toPandas(), c.execute(catalog.oracle_sql()[name]).fetchdf()
+        assert rows_of(got) == rows_of(want)
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["vec_id", "zz", "coef"] and df.count() == 32000
