@@ -32,9 +32,18 @@ def basis(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(T.basis(), "k int, n int, w double")
 
 
+#: Rows of 1,024 blocks: a task sums over so many, as the hash tables of the sums hold a group for each.
+ROWS = 1 << 16
+
+
+def dealt_out(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows by block, about ROWS a partition: counts them first. Sums by keys and more need no other exchange then."""
+    return rows.repartition(max(1, -(-rows.count() // ROWS)), *keys)
+
+
 def dct(samples: DataFrame, keys: tuple[str, ...] = ("block",)) -> DataFrame:
-    """keys, k, c: the cosine transform of the level-shifted samples (keys, n, v), as a broadcast join and a sum."""
-    shifted = samples.select(*keys, "n", (F.col("v") - 128).alias("s"))
+    """keys, k, c: the cosine transform of the level-shifted samples (keys, n, v), as a broadcast join and a sum; dealt out by keys."""
+    shifted = dealt_out(samples.select(*keys, "n", (F.col("v") - 128).alias("s")), keys)
     return shifted.join(F.broadcast(basis(samples.sparkSession)), "n").groupBy(*keys, "k").agg(
         F.round(F.sum(F.col("s") * F.col("w")), 6).alias("c")
     )
@@ -51,8 +60,9 @@ def dequantise(coefs: DataFrame, quality: int = 75, kind: str = "luma") -> DataF
     return coefs.join(F.broadcast(q), F.col("zz") == F.col("qz")).drop("qz").withColumn("c", (F.col("coef") * F.col("q")).cast("int"))
 
 
-def idct(coefs: DataFrame, keys: tuple[str, ...] = ("block",)) -> DataFrame:
-    """keys, n, v: samples of the coefficients (keys, k, c), rounded half to even and clamped."""
+def idct(coefs: DataFrame, keys: tuple[str, ...] = ("block",), dealt: bool = False) -> DataFrame:
+    """keys, n, v: samples of the coefficients (keys, k, c), rounded half to even and clamped. dealt: they are, by keys, as dct leaves them."""
+    coefs = coefs if dealt else dealt_out(coefs, keys)
     s = coefs.join(F.broadcast(basis(coefs.sparkSession)), "k").groupBy(*keys, "n").agg(F.sum(F.col("c") * F.col("w")).alias("s"))
     return s.select(*keys, "n", F.least(F.lit(255), F.greatest(F.lit(0), F.rint(F.round("s", 6) + 128))).cast("int").alias("v"))
 
